@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeworks.llm.jaccard import ngram_jaccard_join
+from tapeworks.llm.suffix_dedup import remove_repeats
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +19,13 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_docs(spark, sf_dir), n=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by 200-byte strings that also start elsewhere."""
+    return remove_repeats(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard": op1_ngram_jaccard}
+    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op4_suffix_dedup": op4_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
