@@ -7,9 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeworks.llm.jaccard import ngram_jaccard_join
+from tapeworks.llm.media import media_columns
+from tapeworks.llm.mixing import MIX_SQL, mix_sources
+from tapeworks.llm.packing import pack_documents
+from tapeworks.llm.quality_rules import RULES_SQL, quality_rules
 from tapeworks.llm.suffix_dedup import remove_repeats
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer files lie on this machine; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -19,14 +30,36 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_docs(spark, sf_dir), n=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text stored as an 8-bit picture in a tar shard and read back."""
+    out = media_columns(_docs(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes covered by 200-byte strings that also start elsewhere."""
     return remove_repeats(_docs(spark, sf_dir))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights 3, 1, 2 by source; 150 % of all words, no source above twice its size."""
+    return mix_sources(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of each document and of its source."""
+    return quality_rules(_docs(spark, sf_dir))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return pack_documents(_docs(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op4_suffix_dedup": op4_suffix_dedup}
+    found = (op1_ngram_jaccard, op2_media_columns, op4_suffix_dedup, op6_source_mixing, op8_quality_rules, op9_packing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_source_mixing": MIX_SQL, "op8_quality_rules": RULES_SQL}
