@@ -179,7 +179,7 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200,
                         full = mix(full[:-depth] * _U(0xC2B2AE3D27D4EB4F) + full[depth:])
                         depth *= 2
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(window), u1[i])), pa.array(np.full(len(window), u2[i])), pa.array(window), pa.array(full[window - first].view(np.int64)), pa.nulls(len(window), pa.binary())], names)
-                if held > 16 << 20:
+                if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, [pa.int64()] * 4 + [pa.binary()], strict=True)], names)
                     out, held = [[] for _ in names], 0
             if held:
@@ -206,7 +206,7 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200,
         for batch in batches:  # sorted by name: cut between buckets
             held.append(batch)
             size += batch.nbytes
-            if size > 24 << 20:
+            if size > 3 << 20:
                 table = pa.Table.from_batches(held)
                 name = table.column("name").to_numpy()
                 edge = int(np.searchsorted(name, name[-1]))
