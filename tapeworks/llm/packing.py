@@ -127,7 +127,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(tokenizer)
         for batch in batches:
-            for a, b, raw, offs in blocks(batch.column(2), 16 << 20):
+            for a, b, raw, offs in blocks(batch.column(2), 4 << 20):
                 words = Pieces(raw, offs)
                 ids, count = vocabulary.encode(words) if len(words) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
                 total = np.concatenate(([0], np.cumsum(count)))[words.first] if len(words) else np.zeros(b - a + 1, np.int64)
