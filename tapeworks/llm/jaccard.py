@@ -220,7 +220,8 @@ def block_product(tasks: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, block: int = 512) -> DataFrame:
-    """id, n_shingles, component_id (least id reachable by links) and th for every row of docs.
+    """id, n_shingles, component_id (least id reachable by links), th (hash of the text) and component (a key of the
+    component, null for an empty set) for every row of docs.
 
     Words are lower-cased A-Z. A null or blank text has an empty set, links with nothing and is its own component.
     Equal texts and equal sets link. Rows without an id keep a row: their component is the least id that they reach,
@@ -270,4 +271,4 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     named = sets.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
-    return named.join(least, "root", "left").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "th")
+    return named.join(least, "root", "left").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "th", F.col("root").alias("component"))

@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tapeworks.llm.jaccard import ngram_jaccard_join
+from tapeworks.llm.language import document_rows, identify, page_rows
+from tapeworks.llm.licenses import license_scan
 from tapeworks.llm.media import media_columns
 from tapeworks.llm.mixing import MIX_SQL, mix_sources
 from tapeworks.llm.packing import pack_documents
+from tapeworks.llm.quality_model import quality_scores
 from tapeworks.llm.quality_rules import RULES_SQL, quality_rules
 from tapeworks.llm.suffix_dedup import remove_repeats
+from tapeworks.llm.toxicity import toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,16 +41,33 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each text; every fifth id by crc32 is held out of learning."""
+    return toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes covered by 200-byte strings that also start elsewhere."""
     return remove_repeats(_docs(spark, sf_dir))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each text; every fourth id by crc32 is held out of learning."""
+    return quality_scores(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights 3, 1, 2 by source; 150 % of all words, no source above twice its size."""
     return mix_sources(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document and of every web page; a page's doc_id is -1 - page_id."""
+    docs = document_rows(_docs(spark, sf_dir))
+    pages = page_rows(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("id", F.lit(-1) - F.col("id"))
+    return identify(docs.unionByName(pages)).withColumnRenamed("id", "doc_id")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of each document and of its source."""
     return quality_rules(_docs(spark, sf_dir))
@@ -56,8 +78,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_docs(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in each text."""
+    return license_scan(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_jaccard, op2_media_columns, op4_suffix_dedup, op6_source_mixing, op8_quality_rules, op9_packing)
+    found = (op1_ngram_jaccard, op2_media_columns, op3_toxicity, op4_suffix_dedup, op5_quality_classifier, op6_source_mixing, op7_language_id, op8_quality_rules, op9_packing, op10_license_scan)
     return {f.__name__: f for f in found}
 
 

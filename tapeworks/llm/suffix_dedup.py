@@ -235,8 +235,9 @@ def _whole(body: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep_text: bool = False) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, with keep_text) of every row.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, carry: list[str] | None = None) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with carry also those columns and kept, the text of the
+    remaining bytes without characters that a cut has broken.
 
     A null text counts as empty; a text shorter than `length` bytes keeps all. Of whole texts that occur more than
     once, every copy loses all its bytes. Repeated rows are copies. An empty table gives an empty table; other columns
@@ -263,14 +264,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept.append(raw[at:lo])
                     at = hi
                 rest = b"".join([*kept, raw[at:]])
-                for col, x in zip(cols, (len(raw) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), rest if keep_text else None), strict=True):
+                for col, x in zip(cols, (len(raw) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if carry is not None else None), strict=True):
                     col.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.binary())], ["u1", "u2", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["u1", "u2", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     found = units.join(windows, ["u1", "u2"], "left").where("spans is not null or copies > 1").select("u1", "u2", "text", "copies", "spans")
-    found = found.mapInArrow(outcome, "u1 long, u2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    found = found.mapInArrow(outcome, "u1 long, u2 long, n_removed long, n_spans long, kept_sha256 string, kept string")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col), F.xxhash64(text).alias("u1"), F.xxhash64(F.lit(1), text).alias("u2"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"), *([text.cast("binary").alias("body")] if keep_text else []))
-    out = rows.join(found, ["u1", "u2"], "left").select(
-        F.col(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *([F.coalesce("kept", "body").alias("kept")] if keep_text else []))
-    return out
+    more = [text.alias("_body"), F.struct(*carry).alias("_more")] if carry is not None else []
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("u1"), F.xxhash64(F.lit(1), text).alias("u2"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"), *more)
+    out = rows.join(found, ["u1", "u2"], "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans")]
+    more = ["_more.*", F.coalesce("kept", "_body").alias("kept")] if carry is not None else []
+    return out.select(F.col("id").alias(id_col), "n_bytes", *counts, F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *more)
