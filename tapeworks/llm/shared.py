@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,17 +24,36 @@ def ready(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Let Spark drop an action's shuffle files as soon as it ends; what was computed is in shared storage by then."""
+    before = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_TIDY)
+        else:
+            spark.conf.set(_TIDY, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A small table, written by checkpoint(): executors may be lost afterwards without a recomputation."""
     ready(df.sparkSession)
-    return df.checkpoint()
+    with tidy(df.sparkSession):
+        return df.checkpoint()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """A large table, written as compressed Parquet into the shared folder and read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

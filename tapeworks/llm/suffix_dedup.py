@@ -146,6 +146,7 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200,
     who = F.struct("u1", "place")
     buckets = suffixes.groupBy("name").agg(F.count("*").alias("n"), F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo <> hi").select("name", "n")
     open_ = suffixes.join(buckets, "name").groupBy("u1").agg(F.collect_set(F.struct("place", "name", (F.col("n") > hot).alias("hot"))).alias("places"))
+    open_ = written(open_, "open-buckets")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
