@@ -6,8 +6,8 @@ dictionary's content, the commonest others the ordinary one's. Every byte is wri
 no match shorter than a few bytes. The share of a window's ordinary length that the toxic dictionary saves is compared
 over the document; a logistic curve fitted on the labelled documents calibrates the document's score.
 
-Learning is grouped aggregation over all labelled rows; what reaches the driver is bounded by the dictionaries' sizes
-and by `fit_rows` rows of two features for the curve. Scoring is one pass over the texts without a shuffle: a task
+Learning is grouped aggregation over at most `fit_rows` labelled documents; what reaches the driver is bounded by the
+dictionaries' sizes and by that many rows of two features for the curve. Scoring is one pass over the texts without a shuffle: a task
 compresses each distinct word once.
 """
 
@@ -138,22 +138,23 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float =
     return w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 0, widen: int = 3, level: int = 9, fit_rows: int = 50_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 0, widen: int = 3, level: int = 9, fit_rows: int = 30_000) -> DataFrame:
     """id, held_out, score, predicted of every row.
 
     Learns from labelled rows (labels: id_col, toxic) outside the held-out fold only. A null or empty text has no
     windows and gets the curve's value at 0; so has every text if no row is labelled (score 0.5) or no word is telling.
     Rows without an id are held out. Labels without a value and repeated rows are used as they come, extra columns
-    ignored. The curve is fitted on at most `fit_rows` labelled rows, those with the least hashes of their texts.
+    ignored. Words and curve are learned from at most
+    `fit_rows` labelled ids, those with the least hashes.
     """
     text = F.col(text_col).cast("string")
-    marks = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("y")).where("_id is not null and y is not null").dropDuplicates(["_id"])
-    train = docs.where(fold(id_col, folds) != held).select(F.col(id_col).alias("_doc"), text.alias("text")).where("text is not null")
-    train = train.join(marks, F.col("_doc") == F.col("_id")).select("text", "y")
+    marks = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("y")).where("_id is not null and y is not null").where(fold("_id", folds) != held)
+    marks = marks.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
+    train = docs.select(F.col(id_col).alias("_doc"), text.alias("text")).where("text is not null")
+    train = train.join(F.broadcast(marks), F.col("_doc") == F.col("_id")).select("text", "y")  # at most fit_rows labels
     words, plain = learn_words(train)
     one, two = dictionary(words, widen, 1 << 18), dictionary(plain, widen, 1 << 18)
-    part = train.orderBy(F.xxhash64("text"), "y").limit(fit_rows)
-    seen = document_savings(part, ["y"], "text", one, two, widen, level).toPandas()
+    seen = document_savings(train, ["y"], "text", one, two, widen, level).orderBy("f1", "f2", "y").limit(2 * fit_rows).toPandas()  # the bound holds for repeated rows
     if len(seen) and seen["y"].nunique() > 1:
         w = fit_logistic(seen[["f1", "f2"]].to_numpy(float), seen["y"].to_numpy(float))
     else:
