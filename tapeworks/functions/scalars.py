@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def clamp(x: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
+    """x held between lo and hi; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
 
 
 def part(x: Column, by: float) -> Column:

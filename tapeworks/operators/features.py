@@ -46,7 +46,7 @@ def daily_features(bars: DataFrame, ma: tuple[int, int, int] = (20, 50, 200), rs
         F.when(F.col("vol_avg20") > 0, v / F.col("vol_avg20")).alias("rel_volume"),
         full(F.max("high"), "high", 20, 1).alias("high20_prev"),
         full(F.min("low"), "low", 20, 1).alias("low20_prev"),
-        F.when(h > low, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (c - low) / (h - low)))).alias("close_pos"),
+        F.when(h > low, (c - low) / (h - low)).alias("close_pos"),
         (F.col("open") / F.col("prev_close") - 1).alias("gap"),
         (c / F.lag("close", rs).over(BY) - 1).alias(f"rs_{rs}"),
         full(F.avg("_tr"), "_tr", 14).alias("atr14"),
