@@ -32,14 +32,14 @@ def run_length(series: DataFrame, flag: Column, name: str) -> DataFrame:
 
 
 def breadth_series(days: DataFrame, raw: str = "b50") -> DataFrame:
-    """8 and 200 row means of a raw breadth value and the direction of the long one."""
+    """8 and 200 row means of a raw breadth value and the direction of the long one (compared at nine decimals)."""
     rows = days.select("date", F.col(raw).alias("raw"), "market_ret").withColumn("ma8", F.avg("raw").over(last_n(8))).withColumn("ma200", F.avg("raw").over(last_n(200)))
-    return rows.withColumn("trend", F.when(F.col("ma200") >= F.lag("ma200").over(BY_DATE), 1).otherwise(-1))
+    return rows.withColumn("trend", F.when(F.round("ma200", 9) >= F.lag(F.round("ma200", 9)).over(BY_DATE), 1).otherwise(-1))
 
 
 def pink_zone(series: DataFrame) -> DataFrame:
     """Trailing run of dates with a falling long mean and the short mean below it."""
-    return run_length(series, (F.col("trend") == -1) & (F.col("ma8") < F.col("ma200")), "streak").select("date", "streak")
+    return run_length(series, (F.col("trend") == -1) & (F.round("ma8", 9) < F.round("ma200", 9)), "streak").select("date", "streak")
 
 
 def level_and_gap(series: DataFrame) -> DataFrame:

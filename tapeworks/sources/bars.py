@@ -104,8 +104,8 @@ def dedupe_bars(bars: DataFrame, arrival: str, keep: str = "first") -> DataFrame
 
 def audit_bars(bars: DataFrame, gap_days: int = 3) -> DataFrame:
     """One row per problem of a bar: invalid close, invalid volume, a calendar gap before it."""
-    gap = F.datediff("date", F.lag("date").over(Window.partitionBy("symbol").orderBy("date")))
-    found = F.array_compact(F.array(F.when(F.col("close").isNull() | (F.col("close") <= 0), "invalid_close"), F.when(F.col("volume").isNull() | (F.col("volume") < 0), "invalid_volume"), F.when(gap > gap_days, "gap")))
+    bars = bars.withColumn("_gap", F.datediff("date", F.lag("date").over(Window.partitionBy("symbol").orderBy("date"))))
+    found = F.array_compact(F.array(F.when(F.col("close").isNull() | (F.col("close") <= 0), "invalid_close"), F.when(F.col("volume").isNull() | (F.col("volume") < 0), "invalid_volume"), F.when(F.col("_gap") > gap_days, "gap")))
     return bars.select("symbol", "date", F.explode(found).alias("problem"))
 
 
