@@ -29,43 +29,43 @@ def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | No
         SQL[name] = dates_as_text(sql, dates)
 
 
-def _scalar(name: str, source: str, key: str, cols: dict[str, tuple[Column, str]]) -> None:
+def _scalar(name: str, source: str, key: str, cols: dict[str, tuple[Callable[[], Column], str]]) -> None:
     """A query of column expressions over a table, and the same in SQL."""
-    _add(name, lambda s, d: table(s, d, source).select(key, *[c.alias(n) for n, (c, _) in cols.items()]), f"SELECT {key}, {', '.join(f'{q} AS {n}' for n, (_, q) in cols.items())} FROM {source}")
+    _add(name, lambda s, d: table(s, d, source).select(key, *[c().alias(n) for n, (c, _) in cols.items()]), f"SELECT {key}, {', '.join(f'{q} AS {n}' for n, (_, q) in cols.items())} FROM {source}")
 
 
-_P = F.col("o_totalprice")
-_scalar("f01_linear_score", "orders", "o_orderkey", {"score": (x.linear_score(_P, 1000.0, 300000.0), "round(least(100, greatest(0, (o_totalprice - 1000.0) / 299000.0 * 100)), 6)")})
-_scalar("f02_step_score", "orders", "o_orderkey", {"score": (x.step_score(_P, ((200000, 100), (100000, 60), (50000, 20)), 5), "CASE WHEN o_totalprice >= 200000 THEN 100.0::DOUBLE WHEN o_totalprice >= 100000 THEN 60 WHEN o_totalprice >= 50000 THEN 20 ELSE 5 END")})
+_scalar("f01_linear_score", "orders", "o_orderkey", {"score": (lambda: x.linear_score(F.col("o_totalprice"), 1000.0, 300000.0), "round(least(100, greatest(0, (o_totalprice - 1000.0) / 299000.0 * 100)), 6)")})
+_scalar("f02_step_score", "orders", "o_orderkey", {"score": (lambda: x.step_score(F.col("o_totalprice"), ((200000, 100), (100000, 60), (50000, 20)), 5), "CASE WHEN o_totalprice >= 200000 THEN 100.0::DOUBLE WHEN o_totalprice >= 100000 THEN 60 WHEN o_totalprice >= 50000 THEN 20 ELSE 5 END")})
 _scalar("f03_momentum_scores", "orders", "o_orderkey", {
-    "industry": (x.industry_momentum(_P / 10000), "round(100 / (1 + exp(-0.15 * (abs(o_totalprice / 10000) - 5))), 6)"), "theme": (x.theme_momentum(_P / 10000), "round(100 / (1 + exp(-2.0 * (ln(1 + abs(o_totalprice / 10000)) - ln(16.0)))), 6)")})
-_scalar("f05_log10_liquidity", "orders", "o_orderkey", {"score": (x.log10_liquidity(_P * 1000), "round(least(10, greatest(0, (log10(o_totalprice * 1000) - 7) / 1.5 * 10)), 6)")})
-_scalar("f06_cagr", "part", "p_partkey", {"growth": (x.cagr(F.col("p_retailprice"), F.col("p_retailprice") + F.col("p_size") * 100, 3), "round((pow((p_retailprice + p_size * 100) / p_retailprice, 1.0::DOUBLE / 3) - 1) * 100, 2)")})
-_scalar("f07_normalize_timing", "customer", "c_custkey", {"timing": (x.normalize_timing(F.when(F.col("c_custkey") % 3 == 0, " BMO ").when(F.col("c_custkey") % 3 == 1, "After Market Close").otherwise("noon")), "CASE c_custkey % 3 WHEN 0 THEN 'bmo' WHEN 1 THEN 'amc' ELSE 'unknown' END")})
-_scalar("f08_normalize_direction", "customer", "c_custkey", {"direction": (x.normalize_direction(F.when(F.col("c_custkey") % 3 == 0, " Bullish ").when(F.col("c_custkey") % 3 == 1, "SELL").otherwise(F.col("c_mktsegment"))), "CASE c_custkey % 3 WHEN 0 THEN 'LONG' WHEN 1 THEN 'SHORT' ELSE 'NEUTRAL' END")})
-_scalar("f09_normalize_score", "customer", "c_custkey", {"score": (x.normalize_score(F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal").cast("string")).otherwise(F.substring("c_mktsegment", 1, 1))),
+    "industry": (lambda: x.industry_momentum(F.col("o_totalprice") / 10000), "round(100 / (1 + exp(-0.15 * (abs(o_totalprice / 10000) - 5))), 6)"), "theme": (lambda: x.theme_momentum(F.col("o_totalprice") / 10000), "round(100 / (1 + exp(-2.0 * (ln(1 + abs(o_totalprice / 10000)) - ln(16.0)))), 6)")})
+_scalar("f05_log10_liquidity", "orders", "o_orderkey", {"score": (lambda: x.log10_liquidity(F.col("o_totalprice") * 1000), "round(least(10, greatest(0, (log10(o_totalprice * 1000) - 7) / 1.5 * 10)), 6)")})
+_scalar("f06_cagr", "part", "p_partkey", {"growth": (lambda: x.cagr(F.col("p_retailprice"), F.col("p_retailprice") + F.col("p_size") * 100, 3), "round((pow((p_retailprice + p_size * 100) / p_retailprice, 1.0::DOUBLE / 3) - 1) * 100, 2)")})
+_scalar("f07_normalize_timing", "customer", "c_custkey", {"timing": (lambda: x.normalize_timing(F.when(F.col("c_custkey") % 3 == 0, " BMO ").when(F.col("c_custkey") % 3 == 1, "After Market Close").otherwise("noon")), "CASE c_custkey % 3 WHEN 0 THEN 'bmo' WHEN 1 THEN 'amc' ELSE 'unknown' END")})
+_scalar("f08_normalize_direction", "customer", "c_custkey", {"direction": (lambda: x.normalize_direction(F.when(F.col("c_custkey") % 3 == 0, " Bullish ").when(F.col("c_custkey") % 3 == 1, "SELL").otherwise(F.col("c_mktsegment"))), "CASE c_custkey % 3 WHEN 0 THEN 'LONG' WHEN 1 THEN 'SHORT' ELSE 'NEUTRAL' END")})
+_scalar("f09_normalize_score", "customer", "c_custkey", {"score": (lambda: x.normalize_score(F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal").cast("string")).otherwise(F.substring("c_mktsegment", 1, 1))),
     "round(CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_acctbal < 0 THEN 0 WHEN c_acctbal <= 1 THEN c_acctbal WHEN c_acctbal <= 100 THEN c_acctbal / 100 ELSE 1 END ELSE CASE substr(c_mktsegment, 1, 1) WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.8 WHEN 'F' THEN 0.2 ELSE 0 END END, 6)::DOUBLE")})
-_scalar("f10_horizon_bucket", "part", "p_partkey", {"bucket": (x.horizon_bucket(F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 4 == 0, "D").when(F.col("p_partkey") % 4 == 1, " w").when(F.col("p_partkey") % 4 == 2, "M").otherwise(" years"))),
+_scalar("f10_horizon_bucket", "part", "p_partkey", {"bucket": (lambda: x.horizon_bucket(F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 4 == 0, "D").when(F.col("p_partkey") % 4 == 1, " w").when(F.col("p_partkey") % 4 == 2, "M").otherwise(" years"))),
     "CASE p_partkey % 4 WHEN 0 THEN 'short' WHEN 1 THEN CASE WHEN p_size <= 12 THEN 'short' ELSE 'medium' END WHEN 2 THEN CASE WHEN p_size <= 3 THEN 'short' WHEN p_size <= 6 THEN 'medium' ELSE 'long' END ELSE 'long' END")})
-_scalar("f11_ticker_array", "part", "p_partkey", {"tickers": (F.array_join(x.ticker_array(F.concat_ws(" , ", F.lower("p_brand"), "p_brand", F.lit(""), F.lit("spy"))), ","), "array_to_string(list_sort(['SPY', upper(p_brand)]), ',')")})
+_scalar("f11_ticker_array", "part", "p_partkey", {"tickers": (lambda: F.array_join(x.ticker_array(F.concat_ws(" , ", F.lower("p_brand"), "p_brand", F.lit(""), F.lit("spy"))), ","), "array_to_string(list_sort(['SPY', upper(p_brand)]), ',')")})
 _scalar("f12_jaccard", "part", "p_partkey", {
-    "jaccard": (x.jaccard(F.split("p_type", " "), F.split("p_name", " ")), "round(len(list_intersect(string_split(p_type, ' '), string_split(p_name, ' '))) / len(list_distinct(list_concat(string_split(p_type, ' '), string_split(p_name, ' ')))), 6)"),
-    "containment": (x.containment(F.split("p_type", " "), F.split("p_name", " ")), "round(len(list_intersect(string_split(p_type, ' '), string_split(p_name, ' '))) / least(len(list_distinct(string_split(p_type, ' '))), len(list_distinct(string_split(p_name, ' ')))), 6)")})
-_scalar("f13_first_family", "part", "p_partkey", {"family": (x.first_family(F.col("p_brand"), (("one", ("#1", "#3")), ("two", ("#2",)))), "CASE WHEN p_brand LIKE '%#1%' OR p_brand LIKE '%#3%' THEN 'one' WHEN p_brand LIKE '%#2%' THEN 'two' END")})
-_scalar("f14_sanitize_identifier", "part", "p_partkey", {"id": (x.sanitize_identifier(F.concat(F.lit("--"), "p_brand", F.lit(" & "), "p_type", F.lit("!"))), "regexp_replace(regexp_replace(lower('--' || p_brand || ' & ' || p_type || '!'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')")})
-_scalar("f15_recency_factor", "orders", "o_orderkey", {"factor": (x.recency_factor(F.to_date("o_orderdate"), F.lit("1998-06-05").cast("date")), "CASE WHEN date_diff('day', o_orderdate::DATE, DATE '1998-06-05') < 1 THEN 1.0::DOUBLE WHEN date_diff('day', o_orderdate::DATE, DATE '1998-06-05') <= 3 THEN 0.95 WHEN date_diff('day', o_orderdate::DATE, DATE '1998-06-05') <= 7 THEN 0.9 ELSE 0.85 END")})
+    "jaccard": (lambda: x.jaccard(F.split("p_type", " "), F.split("p_name", " ")), "round(len(list_intersect(string_split(p_type, ' '), string_split(p_name, ' '))) / len(list_distinct(list_concat(string_split(p_type, ' '), string_split(p_name, ' ')))), 6)"),
+    "containment": (lambda: x.containment(F.split("p_type", " "), F.split("p_name", " ")), "round(len(list_intersect(string_split(p_type, ' '), string_split(p_name, ' '))) / least(len(list_distinct(string_split(p_type, ' '))), len(list_distinct(string_split(p_name, ' ')))), 6)")})
+_scalar("f13_first_family", "part", "p_partkey", {"family": (lambda: x.first_family(F.col("p_brand"), (("one", ("#1", "#3")), ("two", ("#2",)))), "CASE WHEN p_brand LIKE '%#1%' OR p_brand LIKE '%#3%' THEN 'one' WHEN p_brand LIKE '%#2%' THEN 'two' END")})
+_scalar("f14_sanitize_identifier", "part", "p_partkey", {"id": (lambda: x.sanitize_identifier(F.concat(F.lit("--"), "p_brand", F.lit(" & "), "p_type", F.lit("!"))), "regexp_replace(regexp_replace(lower('--' || p_brand || ' & ' || p_type || '!'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')")})
+_scalar("f15_recency_factor", "orders", "o_orderkey", {"factor": (lambda: x.recency_factor(F.to_date("o_orderdate"), F.lit("1998-06-05").cast("date")), "CASE WHEN date_diff('day', o_orderdate::DATE, DATE '1998-06-05') < 1 THEN 1.0::DOUBLE WHEN date_diff('day', o_orderdate::DATE, DATE '1998-06-05') <= 3 THEN 0.95 WHEN date_diff('day', o_orderdate::DATE, DATE '1998-06-05') <= 7 THEN 0.9 ELSE 0.85 END")})
 _DAYS = "(SELECT count(*) FROM range(0, greatest(0, date_diff('day', o_orderdate::DATE, DATE '1996-01-17'))) q(i) WHERE isodow(o_orderdate::DATE + CAST(i + 1 AS INT)) <= 5)"
-_scalar("f16_trading_days", "orders", "o_orderkey", {"days": (F.when(F.to_date("o_orderdate") >= F.lit("1995-12-01").cast("date"), x.trading_days_between(F.to_date("o_orderdate"), F.lit("1996-01-17").cast("date"))), f"CASE WHEN o_orderdate::DATE >= DATE '1995-12-01' THEN {_DAYS} END")})
-_scalar("f17_quarter_end", "orders", "o_orderkey", {"quarter": (F.quarter("o_orderdate").cast("long"), "quarter(o_orderdate)"), "ends": (x.quarter_end(F.to_date("o_orderdate")).cast("string"), "CAST(last_day((date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH)::DATE) AS VARCHAR)")})
-_scalar("f18_fingerprint", "part", "p_partkey", {"print": (x.fingerprint(F.col("p_brand"), F.col("p_type"), F.col("p_partkey").cast("string")), "substr(sha256(p_brand || '|' || p_type || '|' || p_partkey), 1, 16)")})
+_scalar("f16_trading_days", "orders", "o_orderkey", {"days": (lambda: F.when(F.to_date("o_orderdate") >= F.lit("1995-12-01").cast("date"), x.trading_days_between(F.to_date("o_orderdate"), F.lit("1996-01-17").cast("date"))), f"CASE WHEN o_orderdate::DATE >= DATE '1995-12-01' THEN {_DAYS} END")})
+_scalar("f17_quarter_end", "orders", "o_orderkey", {"quarter": (lambda: F.quarter("o_orderdate").cast("long"), "quarter(o_orderdate)"), "ends": (lambda: x.quarter_end(F.to_date("o_orderdate")).cast("string"), "CAST(last_day((date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH)::DATE) AS VARCHAR)")})
+_scalar("f18_fingerprint", "part", "p_partkey", {"print": (lambda: x.fingerprint(F.col("p_brand"), F.col("p_type"), F.col("p_partkey").cast("string")), "substr(sha256(p_brand || '|' || p_type || '|' || p_partkey), 1, 16)")})
 _scalar("f20_daily_limit", "part", "p_partkey", {
-    "low": (x.daily_limit(F.col("p_retailprice"), 0.15, 0.1)[0], "round(p_retailprice * (1 - 0.1::DOUBLE), 6)"),
-    "sessions": (x.sessions_to_reach(F.col("p_retailprice"), F.col("p_retailprice") * 2.1, 0.15), "CAST(greatest(1, ceil(ln(p_retailprice * 2.1::DOUBLE / p_retailprice) / ln(1.15::DOUBLE))) AS BIGINT)")})
-_scalar("f21_market_cap_tier", "orders", "o_orderkey", {"tier": (x.market_cap_tier(_P * 1e6), "CASE WHEN o_totalprice * 1e6 >= 200e9 THEN 'Mega' WHEN o_totalprice * 1e6 >= 10e9 THEN 'Large' WHEN o_totalprice * 1e6 >= 2e9 THEN 'Mid' WHEN o_totalprice > 0 THEN 'Small' ELSE 'Unknown' END")})
-_size = x.position_size(100000.0, 1.0, F.col("p_retailprice"), F.col("p_retailprice") * 0.93, 10.0)
-_scalar("f22_position_size", "part", "p_partkey", {"shares": (_size[0], "CAST(least(floor(1000.0::DOUBLE / (p_retailprice - p_retailprice * 0.93::DOUBLE)), floor(10000.0::DOUBLE / p_retailprice)) AS BIGINT)"),
-    "binds": (_size[1], "CASE WHEN floor(1000.0::DOUBLE / (p_retailprice - p_retailprice * 0.93::DOUBLE)) <= floor(10000.0::DOUBLE / p_retailprice) THEN 'risk' ELSE 'position' END")})
-_scalar("f23_trade_prices", "part", "p_partkey", {"risk_pct": (x.trade_prices(F.col("p_retailprice"), F.col("p_retailprice") * 0.9 - F.col("p_size"))["risk_pct"], "round((p_retailprice * 1.001::DOUBLE * 1.02::DOUBLE - (p_retailprice * 0.9::DOUBLE - p_size)) / (p_retailprice * 1.001::DOUBLE * 1.02::DOUBLE) * 100, 4)")})
+    "low": (lambda: x.daily_limit(F.col("p_retailprice"), 0.15, 0.1)[0], "round(p_retailprice * (1 - 0.1::DOUBLE), 6)"),
+    "sessions": (lambda: x.sessions_to_reach(F.col("p_retailprice"), F.col("p_retailprice") * 2.1, 0.15), "CAST(greatest(1, ceil(ln(p_retailprice * 2.1::DOUBLE / p_retailprice) / ln(1.15::DOUBLE))) AS BIGINT)")})
+_scalar("f21_market_cap_tier", "orders", "o_orderkey", {"tier": (lambda: x.market_cap_tier(F.col("o_totalprice") * 1e6), "CASE WHEN o_totalprice * 1e6 >= 200e9 THEN 'Mega' WHEN o_totalprice * 1e6 >= 10e9 THEN 'Large' WHEN o_totalprice * 1e6 >= 2e9 THEN 'Mid' WHEN o_totalprice > 0 THEN 'Small' ELSE 'Unknown' END")})
+def _size() -> tuple[Column, Column]:
+    return x.position_size(100000.0, 1.0, F.col("p_retailprice"), F.col("p_retailprice") * 0.93, 10.0)
+_scalar("f22_position_size", "part", "p_partkey", {"shares": (lambda: _size()[0], "CAST(least(floor(1000.0::DOUBLE / (p_retailprice - p_retailprice * 0.93::DOUBLE)), floor(10000.0::DOUBLE / p_retailprice)) AS BIGINT)"),
+    "binds": (lambda: _size()[1], "CASE WHEN floor(1000.0::DOUBLE / (p_retailprice - p_retailprice * 0.93::DOUBLE)) <= floor(10000.0::DOUBLE / p_retailprice) THEN 'risk' ELSE 'position' END")})
+_scalar("f23_trade_prices", "part", "p_partkey", {"risk_pct": (lambda: x.trade_prices(F.col("p_retailprice"), F.col("p_retailprice") * 0.9 - F.col("p_size"))["risk_pct"], "round((p_retailprice * 1.001::DOUBLE * 1.02::DOUBLE - (p_retailprice * 0.9::DOUBLE - p_size)) / (p_retailprice * 1.001::DOUBLE * 1.02::DOUBLE) * 100, 4)")})
 
 # Outcomes of signals.
 _CAT = """cat AS (SELECT *, CASE WHEN abs(ret5) < 0.005 THEN 'NEUTRAL' WHEN sg > 0 THEN 'TRUE_POSITIVE' WHEN changed AND sg < -0.02 THEN 'REGIME_MISMATCH' WHEN sg < -0.02 THEN 'FALSE_POSITIVE_SEVERE' ELSE 'FALSE_POSITIVE' END AS category

@@ -5,16 +5,17 @@ A breadth series is small (one row a date), so its windows over dates need no pa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tapeworks.functions.scalars import clamp, interpolated, linear_score
 
-BY_DATE = Window.orderBy("date")
+def by_date() -> WindowSpec:
+    return Window.orderBy("date")
 
 
 def last_n(n: int):
-    return BY_DATE.rowsBetween(-(n - 1), 0)
+    return by_date().rowsBetween(-(n - 1), 0)
 
 
 def history_percentile(series: DataFrame, col: str, mid_rank: bool = False) -> DataFrame:
@@ -27,14 +28,14 @@ def history_percentile(series: DataFrame, col: str, mid_rank: bool = False) -> D
 
 def run_length(series: DataFrame, flag: Column, name: str) -> DataFrame:
     """Length of the run of true flags that ends at each date."""
-    rows = series.withColumn("_f", F.coalesce(flag, F.lit(False))).withColumn("_g", F.sum(F.when(F.col("_f"), 0).otherwise(1)).over(BY_DATE))
+    rows = series.withColumn("_f", F.coalesce(flag, F.lit(False))).withColumn("_g", F.sum(F.when(F.col("_f"), 0).otherwise(1)).over(by_date()))
     return rows.withColumn(name, F.sum(F.when(F.col("_f"), 1).otherwise(0)).over(Window.partitionBy("_g").orderBy("date"))).drop("_f", "_g")
 
 
 def breadth_series(days: DataFrame, raw: str = "b50") -> DataFrame:
     """8 and 200 row means of a raw breadth value and the direction of the long one (compared at nine decimals)."""
     rows = days.select("date", F.col(raw).alias("raw"), "market_ret").withColumn("ma8", F.avg("raw").over(last_n(8))).withColumn("ma200", F.avg("raw").over(last_n(200)))
-    return rows.withColumn("trend", F.when(F.round("ma200", 9) >= F.lag(F.round("ma200", 9)).over(BY_DATE), 1).otherwise(-1))
+    return rows.withColumn("trend", F.when(F.round("ma200", 9) >= F.lag(F.round("ma200", 9)).over(by_date()), 1).otherwise(-1))
 
 
 def pink_zone(series: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def pink_zone(series: DataFrame) -> DataFrame:
 
 def level_and_gap(series: DataFrame) -> DataFrame:
     """Level score (short mean 70 %, trend 30 %, +-5 by its five-row direction) and score of the means' gap."""
-    step = F.signum(F.col("ma8") - F.lag("ma8", 5).over(BY_DATE))
+    step = F.signum(F.col("ma8") - F.lag("ma8", 5).over(by_date()))
     level = 0.7 * interpolated(F.col("ma8"), ((0.2, 0), (0.4, 30), (0.5, 50), (0.6, 70), (0.8, 100))) + F.when(F.col("trend") == 1, 30).otherwise(0) + 5 * F.coalesce(step, F.lit(0.0))
     gap = linear_score(F.col("ma8") - F.col("ma200"), -0.2, 0.2)
     return series.select("date", clamp(level, 0.0, 100.0).alias("level"), gap.alias("gap"))
@@ -52,27 +53,27 @@ def level_and_gap(series: DataFrame) -> DataFrame:
 
 def divergence(series: DataFrame, long: int = 60, short: int = 20) -> DataFrame:
     """Breadth change less index change over 60 and 20 rows (both ends counted), blended 0.6 and 0.4."""
-    rows = series.withColumn("idx", F.exp(F.sum(F.log(1 + F.coalesce("market_ret", F.lit(0.0)))).over(BY_DATE)))
+    rows = series.withColumn("idx", F.exp(F.sum(F.log(1 + F.coalesce("market_ret", F.lit(0.0)))).over(by_date())))
 
     def lead(n: int) -> Column:
-        return (F.col("ma8") - F.lag("ma8", n - 1).over(BY_DATE)) - (F.col("idx") / F.lag("idx", n - 1).over(BY_DATE) - 1) / 10
+        return (F.col("ma8") - F.lag("ma8", n - 1).over(by_date())) - (F.col("idx") / F.lag("idx", n - 1).over(by_date()) - 1) / 10
 
     return rows.select("date", (0.6 * lead(long) + 0.4 * lead(short)).alias("divergence"))
 
 
 def cycle_position(series: DataFrame, k: int = 10, n: int = 120) -> DataFrame:
     """Latest peak or trough of the short mean within n rows (a peak wins on one row), rows since, direction."""
-    around = BY_DATE.rowsBetween(-k, k)
-    rows = series.withColumn("i", F.row_number().over(BY_DATE)).withColumn("top", F.col("ma8") == F.max("ma8").over(around)).withColumn("low", F.col("ma8") == F.min("ma8").over(around))
+    around = by_date().rowsBetween(-k, k)
+    rows = series.withColumn("i", F.row_number().over(by_date())).withColumn("top", F.col("ma8") == F.max("ma8").over(around)).withColumn("low", F.col("ma8") == F.min("ma8").over(around))
     mark = F.when(F.col("top") | F.col("low"), F.struct("i", F.when(F.col("top"), "peak").otherwise("trough").alias("kind")))
     rows = rows.withColumn("m", F.max(mark).over(last_n(n)))
-    return rows.select("date", F.col("m.kind").alias("marker"), (F.col("i") - F.col("m.i")).alias("since"), (F.col("ma8") > F.lag("ma8", 5).over(BY_DATE)).alias("rising"))
+    return rows.select("date", F.col("m.kind").alias("marker"), (F.col("i") - F.col("m.i")).alias("since"), (F.col("ma8") > F.lag("ma8", 5).over(by_date())).alias("rising"))
 
 
 def slope_momentum(series: DataFrame) -> DataFrame:
     """Mean of the last ten daily changes of the raw value less that of the ten before."""
-    rows = series.withColumn("d", F.col("raw") - F.lag("raw").over(BY_DATE))
-    return rows.select("date", (F.avg("d").over(last_n(10)) - F.avg("d").over(BY_DATE.rowsBetween(-19, -10))).alias("momentum"))
+    rows = series.withColumn("d", F.col("raw") - F.lag("raw").over(by_date()))
+    return rows.select("date", (F.avg("d").over(last_n(10)) - F.avg("d").over(by_date().rowsBetween(-19, -10))).alias("momentum"))
 
 
 def regression_slope(rows: DataFrame, key: str, value: str, n: int = 5) -> DataFrame:

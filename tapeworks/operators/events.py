@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.scalars import clamp, step_score, trading_days_between
-from tapeworks.operators.features import BY, frame, full
+from tapeworks.operators.features import by, frame, full
 
 #: Periods in bars and their weights.
 RS_PERIODS = ((63, 0.4), (126, 0.2), (189, 0.2), (252, 0.2))
@@ -27,7 +27,7 @@ def relative_strength(bars: DataFrame, bench: DataFrame, periods: tuple[tuple[in
 
 def earnings_gap(bars: DataFrame, earnings: DataFrame) -> DataFrame:
     """Gap of each report: before the open from the day before, else from the day's close to the next open."""
-    rows = bars.select("symbol", "date", "open", "close", F.lag("close").over(BY).alias("pc"), F.lead("open").over(BY).alias("no"))
+    rows = bars.select("symbol", "date", "open", "close", F.lag("close").over(by()).alias("pc"), F.lead("open").over(by()).alias("no"))
     gap = F.when(F.col("timing") == "bmo", F.col("open") / F.col("pc") - 1).otherwise(F.col("no") / F.col("close") - 1)
     out = earnings.join(rows, ["symbol", "date"], "left")
     warning = F.when(F.col("close").isNull(), "no bar").when(gap.isNull(), "no neighbour")
@@ -37,7 +37,7 @@ def earnings_gap(bars: DataFrame, earnings: DataFrame) -> DataFrame:
 def earnings_trend(bars: DataFrame, earnings: DataFrame) -> DataFrame:
     """Return of the 20 bars up to the report, and mean volume of 20 bars over that of 60 (5 and 20 at least)."""
     v20, v60 = full(F.avg("volume"), "volume", 20, least=5), full(F.avg("volume"), "volume", 60, least=20)
-    rows = bars.select("symbol", "date", (F.col("close") / F.lag("close", 20).over(BY) - 1).alias("pre_trend"), F.when(v60 > 0, v20 / v60).alias("volume_trend"))
+    rows = bars.select("symbol", "date", (F.col("close") / F.lag("close", 20).over(by()) - 1).alias("pre_trend"), F.when(v60 > 0, v20 / v60).alias("volume_trend"))
     return earnings.join(rows, ["symbol", "date"]).select("symbol", "date", "pre_trend", "volume_trend")
 
 
@@ -150,7 +150,7 @@ def liquidity_score(adv: Column) -> Column:
 def defensive_rotation(bars: DataFrame, defensive: list[str], offensive: list[str], periods: tuple[tuple[int, float], ...] = ((10, 0.2), (20, 0.5), (40, 0.3))) -> DataFrame:
     """Weighted lead of defensive over offensive mean returns by date."""
     rows = bars.where(F.col("symbol").isin(*defensive, *offensive)).withColumn("side", F.when(F.col("symbol").isin(*defensive), 1).otherwise(-1))
-    rets = [(F.col("close") / F.lag("close", n).over(BY) - 1).alias(f"r{n}") for n, _ in periods]
+    rets = [(F.col("close") / F.lag("close", n).over(by()) - 1).alias(f"r{n}") for n, _ in periods]
     rows = rows.select("date", "side", *rets)
     parts = [(F.avg(F.when(F.col("side") == 1, F.col(f"r{n}"))) - F.avg(F.when(F.col("side") == -1, F.col(f"r{n}")))) * w for n, w in periods]
     return rows.groupBy("date").agg(sum(parts[1:], parts[0]).alias("rotation"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("symbol").orderBy("date")
+def by() -> WindowSpec:
+    """A symbol's rows in date order."""
+    return Window.partitionBy("symbol").orderBy("date")
 
 
 def frame(n: int, shift: int = 0):
     """The last n rows, `shift` rows back."""
-    return BY.rowsBetween(-(n - 1) - shift, -shift)
+    return by().rowsBetween(-(n - 1) - shift, -shift)
 
 
 def full(agg: Column, of: Column | str, n: int, shift: int = 0, least: int | None = None) -> Column:
@@ -23,20 +25,20 @@ def sma(bars: DataFrame, n: int, col: str = "close") -> DataFrame:
 
 
 def true_range() -> Column:
-    back = F.lag("close").over(BY)
+    back = F.lag("close").over(by())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - back), F.abs(F.col("low") - back))
 
 
 def atr(bars: DataFrame, n: int) -> DataFrame:
     """Mean of the last n true ranges; 0 with fewer than n + 1 bars."""
-    rows = bars.withColumn("_tr", F.when(F.lag("close").over(BY).isNotNull(), true_range()))
+    rows = bars.withColumn("_tr", F.when(F.lag("close").over(by()).isNotNull(), true_range()))
     return rows.withColumn(f"atr_{n}", F.coalesce(full(F.avg("_tr"), "_tr", n), F.lit(0.0))).drop("_tr")
 
 
 def daily_features(bars: DataFrame, ma: tuple[int, int, int] = (20, 50, 200), rs: int = 120) -> DataFrame:
     """Returns, moving averages, relative volume, prior extremes, close position, gap, relative strength and ATR."""
     c, h, low, v = (F.col(x) for x in ("close", "high", "low", "volume"))
-    rows = bars.withColumn("prev_close", F.lag("close").over(BY)).withColumn("_tr", F.greatest(h - low, F.abs(h - F.lag("close").over(BY)), F.abs(low - F.lag("close").over(BY))))
+    rows = bars.withColumn("prev_close", F.lag("close").over(by())).withColumn("_tr", F.greatest(h - low, F.abs(h - F.lag("close").over(by())), F.abs(low - F.lag("close").over(by()))))
     for n in ma:
         rows = rows.withColumn(f"ma{n}", full(F.avg("close"), "close", n))
     rows = rows.withColumn("vol_avg20", full(F.avg("volume"), "volume", 20))
@@ -48,7 +50,7 @@ def daily_features(bars: DataFrame, ma: tuple[int, int, int] = (20, 50, 200), rs
         full(F.min("low"), "low", 20, 1).alias("low20_prev"),
         F.when(h > low, (c - low) / (h - low)).alias("close_pos"),
         (F.col("open") / F.col("prev_close") - 1).alias("gap"),
-        (c / F.lag("close", rs).over(BY) - 1).alias(f"rs_{rs}"),
+        (c / F.lag("close", rs).over(by()) - 1).alias(f"rs_{rs}"),
         full(F.avg("_tr"), "_tr", 14).alias("atr14"),
         (full(F.avg("_tr"), "_tr", 14) / c).alias("atr_pct"),
     ).drop("_tr")
@@ -63,7 +65,7 @@ def rolling_zscore(rows: DataFrame, col: str, n: int = 60, least: int = 30) -> D
 
 def historical_volatility(bars: DataFrame, n: int = 30) -> DataFrame:
     """Population deviation of the last n log returns, a year of 252 sessions."""
-    rows = bars.withColumn("_r", F.log(F.col("close") / F.lag("close").over(BY)))
+    rows = bars.withColumn("_r", F.log(F.col("close") / F.lag("close").over(by())))
     return rows.withColumn("hv", full(F.stddev_pop("_r"), "_r", n) * F.sqrt(F.lit(252.0))).drop("_r")
 
 
@@ -89,7 +91,7 @@ def trend_template(bars: DataFrame, short: int = 50, middle: int = 150, long: in
     rows = bars
     for k, n in (("s", short), ("m", middle), ("l", long)):
         rows = rows.withColumn(f"_{k}", full(F.avg("close"), "close", n))
-    rows = rows.withColumn("_hi", F.max("high").over(frame(252))).withColumn("_lo", F.min("low").over(frame(252))).withColumn("_back", F.lag("_l", back).over(BY))
+    rows = rows.withColumn("_hi", F.max("high").over(frame(252))).withColumn("_lo", F.min("low").over(frame(252))).withColumn("_back", F.lag("_l", back).over(by()))
     c = F.col("close")
     tests = [
         (c > F.col("_m")) & (c > F.col("_l")), F.col("_m") > F.col("_l"), F.col("_l") > F.col("_back"), (F.col("_s") > F.col("_m")) & (F.col("_s") > F.col("_l")),
@@ -102,13 +104,13 @@ def trend_template(bars: DataFrame, short: int = 50, middle: int = 150, long: in
 
 def period_return(bars: DataFrame, n: int, both_ends: bool = False) -> DataFrame:
     """Return over n bars; with both_ends the n bars include the first and the last."""
-    return bars.withColumn(f"ret_{n}", F.col("close") / F.lag("close", n - 1 if both_ends else n).over(BY) - 1)
+    return bars.withColumn(f"ret_{n}", F.col("close") / F.lag("close", n - 1 if both_ends else n).over(by()) - 1)
 
 
 def volume_pattern(bars: DataFrame) -> DataFrame:
     """50-day mean volume, dry-up (ten bars before the last against it), last bar's ratio, net up days on high volume."""
     f50 = frame(50)
-    rows = bars.withColumn("avg50", F.avg("volume").over(f50)).withColumn("_up", F.signum(F.col("close") - F.lag("close").over(BY)))
+    rows = bars.withColumn("avg50", F.avg("volume").over(f50)).withColumn("_up", F.signum(F.col("close") - F.lag("close").over(by())))
     above = F.when(F.col("volume") > F.col("avg50"), F.col("_up")).otherwise(0.0)
     rows = rows.withColumn("_net", above)
     return rows.select("symbol", "date", "avg50", (F.avg("volume").over(frame(10, 1)) / F.col("avg50")).alias("dry_up"), (F.col("volume") / F.col("avg50")).alias("last_ratio"), F.sum("_net").over(frame(20)).alias("net_days"))
@@ -116,7 +118,7 @@ def volume_pattern(bars: DataFrame) -> DataFrame:
 
 def supply_demand(bars: DataFrame, n: int = 60, least: int = 10) -> DataFrame:
     """Mean volume of up days over that of down days; null without `least` of each."""
-    rows = bars.withColumn("_d", F.col("close") - F.lag("close").over(BY))
+    rows = bars.withColumn("_d", F.col("close") - F.lag("close").over(by()))
     f = frame(n)
     up, down = F.when(F.col("_d") > 0, F.col("volume")), F.when(F.col("_d") < 0, F.col("volume"))
     ok = (F.count(up).over(f) >= least) & (F.count(down).over(f) >= least)
@@ -125,17 +127,17 @@ def supply_demand(bars: DataFrame, n: int = 60, least: int = 10) -> DataFrame:
 
 def streak(rows: DataFrame, flag: str, name: str) -> DataFrame:
     """Length of the run of true flags that ends at each row."""
-    off = F.sum(F.when(F.col(flag), 0).otherwise(1)).over(BY)
+    off = F.sum(F.when(F.col(flag), 0).otherwise(1)).over(by())
     rows = rows.withColumn("_run", off)
     return rows.withColumn(name, F.sum(F.when(F.col(flag), 1).otherwise(0)).over(Window.partitionBy("symbol", "_run").orderBy("date"))).drop("_run")
 
 
 def acceleration(bars: DataFrame) -> DataFrame:
     """Returns over 3, 5, 10, 15 bars, trailing rising closes, mean daily return of 3 bars over that of 10."""
-    back = F.lag("close").over(BY)
+    back = F.lag("close").over(by())
     rows = bars.withColumn("_r", F.col("close") / back - 1).withColumn("_g", F.coalesce(F.col("close") > back, F.lit(False)))
     for n in (3, 5, 10, 15):
-        rows = rows.withColumn(f"ret_{n}", F.col("close") / F.lag("close", n).over(BY) - 1)
+        rows = rows.withColumn(f"ret_{n}", F.col("close") / F.lag("close", n).over(by()) - 1)
     slow = full(F.avg("_r"), "_r", 10)
     rows = rows.withColumn("accel", F.when(slow != 0, full(F.avg("_r"), "_r", 3) / slow))
     return streak(rows, "_g", "green").drop("_r", "_g")

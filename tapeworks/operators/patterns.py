@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.operators.features import BY, frame, full
+from tapeworks.operators.features import by, frame, full
 
 
 def fixed_window_swings(bars: DataFrame, k: int) -> DataFrame:
     """Rows strictly above (high) or below (low) the k bars on both sides."""
-    back, ahead = BY.rowsBetween(-k, -1), BY.rowsBetween(1, k)
+    back, ahead = by().rowsBetween(-k, -1), by().rowsBetween(1, k)
     both = (F.count("high").over(back) == k) & (F.count("high").over(ahead) == k)
     top = both & (F.col("high") > F.max("high").over(back)) & (F.col("high") > F.max("high").over(ahead))
     bottom = both & (F.col("low") < F.min("low").over(back)) & (F.col("low") < F.min("low").over(ahead))
@@ -19,9 +19,9 @@ def fixed_window_swings(bars: DataFrame, k: int) -> DataFrame:
 
 def peaks_troughs(bars: DataFrame, k: int = 20) -> DataFrame:
     """Closes equal to the largest or smallest of the k bars on both sides; ties all count."""
-    f = BY.rowsBetween(-k, k)
+    f = by().rowsBetween(-k, k)
     whole = F.count("close").over(f) == 2 * k + 1
-    rows = bars.withColumn("bar", F.row_number().over(BY))
+    rows = bars.withColumn("bar", F.row_number().over(by()))
     return rows.select("symbol", "date", "bar", "close", (whole & (F.col("close") == F.max("close").over(f))).alias("peak"), (whole & (F.col("close") == F.min("close").over(f))).alias("trough")).where("peak or trough")
 
 
@@ -39,14 +39,14 @@ def downtrends(bars: DataFrame, k: int = 20, depth_pct: float = 5.0, least: int
 
 def distribution_days(bars: DataFrame, decline: float = -0.002, eps: float = 1e-12) -> DataFrame:
     """Closes down by the threshold or more on higher volume than the day before."""
-    prev, vol = F.lag("close").over(BY), F.lag("volume").over(BY)
-    rows = bars.select("symbol", "date", "close", "high", "volume", (F.col("close") / prev - 1).alias("change"), vol.alias("prev_volume"), F.row_number().over(BY).alias("bar"))
+    prev, vol = F.lag("close").over(by()), F.lag("volume").over(by())
+    rows = bars.select("symbol", "date", "close", "high", "volume", (F.col("close") / prev - 1).alias("change"), vol.alias("prev_volume"), F.row_number().over(by()).alias("bar"))
     return rows.where((F.col("change") <= decline + eps) & (F.col("volume") > F.col("prev_volume"))).drop("prev_volume")
 
 
 def stalling_and_clustering(bars: DataFrame, n: int = 25) -> DataFrame:
     """In the last n sessions: distribution days, stalling days (0 to 0.1 % on higher volume), share in the last five."""
-    prev, vol = F.lag("close").over(BY), F.lag("volume").over(BY)
+    prev, vol = F.lag("close").over(by()), F.lag("volume").over(by())
     change = F.col("close") / prev - 1
     rows = bars.select("symbol", "date", F.when((change <= -0.002) & (F.col("volume") > vol), 1).otherwise(0).alias("d"), F.when((change >= 0) & (change < 0.001) & (F.col("volume") > vol), 1).otherwise(0).alias("s"))
     d = F.sum("d").over(frame(n))
@@ -56,7 +56,7 @@ def stalling_and_clustering(bars: DataFrame, n: int = 25) -> DataFrame:
 def dd_status(bars: DataFrame, decline: float = -0.002, expiry: int = 25, gain: float = 0.05) -> DataFrame:
     """Each distribution day's highest high since (the day included), first later session within `expiry` at or above
     close * (1 + gain), and status as of the last session: invalidated before expired before active."""
-    numbered = bars.withColumn("bar", F.row_number().over(BY))
+    numbered = bars.withColumn("bar", F.row_number().over(by()))
     days = distribution_days(bars, decline)
     last = numbered.groupBy("symbol").agg(F.max("bar").alias("last_bar"))
     later = numbered.select("symbol", F.col("bar").alias("b"), F.col("high").alias("h"))
@@ -90,13 +90,13 @@ def candlestick_patterns(bars: DataFrame, doji: float = 0.1) -> DataFrame:
 
     The trend before a pattern compares the first and the last of the five closes before its first candle, at 1 %.
     """
-    rows = bars.withColumn("bar", F.row_number().over(BY))
+    rows = bars.withColumn("bar", F.row_number().over(by()))
     names = ("open", "high", "low", "close")
     for k in (1, 2):
         for x in names:
-            rows = rows.withColumn(f"{x}{k}", F.lag(x, k).over(BY))
+            rows = rows.withColumn(f"{x}{k}", F.lag(x, k).over(by()))
     for k in range(3):
-        before = BY.rowsBetween(-5 - k, -1 - k)
+        before = by().rowsBetween(-5 - k, -1 - k)
         move = (F.last("close").over(before) - F.first("close").over(before)) / F.abs(F.first("close").over(before))
         trend = F.when(F.count("close").over(before) < 2, 0).when(move > 0.01, 1).when(move < -0.01, -1).otherwise(0)
         rows = rows.withColumn(f"trend{k}", trend)
@@ -141,7 +141,7 @@ def pattern_signal(bars: DataFrame, lookback: int = 3) -> DataFrame:
 
 
 def forward_return(bars: DataFrame, h: int) -> DataFrame:
-    return bars.withColumn(f"fwd_{h}", F.when(F.col("close") > 0, F.lead("close", h).over(BY) / F.col("close") - 1))
+    return bars.withColumn(f"fwd_{h}", F.when(F.col("close") > 0, F.lead("close", h).over(by()) / F.col("close") - 1))
 
 
 def volume_bucket(bars: DataFrame, n: int = 20, high: float = 1.5) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.scalars import clamp, part
-from tapeworks.operators.features import BY, full
+from tapeworks.operators.features import by, full
 
 
 def market_breadth(panel: DataFrame, short: str = "ma50", long: str = "ma200") -> DataFrame:
@@ -116,7 +116,7 @@ def leader_follower(panel: DataFrame, as_of: str, move: float = 0.045, leaders:
     lead = day.where(F.abs("ret_1d") >= move).orderBy(F.desc(F.abs("ret_1d")), "symbol").limit(leaders).select(F.col("symbol").alias("leader"), F.col("ret_1d").alias("leader_ret"))
     quiet = day.where(F.abs("ret_1d") < quiet_below).orderBy(F.desc(F.col("close") * F.col("volume")), "symbol").limit(pool).select("symbol")
     span = panel.where((F.col("date") <= F.lit(as_of).cast("date")) & (F.col("date") > F.date_sub(F.lit(as_of).cast("date"), days)))
-    first = span.select("symbol", F.lead("date").over(BY).alias("date"), F.col("ret_1d").alias("r1")).join(F.broadcast(lead), F.col("symbol") == F.col("leader")).select("leader", "leader_ret", "date", "r1")
+    first = span.select("symbol", F.lead("date").over(by()).alias("date"), F.col("ret_1d").alias("r1")).join(F.broadcast(lead), F.col("symbol") == F.col("leader")).select("leader", "leader_ret", "date", "r1")
     second = span.join(F.broadcast(quiet), "symbol").select("symbol", "date", F.col("ret_1d").alias("r2"))
     pairs = first.join(second, "date").where("leader <> symbol").groupBy("leader", "leader_ret", "symbol").agg(F.corr("r1", "r2").alias("corr"), F.count("*").alias("n")).where(F.col("corr") >= least)
     pairs = pairs.withColumn("k", F.row_number().over(Window.partitionBy("leader").orderBy(F.desc("corr"), "symbol"))).where(F.col("k") <= per_leader)

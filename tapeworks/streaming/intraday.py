@@ -105,8 +105,9 @@ def fold_sessions(bars: DataFrame, kind: str) -> DataFrame:
     return bars.groupBy("ticker", "session").applyInPandas(run, OUT)
 
 
-def stream_sessions(bars: DataFrame, kind: str, idle: str = "1 day") -> DataFrame:
-    """The same as a stream with a watermark of two bars; states go once a session has been idle for a day."""
+def stream_sessions(bars: DataFrame, kind: str, idle_seconds: int = 86400) -> DataFrame:
+    """The same as a stream with a watermark of two bars; states go once a session has been idle for
+    `idle_seconds`."""
     names = list(EMPTY)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -117,7 +118,7 @@ def stream_sessions(bars: DataFrame, kind: str, idle: str = "1 day") -> DataFram
         rows = pd.concat(list(parts))
         s = _advance(s, rows, kind)
         state.update(tuple(s[k] for k in names))
-        state.setTimeoutTimestamp(int(rows["ts"].max().timestamp() * 1000), idle)
+        state.setTimeoutTimestamp((int(rows["ts"].max().timestamp()) + idle_seconds) * 1000)
         yield pd.DataFrame([{"ticker": key[0], "session": key[1], "kind": kind, "phase": s["phase"], "bars": s["n"], "last_ts": s["at"]}])
 
     kept = "at string, phase string, low double, high double, v0 double, pv double, v double, red boolean, n long"

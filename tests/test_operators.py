@@ -101,8 +101,8 @@ def test_load_csv_aliases(spark, tmp_path):
 
 
 def bars5(rows):
-    t = pd.Timestamp("2024-01-02 14:30")
-    return [("AAA", dt.date(2024, 1, 2), t + pd.Timedelta(minutes=5 * i), *r) for i, r in enumerate(rows)]
+    t = dt.datetime(2024, 1, 2, 14, 30)
+    return [("AAA", dt.date(2024, 1, 2), t + dt.timedelta(minutes=5 * i), *r) for i, r in enumerate(rows)]
 
 
 INTRADAY = "ticker string, session date, ts timestamp, o double, h double, l double, c double, v long"
