@@ -8,6 +8,9 @@ Plan, for texts whose shingle sets have a Jaccard similarity of num / den or mor
    below (sizes that may link lie in the same or in neighbouring intervals). Spare classes outnumber empty classes;
    a set with still more empty ones sends those too, so an agreement in empty classes alone can't hide a link.
    Equal signatures are merged in the map tasks, so a huge group of copies sends each task's share once.
+   Below a similarity of 0.9 classes would hold too few shingles and unrelated sets would meet. There the rows are the
+   first |A| - ceil(t * |A|) + 1 shingles of each set in one order of all shingles, of which linked sets share one; the
+   order puts rare shingles first, by counts in a table of fixed size over all documents (any order is correct).
 2. Sets that share a signature form candidate clusters (connected components over the merged signatures).
 3. In a cluster, the rows of the incidence matrix are dealt into blocks; a task takes block 0 and one other block, so
    the data sent grows with the cluster, not with its square. The product accumulates overlap counts over column
@@ -89,6 +92,47 @@ def signatures(vals: np.ndarray, offs: np.ndarray, keys: np.ndarray, num: int, d
     return np.concatenate(sigs), np.concatenate(sets)
 
 
+_BITS = 22
+_SLICE = 1 << 16
+
+
+def frequency_sketch(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
+    """Rough logarithm of how many sets hold a shingle, by the shingle's first bits: one byte each, 4 MB in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << _BITS, np.uint32)
+        for batch in batches:
+            for _, _, raw, offs in blocks(batch.column(0)):
+                vals, _ = shingle_sets(raw, offs, n)
+                place, count = np.unique((vals >> _U(64 - _BITS)).astype(np.int64), return_counts=True)
+                total[place] += count.astype(np.uint32)
+        used = [k for k in range(len(total) // _SLICE) if total[k * _SLICE : (k + 1) * _SLICE].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([total[k * _SLICE : (k + 1) * _SLICE].tobytes() for k in used], pa.binary())], ["slice", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(_SLICE, np.uint64)
+        for x in table.column("counts"):
+            total += np.frombuffer(x.as_buffer(), np.uint32)
+        return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([np.minimum(255, 8 * np.log2(1 + total.astype(float))).astype(np.uint8).tobytes()], pa.binary())})
+
+    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "slice long, counts binary").groupBy("slice").applyInArrow(add, "slice long, counts binary")
+    out = np.zeros(1 << _BITS, np.uint8)
+    for row in parts.collect():  # fixed size
+        out[row["slice"] * _SLICE : (row["slice"] + 1) * _SLICE] = np.frombuffer(row["counts"], np.uint8)
+    return out
+
+
+def prefixes(vals: np.ndarray, offs: np.ndarray, keys: np.ndarray, num: int, den: int, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, set key) rows of each set's first shingles in the sketch's order."""
+    size = np.diff(offs)
+    row = np.repeat(np.arange(len(size)), size)
+    rank = (sketch[(vals >> _U(64 - _BITS)).astype(np.int64)].astype(np.uint64) << _U(56)) | (vals >> _U(8))
+    order = np.lexsort((vals, rank, row))
+    take = size - -(-num * size // den) + 1
+    first = np.arange(len(vals)) - np.repeat(offs[:-1], size) < np.repeat(take, size)
+    return vals[order][first], keys[row][first]
+
+
 def merge_signatures(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One (signature, least key) for each signature, and the distinct edges from other keys to that least key."""
     order = np.lexsort((key, sig))
@@ -129,6 +173,7 @@ def overlap_links(sets: list[np.ndarray], num: int, den: int, cells: int = 4 <<
         live &= (overlap + np.minimum(rest[:, None], rest[None, :])) * (den + num) >= need
         if not live.any():
             break
+    live &= overlap * (den + num) >= need  # for sets without any shared column
     label = np.arange(n)
     while True:
         low = np.minimum(label, np.where(live, label[None, :], n).min(1, initial=n))
@@ -156,7 +201,8 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFr
 
 
 def candidate_edges(docs: DataFrame, text_col: str, n: int, num: int, den: int, flush: int = 2_000_000) -> DataFrame:
-    """(a, b): set keys that share a signature, as stars around the least key that a task has met."""
+    """(a, b): set keys that share a signature or a prefix shingle, as stars around the least key that a task has met."""
+    sketch = None if 10 * num >= 9 * den else frequency_sketch(docs, text_col, n)
 
     def send(sig: list[np.ndarray], key: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         s, k, a, b = merge_signatures(np.concatenate(sig), np.concatenate(key))
@@ -171,7 +217,7 @@ def candidate_edges(docs: DataFrame, text_col: str, n: int, num: int, den: int,
             for _, _, raw, offs in blocks(batch.column(0)):
                 vals, at = shingle_sets(raw, offs, n)
                 one, _ = set_keys(vals, at)
-                s, k = signatures(vals, at, one, num, den)
+                s, k = signatures(vals, at, one, num, den) if sketch is None else prefixes(vals, at, one, num, den, sketch)
                 sig.append(s)
                 key.append(k)
                 held += len(s)
@@ -238,7 +284,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = found.join(count, "root").select("node", "root", "members", F.col("x.id").alias("id"), F.col("x.th").alias("th"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
+            # Repeated rows come one after the other out of the join; one of them will do.
+            node = batch.column("node").to_pylist()
+            keep = [x != y for x, y in zip(node, [last, *node], strict=False)]
+            last = node[-1] if node else last
+            batch = batch.filter(pa.array(keep, pa.bool_()))
             for a, b, raw, offs in blocks(batch.column("text")):
                 vals, at = shingle_sets(raw, offs, n)
                 own = pa.array([vals[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
@@ -246,7 +298,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     texts = docs.select(F.col(id_col).alias("id2"), F.xxhash64(text_col).alias("th2"), F.col(text_col).cast("string").alias("text"))
     rows = found.join(texts, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))).select("node", F.col("root").alias("cluster"), "members", "text")
-    rows = written(rows.mapInArrow(packed, "node string, cluster long, members long, vals binary"), "jaccard-rows").dropDuplicates(["node"])
+    rows = written(rows.mapInArrow(packed, "node string, cluster long, members long, vals binary"), "jaccard-rows")
 
     many = F.ceil(F.col("members") / block).cast("int")
     dealt = rows.withColumn("blocks", many).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))

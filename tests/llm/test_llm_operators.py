@@ -80,6 +80,11 @@ def test_jaccard_without_ids_and_rows(spark):
     assert jaccard.ngram_jaccard_join(df.limit(0)).count() == 0
 
 
+def test_disjoint_sets_do_not_link():
+    child, _ = jaccard.overlap_links([np.array([1, 2], np.uint64), np.array([3, 4], np.uint64)], 8, 10)
+    assert len(child) == 0
+
+
 def test_components_of_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in shared.connected_components(edges).collect()}
