@@ -45,7 +45,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("th"))
     lead = found.groupBy("component").agg(F.min(order).alias("lead"))
     gone = found.join(lead, "component").where(order != F.col("lead"))
-    return _without(docs, gone).dropDuplicates(["doc_id", "_th"]).select(*COLUMNS)
+    kept = _without(docs, gone)
+    repeated = docs.groupBy("doc_id", F.xxhash64("text").alias("_th")).agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():  # rows alike in id and text
+        kept = kept.dropDuplicates(["doc_id", "_th"])
+    return kept.select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

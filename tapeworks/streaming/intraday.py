@@ -90,7 +90,7 @@ def _advance(state: dict, g: pd.DataFrame, kind: str) -> dict:
     for ts, o, h, low, c, v in g.sort_values("ts")[["ts", "o", "h", "l", "c", "v"]].itertuples(index=False):
         if str(ts) <= state["at"]:
             continue  # late or repeated
-        state = STEPS[kind](state, o, h, low, c, v)
+        state = STEPS[kind](state, *map(float, (o, h, low, c, v)))
         state["at"] = str(ts)
     return state
 
