@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.jobs.tables import BARS, bars, dates_as_text, earnings, rounded, table
 from tapeworks.operators import features as f
+from tapeworks.operators import patterns as p
 from tapeworks.operators import screens as c
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +59,20 @@ _add("h09_trend_trades", lambda s, d: c.trend_trades(bars(s, d)), f"""WITH {BARS
 _add("w27_power_trend", lambda s, d: c.power_trend(bars(s, d)), f"""WITH {BARS}, x AS (SELECT *, CASE WHEN count(*) OVER a = 21 THEN avg(close) OVER a END AS s, CASE WHEN count(*) OVER b = 50 THEN avg(close) OVER b END AS m FROM bars WINDOW a AS (PARTITION BY symbol ORDER BY date ROWS 20 PRECEDING), b AS (PARTITION BY symbol ORDER BY date ROWS 49 PRECEDING))
     SELECT symbol, date, coalesce(s > m AND m > lag(m, 5) OVER w AND close > s, false) AS power FROM x {_W}""", ("date",))
 _add("w26_gap_downs", lambda s, d: c.gap_downs(bars(s, d)), f"WITH {BARS}, x AS (SELECT symbol, date, coalesce(open / lag(close) OVER w - 1 <= -0.005 AND volume > 1.1::DOUBLE * lag(volume) OVER w, false)::INT AS h FROM bars {_W}) SELECT symbol, date, CAST(sum(h) OVER (PARTITION BY symbol ORDER BY date ROWS 4 PRECEDING) AS BIGINT) AS gap_downs FROM x", ("date",))
+_DET = """n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS bar FROM bars),
+    q AS (SELECT symbol, date, count(*) OVER b = 3 AND count(*) OVER a = 3 AND high > max(high) OVER b AND high > max(high) OVER a AS hi FROM bars WINDOW b AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)),
+    det AS (SELECT n.symbol, n.bar, n.high AS pv, n.low * 0.5 AS st, n.close AS c0 FROM n JOIN q USING (symbol, date) WHERE hi)"""
+
+
+def _detections(s: SparkSession, d: str) -> DataFrame:
+    numbered = bars(s, d).select("symbol", "date", F.row_number().over(f.by()).alias("bar"))
+    tops = p.fixed_window_swings(bars(s, d), 3).where("swing_high")
+    return tops.join(numbered, ["symbol", "date"]).select("symbol", "bar", F.col("high").alias("pivot"), (F.col("low") * 0.5).alias("stop"))
+
+
+_add("h05_forward_outcome", lambda s, d: c.forward_outcome(_detections(s, d), bars(s, d)), f"""WITH {BARS}, {_DET}, x AS (SELECT det.symbol, det.bar, c0, min(CASE WHEN n.close > pv THEN n.bar END) AS up, min(CASE WHEN n.close < st THEN n.bar END) AS dn, max(n.close) AS hi, min(n.close) AS lo
+    FROM det JOIN n ON n.symbol = det.symbol AND n.bar BETWEEN det.bar + 1 AND det.bar + 60 GROUP BY ALL)
+    SELECT symbol, bar, CASE WHEN up IS NOT NULL THEN 'breakout' WHEN dn IS NOT NULL THEN 'stop_hit' ELSE 'timeout' END AS outcome, coalesce(up, dn) - bar AS days, round(hi / c0 - 1, 6) AS max_gain, round(lo / c0 - 1, 6) AS max_loss FROM x""")
+_add("u02_distinct_hints", lambda s, d: c.distinct_hints(table(s, d, "part").select("p_partkey", "p_brand", "p_type"), ["p_brand", "p_type"], "p_partkey"), "SELECT min(p_partkey) AS p_partkey, p_brand, p_type FROM part GROUP BY p_brand, p_type")
+_add("u03_common_dates", lambda s, d: c.common_dates(bars(s, d), "Brand#1", "Brand#2"), f"WITH {BARS} SELECT date FROM bars WHERE symbol IN ('Brand#1', 'Brand#2') AND close > 0 GROUP BY date HAVING count(DISTINCT symbol) = 2", ("date",))
+_add("u04_index_difference", lambda s, d: c.index_difference(table(s, d, "customer").where("c_custkey % 3 <> 0"), table(s, d, "customer").where("c_custkey % 5 <> 0"), "c_custkey"), "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN 'left' ELSE 'right' END AS side FROM customer WHERE (c_custkey % 3 <> 0) <> (c_custkey % 5 <> 0)")

@@ -161,3 +161,32 @@ def gap_downs(bars: DataFrame, gap: float = -0.005, times: float = 1.1, n: int =
     """Opens at least 0.5 % under the close before on 1.1 times the volume, counted over n bars."""
     hit = (F.col("open") / F.lag("close").over(by()) - 1 <= gap) & (F.col("volume") > times * F.lag("volume").over(by()))
     return bars.withColumn("_h", F.coalesce(hit, F.lit(False)).cast("int")).select("symbol", "date", F.sum("_h").over(frame(n)).alias("gap_downs"))
+
+
+def forward_outcome(detections: DataFrame, bars: DataFrame, n: int = 60) -> DataFrame:
+    """What the n bars after each detection (symbol, bar, pivot, stop) did: the first close over the pivot is a breakout,
+    else the first under the stop a stop hit, else timeout; largest gain and loss over the whole window."""
+    numbered = bars.select("symbol", F.row_number().over(by()).alias("b"), F.col("close").alias("c"))
+    start = numbered.select("symbol", F.col("b").alias("bar"), F.col("c").alias("c0"))
+    rows = detections.join(start, ["symbol", "bar"]).withColumn("b", F.explode(F.sequence(F.col("bar") + 1, F.col("bar") + n))).join(numbered, ["symbol", "b"])
+    out = rows.groupBy("symbol", "bar", "pivot", "stop", "c0").agg(F.min(F.when(F.col("c") > F.col("pivot"), F.col("b"))).alias("up"), F.min(F.when(F.col("c") < F.col("stop"), F.col("b"))).alias("down"), F.max("c").alias("hi"), F.min("c").alias("lo"))
+    what = F.when(F.col("up").isNotNull(), "breakout").when(F.col("down").isNotNull(), "stop_hit").otherwise("timeout")
+    return out.select("symbol", "bar", what.alias("outcome"), (F.coalesce("up", "down") - F.col("bar")).alias("days"), (F.col("hi") / F.col("c0") - 1).alias("max_gain"), (F.col("lo") / F.col("c0") - 1).alias("max_loss"))
+
+
+def distinct_hints(hints: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first row of each lower-cased key."""
+    key = F.concat_ws("|", *[F.lower(F.trim(F.coalesce(F.col(k).cast("string"), F.lit("")))) for k in keys])
+    return hints.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_k = 1").drop("_k")
+
+
+def common_dates(bars: DataFrame, a: str, b: str) -> DataFrame:
+    """Dates on which both symbols have a positive close."""
+    one = lambda s: bars.where((F.col("symbol") == s) & (F.col("close") > 0)).select("date")
+    return one(a).intersect(one(b))
+
+
+def index_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys of one table only, with the side."""
+    left, right = a.select(key), b.select(key)
+    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
