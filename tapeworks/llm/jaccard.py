@@ -160,8 +160,9 @@ def overlap_links(sets: list[np.ndarray], num: int, den: int, cells: int = 4 <<
     row, col = row[order], col[order]
     rest = np.bincount(row, minlength=n).astype(np.int64)
     overlap = np.zeros((n, n), np.float32)
-    width = max(256, cells // max(n, 1))
-    for start in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+    columns = int(col[-1]) + 1 if len(col) else 0
+    width = max(1, min(columns, max(256, cells // max(n, 1))))
+    for start in range(0, columns, width):
         part = slice(*np.searchsorted(col, [start, start + width]))
         keep = live.any(1)
         use = keep[row[part]]
