@@ -92,7 +92,7 @@ def best(scores: Column) -> Column:
 
 def shares(found: DataFrame, by: list[str], size: int, name: str) -> DataFrame:
     """Counts of each text-favoured language by `by`, as an array."""
-    parts = [F.sum(F.when(F.col("guess") == k + 1, 1).otherwise(0)).cast("double") for k in range(size)]
+    parts = [F.coalesce(F.sum(F.when(F.col("guess") == k + 1, 1).otherwise(0)), F.lit(0)).cast("double") for k in range(size)]
     return found.groupBy(*by).agg(F.array(*parts).alias(name))
 
 
