@@ -48,13 +48,15 @@ def similar_pairs(signals: DataFrame, tickers: float = 0.30, titles: float = 0.6
     return overlap("t", tickers).union(overlap("w", titles)).distinct()
 
 
-def dedupe_signals(signals: DataFrame, tickers: float = 0.30, titles: float = 0.60, rounds: int = 200) -> DataFrame:
+def dedupe_signals(signals: DataFrame, tickers: float = 0.30, titles: float = 0.60, small: int = 100_000) -> DataFrame:
     """(signal_ref, primary): greedy in descending score: a signal absorbs every later similar one not yet absorbed.
 
     Decided in rounds over the similar pairs: a signal without an undecided better neighbour is a primary, and takes its
-    worse undecided neighbours (the best primary wins). This equals the sequential pass, whatever a component's size.
+    worse undecided neighbours (the best primary wins). Rounds go on until no pair is undecided; the last `small` pairs
+    are decided by the sequential pass on the driver, as a chain of similar signals takes a round per two links. This
+    equals the sequential pass, whatever a component's size or shape. Repeated references rank by their best row.
     """
-    rank = signals.select("signal_ref", F.struct((-F.col("raw_score")).alias("s"), F.col("skill"), F.col("signal_ref").alias("r")).alias("rank"))
+    rank = signals.select("signal_ref", F.struct((-F.col("raw_score")).alias("s"), F.col("skill"), F.col("signal_ref").alias("r")).alias("rank")).groupBy("signal_ref").agg(F.min("rank").alias("rank"))
     pairs = similar_pairs(signals, tickers, titles)
     ra, rb = rank.select(F.col("signal_ref").alias("a"), F.col("rank").alias("ra")), rank.select(F.col("signal_ref").alias("b"), F.col("rank").alias("rb"))
     edges = pairs.join(ra, "a").join(rb, "b")
@@ -63,9 +65,7 @@ def dedupe_signals(signals: DataFrame, tickers: float = 0.30, titles: float = 0.
     edges = edges.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else edges.persist()
     taken = None
     left = edges
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    while left.limit(small + 1).count() > small:
         blocked = left.select(F.col("lo").alias("hi")).distinct()
         free = left.join(blocked, "hi", "left_anti")
         new = free.groupBy("lo").agg(F.min_by("hi", "hr").alias("primary"))
@@ -73,6 +73,13 @@ def dedupe_signals(signals: DataFrame, tickers: float = 0.30, titles: float = 0.
         left = left.join(gone, "lo", "left_anti").join(gone.select(F.col("lo").alias("hi")), "hi", "left_anti")
         left = left.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else left.persist()
         taken = new if taken is None else taken.unionByName(new)
+    absorbed: dict[str, str] = {}
+    for hi, lo in left.orderBy("hr").select("hi", "lo").collect():  # at most `small` pairs
+        if hi not in absorbed:
+            absorbed.setdefault(lo, hi)
+    if absorbed:
+        new = signals.sparkSession.createDataFrame(list(absorbed.items()), "lo string, primary string")
+        taken = new if taken is None else taken.unionByName(new)
     out = signals.select("signal_ref")
     if taken is None:
         return out.withColumn("primary", F.col("signal_ref"))

@@ -88,6 +88,15 @@ def test_greedy_dedupe_compares_with_primaries_only(spark):
     assert got == {"s1": "s1", "s2": "s1", "s3": "s3", "s4": "s4", "s5": "s5"}
 
 
+@pytest.mark.parametrize(("n", "small"), [(450, 100_000), (8, 0)])
+def test_dedupe_decides_long_chains(spark, n, small):
+    """Each signal is similar to the next one only: every second one is a primary, however long the chain."""
+    rows = [(f"s{i:04d}", "a", "LONG", 1 - i / 1000, [f"t{i}", f"t{i + 1}"], "") for i in range(n)]
+    df = spark.createDataFrame(rows, "signal_ref string, skill string, direction string, raw_score double, tickers array<string>, title string")
+    got = {r.signal_ref: r.primary for r in signals.dedupe_signals(df.union(df.limit(1)), small=small).collect()}
+    assert got == {f"s{i:04d}": f"s{i - i % 2:04d}" for i in range(n)}
+
+
 def test_audit_and_dedupe_bars(spark):
     df = spark.createDataFrame([("A", START, 1.0, 5.0, 1), ("A", START, 2.0, 5.0, 2), ("A", START + dt.timedelta(days=5), -1.0, None, 3)], "symbol string, date date, close double, volume double, n int")
     assert src.dedupe_bars(df, "n", "last").where("close = 2").count() == 1
