@@ -89,30 +89,57 @@ _add("a18_outcome_summary", lambda s, d: g.outcome_summary(_classified(s, d)), f
     SELECT skill, month, category, count(*) AS n, round(avg(ret5), 6)::DOUBLE AS mean_ret, grouping(skill, month, category) AS level FROM m GROUP BY GROUPING SETS ((skill), (month), (category))""")
 
 
-def _signals(s: SparkSession, d: str) -> DataFrame:
-    rows = outcomes(s, d).where("date >= date '1998-01-01' and date < date '1998-02-01'")
-    lines = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("signal_id")).agg(F.array_sort(F.collect_set("p_brand")).alias("tickers"))
-    rows = rows.join(lines, "signal_id")
-    return rows.select(F.lpad(F.col("signal_id").cast("string"), 9, "0").alias("signal_ref"), "skill", F.concat(F.lit("order "), F.col("signal_id").cast("string")).alias("title"), (F.col("raw") / 600000).alias("raw_score"), "tickers", "direction", F.when(F.col("signal_id") % 3 == 0, "20D").when(F.col("signal_id") % 3 == 1, "5M").otherwise("soon").alias("horizon"), F.col("date").alias("ts"))
+def _signals(s: SparkSession, d: str, tickers: str = "l_partkey") -> DataFrame:
+    """Signals of all orders: tickers are the lines' parts (or brands, of which there are 25), titles name customer and order."""
+    rows = outcomes(s, d).join(table(s, d, "orders").select(F.col("o_orderkey").alias("signal_id"), "o_custkey"), "signal_id")
+    lines = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("signal_id")).agg(F.array_sort(F.collect_set(F.col(tickers).cast("string"))).alias("tickers"))
+    rows = rows.join(lines, "signal_id", "left")
+    return rows.select(
+        F.lpad(F.col("signal_id").cast("string"), 9, "0").alias("signal_ref"), "skill", F.concat(F.lit("customer c"), F.col("o_custkey").cast("string"), F.lit(" order "), F.col("signal_id").cast("string")).alias("title"), (F.col("raw") / 600000).alias("raw_score"),
+        F.coalesce("tickers", F.array().cast("array<string>")).alias("tickers"), "direction", F.when(F.col("signal_id") % 3 == 0, "20D").when(F.col("signal_id") % 3 == 1, "5M").otherwise("soon").alias("horizon"), F.col("date").alias("ts"))
+
+
+def _month_signals(s: SparkSession, d: str) -> DataFrame:
+    """The signals that _SIGS compares: one month of orders, by brand."""
+    return _signals(s, d, "p_brand").where("ts >= date '1998-01-01' and ts < date '1998-02-01' and size(tickers) > 0")
 
 
 _SIGS = f"""{OUTCOMES}, tk AS (SELECT l_orderkey AS signal_id, list_sort(list(DISTINCT p_brand)) AS tickers FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey),
 sigs AS (SELECT lpad(CAST(signal_id AS VARCHAR), 9, '0') AS signal_ref, skill, direction, raw / 600000 AS raw_score, tickers, CASE signal_id % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'medium' ELSE 'unknown' END AS h FROM outcomes JOIN tk USING (signal_id)
     WHERE date >= DATE '1998-01-01' AND date < DATE '1998-02-01')"""
-_add("u01_union_signals", lambda s, d: g.union_signals({"a": (_signals(s, d).where("direction = 'LONG'"), {c: c for c in g.SIGNAL_COLUMNS if c != "skill"}), "b": (_signals(s, d).where("direction = 'SHORT'"), {c: c for c in g.SIGNAL_COLUMNS if c != "skill"})}).select("signal_ref", "skill", F.array_join("tickers", ",").alias("tickers"), "direction"),
+def _union(rows: DataFrame) -> DataFrame:
+    names = {c: c for c in g.SIGNAL_COLUMNS if c != "skill"}
+    return g.union_signals({"a": (rows.where("direction = 'LONG'"), names), "b": (rows.where("direction = 'SHORT'"), names)}).select("signal_ref", "skill", F.array_join("tickers", ",").alias("tickers"), "direction")
+
+
+# SQL holds these three on one month; the same over all orders, for which SQL compares every pair, follow as *_whole.
+_add("u01_union_signals", lambda s, d: _union(_month_signals(s, d)),
     f"WITH {_SIGS} SELECT signal_ref, CASE direction WHEN 'LONG' THEN 'a' ELSE 'b' END AS skill, array_to_string(tickers, ',') AS tickers, direction FROM sigs")
-_add("h11_similar_pairs", lambda s, d: g.similar_pairs(_signals(s, d).withColumn("title", F.lit(""))), f"""WITH {_SIGS} SELECT a.signal_ref AS a, b.signal_ref AS b FROM sigs a JOIN sigs b ON a.direction = b.direction AND a.signal_ref < b.signal_ref
+_add("h11_similar_pairs", lambda s, d: g.similar_pairs(_month_signals(s, d).withColumn("title", F.lit(""))), f"""WITH {_SIGS} SELECT a.signal_ref AS a, b.signal_ref AS b FROM sigs a JOIN sigs b ON a.direction = b.direction AND a.signal_ref < b.signal_ref
     WHERE len(list_intersect(a.tickers, b.tickers)) >= 0.3 * len(list_distinct(list_concat(a.tickers, b.tickers)))""")
-_add("h11_dedupe_signals", lambda s, d: g.dedupe_signals(_signals(s, d).withColumn("title", F.lit(""))))
-_add("h12_contradictions", lambda s, d: g.contradictions(_signals(s, d)), f"""WITH {_SIGS}, q AS (SELECT signal_ref, skill, direction, h, unnest(tickers) AS ticker FROM sigs)
+_add("h11_dedupe_signals", lambda s, d: g.dedupe_signals(_signals(s, d)))
+_add("h12_contradictions", lambda s, d: g.contradictions(_month_signals(s, d)), f"""WITH {_SIGS}, q AS (SELECT signal_ref, skill, direction, h, unnest(tickers) AS ticker FROM sigs)
     SELECT a.signal_ref AS long_ref, b.signal_ref AS short_ref, min(a.ticker) AS ticker, CASE WHEN a.skill = b.skill THEN 'HIGH' WHEN a.h <> b.h AND a.h <> 'unknown' AND b.h <> 'unknown' THEN 'LOW' ELSE 'MEDIUM' END AS severity
     FROM q a JOIN q b ON a.ticker = b.ticker AND a.direction = 'LONG' AND b.direction = 'SHORT' GROUP BY a.signal_ref, b.signal_ref, a.skill, b.skill, a.h, b.h""")
-_add("a20_conviction", lambda s, d: g.adjust_for_contradictions(g.conviction(_signals(s, d), g.dedupe_signals(_signals(s, d).withColumn("title", F.lit(""))), {"1-URGENT": 0.3, "2-HIGH": 0.25}, "1998-02-01"), g.contradictions(_signals(s, d)).where("severity <> 'HIGH'")))
+_add("u01_union_signals_whole", lambda s, d: _union(_signals(s, d)))
+_add("h11_similar_pairs_whole", lambda s, d: g.similar_pairs(_signals(s, d)))
+_add("h12_contradictions_whole", lambda s, d: g.contradictions(_signals(s, d)))
+_add("a20_conviction", lambda s, d: g.adjust_for_contradictions(g.conviction(_signals(s, d), g.dedupe_signals(_signals(s, d)), {"1-URGENT": 0.3, "2-HIGH": 0.25}, "1998-02-01"), g.contradictions(_signals(s, d)).where("severity <> 'HIGH'")))
 _add("a21_concept_clusters", lambda s, d: g.concept_clusters(outcomes(s, d).select(F.col("skill").alias("hypothesis"), "regime", F.substring(F.col("signal_id").cast("string"), 1, 2).alias("symbol"), F.col("raw").alias("priority"))), f"""WITH {OUTCOMES}, k AS (SELECT skill AS hypothesis, regime, substr(CAST(signal_id AS VARCHAR), 1, 2) AS symbol, raw FROM outcomes),
     c0 AS (SELECT hypothesis, regime, symbol, count(*) AS c FROM k GROUP BY hypothesis, regime, symbol), c AS (SELECT *, row_number() OVER (PARTITION BY hypothesis, regime ORDER BY c DESC, symbol) AS n FROM c0), l AS (SELECT hypothesis, regime, string_agg(symbol, ',' ORDER BY n) AS symbols FROM c WHERE n <= 10 GROUP BY hypothesis, regime)
     SELECT k.hypothesis, k.regime, count(*) AS n, round(avg(raw), 4) AS mean_priority, any_value(symbols) AS symbols FROM k JOIN l ON k.hypothesis = l.hypothesis AND k.regime = l.regime GROUP BY k.hypothesis, k.regime""")
 Q["a21_concept_clusters"] = (lambda run: lambda s, d: run(s, d).withColumn("mean_priority", F.round("mean_priority", 4)))(Q["a21_concept_clusters"])
-_add("h13_merge_concepts", lambda s, d: g.merge_concepts(_signals(s, d).groupBy(F.col("skill").alias("hypothesis"), F.element_at("tickers", 1).alias("concept_id")).agg(F.count("*").alias("n"), F.avg("raw_score").alias("priority"), F.array_distinct(F.flatten(F.collect_list("tickers"))).alias("conditions"))))
+
+
+def _concepts(rows: DataFrame) -> DataFrame:
+    """Concepts by producer and first ticker; those without tickers have none."""
+    rows = rows.where(F.size("tickers") > 0).withColumn("concept_id", F.element_at("tickers", 1)).withColumnRenamed("skill", "hypothesis")
+    key = ["hypothesis", "concept_id"]
+    sets = rows.select(*key, F.explode("tickers").alias("ticker")).distinct().groupBy(*key).agg(F.array_sort(F.collect_list("ticker")).alias("conditions"))
+    return rows.groupBy(*key).agg(F.count("*").alias("n"), F.avg("raw_score").alias("priority")).join(sets, key)
+
+
+_add("h13_merge_concepts", lambda s, d: g.merge_concepts(_concepts(_signals(s, d, "p_brand"))))
 
 
 def _fills(s: SparkSession, d: str) -> DataFrame:

@@ -37,9 +37,12 @@ def similar_pairs(signals: DataFrame, tickers: float = 0.30, titles: float = 0.6
     base = signals.select("signal_ref", "direction", F.array_distinct("tickers").alias("t"), title_words(F.col("title")).alias("w"))
 
     def overlap(col: str, least: float) -> DataFrame:
-        # A set's items in rank order: pairs above the threshold share one of the first n - ceil(least * n) + 1 items.
+        # A set's items, rare ones first: pairs above the threshold share one of the first n - ceil(least * n) + 1 items.
         n = F.size(col)
-        items = base.where(n > 0).select("signal_ref", "direction", col, F.explode(F.slice(F.array_sort(F.transform(col, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), F.lit(1), (n - F.ceil(n * least) + 1).cast("int"))).alias("i"))
+        each = base.where(n > 0).select("signal_ref", "direction", col, F.explode(col).alias("x"))
+        count = each.groupBy("direction", "x").agg(F.count("*").alias("c"))
+        ranked = each.join(count, ["direction", "x"]).groupBy("signal_ref", "direction", col).agg(F.array_sort(F.collect_set(F.struct("c", "x"))).alias("s"))
+        items = ranked.select("signal_ref", "direction", col, F.explode(F.slice("s", F.lit(1), (n - F.ceil(n * least) + 1).cast("int"))).alias("i"))
         one = items.select(F.col("signal_ref").alias("a"), "direction", F.col("i.x").alias("x"), F.col(col).alias("p"))
         two = items.select(F.col("signal_ref").alias("b"), "direction", F.col("i.x").alias("x"), F.col(col).alias("q"))
         pairs = one.join(two, ["direction", "x"]).where("a < b").where(F.size(F.array_intersect("p", "q")) >= least * F.size(F.array_union("p", "q")))

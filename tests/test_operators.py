@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeworks.functions import scalars as x
+from tapeworks.jobs import signal_queries
 from tapeworks.operators import features, folds, pairs, patterns, signals
 from tapeworks.sources import bars as src
 from tapeworks.streaming import intraday as live
@@ -134,3 +135,26 @@ def test_trigger_machines_and_stream(spark, tmp_path, kind, rows, phase):
     q.stop()
     last = spark.table("state").orderBy(F.desc("bars")).first()
     assert (last.phase, last.bars) == (batch.phase, batch.bars)
+
+
+def test_similar_pairs_by_title_and_ticker(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"s{i:02d}", ["LONG", "SHORT"][i % 2], [f"t{k}" for k in rng.integers(0, 40, 4)], f"customer c{rng.integers(0, 6)} order {i}") for i in range(60)]
+    got = {(r.a, r.b) for r in signals.similar_pairs(spark.createDataFrame(rows, "signal_ref string, direction string, tickers array<string>, title string")).collect()}
+
+    def near(p, q, least):
+        return len(set(p) & set(q)) >= least * len(set(p) | set(q))
+
+    want = {(a[0], b[0]): (near(a[2], b[2], 0.3), near(a[3].split(), b[3].split(), 0.6)) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1]}
+    assert got == {k for k, v in want.items() if any(v)} and any(t and not k for k, t in want.values())
+
+
+def test_signal_queries_cover_all_orders(spark):
+    data = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{data}/orders.parquet").count()
+    q = signal_queries.Q
+    assert q["u01_union_signals_whole"](spark, data).count() == q["h11_dedupe_signals"](spark, data).count() == n
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct()
+    one, two = lines.where("l_orderkey % 2 = 0").withColumnRenamed("l_orderkey", "a"), lines.where("l_orderkey % 2 = 1").withColumnRenamed("l_orderkey", "b")
+    assert q["h12_contradictions_whole"](spark, data).count() == one.join(two, "l_partkey").select("a", "b").distinct().count()
+    assert q["h13_merge_concepts"](spark, data).agg(F.sum("n")).first()[0] == lines.select("l_orderkey").distinct().count()
