@@ -124,19 +124,20 @@ class Network:
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 128, rate: float = 3e-3, decay: float = 1e-4, seed: int = 5) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, n: np.ndarray, epochs: int = 60, batch: int = 128, rate: float = 3e-3, decay: float = 1e-4, seed: int = 5) -> None:
         """Adam on the log loss; the last fifth sets the temperature."""
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(x))
         own, back = order[: len(x) - len(x) // 5], order[len(x) - len(x) // 5 :]
-        self.mean, self.sd = x[own].mean(0), x[own].std(0) + 1e-3
+        self.mean = np.average(x[own], 0, n[own])
+        self.sd = np.sqrt(np.average((x[own] - self.mean) ** 2, 0, n[own])) + 1e-3
         m, v, t = [np.zeros_like(p) for p in self.p], [np.zeros_like(p) for p in self.p], 0
         epochs = max(5, min(epochs, 400_000 // max(len(own), 1) + 5))
         for _ in range(epochs):
             for at in np.array_split(rng.permutation(own), max(1, len(own) // batch)):
                 z = (x[at] - self.mean) / self.sd
                 h = np.tanh(z @ self.p[0] + self.p[1])
-                e = (1 / (1 + np.exp(-np.clip(h @ self.p[2] + self.p[3][0], -30, 30))) - y[at]) / len(at)
+                e = (1 / (1 + np.exp(-np.clip(h @ self.p[2] + self.p[3][0], -30, 30))) - y[at]) * n[at] / n[at].sum()
                 dh = np.outer(e, self.p[2]) * (1 - h * h)
                 t += 1
                 for i, g in enumerate((z.T @ dh, dh.sum(0), h.T @ e, np.array([e.sum()]))):
@@ -147,7 +148,7 @@ class Network:
         if len(back):
             z, s = self.logits(x[back]), 2 * y[back] - 1
             grid = np.geomspace(0.25, 8, 60)
-            self.temperature = float(grid[np.argmin([np.logaddexp(0, -s * z / k).mean() for k in grid])])
+            self.temperature = float(grid[np.argmin([np.average(np.logaddexp(0, -s * z / k), weights=n[back]) for k in grid])])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held: int = 2, buckets: int = 8192, dims: int = 64, ones: int = 2, fit_rows: int = 20_000, limit: float = 0.7) -> DataFrame:
@@ -171,14 +172,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("_doc"), text.alias("text"))
     sample = rows.join(F.broadcast(marks), F.col("_doc") == F.col("_id")).select("y", "text").mapInArrow(features, "y double, x binary")
-    sample = sample.orderBy("x", "y").limit(2 * fit_rows).collect()  # bounded by the labels' bound and repeated rows
-    y = np.array([r["y"] for r in sample])
+    sample = sample.groupBy("x", "y").agg(F.count("*").alias("n"))  # rows of equal features and label are one weighted row
+    sample = sample.orderBy(F.xxhash64("x"), "x", "y").limit(2 * fit_rows).collect()  # in an order free of the features' size and of the label
+    y, n = np.array([r["y"] for r in sample]), np.array([float(r["n"]) for r in sample])
     net = Network(2 * dims + 1)
     constant = None
     if len(set(y.tolist())) > 1:
-        net.fit(np.stack([np.frombuffer(r["x"], np.float32) for r in sample]).astype(float), y)
+        net.fit(np.stack([np.frombuffer(r["x"], np.float32) for r in sample]).astype(float), y, n)
     else:
-        constant = float(y.mean()) if len(y) else 0.5
+        constant = float(np.average(y, weights=n)) if len(y) else 0.5
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -124,14 +124,14 @@ def document_savings(docs: DataFrame, keep: list[str], text_col: str, toxic: byt
     return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> np.ndarray:
-    """Logistic regression by Newton steps; the last weight is the constant."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> np.ndarray:
+    """Logistic regression by Newton steps, row i counted n[i] times; the last weight is the constant."""
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
+        grad = x.T @ (n * (p - y)) + ridge * w
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -145,7 +145,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     windows and gets the curve's value at 0; so has every text if no row is labelled (score 0.5) or no word is telling.
     Rows without an id are held out. Labels without a value and repeated rows are used as they come, extra columns
     ignored. Words and curve are learned from at most
-    `fit_rows` labelled ids, those with the least hashes.
+    `fit_rows` labelled ids, those with the least hashes; rows of equal savings and label are one weighted row of the
+    curve, repeated ids or not.
     """
     text = F.col(text_col).cast("string")
     marks = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("y")).where("_id is not null and y is not null").where(fold("_id", folds) != held)
@@ -154,9 +155,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     train = train.join(F.broadcast(marks), F.col("_doc") == F.col("_id")).select("text", "y")  # at most fit_rows labels
     words, plain = learn_words(train)
     one, two = dictionary(words, widen, 1 << 18), dictionary(plain, widen, 1 << 18)
-    seen = document_savings(train, ["y"], "text", one, two, widen, level).orderBy("f1", "f2", "y").limit(2 * fit_rows).toPandas()  # the bound holds for repeated rows
+    seen = document_savings(train, ["y"], "text", one, two, widen, level).groupBy("f1", "f2", "y").agg(F.count("*").alias("n"))
+    seen = seen.orderBy(F.xxhash64("f1", "f2"), "f1", "f2", "y").limit(2 * fit_rows).toPandas()  # savings are few fractions; their hashes' order is free of size and label
     if len(seen) and seen["y"].nunique() > 1:
-        w = fit_logistic(seen[["f1", "f2"]].to_numpy(float), seen["y"].to_numpy(float))
+        w = fit_logistic(seen[["f1", "f2"]].to_numpy(float), seen["y"].to_numpy(float), seen["n"].to_numpy(float))
     else:
         w = np.array([0.0, 0.0, 0.0 if not len(seen) else (4.0 if seen["y"].iat[0] else -4.0)])
     out = document_savings(docs.select(F.col(id_col).alias("_id"), text.alias("text")), ["_id"], "text", one, two, widen, level)

@@ -240,6 +240,17 @@ def test_toxicity_and_quality_on_held_out_rows(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0 and quality_model.quality_scores(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("operator", [toxicity.toxicity, quality_model.quality_scores])
+def test_repeated_labelled_ids_do_not_crowd_out_a_label(spark, operator):
+    """Each labelled id has eight rows, and more rows than the fit's bound: both labels must still reach the fit."""
+    docs, labels = labelled(spark, 600)
+    many = docs.crossJoin(spark.range(8).select("id")).withColumn("text", F.concat("text", F.lit(" x"), F.col("id").cast("string"))).select(*docs.columns)
+    truth = {r.doc_id: r for r in labels.collect()}
+    field = "toxic" if operator is toxicity.toxicity else "quality"
+    held = [r for r in operator(many, labels, fit_rows=480).collect() if r.held_out]
+    assert len(held) >= 8 * 90 and np.mean([r.predicted == truth[r.doc_id][field] for r in held]) > 0.95
+
+
 def test_language(spark):
     words = {"de": "der die und nicht ein schön über", "en": "the and that with from this have", "es": "el que los para con una año", "fr": "le les que des pour dans été"}
     rng = random.Random(4)
