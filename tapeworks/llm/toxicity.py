@@ -1,7 +1,7 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of windows that mark toxic text and one of
 ordinary text, and the length of each window under both.
 
-A window is a word. Words that are far more common in documents labelled toxic than chance allows are the toxic
+A window is a word of any length, cut as in packing, after lower-casing, in learning and in scoring. Words that are far more common in documents labelled toxic than chance allows are the toxic
 dictionary's content, the commonest others the ordinary one's. Every byte is written `widen` times, as the codec finds
 no match shorter than a few bytes. The share of a window's ordinary length that the toxic dictionary saves is compared
 over the document; a logistic curve fitted on the labelled documents calibrates the document's score.
@@ -27,7 +27,6 @@ from tapeworks.llm.textblock import blocks
 
 #: Bytes in both dictionaries and before every window, so that a window always compresses.
 PREFIX = b"\n0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ!?+=:;()[]{}\n"
-SHORT = 4
 
 
 def widened(text: bytes, widen: int) -> bytes:
@@ -59,31 +58,47 @@ def window_savings(words: list[bytes], toxic: bytes, plain: bytes, widen: int, l
     return out
 
 
-def distinct_words(text: Column) -> Column:
-    """A document's distinct windows, for learning: lower-case runs of letters and digits of four characters or more."""
-    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), lambda w: F.length(w) >= SHORT)
+def lowered(text: Column) -> Column:
+    """Text as windows are cut from it, for learning and scoring alike."""
+    return F.lower(text.cast("string"))
+
+
+def distinct_windows(labelled: DataFrame) -> DataFrame:
+    """(y, word): each row's distinct windows; labelled: text (lowered), y."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, raw, offs in blocks(batch.column(1)):
+                words = Pieces(raw, offs)
+                if not len(words):
+                    continue
+                uniq, where, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+                pairs = np.unique(words.rows() * len(uniq) + back)
+                names = pa.array([w.decode(errors="replace") for w in words.bytes_of(where)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(pairs // len(uniq))), names.take(pa.array(pairs % len(uniq)))], ["y", "word"])
+
+    return labelled.select("y", "text").mapInArrow(run, "y int, word string")
 
 
 def fold(id_col: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
 
 
-def learn_words(labelled: DataFrame, most: int = 2000, ordinary: int = 30_000, low: float = 5.0, share: float = 0.15) -> tuple[list[str], list[str]]:
-    """(toxic, ordinary) words, most telling first. labelled: text, y (1 toxic).
+def learn_words(labelled: DataFrame, most: int = 2000, ordinary: int = 30_000, low: float = 5.0) -> tuple[list[str], list[str]]:
+    """(toxic, ordinary) words, most telling first. labelled: text (lowered), y (1 toxic).
 
-    A word is telling if its documents' toxic share exceeds the overall share by `low` standard deviations, by `share`
-    of the most telling word's, and is at least a half. Both lists are bounded.
+    A word is telling if its documents' toxic share exceeds the overall share by `low` standard deviations and is at
+    least a half, however common other words are. Both lists are bounded.
     """
-    rows = labelled.select("y", F.explode(distinct_words(F.col("text"))).alias("word"))
+    rows = distinct_windows(labelled)
     counts = labelled.agg(F.count("*").alias("n"), F.sum("y").alias("t")).first()
     base = (counts["t"] or 0) / max(counts["n"], 1)
     words = rows.groupBy("word").agg(F.count("*").alias("n"), F.sum("y").alias("t"))
     z = (F.col("t") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base) + 1)
     words = words.where("n > 2").withColumn("z", z)
     found = words.where((F.col("z") >= low) & (F.col("t") * 2 >= F.col("n"))).orderBy(F.desc("z"), "word").limit(most).collect()
-    top = found[0]["z"] if found else 0.0
     plain = words.where("z < 1").orderBy(F.desc(F.col("n") - F.col("t")), "word").limit(ordinary).collect()
-    return [r["word"] for r in found if r["z"] >= share * top], [r["word"] for r in plain]
+    return [r["word"] for r in found], [r["word"] for r in plain]
 
 
 def document_savings(docs: DataFrame, keep: list[str], text_col: str, toxic: bytes, plain: bytes, widen: int, level: int, most: int = 1_000_000) -> DataFrame:
@@ -98,14 +113,12 @@ def document_savings(docs: DataFrame, keep: list[str], text_col: str, toxic: byt
                 f1, f2 = np.zeros(b - a), np.zeros(b - a)
                 if len(words):
                     names = words.hashes()
-                    names[words.ends - words.starts < SHORT] = 0
                     uniq, where, back = np.unique(names, return_index=True, return_inverse=True)
                     if len(known) > most:
                         known, value = np.zeros(0, np.uint64), np.zeros(0, np.float32)
                     new = ~np.isin(uniq, known, assume_unique=True)
                     if new.any():
                         got = window_savings(words.bytes_of(where[new]), toxic, plain, widen, level)
-                        got[uniq[new] == 0] = 0
                         known, value = np.concatenate([known, uniq[new]]), np.concatenate([value, got])
                         order = np.argsort(known)
                         known, value = known[order], value[order]
@@ -148,7 +161,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     `fit_rows` labelled ids, those with the least hashes; rows of equal savings and label are one weighted row of the
     curve, repeated ids or not.
     """
-    text = F.col(text_col).cast("string")
+    text = lowered(F.col(text_col))
     marks = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("y")).where("_id is not null and y is not null").where(fold("_id", folds) != held)
     marks = marks.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     train = docs.select(F.col(id_col).alias("_doc"), text.alias("text")).where("text is not null")

@@ -251,6 +251,21 @@ def test_repeated_labelled_ids_do_not_crowd_out_a_label(spark, operator):
     assert len(held) >= 8 * 90 and np.mean([r.predicted == truth[r.doc_id][field] for r in held]) > 0.95
 
 
+def test_toxicity_learns_rare_and_short_words(spark):
+    """A toxic word in a fiftieth of the commonest one's documents, and three-letter ones, mark held-out documents too."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(6000):
+        mark = "zorkful" if i % 4 == 0 else {1: "blimpish", 5: "ÄXQ", 9: "zqx"}.get(i % 240)
+        w = [rng.choice(VOCABULARY) for _ in range(20)]
+        rows.append((i, " ".join([*w[:9], mark, *w[9:]] if mark else w), int(mark is not None), mark))
+    data = spark.createDataFrame(rows, "doc_id long, text string, toxic int, mark string")
+    words, _ = toxicity.learn_words(data.select(toxicity.lowered(F.col("text")).alias("text"), F.col("toxic").alias("y")))
+    assert set(words) == {"zorkful", "blimpish", "äxq", "zqx"}
+    got = toxicity.toxicity(data, data).where("held_out").join(data, "doc_id").collect()
+    assert len({r.mark for r in got}) == 5 and all(r.predicted == r.toxic for r in got)
+
+
 def test_language(spark):
     words = {"de": "der die und nicht ein schön über", "en": "the and that with from this have", "es": "el que los para con una año", "fr": "le les que des pour dans été"}
     rng = random.Random(4)
