@@ -19,17 +19,34 @@ from pyspark.sql import functions as F
 
 from tapeworks.llm.textblock import Words, blocks
 
-#: Opening words of common licenses and their usual notices.
+_CC = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_2 = f"{_BSD}: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = f"{_BSD_2} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def _gnu(kind: str, version: str, things: tuple[str, ...] = ("program",)) -> tuple[str, ...]:
+    name = f"the GNU {kind} License"
+    return (f"This work is licensed under {name}, version {version}", *(f"This {x} is free software: you can redistribute it and/or modify it under the terms of {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version" for x in things))
+
+
+#: Usual notices of common licenses. A name without a version stands for notices that do not tell it.
 NOTICES = {
     "all-rights-reserved": ("All rights reserved",),
+    "apache-1.1": ("Licensed under the Apache License, Version 1.1",),
     "apache-2.0": ("Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    "bsd-3-clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
-    "cc-by-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0"),
-    "cc-by-nc-4.0": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    "cc-by-sa-4.0": ("Licensed under CC BY-SA 4.0",),
-    "gpl-3.0": ("This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    "bsd": (_BSD,), "bsd-2-clause": (_BSD_2,), "bsd-3-clause": (_BSD_3,),
+    **{f"cc-{k}-{v}": (f"Licensed under CC {k.upper()} {v}", f"This work is licensed under a Creative Commons {n} {v} {'International' if v == '4.0' else 'Unported' if v == '3.0' else 'Generic'} License") for k, n in _CC.items() for v in ("2.0", "2.5", "3.0", "4.0")},
+    "cc0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",),
+    "epl-1.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0",), "epl-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",),
+    "gpl": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",), "gpl-2.0": _gnu("General Public", "2"), "gpl-3.0": _gnu("General Public", "3"),
+    "agpl": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",), "agpl-3.0": _gnu("Affero General Public", "3"),
+    "lgpl": tuple(f"This {x} is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License" for x in ("library", "program")),
+    "lgpl-2.1": _gnu("Lesser General Public", "2.1", ("library", "program")), "lgpl-3.0": _gnu("Lesser General Public", "3", ("library", "program")),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",),
     "mit": ("Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
+    "mpl-1.1": ("The contents of this file are subject to the Mozilla Public License Version 1.1",), "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
+    "unlicense": ("This is free and unencumbered software released into the public domain",),
 }
 
 _SIGN = np.zeros(256, bool)
@@ -105,8 +122,9 @@ def patience(text: list[int], notice: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def scan_words(words: list[int], votes: list[tuple[int, int]], notice: list[int], least: float) -> list[tuple[float, int, int]]:
-    """(coverage, first word, end word) of each place where the notice stands; votes: (start, position in notice)."""
+def scan_words(words: list[int], votes: list[tuple[int, int]], notice: list[int], least: float, telling: frozenset[int] = frozenset()) -> list[tuple[int, int, int]]:
+    """(aligned words, first word, end word) of each place where the notice stands with all its telling positions;
+    votes: (start, position in notice)."""
     m = len(notice)
     slack = max(1, m // 4)
     singles = sum(1 for c in Counter(notice).values() if c == 1)
@@ -119,20 +137,46 @@ def scan_words(words: list[int], votes: list[tuple[int, int]], notice: list[int]
         if len({j for _, j in votes[at:to]}) >= (2 * least - 1) * singles:
             lo, hi = max(0, votes[at][0] - slack), min(len(words), votes[to - 1][0] + m + slack)
             pairs = patience(words[lo:hi], notice)
-            if pairs and len(pairs) >= least * m:
-                found.append((len(pairs) / m, lo + pairs[0][0], lo + pairs[-1][0] + 1))
+            if pairs and len(pairs) >= least * m and telling <= {j for _, j in pairs}:
+                found.append((len(pairs), lo + pairs[0][0], lo + pairs[-1][0] + 1))
         at = to
     return found
 
 
+def telling_positions(book: list[tuple[str, list[int]]], least: float) -> list[frozenset[int]]:
+    """By notice: positions of the words without which another license's notice would pass for it."""
+    out = []
+    for name, mine in book:
+        own: set[int] = set()
+        for other, theirs in book:
+            if other != name:
+                left = set(range(len(mine))) - {j for _, j in patience(theirs, mine)}
+                if len(mine) - len(left) >= least * len(mine):
+                    own |= left
+        out.append(frozenset(own))
+    return out
+
+
+def best_places(found: list[tuple]) -> list[tuple]:
+    """Of overlapping places (aligned words, coverage, name, first, end, length of notice) the one with the most aligned words."""
+    kept: list[tuple] = []
+    for x in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
+        if all(x[4] <= y[3] or y[4] <= x[3] for y in kept):
+            kept.append(x)
+    return kept
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, tuple[str, ...]] | None = None, least: float = 0.85) -> DataFrame:
     """One row per row of docs: id, license, coverage, first_word, end_word of its best notice (highest coverage, then
-    the longest, then by name), licenses (all names found, sorted) and n_notices; null and 0 where there is none.
+    the longest, then by name), licenses (all names found, sorted) and n_notices; null and 0 where there is none. Words
+    that tell a notice from another license's must be aligned; of overlapping places only the best counts.
 
     A null or empty text has no notice. Repeated rows get equal results; an empty table gives an empty table; other
     columns play no part.
     """
     book = [(name, word_hashes(text)) for name, texts in sorted((notices or NOTICES).items()) for text in texts]
+    telling = telling_positions(book, least)
+    singles = [sum(1 for c in Counter(words).values() if c == 1) for _, words in book]
     vocabulary = np.unique(np.array([w for _, words in book for w in words], np.uint64))
     places: dict[int, list[tuple[int, int]]] = {}
     for k, (_, words) in enumerate(book):
@@ -159,17 +203,19 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     for p in hits[lo:hi].tolist():
                         for k, j in places.get(int(h[p]), ()):
                             votes.setdefault(k, []).append((p - start - j, j))
-                    own = None
+                    own, places_found = None, []
                     for k, mine in votes.items():
                         name, notice = book[k]
-                        if len({j for _, j in mine}) * 2 < len(notice) * least:
+                        if len({j for _, j in mine}) < (2 * least - 1) * singles[k]:
                             continue
                         own = own if own is not None else h[start : words.first[i + 1]].tolist()
-                        for cover, first, end in scan_words(own, mine, notice, least):
-                            rank = (-cover, -len(notice), name, first, end)
-                            best[i] = rank if best[i] is None else min(best[i], rank)
-                            names[i].append(name)
-                            count[i] += 1
+                        for n, first, end in scan_words(own, mine, notice, least, telling[k]):
+                            places_found.append((n, n / len(notice), name, first, end, len(notice)))
+                    for _, cover, name, first, end, size in best_places(places_found):
+                        rank = (-cover, -size, name, first, end)
+                        best[i] = rank if best[i] is None else min(best[i], rank)
+                        names[i].append(name)
+                        count[i] += 1
                 cols = [
                     pa.array([x and x[2] for x in best], pa.string()), pa.array([x and round(-x[0], 6) for x in best], pa.float64()), pa.array([x and x[3] for x in best], pa.int64()),
                     pa.array([x and x[4] for x in best], pa.int64()), pa.array([sorted(set(x)) for x in names], pa.list_(pa.string())), pa.array(count, pa.int64()),

@@ -290,3 +290,16 @@ def test_licenses(spark):
     pairs = licenses.patience(a, b)
     assert all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs, key=lambda p: p[1]) and len(pairs) == 5
     assert licenses.longest_increasing([3, 1, 2, 5, 4]) in ([1, 2, 4], [1, 2, 3])
+
+
+def test_license_variants(spark):
+    gnu = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    texts = {
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License": "cc-by-3.0",
+        "This work is licensed under the GNU General Public License, version 2": "gpl-2.0", gnu.format("program", "General Public", "2"): "gpl-2.0", gnu.format("program", "General Public", "3"): "gpl-3.0",
+        gnu.format("library", "Lesser General Public", "2.1"): "lgpl-2.1", gnu.format("program", "Lesser General Public", "3"): "lgpl-3.0", gnu.format("program", "Affero General Public", "3"): "agpl-3.0",
+        licenses._BSD_2: "bsd-2-clause", licenses._BSD_3: "bsd-3-clause", licenses._BSD: "bsd", "This is free and unencumbered software released into the public domain.": "unlicense",
+    }
+    got = licenses.license_scan(frame(spark, [f"some words before {t} and some after" for t in texts])).orderBy("doc_id").collect()
+    assert [r.license for r in got] == list(texts.values()) and all(r.licenses == [r.license] and r.n_notices == 1 for r in got)
