@@ -3,13 +3,16 @@
 Suffixes are ordered only as far as needed: to know whether a string of `length` bytes starts elsewhere, a suffix is
 refined until its bucket is its own (settled: not repeated) or its bucket's depth reaches `length`.
 
-1. Initial buckets. The bucket of a suffix is a name of its first `gram` bytes. Of every window of `length` bytes the
+1. Initial buckets. The bucket of a suffix is named by its first `gram` bytes. Of every window of `length` bytes the
    suffix with the least name stands for the window (equal windows pick the same one), which leaves about one suffix
-   in 80 for the shuffle. A bucket with one suffix settles all windows that it stands for.
-2. Refinement. For the others, each window's bucket is refined by the buckets of later offsets: depth 25 becomes 50,
-   100 and 200, each time from the pointers that the step before has updated. Buckets travel by their initial bucket;
-   one with more than `hot` suffixes is refined where its text is and its last names are grouped by Spark instead,
-   so no task holds an unbounded bucket.
+   in 75 for the shuffle. A bucket with one suffix settles all windows that it stands for.
+2. Refinement. The other buckets travel to one place each, with the bytes of their windows. There the suffixes are
+   sorted by (own bucket, bucket of the suffix `depth` bytes later); each run of equal pairs is a new bucket of twice
+   the depth. The new buckets are the pointers that the next round sorts by, at the suffix itself and at the later
+   one; a suffix alone in its bucket is settled and leaves, and so does every suffix that points to a settled one.
+   Windows whose bytes occur more than once as a whole need no sorting and stand for each other.
+   A bucket of more than `hot` suffixes is not sent to one place: its windows are named by the same pairs of buckets
+   where their text is, to full depth, and Spark groups the last names, so no task holds an unbounded bucket.
 3. Windows in buckets of two or more cover the bytes to remove.
 
 Texts that occur more than once as a whole are reduced to one unit first. Names are 64-bit hashes of content.
@@ -29,6 +32,7 @@ from tapeworks.llm.shared import cut, written
 from tapeworks.llm.textblock import _TABLE, blocks, mix, powers
 
 _U = np.uint64
+_PAIR = _U(0xC2B2AE3D27D4EB4F)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _inverse = np.ones(1, np.uint64)
 
@@ -84,30 +88,52 @@ def representatives(raw: np.ndarray, offs: np.ndarray, length: int, gram: int) -
     return text, names[at[first]], at[first] - base, start[first] - base, start[last] - base
 
 
-def refine(raw: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The windows (start positions) that are still in shared buckets half way, and their names at full depth."""
-    depth = length
-    while depth % 2 == 0 and depth > 32:
-        depth //= 2
-    name = gram_names(raw, depth)
+def refined_names(name: np.ndarray, gram: int, length: int) -> np.ndarray:
+    """Names at full depth from names of `gram` bytes: each round pairs a bucket with the one that its depth leads to."""
+    depth = gram
     while depth < length:
-        name = mix(name[:-depth] * _U(0xC2B2AE3D27D4EB4F) + name[depth:])
-        depth *= 2
-        if depth * 2 == length:
-            windows = windows[shared(name[windows])]
-    return windows, name[windows]
-
-
-def shared(name: np.ndarray) -> np.ndarray:
-    """Whether each name occurs more than once."""
-    order = np.argsort(name)
-    s = name[order]
-    same = np.zeros(len(s), bool)
-    same[1:] = s[1:] == s[:-1]
-    same[:-1] |= same[1:]
-    out = np.zeros(len(s), bool)
-    out[order] = same
-    return out
+        step = min(depth, length - depth)
+        name = mix(name[:-step] * _PAIR + name[step:])
+        depth += step
+    return name
+
+
+def pointers(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each key's bucket in sorted order, and whether it is the bucket's only one."""
+    order = np.argsort(key)
+    s = key[order]
+    new = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    last = np.ones(len(s), bool)
+    last[:-1] = new[1:]
+    bucket, alone = np.empty(len(s), np.uint64), np.empty(len(s), bool)
+    bucket[order] = np.cumsum(new).astype(np.uint64)
+    alone[order] = new & last
+    return bucket, alone
+
+
+def refine(name: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, repeated): all windows of the bodies [start, end) and whether their last bucket is shared.
+
+    name: the initial buckets' names (`gram` bytes deep) at every place of the buffer.
+    """
+    depth, pointer = gram, name
+    settled = np.zeros(len(name), bool)
+    while depth < length:
+        step = min(depth, length - depth)
+        depth += step
+        at = _ragged(start, np.maximum(end - start - depth + 1, 0))
+        done = settled[at] | settled[at + step]
+        settled[at] = done
+        at = at[~done]
+        bucket, alone = pointers(mix(pointer[at] * _PAIR + pointer[at + step]))
+        pointer = pointer.copy()
+        pointer[at] = bucket
+        settled[at] = alone
+    windows = _ragged(start, end - start - length + 1)
+    if gram == length:
+        _, settled[windows] = pointers(name[windows])
+    return windows, ~settled[windows]
 
 
 def runs(start: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +141,7 @@ def runs(start: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(start), bool)
     new[1:] = (start[1:] != start[:-1] + 1) | (group[1:] != group[:-1])
     first = np.flatnonzero(new)
-    return first, np.concatenate((first[1:], [len(start)])) - 1
+    return first, np.concatenate((first[1:], np.full(min(len(start), 1), len(start)))) - 1
 
 
 def _ragged(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -124,9 +150,12 @@ def _ragged(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) - np.repeat(at - lo, n)
 
 
-def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200, gram: int = 32, hot: int = 2048) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200, gram: int = 50, hot: int = 2048) -> tuple[DataFrame, DataFrame]:
     """(units, windows): distinct texts of `length` bytes or more as u1, u2, text, copies; and u1, u2, spans with the
     runs of windows (first and last start) that also start elsewhere in another unit or in the same one."""
+    gram = min(gram, length)
+    if length - gram >= 1 << 15:
+        raise ValueError("length is at most 32,767 bytes more than gram")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.xxhash64(text).alias("u1"), F.xxhash64(F.lit(1), text).alias("u2"), text.alias("text")).where(F.octet_length("text") >= length)
     units = rows.groupBy("u1", "u2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
@@ -140,7 +169,7 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200,
                 unit = batch.column(0).slice(a, b - a).to_numpy()[who]
                 for i in range(0, len(who), 500_000):
                     j = i + 500_000
-                    yield pa.RecordBatch.from_arrays([pa.array(name[i:j].view(np.int64)), pa.array(unit[i:j]), pa.array((at[i:j] << 16) | ((at - lo)[i:j] << 8) | (hi - lo)[i:j])], ["name", "u1", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(name[i:j].view(np.int64)), pa.array(unit[i:j]), pa.array((at[i:j] << 30) | ((at - lo)[i:j] << 15) | (hi - lo)[i:j])], ["name", "u1", "place"])
 
     suffixes = written(rows.select("u1", "text").mapInArrow(stand, "name long, u1 long, place long"), "suffixes")
     who = F.struct("u1", "place")
@@ -159,8 +188,8 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200,
                 is_hot = places.field("hot").to_numpy(zero_copy_only=False)
                 name = places.field("name").to_numpy()
                 whole = memoryview(raw)
-                at, lo = code >> 16, (code >> 16) - ((code >> 8) & 255)
-                hi = lo + (code & 255)
+                lo = (code >> 30) - ((code >> 15) & 32767)
+                hi = lo + (code & 32767)
                 good = hi + length <= len(whole)  # a unit that shares only u1 with the one meant
                 cold = good & ~is_hot
                 for p, q, x in zip(lo[cold].tolist(), (hi[cold] + length).tolist(), name[cold].tolist(), strict=True):
@@ -172,13 +201,7 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200,
                     data = np.frombuffer(raw, np.uint8)
                     window = np.unique(_ragged(lo[warm], (hi - lo + 1)[warm]))
                     first, last = int(window[0]), int(window[-1]) + length
-                    depth = length
-                    while depth % 2 == 0 and depth > 32:
-                        depth //= 2
-                    full = gram_names(data[first:last], depth)
-                    while depth < length:
-                        full = mix(full[:-depth] * _U(0xC2B2AE3D27D4EB4F) + full[depth:])
-                        depth *= 2
+                    full = refined_names(gram_names(data[first:last], gram), gram, length)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(window), u1[i])), pa.array(np.full(len(window), u2[i])), pa.array(window), pa.array(full[window - first].view(np.int64)), pa.nulls(len(window), pa.binary())], names)
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, [pa.int64()] * 4 + [pa.binary()], strict=True)], names)
@@ -188,18 +211,27 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200,
 
     sent = written(units.join(open_, "u1").select("u1", "u2", "text", "places").mapInArrow(send, "u1 long, u2 long, lo long, name long, body binary"), "buckets")
 
-    def settle(name: np.ndarray, batch: pa.Table) -> Iterator[pa.RecordBatch]:
-        body = batch.column("body").combine_chunks()
-        for a, b, raw, offs in [(0, len(body), *_whole(body))]:
-            count = np.diff(offs) - length + 1
-            windows = _ragged(offs[:-1], count)
-            windows, names = refine(raw, windows, length)
-            windows = windows[shared(names)]
-            row = np.searchsorted(offs, windows, "right") - 1
-            first, last = runs(windows, row)
-            r = row[first]
-            lo = batch.column("lo").to_numpy()[r] - offs[r]
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column("u1").to_numpy()[r]), pa.array(batch.column("u2").to_numpy()[r]), pa.array(lo + windows[first]), pa.array(lo + windows[last])], ["u1", "u2", "lo", "hi"])
+    def settle(batch: pa.Table) -> Iterator[pa.RecordBatch]:
+        _, _, raw, offs = next(blocks(batch.column("body").combine_chunks(), 1 << 62))
+        start, end = offs[:-1], offs[1:]
+        size = powers(len(raw) + 1)[: len(raw) + 1]
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[raw] * size[:-1], dtype=np.uint64)))
+        back = inverse_powers(len(raw) + 1)
+        body = mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64) * _PAIR)
+        _, one, which, copies = np.unique(body, return_index=True, return_inverse=True, return_counts=True)
+        names = mix((total[gram:] - total[:-gram]) * back[: len(raw) - gram + 1])
+        names = np.append(names, np.zeros(gram - 1, np.uint64))
+        windows, again = refine(names, start[one], end[one], length, gram)
+        row = np.repeat(np.arange(len(one)), end[one] - start[one] - length + 1)
+        again &= copies[row] == 1
+        first, last = runs(windows[again], row[again])
+        r = one[row[again][first]]
+        copy = np.flatnonzero(copies[which] > 1)
+        u1, u2, lo = (batch.column(c).to_numpy() for c in ("u1", "u2", "lo"))
+        begin = np.concatenate((lo[r] + windows[again][first] - start[r], lo[copy]))
+        final = np.concatenate((lo[r] + windows[again][last] - start[r], lo[copy] + (end - start)[copy] - length))
+        r = np.concatenate((r, copy))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u1[r], u2[r], begin, final)], ["u1", "u2", "lo", "hi"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -212,13 +244,13 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200,
                 name = table.column("name").to_numpy()
                 edge = int(np.searchsorted(name, name[-1]))
                 if edge:
-                    yield from settle(name, table.slice(0, edge))
+                    yield from settle(table.slice(0, edge))
                 held = table.slice(edge).to_batches()
                 size = sum(x.nbytes for x in held) if edge else 0
         if held:
             table = pa.Table.from_batches(held)
             if table.num_rows:
-                yield from settle(table.column("name").to_numpy(), table)
+                yield from settle(table)
 
     cold = sent.where("body is not null").select("name", "u1", "u2", "lo", "body").repartition("name").sortWithinPartitions("name").mapInArrow(meet, "u1 long, u2 long, lo long, hi long")
     warm = sent.where("body is null").select("name", "u1", "u2", "lo")
@@ -229,20 +261,13 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200,
     return units, spans
 
 
-def _whole(body: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    if isinstance(body, pa.ChunkedArray):
-        body = body.combine_chunks()
-    _, _, raw, offs = next(blocks(body, 1 << 62))
-    return raw, offs
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, carry: list[str] | None = None) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with carry also those columns and kept, the text of the
     remaining bytes without characters that a cut has broken.
 
     A null text counts as empty; a text shorter than `length` bytes keeps all. Of whole texts that occur more than
-    once, every copy loses all its bytes. Repeated rows are copies. An empty table gives an empty table; other columns
-    play no part.
+    once, every copy loses all its bytes. Repeated rows are copies. A very long text is cut into suffixes in a block of its
+    own and its windows travel by bucket like any other's. An empty table gives an empty table; other columns play no part.
     """
     units, windows = repeated_windows(docs, text_col, length)
 

@@ -122,6 +122,52 @@ def test_repeated_bytes(spark, hot, monkeypatch):
     assert suffix_dedup.remove_repeats(frame(spark, ["a"]).limit(0)).count() == 0
 
 
+def brute_repeats(raw: list[bytes], length: int):
+    count = Counter(b[k : k + length] for b in raw for k in range(len(b) - length + 1))
+    out = {}
+    for i, b in enumerate(raw):
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if count[b[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
+        rest = bytes(x for x, y in zip(b, gone, strict=True) if not y)
+        out[i] = (sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(rest).hexdigest())
+    return out
+
+
+def test_buckets_that_all_settle(spark):
+    """Passages of 60 to 199 shared bytes open buckets in which nothing is repeated to full depth."""
+    rng = random.Random(5)
+    shared_part = sentence(60, rng)
+    texts = [sentence(30, rng) + shared_part[:n] + sentence(40, rng) for n in (60, 90, 120, 150, 180, 198, 60, 90)]
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame(spark, texts)).collect()}
+    assert got == brute_repeats([t.encode() for t in texts], 200) and not any(v[0] for v in got.values())
+    first, last = suffix_dedup.runs(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    assert len(first) == len(last) == 0
+
+
+@pytest.mark.parametrize("length", [31, 130, 420])
+def test_repeats_of_other_lengths(spark, length):
+    texts = TEXTS[:60] + ["x" * 900, "ab" * 300, TEXTS[3] + "\n" + TEXTS[3]]
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame(spark, texts), length=length).collect()}
+    assert got == brute_repeats([(t or "").encode() for t in texts], length)
+
+
+def test_bucket_pointers_against_sorted_suffixes():
+    """Windows are shared after the last round exactly if their bytes occur twice, whatever the depth's doubling does."""
+    rng = np.random.default_rng(2)
+    for length, gram in ((200, 50), (70, 32), (9, 9), (45, 4)):
+        bodies = [rng.integers(97, 99, n).astype(np.uint8).tobytes() for n in rng.integers(length, 3 * length, 12)]
+        bodies += [bodies[0][3:] + b"c", b"a" * (length + 40)]
+        raw = np.frombuffer(b"".join(bodies), np.uint8)
+        offs = np.concatenate(([0], np.cumsum([len(b) for b in bodies])))
+        name = np.append(suffix_dedup.gram_names(raw, gram), np.zeros(gram - 1, np.uint64))
+        windows, again = suffix_dedup.refine(name, offs[:-1], offs[1:], length, gram)
+        text = raw.tobytes()
+        count = Counter(text[w : w + length] for w in windows)
+        assert again.tolist() == [count[text[w : w + length]] > 1 for w in windows] and again.any()
+
+
 def test_media_round_trip(spark, tmp_path):
     from pathlib import Path
 
