@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.shared import cut, written
+from tapeworks.llm.shared import cut, discard, written
 from tapeworks.llm.textblock import _TABLE, blocks, mix, powers
 
 _U = np.uint64
@@ -174,8 +174,10 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200,
     suffixes = written(rows.select("u1", "text").mapInArrow(stand, "name long, u1 long, place long"), "suffixes")
     who = F.struct("u1", "place")
     buckets = suffixes.groupBy("name").agg(F.count("*").alias("n"), F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo <> hi").select("name", "n")
+    buckets = written(buckets, "bucket-names")  # so that both sides of the join are plain exchanges, which Spark can split at a hot name
     open_ = suffixes.join(buckets, "name").groupBy("u1").agg(F.collect_set(F.struct("place", "name", (F.col("n") > hot).alias("hot"))).alias("places"))
     open_ = written(open_, "open-buckets")
+    discard(suffixes, buckets)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,6 +212,7 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200,
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, [pa.int64()] * 4 + [pa.binary()], strict=True)], names)
 
     sent = written(units.join(open_, "u1").select("u1", "u2", "text", "places").mapInArrow(send, "u1 long, u2 long, lo long, name long, body binary"), "buckets")
+    discard(open_)
 
     def settle(batch: pa.Table) -> Iterator[pa.RecordBatch]:
         _, _, raw, offs = next(blocks(batch.column("body").combine_chunks(), 1 << 62))
@@ -258,6 +261,7 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200,
     twice = warm.groupBy("name").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("name")
     warm = warm.join(twice, "name").select("u1", "u2", "lo", F.col("lo").alias("hi"))
     spans = cut(cold.unionByName(warm).groupBy("u1", "u2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    discard(sent)
     return units, spans
 
 
