@@ -1,23 +1,23 @@
 """N-gram Jaccard join: blocked sparse matrix product of the document by n-gram incidence.
 
-Plan, for texts whose shingle sets have a Jaccard similarity of num / den or more:
-
-1. Blocking, without loss. If two sets link, their symmetric difference is at most (|A| + |B|) * (den - num) /
-   (den + num), a bound that follows from the sizes alone. Cut the hash range into more classes than that: some class
-   must hold the same shingles in both. Each set sends one signature per class, for its own size interval and the one
-   below (sizes that may link lie in the same or in neighbouring intervals). Spare classes outnumber empty classes;
-   a set with still more empty ones sends those too, so an agreement in empty classes alone can't hide a link.
-   Equal signatures are merged in the map tasks, so a huge group of copies sends each task's share once.
-   Below a similarity of 0.9 classes would hold too few shingles and unrelated sets would meet. There the rows are the
-   first |A| - ceil(t * |A|) + 1 shingles of each set in one order of all shingles, of which linked sets share one; the
-   order puts rare shingles first, by counts in a table of fixed size over all documents (any order is correct).
-2. Sets that share a signature form candidate clusters (connected components over the merged signatures).
-3. In a cluster, the rows of the incidence matrix are dealt into blocks; a task takes block 0 and one other block, so
-   the data sent grows with the cluster, not with its square. The product accumulates overlap counts over column
-   blocks and drops pairs whose count so far plus what remains is below the bound. A task returns only a spanning
-   forest of its links.
-4. Rows outside their cluster's largest component after that are compared with all blocks, which completes the exact
-   answer: pairs inside one component need no further look.
+Plan, for texts whose shingle sets have a Jaccard similarity of num / den or more. Rows of the incidence matrix are the
+distinct sets; a set A can link only if at least ceil(num / den * |A|) of its columns are held by another row, so it may
+have at most |A| - ceil(num / den * |A|) columns of its own ("lone" ones).
+
+1. First column block. Only columns whose hash lies in the first part of the hash range are sent, one row per column
+   and flush, with the only holder or none; a column with one holder counts as lone for it. Rows with too many lone
+   columns in this block alone are discarded; text that no other document resembles ends here.
+2. The rows left are packed once. Their other columns are counted exactly: how many rows hold each. Columns held by
+   more than a share of all rows by a sketch of fixed size ("heavy") aren't sent; they come last in the order below.
+   Lone columns accumulate over all blocks, and rows beyond their bound are discarded.
+3. Of what is left, each row sends its first |A| - ceil(num / den * |A|) + 1 columns, those with the fewest holders
+   first, lone ones counted in. Linked rows share one of them. Rows that share one form candidate clusters.
+4. In a cluster the product accumulates overlap counts over column blocks and discards pairs whose count so far plus
+   what remains is below the bound that the two sizes give. Clusters are dealt into row blocks bounded in rows and
+   bytes; a task takes block 0 and one other block, so the data sent grows with the cluster, not with its square, and
+   returns only a spanning forest of its links.
+5. Rows outside their cluster's largest component after that are compared with all its blocks, which completes the
+   exact answer: pairs inside one component need no further look.
 
 Sets are compared by 64-bit shingle hashes: an error takes a collision between two sets that are compared.
 """
@@ -31,19 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.shared import connected_components, cut, written
+from tapeworks.llm.shared import connected_components, cut, discard, written
 from tapeworks.llm.textblock import blocks, mix, segment_sum, shingle_sets
 
 _U = np.uint64
-
-
-def levels(num: int, den: int, most: int) -> np.ndarray:
-    """Lower ends of size intervals such that sizes with a ratio of num / den or more are at most one interval apart."""
-    out = [1, 2]
-    while out[-1] <= most:
-        out.append(max(out[-1] + 1, (out[-1] - 1) * den // num + 1))
-    out.append(max(out[-1] + 1, (out[-1] - 1) * den // num + 1))
-    return np.array(out, np.int64)
+_BITS = 22
+_SLICE = 1 << 16
+_HEAVY = 1 << 40
 
 
 def set_keys(vals: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,58 +48,86 @@ def set_keys(vals: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return one, two
 
 
-def signatures(vals: np.ndarray, offs: np.ndarray, keys: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set key) rows of all non-empty sets of a block."""
-    size = np.diff(offs)
-    low = levels(num, den, int(size.max(initial=1)))
-    own = np.searchsorted(low, size, "right") - 1
-    sigs, sets = [], []
-    for back in (0, 1):
-        level = own - back
-        use = (size > 0) & (level >= 0)
-        if not use.any():
-            continue
-        lv = np.where(use, level, 0)
-        differ = 2 * (low[lv + 2] - 1) * (den - num) // (den + num)
-        spare = 3 + differ // 500
-        classes = np.where(use, differ + 1 + spare, 1)
-        each = np.repeat(np.arange(len(size)), size)
-        cls = ((vals >> _U(32)) * classes.astype(np.uint64)[each]) >> _U(32)
-        edge = np.ones(len(vals), bool)
-        edge[1:] = (cls[1:] != cls[:-1]) | (each[1:] != each[:-1])
-        at = np.flatnonzero(edge)
-        row = each[at]
-        total = np.add.reduceat(mix(vals + _U(0x51ED2701)), at)
-        tag = cls[at] + (lv[row].astype(np.uint64) << _U(40))
-        sig = mix(total + mix(tag + _U(11)))
-        good = use[row]
-        sigs.append(sig[good])
-        sets.append(keys[row][good])
-        filled = np.bincount(row, minlength=len(size))
-        for i in np.flatnonzero(use & (classes - filled > spare)):
-            have = cls[at][row == i].astype(np.int64)
-            gone = np.setdiff1d(np.arange(classes[i]), have).astype(np.uint64)
-            sigs.append(mix(mix(gone + (_U(lv[i]) << _U(40)) + _U(13)) + _U(17)))
-            sets.append(np.full(len(gone), keys[i], np.uint64))
-    if not sigs:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return np.concatenate(sigs), np.concatenate(sets)
+def packed(items: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """A binary value for each segment of an array of 8-byte items."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer((offs * items.itemsize * (items.shape[1] if items.ndim > 1 else 1)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(items))]).cast(pa.binary())
 
 
-_BITS = 22
-_SLICE = 1 << 16
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 8-byte items of a binary column, end to end, and each value's first."""
+    parts = [(raw, offs) for _, _, raw, offs in blocks(column, 1 << 62)]
+    raw, offs = parts[0] if parts else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    return np.frombuffer(raw.tobytes(), np.uint64), offs // 8
+
+
+def as_long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def holders(key: np.ndarray, who: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once, with its least holder, and whether it has others."""
+    order = np.lexsort((who, key))
+    key, who, many = key[order], who[order], many[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    if not len(at):
+        return key, who, many
+    last = np.concatenate((at[1:], [len(key)])) - 1
+    return key[at], who[at], np.logical_or.reduceat(many, at) | (who[at] != who[last])
+
+
+def lone_columns(docs: DataFrame, text_col: str, n: int, share: float, parts: int, flush: int = 1_000_000) -> DataFrame:
+    """(d, lone): how many columns in the first `share` of the hash range each set alone holds, for sets with any."""
+    limit = _U(min(int(share * 2**64), 2**64 - 1))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            key, who = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, who, many = holders(key, who, np.zeros(len(key), bool))
+            for at in range(0, len(key), 200_000):
+                to = at + 200_000
+                yield pa.RecordBatch.from_arrays([as_long(key[at:to]), pa.array(who[at:to].view(np.int64), mask=many[at:to])], ["key", "d"])
+
+        for batch in batches:
+            for _, _, raw, offs in blocks(batch.column(0)):
+                vals, at = shingle_sets(raw, offs, n)
+                one, _ = set_keys(vals, at)
+                use = vals <= limit
+                held.append((vals[use], np.repeat(one, np.diff(at))[use]))
+                size += int(use.sum())
+                if size >= flush:
+                    yield from send()
+                    held, size = [], 0
+        if size:
+            yield from send()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, who, many = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+        for batch in batches:
+            key.append(batch.column(0).to_numpy().view(np.uint64))
+            who.append(batch.column(1).fill_null(0).to_numpy().view(np.uint64))
+            many.append(batch.column(1).is_null().to_numpy(zero_copy_only=False))
+        _, who, many = holders(np.concatenate(key), np.concatenate(who), np.concatenate(many))
+        d, lone = np.unique(who[~many], return_counts=True)
+        yield pa.RecordBatch.from_arrays([as_long(d), pa.array(lone.astype(np.int64))], ["d", "lone"])
+
+    rows = docs.select(F.col(text_col).cast("string").alias("text"))
+    sent = rows.mapInArrow(local, "key long, d long").repartition(parts, "key")
+    return sent.mapInArrow(meet, "d long, lone long").groupBy("d").agg(F.sum("lone").alias("lone"))
 
 
-def frequency_sketch(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
-    """Rough logarithm of how many sets hold a shingle, by the shingle's first bits: one byte each, 4 MB in all."""
+def heavy_cells(rows: DataFrame, least: int) -> np.ndarray:
+    """Which of 2**22 cells of the hash range have `least` entries or more in the packed sets: half a megabyte of bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << _BITS, np.uint32)
         for batch in batches:
-            for _, _, raw, offs in blocks(batch.column(0)):
-                vals, _ = shingle_sets(raw, offs, n)
-                place, count = np.unique((vals >> _U(64 - _BITS)).astype(np.int64), return_counts=True)
-                total[place] += count.astype(np.uint32)
+            vals, _ = unpacked(batch.column(0))
+            np.add.at(total, (vals >> _U(64 - _BITS)).astype(np.int64), 1)
         used = [k for k in range(len(total) // _SLICE) if total[k * _SLICE : (k + 1) * _SLICE].any()]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([total[k * _SLICE : (k + 1) * _SLICE].tobytes() for k in used], pa.binary())], ["slice", "counts"])
 
@@ -113,36 +135,117 @@ def frequency_sketch(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
         total = np.zeros(_SLICE, np.uint64)
         for x in table.column("counts"):
             total += np.frombuffer(x.as_buffer(), np.uint32)
-        return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([np.minimum(255, 8 * np.log2(1 + total.astype(float))).astype(np.uint8).tobytes()], pa.binary())})
+        return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([np.packbits(total >= least).tobytes()], pa.binary())})
 
-    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "slice long, counts binary").groupBy("slice").applyInArrow(add, "slice long, counts binary")
-    out = np.zeros(1 << _BITS, np.uint8)
-    for row in parts.collect():  # fixed size
-        out[row["slice"] * _SLICE : (row["slice"] + 1) * _SLICE] = np.frombuffer(row["counts"], np.uint8)
+    out = np.zeros(1 << _BITS, bool)
+    for row in rows.select("vals").coalesce(64).mapInArrow(run, "slice long, counts binary").groupBy("slice").applyInArrow(add, "slice long, counts binary").collect():  # fixed size
+        out[row["slice"] * _SLICE : (row["slice"] + 1) * _SLICE] = np.unpackbits(np.frombuffer(row["counts"], np.uint8)).astype(bool)
     return out
 
 
-def prefixes(vals: np.ndarray, offs: np.ndarray, keys: np.ndarray, num: int, den: int, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle, set key) rows of each set's first shingles in the sketch's order."""
-    size = np.diff(offs)
-    row = np.repeat(np.arange(len(size)), size)
-    rank = (sketch[(vals >> _U(64 - _BITS)).astype(np.int64)].astype(np.uint64) << _U(56)) | (vals >> _U(8))
-    order = np.lexsort((vals, rank, row))
-    take = size - -(-num * size // den) + 1
-    first = np.arange(len(vals)) - np.repeat(offs[:-1], size) < np.repeat(take, size)
-    return vals[order][first], keys[row][first]
-
-
-def merge_signatures(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One (signature, least key) for each signature, and the distinct edges from other keys to that least key."""
-    order = np.lexsort((key, sig))
-    sig, key = sig[order], key[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = sig[1:] != sig[:-1]
-    lead = key[new][np.cumsum(new) - 1] if len(sig) else key
+def ordered_columns(rows: DataFrame, heavy: np.ndarray, parts: int) -> DataFrame:
+    """d, n (size of the set) and pieces: pairs (holders, column) of its columns that other rows hold, or may hold."""
+    bits = np.packbits(heavy)
+
+    def is_heavy(vals: np.ndarray) -> np.ndarray:
+        cell = (vals >> _U(64 - _BITS)).astype(np.int64)
+        return (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vals, at = unpacked(batch.column(1))
+            much = is_heavy(vals)
+            count = np.concatenate(([0], np.cumsum(much)))[at]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), packed(np.stack([np.full(int(much.sum()), _HEAVY, np.uint64), vals[much]], 1), count)], ["d", "n", "piece"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vals, at = unpacked(batch.column(1))
+            who = np.repeat(batch.column(0).to_numpy(), np.diff(at))
+            rare = ~is_heavy(vals)
+            vals, who = vals[rare], who[rare]
+            for i in range(0, len(vals), 200_000):
+                yield pa.RecordBatch.from_arrays([as_long(vals[i : i + 200_000]), pa.array(who[i : i + 200_000])], ["key", "d"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            key.append(batch.column(0).to_numpy().view(np.uint64))
+            who.append(batch.column(1).to_numpy())
+        _, back, count = np.unique(key := np.concatenate(key), return_inverse=True, return_counts=True)
+        count, who = count[back].astype(np.uint64), np.concatenate(who)
+        order = np.flatnonzero(count > 1)
+        order = order[np.argsort(who[order])]
+        who = who[order]
+        at = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1]))) if len(who) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(who[at]), pa.array(np.zeros(len(at), np.int64)), packed(np.stack([count[order], key[order]], 1), np.append(at, len(who)))], ["d", "n", "piece"])
+
+    schema = "d long, n long, piece binary"
+    rare = rows.select("d", "vals").mapInArrow(send, "key long, d long").repartition(parts, "key").mapInArrow(meet, schema)
+    return rows.select("d", "vals").mapInArrow(common, schema).unionByName(rare).groupBy("d").agg(F.sum("n").alias("n"), F.collect_list("piece").alias("pieces"))
+
+
+def first_columns(pieces: list[bytes], n: int, num: int, den: int) -> np.ndarray:
+    """The columns that a set of n sends: those with the fewest holders first, after its lone ones."""
+    items = np.frombuffer(b"".join(pieces), np.uint64).reshape(-1, 2)
+    take = n - -(-num * n // den) + 1 - (n - len(items))
+    if take <= 0:
+        return np.zeros(0, np.uint64)
+    order = np.lexsort((items[:, 1], items[:, 0]))
+    return items[order[:take], 1]
+
+
+def merge_columns(col: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One (column, least key) for each column, and the distinct edges from other keys to that least key."""
+    order = np.lexsort((key, col))
+    col, key = col[order], key[order]
+    new = np.ones(len(col), bool)
+    new[1:] = col[1:] != col[:-1]
+    lead = key[new][np.cumsum(new) - 1] if len(col) else key
     odd = key != lead
     pairs = np.unique(np.stack([key[odd], lead[odd]], 1), axis=0) if odd.any() else np.zeros((0, 2), np.uint64)
-    return sig[new], key[new], pairs[:, 0], pairs[:, 1]
+    return col[new], key[new], pairs[:, 0], pairs[:, 1]
+
+
+def candidate_edges(ordered: DataFrame, num: int, den: int, flush: int = 1_000_000) -> DataFrame:
+    """(a, b): set keys that share a column which both send, as stars around the least key that a task has met."""
+
+    def send(col: list[np.ndarray], key: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        c, k, a, b = merge_columns(np.concatenate(col), np.concatenate(key))
+        for at in range(0, len(c), 200_000):
+            to = at + 200_000
+            yield pa.RecordBatch.from_arrays([as_long(c[at:to]), as_long(k[at:to]), pa.nulls(len(c[at:to]), pa.int64())], ["key", "a", "b"])
+        yield pa.RecordBatch.from_arrays([as_long(mix(a)), as_long(a), as_long(b)], ["key", "a", "b"])
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        col, key, held = [], [], 0
+        for batch in batches:
+            for d, n, pieces in zip(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                first = first_columns(pieces, n, num, den)
+                if len(first):
+                    col.append(first)
+                    key.append(np.full(len(first), d))
+                    held += len(first)
+            if held >= flush:
+                yield from send(col, key)
+                col, key, held = [], [], 0
+        if held:
+            yield from send(col, key)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        col, key = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for batch in batches:
+            ready = batch.column(2).is_valid()
+            done = batch.filter(ready)
+            if done.num_rows:
+                yield done.select(["a", "b"])
+            rest = batch.filter(pa.compute.invert(ready))
+            col.append(rest.column(0).to_numpy().view(np.uint64))
+            key.append(rest.column(1).to_numpy().view(np.uint64))
+        _, _, a, b = merge_columns(np.concatenate(col), np.concatenate(key))
+        yield pa.RecordBatch.from_arrays([as_long(a), as_long(b)], ["a", "b"])
+
+    return ordered.mapInArrow(local, "key long, a long, b long").repartition("key").mapInArrow(meet, "a long, b long").distinct()
 
 
 def overlap_links(sets: list[np.ndarray], num: int, den: int, cells: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -201,127 +304,115 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFr
     return rows.mapInArrow(run, f"id {kind}, th long, n_shingles long, d long, k2 long")
 
 
-def candidate_edges(docs: DataFrame, text_col: str, n: int, num: int, den: int, flush: int = 2_000_000) -> DataFrame:
-    """(a, b): set keys that share a signature or a prefix shingle, as stars around the least key that a task has met."""
-    sketch = None if 10 * num >= 9 * den else frequency_sketch(docs, text_col, n)
-
-    def send(sig: list[np.ndarray], key: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        s, k, a, b = merge_signatures(np.concatenate(sig), np.concatenate(key))
-        for at in range(0, len(s), 500_000):
-            to = at + 500_000
-            yield pa.RecordBatch.from_arrays([pa.array(s[at:to].view(np.int64)), pa.array(k[at:to].view(np.int64)), pa.nulls(len(s[at:to]), pa.int64())], ["key", "a", "b"])
-        yield pa.RecordBatch.from_arrays([pa.array(mix(a).view(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["key", "a", "b"])
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, key, held = [], [], 0
-        for batch in batches:
-            for _, _, raw, offs in blocks(batch.column(0)):
-                vals, at = shingle_sets(raw, offs, n)
-                one, _ = set_keys(vals, at)
-                s, k = signatures(vals, at, one, num, den) if sketch is None else prefixes(vals, at, one, num, den, sketch)
-                sig.append(s)
-                key.append(k)
-                held += len(s)
-                if held >= flush:
-                    yield from send(sig, key)
-                    sig, key, held = [], [], 0
-        if held:
-            yield from send(sig, key)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, key = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for batch in batches:
-            ready = batch.column(2).is_valid()
-            done = batch.filter(ready)
-            if done.num_rows:
-                yield done.select(["a", "b"])
-            rest = batch.filter(pa.compute.invert(ready))
-            sig.append(rest.column(0).to_numpy().view(np.uint64))
-            key.append(rest.column(1).to_numpy().view(np.uint64))
-        _, _, a, b = merge_signatures(np.concatenate(sig), np.concatenate(key))
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-    rows = docs.select(F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(local, "key long, a long, b long").repartition("key").mapInArrow(meet, "a long, b long").distinct()
-
-
 def block_product(tasks: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) links of each task: rows of columns task, cluster, node, vals (packed set)."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("cluster")
-        cluster = table.column("cluster").to_numpy()
-        node, packed = table.column("node").to_pylist(), table.column("vals").to_pylist()
+        table = table.sort_by([("cluster", "ascending"), ("node", "ascending")]).combine_chunks()
+        cluster, node = table.column("cluster").to_numpy(), table.column("node").to_pylist()
+        vals, offs = unpacked(table.column("vals"))
         cuts = np.flatnonzero(np.concatenate(([True], cluster[1:] != cluster[:-1], [True])))
         left: list[str] = []
         right: list[str] = []
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            mine = {node[i]: packed[i] for i in range(lo, hi)}
-            names = sorted(mine)
-            a, b = overlap_links([np.frombuffer(mine[x], np.uint64) for x in names], num, den)
-            left += [names[i] for i in a]
-            right += [names[i] for i in b]
+            mine = [i for i in range(lo, hi) if i == lo or node[i] != node[i - 1]]
+            a, b = overlap_links([vals[offs[i] : offs[i + 1]] for i in mine], num, den)
+            left += [node[mine[i]] for i in a]
+            right += [node[mine[i]] for i in b]
         return pa.table({"a": pa.array(left, pa.string()), "b": pa.array(right, pa.string())})
 
     return tasks.groupBy("task").applyInArrow(run, "a string, b string")
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, block: int = 512) -> DataFrame:
-    """id, n_shingles, component_id (least id reachable by links), th (hash of the text) and component (a key of the
-    component, null for an empty set) for every row of docs.
+def cluster_links(rows: DataFrame, num: int, den: int, block: int, block_bytes: int = 16 << 20) -> DataFrame:
+    """(a, b): links that connect all linked nodes of each cluster; rows: node, cluster, n_shingles, vals."""
+    count = cut(rows.groupBy("cluster").agg(F.count("*").alias("members"), F.sum(8 * F.col("n_shingles")).alias("bulk")).where("members > 1"))
+    many = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("bulk") / block_bytes)).cast("int")
+    count = count.withColumn("blocks", many)
+    small = count.where("blocks = 1").agg(F.sum("bulk")).first()[0] or 0
+    dealt = rows.join(count, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    one = dealt.where("blocks = 1").withColumn("task", F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(1 + small // block_bytes)))).select("task", "cluster", "node", "vals")
+    each = F.when(F.col("own") == 0, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array(F.col("own")))
+    split = dealt.where("blocks > 1").withColumn("other", F.explode(each)).select(F.concat_ws("/", F.lit("m"), "cluster", "other").alias("task"), "cluster", "node", "vals")
+    links = cut(block_product(one.unionByName(split), num, den))
+    if count.where("blocks > 1").isEmpty():
+        return links
+
+    # Rows of a dealt cluster that are not yet in its largest component meet every block.
+    part = cut(connected_components(links))
+    place = cut(dealt.where("blocks > 1").select("node", "cluster", "blocks", "own").join(part, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    most = place.groupBy("cluster", "root").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
+    place = cut(place.join(cut(most), "cluster").withColumn("odd", F.col("root") != F.col("main")))
+    odd_blocks = cut(place.where("odd").groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("odd_blocks")))
+    place = place.join(odd_blocks, "cluster").select("node", "odd_blocks", "odd", "own", F.col("blocks").alias("all"))
+    wide = cut(place).join(rows.select("node", "cluster", "vals"), "node")
+    odd = wide.where("odd").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("odd_blocks")).cast("int"))
+    odd = odd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
+    full = wide.withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1))).withColumn("other", F.col("own"))
+    again = odd.select("cluster", "mine", "other", "node", "vals").unionByName(full.select("cluster", "mine", "other", "node", "vals"))
+    again = again.select(F.concat_ws("/", F.lit("r"), "cluster", "mine", "other").alias("task"), "cluster", "node", "vals")
+    return links.unionByName(cut(block_product(again, num, den)))
+
+
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, block: int = 512, part_rows: int = 2_000_000) -> DataFrame:
+    """id, n_shingles, component_id (least id reachable by links), th (hash of the text) and lead for every row of docs.
+
+    lead tells whether the row has its component's least id and, with that id, the least th: one text of each
+    component, all rows with an empty set, and repeated rows alike.
 
     Words are lower-cased A-Z. A null or blank text has an empty set, links with nothing and is its own component.
     Equal texts and equal sets link. Rows without an id keep a row: their component is the least id that they reach,
-    null if there is none. Repeated rows give repeated rows; an empty table gives an empty table; other columns of
-    docs, whatever their names, play no part.
+    null if there is none. Repeated rows give repeated rows; ties among ids fall to the text's hash; a very long text is
+    a block of its own in each pass. An empty table gives an empty table; other columns of docs, whatever their names,
+    play no part.
     """
     sets = written(document_sets(docs, id_col, text_col, n), "jaccard-sets")
-    node = F.concat(F.lpad(F.hex("d"), 16, "0"), F.lpad(F.hex("k2"), 16, "0"))
-    sets = sets.withColumn("node", F.when(F.col("n_shingles") > 0, node))
-    lead = sets.where("node is not null").groupBy("node", "d", "n_shingles").agg(F.min(F.struct("id", "th")).alias("x"))
-    label = cut(connected_components(candidate_edges(docs, text_col, n, num, den)).withColumnRenamed("node", "d"))
-    found = lead.join(label, "d")
-    count = found.groupBy("root").agg(F.count("*").alias("members"))
-    found = found.join(count, "root").select("node", "root", "members", F.col("x.id").alias("id"), F.col("x.th").alias("th"))
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first = F.min(F.struct(F.col("id").isNull().alias("nil"), "id", "th")).alias("x")
+    lead = sets.where("n_shingles > 0").groupBy("d", "k2", "n_shingles").agg(F.count("*").alias("copies"), first)
+    lead = written(lead, "jaccard-leads")
+
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    share = min(1.0, 1.5 * (den - num) / den)
+    lone = lone_columns(docs, text_col, n, share, 1 + int(total * share) // part_rows)
+    allowed = F.col("n_shingles") - F.ceil(F.col("n_shingles") * num / den)
+    left = written(lead.join(lone, "d", "left").where(F.coalesce("lone", F.lit(0)) <= allowed).select("d", "k2", "n_shingles", "x.id", "x.th"), "jaccard-left")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             # Repeated rows come one after the other out of the join; one of them will do.
-            node = batch.column("node").to_pylist()
-            keep = [x != y for x, y in zip(node, [last, *node], strict=False)]
-            last = node[-1] if node else last
-            batch = batch.filter(pa.array(keep, pa.bool_()))
+            d = batch.column("d").to_numpy()
+            keep = np.ones(len(d), bool)
+            if len(d):
+                keep[1:] = d[1:] != d[:-1]
+                keep[0] = last is None or d[0] != last
+                last = d[-1]
+            batch = batch.filter(pa.array(keep))
             for a, b, raw, offs in blocks(batch.column("text")):
                 vals, at = shingle_sets(raw, offs, n)
-                own = pa.array([vals[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a) for k in range(3)] + [own], ["node", "cluster", "members", "vals"])
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a) for k in ("d", "k2", "n_shingles")] + [packed(vals, at)], ["d", "k2", "n_shingles", "vals"])
 
     texts = docs.select(F.col(id_col).alias("id2"), F.xxhash64(text_col).alias("th2"), F.col(text_col).cast("string").alias("text"))
-    rows = found.join(texts, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))).select("node", F.col("root").alias("cluster"), "members", "text")
-    rows = written(rows.mapInArrow(packed, "node string, cluster long, members long, vals binary"), "jaccard-rows")
-
-    many = F.ceil(F.col("members") / block).cast("int")
-    dealt = rows.withColumn("blocks", many).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    one = dealt.where("blocks = 1").withColumn("task", F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(4096)))).select("task", "cluster", "node", "vals")
-    each = F.when(F.col("own") == 0, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array(F.col("own").cast("int")))
-    split = dealt.where("blocks > 1").withColumn("other", F.explode(each)).select(F.concat_ws("/", F.lit("m"), "cluster", "other").alias("task"), "cluster", "node", "vals")
-    links = cut(block_product(one.unionByName(split), num, den))
-
-    # Rows of a dealt cluster that are not yet in its largest component meet every block.
-    part = cut(connected_components(links))
-    wide = dealt.where("blocks > 1").join(part, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    most = wide.groupBy("cluster", "root").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-    wide = wide.join(most, "cluster")
-    odd = wide.where("root <> main")
-    odd_blocks = odd.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("odd_blocks"))
-    odd = odd.join(odd_blocks, "cluster").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("odd_blocks")).cast("int"))
-    odd = odd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    full = wide.join(odd_blocks, "cluster").withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1))).withColumn("other", F.col("own").cast("int"))
-    again = odd.select("cluster", "mine", "other", "node", "vals").unionByName(full.select("cluster", "mine", "other", "node", "vals"))
-    again = again.select(F.concat_ws("/", F.lit("r"), "cluster", "mine", "other").alias("task"), "cluster", "node", "vals")
-    root = connected_components(links.unionByName(block_product(again, num, den)))
-
-    named = sets.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
-    return named.join(least, "root", "left").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "th", F.col("root").alias("component"))
+    rows = left.join(texts, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))).select("d", "k2", "n_shingles", "text")
+    rows = written(rows.mapInArrow(pack, "d long, k2 long, n_shingles long, vals binary"), "jaccard-rows")
+    discard(left)
+
+    bulk = rows.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).first()
+    heavy = heavy_cells(rows, max(64, bulk["n"] // 200))
+    ordered = written(ordered_columns(rows, heavy, 1 + (bulk["s"] or 0) // part_rows), "jaccard-columns")
+    label = cut(connected_components(candidate_edges(ordered, num, den)).select(F.col("node").alias("d"), F.col("root").alias("cluster")))
+    discard(ordered)
+    node = F.concat(F.lpad(F.hex("d"), 16, "0"), F.lpad(F.hex("k2"), 16, "0"))
+    links = cluster_links(rows.join(label, "d").withColumn("node", node), num, den, block)
+    root = cut(connected_components(links))
+    discard(rows)
+
+    # Sets that have copies or links are named after their component; all others are their own.
+    lead = lead.withColumn("node", node).join(root, "node", "left").where("root is not null or copies > 1").withColumn("root", F.coalesce("root", "node")).select("d", "k2", "root", "x")
+    lead = written(lead, "jaccard-named")
+    least = cut(lead.groupBy("root").agg(F.min("x").alias("least")))
+    lead = written(lead.join(least, "root").select("d", "k2", "least"), "jaccard-least")
+    named = sets.where("n_shingles > 0").join(lead, ["d", "k2"], "left").select("id", "n_shingles", "th", "least")
+    out = named.unionByName(sets.where("n_shingles = 0").select("id", "n_shingles", "th").withColumn("least", F.lit(None).cast(named.schema["least"].dataType)))
+    mine = F.coalesce(F.col("id").eqNullSafe(F.col("least.id")) & F.col("th").eqNullSafe(F.col("least.th")), F.lit(False))
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("least").isNull(), F.col("id")).otherwise(F.col("least.id")).alias("component_id"), "th", (F.col("least").isNull() | mine).alias("lead"))
