@@ -25,7 +25,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs less the rows whose doc_id and text hash are in gone (id, th)."""
-    gone = gone.select(F.col("id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
+    gone = written(gone.select(F.col("id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct(), "gone")
     rows = docs.withColumn("_th", F.xxhash64("text"))
     return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_th") == F.col("_gone_th")), "left_anti")
 
@@ -38,14 +38,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by five-word shingles at a similarity of 0.8: the least id."""
+    """Keeps one document of each group linked by five-word shingles at a similarity of 0.8: the least id (null last)."""
     docs = docs.select(*COLUMNS)
-    found = ngram_jaccard_join(docs, n=5, num=80, den=100).withColumnRenamed("doc_id", "id")
-    found = written(found.where("component is not null").select("id", "th", "component"), "near-copies")
-    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("th"))
-    lead = found.groupBy("component").agg(F.min(order).alias("lead"))
-    gone = found.join(lead, "component").where(order != F.col("lead"))
-    kept = _without(docs, gone)
+    found = ngram_jaccard_join(docs, n=5, num=80, den=100)
+    kept = _without(docs, found.where(~F.col("lead")).withColumnRenamed("doc_id", "id"))
     repeated = docs.groupBy("doc_id", F.xxhash64("text").alias("_th")).agg(F.count("*").alias("n")).where("n > 1")
     if not repeated.isEmpty():  # rows alike in id and text
         kept = kept.dropDuplicates(["doc_id", "_th"])
