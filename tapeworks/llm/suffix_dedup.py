@@ -259,7 +259,7 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200,
     warm = sent.where("body is null").select("name", "u1", "u2", "lo")
     spot = F.struct("u1", "u2", "lo")
     twice = warm.groupBy("name").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("name")
-    warm = warm.join(twice, "name").select("u1", "u2", "lo", F.col("lo").alias("hi"))
+    warm = warm.join(written(twice, "hot-names"), "name").select("u1", "u2", "lo", F.col("lo").alias("hi"))
     spans = cut(cold.unionByName(warm).groupBy("u1", "u2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
     discard(sent)
     return units, spans
