@@ -4,12 +4,13 @@ Plan, for texts whose shingle sets have a Jaccard similarity of num / den or mor
 distinct sets; a set A can link only if at least ceil(num / den * |A|) of its columns are held by another row, so it may
 have at most |A| - ceil(num / den * |A|) columns of its own ("lone" ones).
 
-1. First column block. Only columns whose hash lies in the first part of the hash range are sent, one row per column
-   and flush, with the only holder or none; a column with one holder counts as lone for it. Rows with too many lone
-   columns in this block alone are discarded; text that no other document resembles ends here.
-2. The rows left are packed once. Their other columns are counted exactly: how many rows hold each. Columns held by
-   more than a share of all rows by a sketch of fixed size ("heavy") aren't sent; they come last in the order below.
-   Lone columns accumulate over all blocks, and rows beyond their bound are discarded.
+1. Column blocks. Only columns whose hash lies in the first part of the hash range are sent, one row per column and
+   flush, with the only holder or none; a column with one holder counts as lone for it. Rows with too many lone columns
+   in this block alone are discarded; text that no other document resembles ends here. The rows left are packed once,
+   and lone columns of a second block are added to those of the first.
+2. All columns of what is left are counted exactly: how many rows hold each. Columns held by more than a share of all
+   rows by a sketch of fixed size ("heavy") aren't sent; they come last in the order below. Rows whose lone columns are
+   beyond their bound send nothing.
 3. Of what is left, each row sends its first |A| - ceil(num / den * |A|) + 1 columns, those with the fewest holders
    first, lone ones counted in. Linked rows share one of them. Rows that share one form candidate clusters.
 4. In a cluster the product accumulates overlap counts over column blocks and discards pairs whose count so far plus
@@ -24,7 +25,7 @@ Sets are compared by 64-bit shingle hashes: an error takes a collision between t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,9 +78,11 @@ def holders(key: np.ndarray, who: np.ndarray, many: np.ndarray) -> tuple[np.ndar
     return key[at], who[at], np.logical_or.reduceat(many, at) | (who[at] != who[last])
 
 
-def lone_columns(docs: DataFrame, text_col: str, n: int, share: float, parts: int, flush: int = 1_000_000) -> DataFrame:
-    """(d, lone): how many columns in the first `share` of the hash range each set alone holds, for sets with any."""
-    limit = _U(min(int(share * 2**64), 2**64 - 1))
+def lone_columns(rows: DataFrame, sets_of: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], low: float, high: float, parts: int, flush: int = 1_000_000) -> DataFrame:
+    """(d, lone): how many columns in a part of the hash range each set alone holds, for sets with any.
+
+    sets_of yields (columns, offsets, set keys) of a batch of rows."""
+    least, most = (_U(min(int(x * 2**64), 2**64 - 1)) for x in (low, high))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -93,11 +96,9 @@ def lone_columns(docs: DataFrame, text_col: str, n: int, share: float, parts: in
                 yield pa.RecordBatch.from_arrays([as_long(key[at:to]), pa.array(who[at:to].view(np.int64), mask=many[at:to])], ["key", "d"])
 
         for batch in batches:
-            for _, _, raw, offs in blocks(batch.column(0)):
-                vals, at = shingle_sets(raw, offs, n)
-                one, _ = set_keys(vals, at)
-                use = vals <= limit
-                held.append((vals[use], np.repeat(one, np.diff(at))[use]))
+            for vals, at, d in sets_of(batch):
+                use = (vals >= least) & (vals <= most)
+                held.append((vals[use], np.repeat(d, np.diff(at))[use]))
                 size += int(use.sum())
                 if size >= flush:
                     yield from send()
@@ -112,12 +113,12 @@ def lone_columns(docs: DataFrame, text_col: str, n: int, share: float, parts: in
             who.append(batch.column(1).fill_null(0).to_numpy().view(np.uint64))
             many.append(batch.column(1).is_null().to_numpy(zero_copy_only=False))
         _, who, many = holders(np.concatenate(key), np.concatenate(who), np.concatenate(many))
-        d, lone = np.unique(who[~many], return_counts=True)
-        yield pa.RecordBatch.from_arrays([as_long(d), pa.array(lone.astype(np.int64))], ["d", "lone"])
+        who = who[~many]
+        for i in range(0, len(who), 200_000):
+            yield pa.RecordBatch.from_arrays([as_long(who[i : i + 200_000])], ["d"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text"))
     sent = rows.mapInArrow(local, "key long, d long").repartition(parts, "key")
-    return sent.mapInArrow(meet, "d long, lone long").groupBy("d").agg(F.sum("lone").alias("lone"))
+    return sent.mapInArrow(meet, "d long").groupBy("d").agg(F.count("*").alias("lone"))
 
 
 def heavy_cells(rows: DataFrame, least: int) -> np.ndarray:
@@ -144,28 +145,24 @@ def heavy_cells(rows: DataFrame, least: int) -> np.ndarray:
 
 
 def ordered_columns(rows: DataFrame, heavy: np.ndarray, parts: int) -> DataFrame:
-    """d, n (size of the set) and pieces: pairs (holders, column) of its columns that other rows hold, or may hold."""
+    """d, n (size of the set) and items: (holders, column) of its columns that other rows hold, or may hold."""
     bits = np.packbits(heavy)
 
     def is_heavy(vals: np.ndarray) -> np.ndarray:
         cell = (vals >> _U(64 - _BITS)).astype(np.int64)
         return (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
 
-    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vals, at = unpacked(batch.column(1))
-            much = is_heavy(vals)
-            count = np.concatenate(([0], np.cumsum(much)))[at]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), packed(np.stack([np.full(int(much.sum()), _HEAVY, np.uint64), vals[much]], 1), count)], ["d", "n", "piece"])
+    def chosen(which: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                vals, at = unpacked(batch.column(1))
+                who = np.repeat(batch.column(0).to_numpy(), np.diff(at))
+                use = is_heavy(vals) == which
+                vals, who = vals[use], who[use]
+                for i in range(0, len(vals), 200_000):
+                    yield pa.RecordBatch.from_arrays([as_long(vals[i : i + 200_000]), pa.array(who[i : i + 200_000])], ["key", "d"])
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vals, at = unpacked(batch.column(1))
-            who = np.repeat(batch.column(0).to_numpy(), np.diff(at))
-            rare = ~is_heavy(vals)
-            vals, who = vals[rare], who[rare]
-            for i in range(0, len(vals), 200_000):
-                yield pa.RecordBatch.from_arrays([as_long(vals[i : i + 200_000]), pa.array(who[i : i + 200_000])], ["key", "d"])
+        return run
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -173,26 +170,25 @@ def ordered_columns(rows: DataFrame, heavy: np.ndarray, parts: int) -> DataFrame
             key.append(batch.column(0).to_numpy().view(np.uint64))
             who.append(batch.column(1).to_numpy())
         _, back, count = np.unique(key := np.concatenate(key), return_inverse=True, return_counts=True)
-        count, who = count[back].astype(np.uint64), np.concatenate(who)
-        order = np.flatnonzero(count > 1)
-        order = order[np.argsort(who[order])]
-        who = who[order]
-        at = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1]))) if len(who) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(who[at]), pa.array(np.zeros(len(at), np.int64)), packed(np.stack([count[order], key[order]], 1), np.append(at, len(who)))], ["d", "n", "piece"])
+        count, who = count[back], np.concatenate(who)
+        at = np.flatnonzero(count > 1)
+        for i in range(0, len(at), 200_000):
+            x = at[i : i + 200_000]
+            yield pa.RecordBatch.from_arrays([pa.array(who[x]), pa.array(count[x]), as_long(key[x])], ["d", "held", "key"])
 
-    schema = "d long, n long, piece binary"
-    rare = rows.select("d", "vals").mapInArrow(send, "key long, d long").repartition(parts, "key").mapInArrow(meet, schema)
-    return rows.select("d", "vals").mapInArrow(common, schema).unionByName(rare).groupBy("d").agg(F.sum("n").alias("n"), F.collect_list("piece").alias("pieces"))
+    rare = rows.select("d", "vals").mapInArrow(chosen(False), "key long, d long").repartition(parts, "key").mapInArrow(meet, "d long, held long, key long")
+    much = rows.select("d", "vals").mapInArrow(chosen(True), "key long, d long").select("d", F.lit(_HEAVY).alias("held"), "key")
+    each = rare.unionByName(much).select("d", F.lit(0).cast("long").alias("n"), F.struct("held", "key").alias("item"))
+    size = rows.select("d", F.col("n_shingles").alias("n"))
+    return each.unionByName(size.withColumn("item", F.lit(None).cast(each.schema["item"].dataType))).groupBy("d").agg(F.max("n").alias("n"), F.collect_list("item").alias("items"))
 
 
-def first_columns(pieces: list[bytes], n: int, num: int, den: int) -> np.ndarray:
+def first_columns(held: np.ndarray, key: np.ndarray, n: int, num: int, den: int) -> np.ndarray:
     """The columns that a set of n sends: those with the fewest holders first, after its lone ones."""
-    items = np.frombuffer(b"".join(pieces), np.uint64).reshape(-1, 2)
-    take = n - -(-num * n // den) + 1 - (n - len(items))
+    take = n - -(-num * n // den) + 1 - (n - len(key))
     if take <= 0:
         return np.zeros(0, np.uint64)
-    order = np.lexsort((items[:, 1], items[:, 0]))
-    return items[order[:take], 1]
+    return key[np.lexsort((key, held))[:take]]
 
 
 def merge_columns(col: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -220,8 +216,12 @@ def candidate_edges(ordered: DataFrame, num: int, den: int, flush: int = 1_000_0
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         col, key, held = [], [], 0
         for batch in batches:
-            for d, n, pieces in zip(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                first = first_columns(pieces, n, num, den)
+            items = batch.column(2)
+            at = items.offsets.to_numpy() - items.offsets[0].as_py()
+            item = items.flatten()
+            held_by, column = item.field("held").to_numpy(), item.field("key").to_numpy().view(np.uint64)
+            for i, (d, n) in enumerate(zip(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_pylist(), strict=True)):
+                first = first_columns(held_by[at[i] : at[i + 1]], column[at[i] : at[i + 1]], n, num, den)
                 if len(first):
                     col.append(first)
                     key.append(np.full(len(first), d))
@@ -330,8 +330,9 @@ def cluster_links(rows: DataFrame, num: int, den: int, block: int, block_bytes:
     many = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("bulk") / block_bytes)).cast("int")
     count = count.withColumn("blocks", many)
     small = count.where("blocks = 1").agg(F.sum("bulk")).first()[0] or 0
+    tasks = max(1 + small // (block_bytes // 8), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.join(count, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    one = dealt.where("blocks = 1").withColumn("task", F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(1 + small // block_bytes)))).select("task", "cluster", "node", "vals")
+    one = dealt.where("blocks = 1").withColumn("task", F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(tasks)))).select("task", "cluster", "node", "vals")
     each = F.when(F.col("own") == 0, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array(F.col("own")))
     split = dealt.where("blocks > 1").withColumn("other", F.explode(each)).select(F.concat_ws("/", F.lit("m"), "cluster", "other").alias("task"), "cluster", "node", "vals")
     links = cut(block_product(one.unionByName(split), num, den))
@@ -373,9 +374,20 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     share = min(1.0, 1.5 * (den - num) / den)
-    lone = lone_columns(docs, text_col, n, share, 1 + int(total * share) // part_rows)
+
+    def of_text(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for _, _, raw, offs in blocks(batch.column(0)):
+            vals, at = shingle_sets(raw, offs, n)
+            yield vals, at, set_keys(vals, at)[0]
+
+    def of_packed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        vals, at = unpacked(batch.column(1))
+        yield vals, at, batch.column(0).to_numpy().view(np.uint64)
+
+    lone = lone_columns(docs.select(F.col(text_col).cast("string").alias("text")), of_text, 0.0, share, 1 + int(total * share) // part_rows)
     allowed = F.col("n_shingles") - F.ceil(F.col("n_shingles") * num / den)
-    left = written(lead.join(lone, "d", "left").where(F.coalesce("lone", F.lit(0)) <= allowed).select("d", "k2", "n_shingles", "x.id", "x.th"), "jaccard-left")
+    left = lead.join(lone, "d", "left").withColumn("lone", F.coalesce("lone", F.lit(0))).where(F.col("lone") <= allowed)
+    left = written(left.select("d", "k2", "n_shingles", "lone", "x.id", "x.th"), "jaccard-left")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -390,13 +402,20 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             batch = batch.filter(pa.array(keep))
             for a, b, raw, offs in blocks(batch.column("text")):
                 vals, at = shingle_sets(raw, offs, n)
-                yield pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a) for k in ("d", "k2", "n_shingles")] + [packed(vals, at)], ["d", "k2", "n_shingles", "vals"])
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a) for k in ("d", "k2", "n_shingles", "lone")] + [packed(vals, at)], ["d", "k2", "n_shingles", "lone", "vals"])
 
     texts = docs.select(F.col(id_col).alias("id2"), F.xxhash64(text_col).alias("th2"), F.col(text_col).cast("string").alias("text"))
-    rows = left.join(texts, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))).select("d", "k2", "n_shingles", "text")
-    rows = written(rows.mapInArrow(pack, "d long, k2 long, n_shingles long, vals binary"), "jaccard-rows")
+    rows = left.join(texts, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))).select("d", "k2", "n_shingles", "lone", "text")
+    block_one = written(rows.mapInArrow(pack, "d long, k2 long, n_shingles long, lone long, vals binary"), "jaccard-rows")
     discard(left)
 
+    more = block_one.agg(F.sum("n_shingles")).first()[0] or 0
+    high = min(1.0, 3 * share)
+    lone = lone_columns(block_one.select("d", "vals"), of_packed, np.nextafter(share, 1), high, 1 + int(more * (high - share)) // part_rows).withColumnRenamed("lone", "more")
+    rows = block_one.join(lone, "d", "left").where(F.col("lone") + F.coalesce("more", F.lit(0)) <= allowed)
+    rows = written(rows.select("d", "k2", "n_shingles", "vals"), "jaccard-rows-2")
+    discard(block_one)
+
     bulk = rows.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).first()
     heavy = heavy_cells(rows, max(64, bulk["n"] // 200))
     ordered = written(ordered_columns(rows, heavy, 1 + (bulk["s"] or 0) // part_rows), "jaccard-columns")
@@ -408,10 +427,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     discard(rows)
 
     # Sets that have copies or links are named after their component; all others are their own.
+    leads = lead
     lead = lead.withColumn("node", node).join(root, "node", "left").where("root is not null or copies > 1").withColumn("root", F.coalesce("root", "node")).select("d", "k2", "root", "x")
-    lead = written(lead, "jaccard-named")
-    least = cut(lead.groupBy("root").agg(F.min("x").alias("least")))
-    lead = written(lead.join(least, "root").select("d", "k2", "least"), "jaccard-least")
+    with_root = written(lead, "jaccard-named")
+    discard(leads)
+    least = cut(with_root.groupBy("root").agg(F.min("x").alias("least")))
+    lead = written(with_root.join(least, "root").select("d", "k2", "least"), "jaccard-least")
+    discard(with_root)
     named = sets.where("n_shingles > 0").join(lead, ["d", "k2"], "left").select("id", "n_shingles", "th", "least")
     out = named.unionByName(sets.where("n_shingles = 0").select("id", "n_shingles", "th").withColumn("least", F.lit(None).cast(named.schema["least"].dataType)))
     mine = F.coalesce(F.col("id").eqNullSafe(F.col("least.id")) & F.col("th").eqNullSafe(F.col("least.th")), F.lit(False))
