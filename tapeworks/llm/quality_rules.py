@@ -1,8 +1,8 @@
 """Quality rules of documents and of their hosts, in DataFrame functions alone.
 
-Documents first get counts and a verdict by fixed rules. Failures of each rule are then counted by host, the rates are
-shrunk towards all hosts by a beta prior fitted to their spread, and a host whose shrunken rate of failing documents is
-too high takes its documents with it.
+Documents first get counts and a verdict by fixed rules. Failures of each of five rules are then counted by host, each
+rule's rates are shrunk towards all hosts by a beta prior of its own, fitted to their spread, and a host whose shrunken
+rate of one rule is too high takes its documents with it. The first two rules also fail a document by themselves.
 """
 
 from __future__ import annotations
@@ -61,31 +61,46 @@ def document_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
+def rule_failures() -> dict[str, Column]:
+    """What fails each rule: too few words, repeated windows, symbols, repeated lines, odd mean word length."""
+    n = F.col("n_words")
+    return {
+        "short": n < 10, "repeats": 100 * F.col("n_repeat_words") > 20 * n, "symbols": 100 * F.col("n_symbols") > 10 * n,
+        "lines": 20 * F.col("n_dup_lines") > n, "lengths": (F.col("word_chars") > 12 * n) | (F.col("word_chars") < 2 * n),
+    }
+
+
 def host_verdicts(rules: DataFrame, limit: float = 0.5) -> DataFrame:
-    """host, host_docs, host_rate (shrunken share of failing documents) and host_kept of each host.
+    """host, host_docs, <rule>_rate (shrunken share of documents that fail it) of each rule, and host_kept.
 
-    The prior is a beta distribution with the mean and variance of the hosts' rates, weighted by documents; its weight
-    is held between 1 and 10,000 documents. Hosts without a name form one host.
+    A rule's prior is a beta distribution with the mean and variance of the hosts' rates, weighted by documents; its
+    weight is held between 1 and 10,000 documents. Hosts without a name form one host.
     """
-    hosts = rules.groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    rate = F.col("failed") / F.col("host_docs")
-    seen = hosts.agg(F.sum("host_docs").alias("n"), F.sum("failed").alias("f"), F.sum(F.col("host_docs") * rate * rate).alias("q")).first()
+    tests = rule_failures()
+    hosts = rules.groupBy("host").agg(F.count("*").alias("host_docs"), *[F.sum(c.cast("long")).alias(r) for r, c in tests.items()])
+    sums = [x for r in tests for x in (F.sum(r).alias(f"{r}_f"), F.sum(F.col(r) * F.col(r) / F.col("host_docs")).alias(f"{r}_q"))]
+    seen = hosts.agg(F.sum("host_docs").alias("n"), *sums).first()
     n = seen["n"] or 0
-    mean = (seen["f"] or 0) / n if n else 0.0
-    spread = max((seen["q"] or 0.0) / n - mean * mean, 0.0) if n else 0.0
-    weight = min(max(mean * (1 - mean) / spread - 1, 1.0), 10_000.0) if spread > 1e-12 else 10_000.0
-    shrunk = (F.col("failed") + F.lit(mean * weight)) / (F.col("host_docs") + F.lit(weight))
-    return hosts.select("host", "host_docs", shrunk.alias("host_rate"), (shrunk <= limit).alias("host_kept"))
+    rates = {}
+    for r in tests:
+        mean = (seen[f"{r}_f"] or 0) / n if n else 0.0
+        spread = max((seen[f"{r}_q"] or 0.0) / n - mean * mean, 0.0) if n else 0.0
+        weight = min(max(mean * (1 - mean) / spread - 1, 1.0), 10_000.0) if spread > 1e-12 else 10_000.0
+        rates[r] = (F.col(r) + F.lit(mean * weight)) / (F.col("host_docs") + F.lit(weight))
+    kept = F.greatest(*rates.values()) <= limit
+    return hosts.select("host", "host_docs", *[c.alias(f"{r}_rate") for r, c in rates.items()], kept.alias("host_kept"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = 0.5) -> DataFrame:
     """Counts, base_failed and kept of every row: kept if neither it nor its host fails.
 
     A null or blank text has no words and fails; a null host counts as one host; rows without an id and repeated rows
-    are kept as they are; an empty table gives an empty table; other columns play no part.
+    are kept as they are, each counting for its host; a very long text is one row's arrays; rates that tie with the
+    limit pass; an empty table gives an empty table; other columns play no part. Host verdicts are cut before the join,
+    so that both sides are plain exchanges, which Spark splits at a hot host.
     """
     rules = cut(document_rules(docs, id_col, text_col, host_col))
-    hosts = host_verdicts(rules, limit).withColumnRenamed("host", "name")
+    hosts = cut(host_verdicts(rules, limit).withColumnRenamed("host", "name"))
     out = rules.join(hosts, F.col("host").eqNullSafe(F.col("name")))
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("host_kept")).alias("kept"))
 
@@ -104,10 +119,13 @@ b AS (SELECT doc_id, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(
         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
         CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN c USING (r)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
-s AS (SELECT source, count(*) AS n, CAST(sum(base_failed::INT) AS DOUBLE) AS x FROM f GROUP BY source),
-m AS (SELECT sum(x) / sum(n) AS mean, sum(x * x / n) / sum(n) - pow(sum(x) / sum(n), 2) AS spread FROM s),
-a AS (SELECT mean, CASE WHEN spread > 1e-12 THEN least(greatest(mean * (1 - mean) / spread - 1, 1), 10000) ELSE 10000 END AS weight FROM m)
+rl AS (SELECT source, unnest([{'r': 'short', 'x': n_words < 10}, {'r': 'repeats', 'x': 100 * n_repeat_words > 20 * n_words}, {'r': 'symbols', 'x': 100 * n_symbols > 10 * n_words},
+        {'r': 'lines', 'x': 20 * n_dup_lines > n_words}, {'r': 'lengths', 'x': word_chars > 12 * n_words OR word_chars < 2 * n_words}]) AS z FROM f),
+s AS (SELECT source, z.r AS r, count(*) AS n, CAST(count(*) FILTER (z.x) AS DOUBLE) AS x FROM rl GROUP BY ALL),
+m AS (SELECT r, sum(x) / sum(n) AS mean, sum(x * x / n) / sum(n) - pow(sum(x) / sum(n), 2) AS spread FROM s GROUP BY r),
+a AS (SELECT r, mean, CASE WHEN spread > 1e-12 THEN least(greatest(mean * (1 - mean) / spread - 1, 1), 10000) ELSE 10000 END AS weight FROM m),
+o AS (SELECT source, bool_and((x + mean * weight) / (n + weight) <= 0.5) AS ok FROM s JOIN a USING (r) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT base_failed AND (s.x + a.mean * a.weight) / (s.n + a.weight) <= 0.5 AS kept
-FROM f JOIN s ON f.source IS NOT DISTINCT FROM s.source, a
+    NOT base_failed AND ok AS kept
+FROM f JOIN o ON f.source IS NOT DISTINCT FROM o.source
 """
