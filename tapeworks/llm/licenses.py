@@ -3,7 +3,8 @@
 Words that occur once in a notice vote for where the notice would start in the text; enough votes for about the same
 start open a window. Window and notice are aligned by patience: words unique to both are anchors, their longest
 increasing subsequence is kept, and the gaps between kept anchors are aligned in the same way. Coverage is the aligned
-share of the notice. The notices are a parameter of bounded size; a text's windows are found from its whole length.
+share of the notice. The notices (short ones, and whole texts of short licenses) are a parameter of bounded size; a
+text's windows are found from its whole length.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeworks.llm.license_texts import TEXTS
 from tapeworks.llm.textblock import Words, blocks
 
 _CC = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
@@ -49,6 +51,9 @@ NOTICES = {
     "unlicense": ("This is free and unencumbered software released into the public domain",),
 }
 
+#: Notices and whole texts: what a scan looks for.
+BOOK = {name: (*NOTICES.get(name, ()), *((TEXTS[name],) if name in TEXTS else ())) for name in sorted(NOTICES.keys() | TEXTS.keys())}
+
 _SIGN = np.zeros(256, bool)
 _SIGN[33:48] = _SIGN[58:65] = _SIGN[91:97] = _SIGN[123:127] = True
 
@@ -171,10 +176,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the longest, then by name), licenses (all names found, sorted) and n_notices; null and 0 where there is none. Words
     that tell a notice from another license's must be aligned; of overlapping places only the best counts.
 
-    A null or empty text has no notice. Repeated rows get equal results; an empty table gives an empty table; other
-    columns play no part.
+    The book holds notices and, for the short licenses, whole texts; a text of which less than `least` stands counts by
+    its notice alone. A null or empty text has no notice. A very long text is scanned whole, with one alignment for each
+    place that enough words vote for; notices that tie are ranked by length, name and place. Repeated rows get equal
+    results; an empty table gives an empty table; other columns play no part.
     """
-    book = [(name, word_hashes(text)) for name, texts in sorted((notices or NOTICES).items()) for text in texts]
+    book = [(name, word_hashes(text)) for name, texts in sorted((notices or BOOK).items()) for text in texts]
     telling = telling_positions(book, least)
     singles = [sum(1 for c in Counter(words).values() if c == 1) for _, words in book]
     vocabulary = np.unique(np.array([w for _, words in book for w in words], np.uint64))
