@@ -124,8 +124,11 @@ def describe(payload: bytes, height: int) -> str:
 def read_members(index: DataFrame, bodies: bool) -> DataFrame:
     """One row per digest: digest, width, height, depth, media_bytes from the headers alone; with bodies also
     payload_sha256, tail_crc32, media_sha256 and feature of what is stored."""
+    spark = index.sparkSession
+    bulk = index.agg(F.sum("length")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + bulk // (64 << 20))  # reads are dealt by place, not by shard
     at = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"), F.first("root").alias("root"))
-    rows = at.select("root", "digest", "at.*").repartition("shard").sortWithinPartitions("shard", "offset")
+    rows = at.select("root", "digest", "at.*").repartitionByRange(parts, "shard", "offset").sortWithinPartitions("shard", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, name, file = None, None, None
@@ -156,8 +159,9 @@ def read_members(index: DataFrame, bodies: bool) -> DataFrame:
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with its payload's address, header metadata and features.
 
-    A null text is an empty one (64 bytes 0). Equal texts share a digest and have equal features. Rows without an id
-    and repeated rows are kept; an empty table gives an empty table; other columns play no part.
+    A null text is an empty one (64 bytes 0). Equal texts share a digest and have equal features; which of their stored
+    copies is read makes no difference. A very long text is one member of its shard. Rows without an id and repeated
+    rows are kept; an empty table gives an empty table; other columns play no part.
     """
     index = store(docs, id_col, text_col)
     return index.join(read_members(index, bodies=True), "digest").withColumnRenamed("id", id_col)
