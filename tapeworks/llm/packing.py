@@ -121,18 +121,33 @@ class Vocabulary:
         return self.ids[np.arange(int(count.sum())) - np.repeat(into - start, count)], count
 
 
+#: Letters in both cases, digits, signs and letters beyond ASCII, in runs and mixed.
+PROBE = "Plain words, MixedCase and UPPER; 3.14 x1y22 (a+b)/c [d_e] #f $5 don't na\u00efve \u2014 \u00e9t\u00e9 \u4f60\u597d\nnext line\tTab  two"
+
+
+def cuts_agree(path: str) -> bool:
+    """Whether a tokenizer gives the same ids word by word as for a whole text."""
+    raw = np.frombuffer(PROBE.encode(), np.uint8)
+    ids, _ = Vocabulary(path).encode(Pieces(raw, np.array([0, len(raw)])))
+    return ids.tolist() == _tokenizer(path).encode(PROBE, add_special_tokens=False).ids
+
+
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
-    """id, th, start, length, ids_crc32, doc_tokens: each document's ids and end_id, cut at multiples of capacity."""
+    """id, th, start, length, ids_crc32, doc_tokens, copy (how many rows alike came before in the batch): each document's
+    ids and end_id, cut at multiples of capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(tokenizer)
         for batch in batches:
+            copies: dict = {}
             for a, b, raw, offs in blocks(batch.column(2), 4 << 20):
                 words = Pieces(raw, offs)
                 ids, count = vocabulary.encode(words) if len(words) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
                 total = np.concatenate(([0], np.cumsum(count)))[words.first] if len(words) else np.zeros(b - a + 1, np.int64)
-                row, start, length, crc, size = [], [], [], [], []
+                row, start, length, crc, size, copy = [], [], [], [], [], []
                 for i in range(b - a):
+                    same = (batch.column(0)[a + i].as_py(), batch.column(1)[a + i].as_py())
+                    nth = copies[same] = copies.get(same, -1) + 1
                     mine = np.append(ids[total[i] : total[i + 1]], np.uint32(end_id)).astype("<u4")
                     for s in range(0, len(mine), capacity):
                         part = mine[s : s + capacity]
@@ -141,12 +156,13 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, en
                         length.append(len(part))
                         crc.append(zlib.crc32(part))
                         size.append(len(mine))
+                        copy.append(nth)
                 pick = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), *(pa.array(x, pa.int64()) for x in (start, length, crc, size))], ["id", "th", "start", "length", "ids_crc32", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), *(pa.array(x, pa.int64()) for x in (start, length, crc, size, copy))], ["id", "th", "start", "length", "ids_crc32", "doc_tokens", "copy"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, th long, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(run, f"id {kind}, th long, start long, length long, ids_crc32 long, doc_tokens long, copy long")
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,14 +194,17 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = 4096, group_pieces: int = 16384) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null or empty text is the end id alone. Repeated rows are packed one by one; ties in length go by content. The
-    number of groups follows the table's rows and bytes, `group_pieces` expected pieces each. An empty table gives no
-    pieces; other columns play no part.
+    A null or empty text is the end id alone. Repeated rows are packed one by one, and spread over groups by their number
+    in the batch, so that no group holds a table's copies; a very long text is many pieces; ties in length go by content.
+    The number of groups follows the table's rows and bytes, `group_pieces` expected pieces each. A tokenizer whose ids
+    depend on more than a word is refused. An empty table gives no pieces; other columns play no part.
     """
+    if not cuts_agree(tokenizer):
+        raise ValueError(f"{tokenizer}: its ids depend on more than a word; this operator encodes word by word")
     bulk = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("b")).first()
     groups = 1 + (bulk["n"] + (bulk["b"] or 0) // (2 * capacity)) // group_pieces
     pieces = token_pieces(docs, id_col, text_col, tokenizer, end_id, capacity)
-    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("id", "th", "start", F.lit(41)), F.lit(groups)))
+    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("id", "th", "start", "copy", F.lit(41)), F.lit(groups)))
     kind = pieces.schema["id"].dataType.simpleString()
 
     def pack(x: pd.DataFrame) -> pd.DataFrame:
