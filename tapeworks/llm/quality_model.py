@@ -155,13 +155,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """id, held_out, score, predicted (score >= limit) of every row.
 
     The network learns from at most `fit_rows` labelled rows (labels: id_col, quality) outside the held-out fold, those
-    with the least hashes of their ids; word vectors come from all rows' texts. A null or empty text is the zero
-    vector. Rows without an id are held out. Without labels of both kinds every score is the labels' share of 1, or 0.5.
+    with the least hashes of their ids; an id whose labels clash counts as 0. Word vectors come from all rows' texts. A
+    null or empty text is the zero vector; a very long one is pooled whole. Rows without an id are held out. Without labels of both kinds every score is the labels' share of 1, or 0.5.
     An empty table gives an empty table; repeated rows stay; other columns play no part.
     """
     vectors = unit_rows(context_table(docs, text_col, buckets, dims, ones))
     marks = labels.select(F.col(id_col).alias("_id"), F.col("quality").cast("double").alias("y")).where("_id is not null and y is not null").where(fold("_id", folds) != held)
-    marks = marks.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
+    marks = marks.groupBy("_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

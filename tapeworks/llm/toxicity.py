@@ -1,8 +1,8 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of windows that mark toxic text and one of
 ordinary text, and the length of each window under both.
 
-A window is a word of any length, cut as in packing, after lower-casing, in learning and in scoring. Words that are far more common in documents labelled toxic than chance allows are the toxic
-dictionary's content, the commonest others the ordinary one's. Every byte is written `widen` times, as the codec finds
+A window is a word of any length, cut as in packing, after lower-casing, in learning and in scoring. Words that are far
+more common in documents labelled toxic than chance allows are the toxic dictionary's content, the commonest others the ordinary one's. Every byte is written `widen` times, as the codec finds
 no match shorter than a few bytes. The share of a window's ordinary length that the toxic dictionary saves is compared
 over the document; a logistic curve fitted on the labelled documents calibrates the document's score.
 
@@ -156,14 +156,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Learns from labelled rows (labels: id_col, toxic) outside the held-out fold only. A null or empty text has no
     windows and gets the curve's value at 0; so has every text if no row is labelled (score 0.5) or no word is telling.
-    Rows without an id are held out. Labels without a value and repeated rows are used as they come, extra columns
-    ignored. Words and curve are learned from at most
-    `fit_rows` labelled ids, those with the least hashes; rows of equal savings and label are one weighted row of the
-    curve, repeated ids or not.
+    Rows without an id are held out. Labels without a value are left out; an id whose labels clash counts as toxic;
+    repeated rows are used as they come, extra columns ignored. A very long text is scored whole; ties in savings change
+    nothing, as the features are the two largest values. Words and curve are learned from at most `fit_rows` labelled
+    ids, those with the least hashes; rows of equal savings and label are one weighted row of the curve.
     """
     text = lowered(F.col(text_col))
     marks = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("y")).where("_id is not null and y is not null").where(fold("_id", folds) != held)
-    marks = marks.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
+    marks = marks.groupBy("_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     train = docs.select(F.col(id_col).alias("_doc"), text.alias("text")).where("text is not null")
     train = train.join(F.broadcast(marks), F.col("_doc") == F.col("_id")).select("text", "y")  # at most fit_rows labels
     words, plain = learn_words(train)
