@@ -217,6 +217,26 @@ def test_quality_rules(spark):
         assert r.base_failed == (len(w) < 10 or 100 * len(inside) > 20 * len(w)) and r.kept == (not r.base_failed)
     bad = frame(spark, ["few"] * 60 + [sentence(40, random.Random(2))] * 3, ["s"])
     assert quality_rules.quality_rules(bad).where("kept").count() == 0
+    assert quality_rules.quality_rules(bad.limit(0)).count() == 0
+    again = quality_rules.quality_rules(bad.union(bad).withColumn("doc_id", F.lit(None).cast("long")))
+    assert again.count() == 126
+
+
+def test_host_rules_one_by_one(spark):
+    """A host falls by the rate of one rule that fails no document by itself; each rule has a prior of its own."""
+    rng = random.Random(7)
+    clean = [sentence(40, rng) for _ in range(90)]
+    odd = [sentence(40, rng) + " # $ % & | < >" for _ in range(30)]
+    texts = [x for k in range(30) for x in (*clean[3 * k : 3 * k + 3], odd[k])]
+    df = frame(spark, texts, ["a", "b", "c", "d"])
+    got = quality_rules.quality_rules(df).join(df.select("doc_id", "source"), "doc_id").collect()
+    assert all(not r.base_failed for r in got) and {r.source for r in got if not r.kept} == {"d"} == {r.source for r in got} - {r.source for r in got if r.kept}
+    rates = {r.host: r for r in quality_rules.host_verdicts(quality_rules.document_rules(df)).collect()}
+    for rule, fails in (("symbols", {"a": 0, "b": 0, "c": 0, "d": 30}), ("short", dict.fromkeys("abcd", 0))):
+        mean = sum(fails.values()) / 120
+        spread = sum(f * f / 30 for f in fails.values()) / 120 - mean * mean
+        weight = min(max(mean * (1 - mean) / spread - 1, 1), 10_000) if spread > 1e-12 else 10_000
+        assert all(rates[h][f"{rule}_rate"] == pytest.approx((f + mean * weight) / (30 + weight)) for h, f in fails.items())
 
 
 def test_packing_round_trip(spark):
@@ -338,6 +358,19 @@ def test_licenses(spark):
     assert licenses.longest_increasing([3, 1, 2, 5, 4]) in ([1, 2, 4], [1, 2, 3])
 
 
+def test_whole_license_texts(spark):
+    from tapeworks.llm.license_texts import TEXTS
+
+    cut = {k: " ".join(t.split()[: int(0.95 * len(t.split()))]) for k, t in TEXTS.items()}
+    texts = [f"Copyright 2020 Someone {t} and more" for t in TEXTS.values()] + list(cut.values()) + [TEXTS["mit"] + " " + TEXTS["zlib"]] + ["words " * 5000 + TEXTS["isc"]] * 2
+    got = licenses.license_scan(frame(spark, texts)).orderBy("doc_id").collect()
+    names = list(TEXTS)
+    assert [r.license for r in got[: len(names)]] == names and [r.license for r in got[len(names) : 2 * len(names)]] == names
+    assert all(r.n_notices == 1 for r in got[: 2 * len(names)]) and all(r.coverage < 1 for r in got[len(names) : 2 * len(names)] if len(TEXTS[r.license]) > 400)
+    assert got[-3].licenses == ["mit", "zlib"] and got[-1].license == got[-2].license == "isc" and got[-1].first_word == 5000
+    assert licenses.license_scan(frame(spark, ["a"]).limit(0)).count() == 0
+
+
 def test_license_variants(spark):
     gnu = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
     texts = {
