@@ -54,11 +54,10 @@ def packed(items: np.ndarray, offs: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer((offs * items.itemsize * (items.shape[1] if items.ndim > 1 else 1)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(items))]).cast(pa.binary())
 
 
-def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The 8-byte items of a binary column, end to end, and each value's first."""
-    parts = [(raw, offs) for _, _, raw, offs in blocks(column, 1 << 62)]
-    raw, offs = parts[0] if parts else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    return np.frombuffer(raw.tobytes(), np.uint64), offs // 8
+def unpacked(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Block by block, the 8-byte items of a binary column, end to end, and each value's first."""
+    for a, b, raw, offs in blocks(column):
+        yield a, b, np.frombuffer(raw.tobytes(), np.uint64), offs // 8
 
 
 def as_long(x: np.ndarray) -> pa.Array:
@@ -127,8 +126,8 @@ def heavy_cells(rows: DataFrame, least: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << _BITS, np.uint32)
         for batch in batches:
-            vals, _ = unpacked(batch.column(0))
-            np.add.at(total, (vals >> _U(64 - _BITS)).astype(np.int64), 1)
+            for _, _, vals, _ in unpacked(batch.column(0)):
+                np.add.at(total, (vals >> _U(64 - _BITS)).astype(np.int64), 1)
         used = [k for k in range(len(total) // _SLICE) if total[k * _SLICE : (k + 1) * _SLICE].any()]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([total[k * _SLICE : (k + 1) * _SLICE].tobytes() for k in used], pa.binary())], ["slice", "counts"])
 
@@ -155,12 +154,10 @@ def ordered_columns(rows: DataFrame, heavy: np.ndarray, parts: int) -> DataFrame
     def chosen(which: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                vals, at = unpacked(batch.column(1))
-                who = np.repeat(batch.column(0).to_numpy(), np.diff(at))
-                use = is_heavy(vals) == which
-                vals, who = vals[use], who[use]
-                for i in range(0, len(vals), 200_000):
-                    yield pa.RecordBatch.from_arrays([as_long(vals[i : i + 200_000]), pa.array(who[i : i + 200_000])], ["key", "d"])
+                d = batch.column(0).to_numpy()
+                for a, b, vals, at in unpacked(batch.column(1)):
+                    use = is_heavy(vals) == which
+                    yield pa.RecordBatch.from_arrays([as_long(vals[use]), pa.array(np.repeat(d[a:b], np.diff(at))[use])], ["key", "d"])
 
         return run
 
@@ -310,13 +307,13 @@ def block_product(tasks: DataFrame, num: int, den: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("cluster", "ascending"), ("node", "ascending")]).combine_chunks()
         cluster, node = table.column("cluster").to_numpy(), table.column("node").to_pylist()
-        vals, offs = unpacked(table.column("vals"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("vals")]
         cuts = np.flatnonzero(np.concatenate(([True], cluster[1:] != cluster[:-1], [True])))
         left: list[str] = []
         right: list[str] = []
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             mine = [i for i in range(lo, hi) if i == lo or node[i] != node[i - 1]]
-            a, b = overlap_links([vals[offs[i] : offs[i + 1]] for i in mine], num, den)
+            a, b = overlap_links([sets[i] for i in mine], num, den)
             left += [node[mine[i]] for i in a]
             right += [node[mine[i]] for i in b]
         return pa.table({"a": pa.array(left, pa.string()), "b": pa.array(right, pa.string())})
@@ -381,8 +378,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield vals, at, set_keys(vals, at)[0]
 
     def of_packed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        vals, at = unpacked(batch.column(1))
-        yield vals, at, batch.column(0).to_numpy().view(np.uint64)
+        d = batch.column(0).to_numpy().view(np.uint64)
+        for a, b, vals, at in unpacked(batch.column(1)):
+            yield vals, at, d[a:b]
 
     lone = lone_columns(docs.select(F.col(text_col).cast("string").alias("text")), of_text, 0.0, share, 1 + int(total * share) // part_rows)
     allowed = F.col("n_shingles") - F.ceil(F.col("n_shingles") * num / den)

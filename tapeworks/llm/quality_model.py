@@ -59,7 +59,7 @@ def context_table(docs: DataFrame, text_col: str, buckets: int, dims: int, ones:
         total = np.zeros(buckets * dims, np.int64)
         seen = False
         for batch in batches:
-            for _, _, raw, offs in blocks(batch.column(0)):
+            for _, _, raw, offs in blocks(batch.column(0), 2 << 20):
                 words = Words(raw, offs)
                 if not len(words):
                     continue
