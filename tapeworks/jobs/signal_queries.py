@@ -54,7 +54,7 @@ _scalar("f13_first_family", "part", "p_partkey", {"family": (lambda: x.first_fam
 _scalar("f14_sanitize_identifier", "part", "p_partkey", {"id": (lambda: x.sanitize_identifier(F.concat(F.lit("--"), "p_brand", F.lit(" & "), "p_type", F.lit("!"))), "regexp_replace(regexp_replace(lower('--' || p_brand || ' & ' || p_type || '!'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')")})
 _scalar("f15_recency_factor", "orders", "o_orderkey", {"factor": (lambda: x.recency_factor(F.to_date("o_orderdate"), F.lit("1998-06-05").cast("date")), "CASE WHEN date_diff('day', o_orderdate::DATE, DATE '1998-06-05') < 1 THEN 1.0::DOUBLE WHEN date_diff('day', o_orderdate::DATE, DATE '1998-06-05') <= 3 THEN 0.95 WHEN date_diff('day', o_orderdate::DATE, DATE '1998-06-05') <= 7 THEN 0.9 ELSE 0.85 END")})
 _DAYS = "(SELECT count(*) FROM range(0, greatest(0, date_diff('day', o_orderdate::DATE, DATE '1996-01-17'))) q(i) WHERE isodow(o_orderdate::DATE + CAST(i + 1 AS INT)) <= 5)"
-_scalar("f16_trading_days", "orders", "o_orderkey", {"days": (lambda: F.when(F.to_date("o_orderdate") >= F.lit("1995-12-01").cast("date"), x.trading_days_between(F.to_date("o_orderdate"), F.lit("1996-01-17").cast("date"))), f"CASE WHEN o_orderdate::DATE >= DATE '1995-12-01' THEN {_DAYS} END")})
+_scalar("f16_trading_days", "orders", "o_orderkey", {"days": (lambda: x.trading_days_between(F.to_date("o_orderdate"), F.lit("1996-01-17").cast("date")), _DAYS)})
 _scalar("f17_quarter_end", "orders", "o_orderkey", {"quarter": (lambda: F.quarter("o_orderdate").cast("long"), "quarter(o_orderdate)"), "ends": (lambda: x.quarter_end(F.to_date("o_orderdate")).cast("string"), "CAST(last_day((date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH)::DATE) AS VARCHAR)")})
 _scalar("f18_fingerprint", "part", "p_partkey", {"print": (lambda: x.fingerprint(F.col("p_brand"), F.col("p_type"), F.col("p_partkey").cast("string")), "substr(sha256(p_brand || '|' || p_type || '|' || p_partkey), 1, 16)")})
 _scalar("f20_daily_limit", "part", "p_partkey", {
@@ -99,31 +99,23 @@ def _signals(s: SparkSession, d: str, tickers: str = "l_partkey") -> DataFrame:
         F.coalesce("tickers", F.array().cast("array<string>")).alias("tickers"), "direction", F.when(F.col("signal_id") % 3 == 0, "20D").when(F.col("signal_id") % 3 == 1, "5M").otherwise("soon").alias("horizon"), F.col("date").alias("ts"))
 
 
-def _month_signals(s: SparkSession, d: str) -> DataFrame:
-    """The signals that _SIGS compares: one month of orders, by brand."""
-    return _signals(s, d, "p_brand").where("ts >= date '1998-01-01' and ts < date '1998-02-01' and size(tickers) > 0")
-
-
-_SIGS = f"""{OUTCOMES}, tk AS (SELECT l_orderkey AS signal_id, list_sort(list(DISTINCT p_brand)) AS tickers FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey),
-sigs AS (SELECT lpad(CAST(signal_id AS VARCHAR), 9, '0') AS signal_ref, skill, direction, raw / 600000 AS raw_score, tickers, CASE signal_id % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'medium' ELSE 'unknown' END AS h FROM outcomes JOIN tk USING (signal_id)
-    WHERE date >= DATE '1998-01-01' AND date < DATE '1998-02-01')"""
+_SIGS = f"""{OUTCOMES}, tk AS (SELECT l_orderkey AS signal_id, list_sort(list(DISTINCT CAST(l_partkey AS VARCHAR))) AS tickers FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey),
+sigs AS (SELECT lpad(CAST(signal_id AS VARCHAR), 9, '0') AS signal_ref, skill, direction, raw / 600000 AS raw_score, coalesce(tickers, []) AS tickers, o_custkey, CASE signal_id % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'medium' ELSE 'unknown' END AS h
+    FROM outcomes JOIN orders ON o_orderkey = signal_id LEFT JOIN tk USING (signal_id)),
+tick AS (SELECT signal_ref, skill, direction, h, len(tickers) AS n, unnest(tickers) AS ticker FROM sigs)"""
 def _union(rows: DataFrame) -> DataFrame:
     names = {c: c for c in g.SIGNAL_COLUMNS if c != "skill"}
     return g.union_signals({"a": (rows.where("direction = 'LONG'"), names), "b": (rows.where("direction = 'SHORT'"), names)}).select("signal_ref", "skill", F.array_join("tickers", ",").alias("tickers"), "direction")
 
 
-# SQL holds these three on one month; the same over all orders, for which SQL compares every pair, follow as *_whole.
-_add("u01_union_signals", lambda s, d: _union(_month_signals(s, d)),
-    f"WITH {_SIGS} SELECT signal_ref, CASE direction WHEN 'LONG' THEN 'a' ELSE 'b' END AS skill, array_to_string(tickers, ',') AS tickers, direction FROM sigs")
-_add("h11_similar_pairs", lambda s, d: g.similar_pairs(_month_signals(s, d).withColumn("title", F.lit(""))), f"""WITH {_SIGS} SELECT a.signal_ref AS a, b.signal_ref AS b FROM sigs a JOIN sigs b ON a.direction = b.direction AND a.signal_ref < b.signal_ref
-    WHERE len(list_intersect(a.tickers, b.tickers)) >= 0.3 * len(list_distinct(list_concat(a.tickers, b.tickers)))""")
+_add("u01_union_signals", lambda s, d: _union(_signals(s, d)), f"WITH {_SIGS} SELECT signal_ref, CASE direction WHEN 'LONG' THEN 'a' ELSE 'b' END AS skill, array_to_string(tickers, ',') AS tickers, direction FROM sigs")
+# Titles hold four words, two of them in every title: six tenths of two titles' words agree if the customer does.
+_add("h11_similar_pairs", lambda s, d: g.similar_pairs(_signals(s, d)), f"""WITH {_SIGS}, p AS (SELECT a.signal_ref AS a, b.signal_ref AS b FROM tick a JOIN tick b ON a.direction = b.direction AND a.ticker = b.ticker AND a.signal_ref < b.signal_ref GROUP BY 1, 2 HAVING count(*) >= 0.3 * (any_value(a.n) + any_value(b.n) - count(*)))
+    SELECT a, b FROM p UNION SELECT a.signal_ref, b.signal_ref FROM sigs a JOIN sigs b ON a.o_custkey = b.o_custkey AND a.direction = b.direction AND a.signal_ref < b.signal_ref""")
 _add("h11_dedupe_signals", lambda s, d: g.dedupe_signals(_signals(s, d)))
-_add("h12_contradictions", lambda s, d: g.contradictions(_month_signals(s, d)), f"""WITH {_SIGS}, q AS (SELECT signal_ref, skill, direction, h, unnest(tickers) AS ticker FROM sigs)
+_add("h12_contradictions", lambda s, d: g.contradictions(_signals(s, d)), f"""WITH {_SIGS}
     SELECT a.signal_ref AS long_ref, b.signal_ref AS short_ref, min(a.ticker) AS ticker, CASE WHEN a.skill = b.skill THEN 'HIGH' WHEN a.h <> b.h AND a.h <> 'unknown' AND b.h <> 'unknown' THEN 'LOW' ELSE 'MEDIUM' END AS severity
-    FROM q a JOIN q b ON a.ticker = b.ticker AND a.direction = 'LONG' AND b.direction = 'SHORT' GROUP BY a.signal_ref, b.signal_ref, a.skill, b.skill, a.h, b.h""")
-_add("u01_union_signals_whole", lambda s, d: _union(_signals(s, d)))
-_add("h11_similar_pairs_whole", lambda s, d: g.similar_pairs(_signals(s, d)))
-_add("h12_contradictions_whole", lambda s, d: g.contradictions(_signals(s, d)))
+    FROM tick a JOIN tick b ON a.ticker = b.ticker AND a.direction = 'LONG' AND b.direction = 'SHORT' GROUP BY a.signal_ref, b.signal_ref, a.skill, b.skill, a.h, b.h""")
 _add("a20_conviction", lambda s, d: g.adjust_for_contradictions(g.conviction(_signals(s, d), g.dedupe_signals(_signals(s, d)), {"1-URGENT": 0.3, "2-HIGH": 0.25}, "1998-02-01"), g.contradictions(_signals(s, d)).where("severity <> 'HIGH'")))
 _add("a21_concept_clusters", lambda s, d: g.concept_clusters(outcomes(s, d).select(F.col("skill").alias("hypothesis"), "regime", F.substring(F.col("signal_id").cast("string"), 1, 2).alias("symbol"), F.col("raw").alias("priority"))), f"""WITH {OUTCOMES}, k AS (SELECT skill AS hypothesis, regime, substr(CAST(signal_id AS VARCHAR), 1, 2) AS symbol, raw FROM outcomes),
     c0 AS (SELECT hypothesis, regime, symbol, count(*) AS c FROM k GROUP BY hypothesis, regime, symbol), c AS (SELECT *, row_number() OVER (PARTITION BY hypothesis, regime ORDER BY c DESC, symbol) AS n FROM c0), l AS (SELECT hypothesis, regime, string_agg(symbol, ',' ORDER BY n) AS symbols FROM c WHERE n <= 10 GROUP BY hypothesis, regime)
