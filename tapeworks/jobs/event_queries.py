@@ -25,15 +25,32 @@ def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | No
         SQL[name] = dates_as_text(f"WITH {base} {text}" if text.startswith(("SELECT", ",")) else f"WITH {base}, {text}", dates)
 
 
+def _ladder_sql(x: str, ladder: list[tuple[float, float]], below: float, null: float = 0) -> str:
+    return f"CASE WHEN {x} IS NULL THEN {null} " + " ".join(f"WHEN {x} >= {t} THEN {v}" for t, v in ladder) + f" ELSE {below} END"
+
+
 def _rs_sql(periods: tuple[tuple[int, float], ...]) -> str:
-    ex = [(f"(close / lag(close, {n}) OVER w - bench / lag(bench, {n}) OVER w)", w) for n, w in periods]
-    total = " + ".join(f"coalesce({x} * {w}, 0)" for x, w in ex)
-    weight = " + ".join(f"CASE WHEN {x} IS NOT NULL THEN {w} ELSE 0 END" for x, w in ex)
-    return f"x AS (SELECT symbol, date, {total} AS t, {weight} AS wt FROM bars JOIN bench USING (date) {_W}) SELECT symbol, date, round(CASE WHEN wt > 0 THEN t / wt END, 6)::DOUBLE AS rs FROM x"
+    def gain(c: str, then: str) -> str:
+        return f"({c} - {then}) / {then} * 100"
+
+    ex = [(f"CASE WHEN i > {n} THEN {gain('close', f'lag(close, {n}) OVER w')} - {gain('bench', f'lag(bench, {n}) OVER w')} ELSE {gain('close', 'c0')} - {gain('bench', 'b0')} END", f"CASE WHEN i > {n} THEN {w}::DOUBLE WHEN i > {n // 2} THEN {w / 2}::DOUBLE ELSE 0 END") for n, w in periods]
+    return f"""j AS (SELECT symbol, date, close, bench, row_number() OVER w AS i, first_value(close) OVER w AS c0, first_value(bench) OVER w AS b0 FROM bars JOIN bench USING (date) {_W}),
+    x AS (SELECT symbol, date, {" + ".join(f"({a}) * ({b})" for a, b in ex)} AS t, {" + ".join(b for _, b in ex)} AS wt FROM j {_W}), y AS (SELECT symbol, date, CASE WHEN wt > 0 THEN t / wt END AS rs FROM x)
+    SELECT symbol, date, round(rs, 6)::DOUBLE AS rs, ({_ladder_sql("rs", [(x, y) for x, y, _ in e.RS_LADDER], 0)})::DOUBLE AS score, ({_ladder_sql("rs", [(x, z) for x, _, z in e.RS_LADDER], 10)})::DOUBLE AS rank FROM y"""
+
+
+def _multi_sql(periods: tuple[tuple[int, float], ...]) -> str:
+    own = [(f"(close / lag(close, {n}) OVER w - 1) * 100", w) for n, w in periods]
+    ex = [(f"((close / lag(close, {n}) OVER w - 1) * 100 - (bench / lag(bench, {n}) OVER w - 1) * 100)", w) for n, w in periods]
+
+    def mean(parts: list[tuple[str, float]]) -> str:
+        return "(" + " + ".join(f"coalesce({x} * {w}::DOUBLE, 0)" for x, w in parts) + ") / nullif(" + " + ".join(f"CASE WHEN {x} IS NOT NULL THEN {w}::DOUBLE ELSE 0 END" for x, w in parts) + ", 0)"
+
+    return f"x AS (SELECT symbol, date, {mean(own)} AS p, {mean(ex)} AS r FROM bars LEFT JOIN bench USING (date) {_W}) SELECT symbol, date, round(p, 6) AS performance, round(r, 6) AS relative, round(coalesce(r, p), 6) AS rs FROM x"
 
 
 _add("j01_relative_strength", lambda s, d: e.relative_strength(bars(s, d), benchmark(bars(s, d))), _rs_sql(e.RS_PERIODS))
-_add("j02_multi_period_rs", lambda s, d: e.relative_strength(bars(s, d), benchmark(bars(s, d)), e.MULTI_PERIODS), _rs_sql(e.MULTI_PERIODS))
+_add("j02_multi_period_rs", lambda s, d: e.multi_period_rs(bars(s, d), benchmark(bars(s, d))), _multi_sql(e.MULTI_PERIODS))
 _GAP = f"""g AS (SELECT symbol, date, open, close, lag(close) OVER w AS pc, lead(open) OVER w AS no FROM bars {_W}),
     gaps AS (SELECT earn.symbol, earn.date, timing, CASE WHEN timing = 'bmo' THEN open / pc - 1 ELSE no / close - 1 END AS gap, close FROM earn LEFT JOIN g ON earn.symbol = g.symbol AND earn.date = g.date)"""
 _add("j03_earnings_gap", lambda s, d: e.earnings_gap(bars(s, d), earnings(s, d)), f"{_GAP} SELECT symbol, date, timing, round(gap, 6) AS gap, CASE WHEN close IS NULL THEN 'no bar' WHEN gap IS NULL THEN 'no neighbour' END AS warning FROM gaps")
@@ -45,10 +62,10 @@ _add("j04_earnings_trend", lambda s, d: e.earnings_trend(bars(s, d), earnings(s,
 _add(
     "a51_earnings_reaction",
     lambda s, d: e.earnings_reaction(bars(s, d), earnings(s, d)),
-    f"""{_GAP}, {_PRE}, s AS (SELECT gaps.symbol, gaps.date, 0.25 * coalesce(greatest(0, least(100, abs(gap) / 0.1 * 100)), 0) * (gap IS NOT NULL)::INT + 0.3 * coalesce(greatest(0, least(100, pt / 0.2 * 100)), 0) * (pt IS NOT NULL)::INT
-        + 0.2 * coalesce(greatest(0, least(100, (vt - 0.5) / 1.5 * 100)), 0) * (vt IS NOT NULL)::INT + 0.15 * coalesce(greatest(0, least(100, d200 / 0.2 * 100)), 0) * (d200 IS NOT NULL)::INT
-        + 0.1 * coalesce(greatest(0, least(100, d50 / 0.1 * 100)), 0) * (d50 IS NOT NULL)::INT AS score FROM gaps LEFT JOIN t ON gaps.symbol = t.symbol AND gaps.date = t.date)
-    SELECT symbol, date, round(score, 6) AS score, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 55 THEN 'C' ELSE 'D' END AS grade FROM s""",
+    f"""{_GAP}, {_PRE}, v AS (SELECT gaps.symbol, gaps.date, {", ".join(f"({_ladder_sql(x, *e.REACTION_LADDERS[c])})::DOUBLE AS {c}" for c, x in (("gap", "round(abs(gap) * 100, 9)"), ("trend", "round(pt * 100, 9)"), ("volume", "round(vt, 9)"), ("ma200", "round(d200 * 100, 9)"), ("ma50", "round(d50 * 100, 9)")))}
+        FROM gaps LEFT JOIN t ON gaps.symbol = t.symbol AND gaps.date = t.date),
+    s AS (SELECT *, round({" + ".join(f"{c} * {w}::DOUBLE" for c, w in e.REACTION.items())}, 1) AS score, [{", ".join(e.REACTION)}] AS l FROM v)
+    SELECT symbol, date, score, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 55 THEN 'C' ELSE 'D' END AS grade, {[*e.REACTION]}[list_position(l, list_min(l))] AS weakest, {[*e.REACTION]}[list_position(l, list_max(l))] AS strongest FROM s""",
 )
 _add(
     "j05_nearest_earnings",

@@ -67,11 +67,13 @@ _add(
 )
 _add(
     "w12_trend_template",
-    lambda b: f.trend_template(b).select("symbol", "date", "raw_score"),
+    lambda b: f.trend_template(b).drop("close", "criteria"),
     f"""x AS (SELECT *, {_mean('close', 50)} AS a, {_mean('close', 150)} AS b, {_mean('close', 200)} AS c, max(high) OVER f252 AS hi, min(low) OVER f252 AS lo FROM bars {_frames(50, 150, 200, 252)}),
     y AS (SELECT *, lag(c, 22) OVER w AS c22 FROM x {_frames(2)})
-    SELECT symbol, date, round(least(14.3 * (coalesce(close > b AND close > c, false)::INT + coalesce(b > c, false)::INT + coalesce(c > c22, false)::INT + coalesce(a > b AND a > c, false)::INT
-        + coalesce(close > a, false)::INT + (close >= lo * 1.25)::INT + (close >= hi * 0.75)::INT), 100), 1)::DOUBLE AS raw_score FROM y""",
+    , z AS (SELECT symbol, date, round((close - a) / a * 100, 9) AS near, round((close - c) / c * 100, 9) AS far, round(least(14.3 * (coalesce(close > b AND close > c, false)::INT + coalesce(b > c, false)::INT + coalesce(c > c22, false)::INT + coalesce(a > b AND a > c, false)::INT
+        + coalesce(close > a, false)::INT + (close >= lo * 1.25)::INT + (close >= hi * 0.75)::INT), 100), 1)::DOUBLE AS raw_score FROM y),
+    q AS (SELECT *, CASE WHEN near >= 25 THEN -20 WHEN near >= 18 THEN -15 WHEN near >= 12 THEN -10 WHEN near >= 8 THEN -5 ELSE 0 END AS ep, CASE WHEN far >= 70 THEN -20 WHEN far >= 60 THEN -15 WHEN far > 50 THEN -10 ELSE 0 END AS lp FROM z)
+    SELECT symbol, date, raw_score, ep::BIGINT AS extended_penalty, lp::BIGINT AS sma200_penalty, round(greatest(0, raw_score + ep), 1)::DOUBLE AS score FROM q""",
 )
 _add(
     "w13_multi_period_return",

@@ -56,8 +56,9 @@ _add("j20_unmatched", lambda s, d: c.unmatched(table(s, d, "part").select("p_typ
 _add("j08_news_reaction", lambda s, d: c.news_reaction(table(s, d, "customer").select(F.col("c_custkey").alias("symbol"), (F.col("c_acctbal") / 100000).alias("reaction")), table(s, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("symbol"), F.col("c_mktsegment").alias("segment")), 50), "SELECT c_custkey AS symbol, round(c_acctbal / 100000, 6) AS reaction, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS segment, round(70 * least(1, abs(c_acctbal / 100000) / 0.12::DOUBLE) + 20, 2) AS score FROM customer ORDER BY abs(c_acctbal / 100000) DESC, symbol LIMIT 50")
 _add("h09_trend_trades", lambda s, d: c.trend_trades(bars(s, d)), f"""WITH {BARS}, x AS (SELECT *, coalesce(close > CASE WHEN count(*) OVER a = 20 THEN avg(close) OVER a END, false) AS "on", lead(close) OVER w AS nx, lead(date) OVER w AS nd FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date), a AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING)),
     y AS (SELECT *, sum((NOT "on")::INT) OVER w AS g FROM x {_W}) SELECT symbol, min(date) AS entry, arg_max(coalesce(nd, date), date) AS "exit", round(arg_max(coalesce(nx, close), date) / arg_min(close, date) - 1, 6) AS ret FROM y WHERE "on" GROUP BY symbol, g""", ("entry", "exit"))
-_add("w27_power_trend", lambda s, d: c.power_trend(bars(s, d)), f"""WITH {BARS}, x AS (SELECT *, CASE WHEN count(*) OVER a = 21 THEN avg(close) OVER a END AS s, CASE WHEN count(*) OVER b = 50 THEN avg(close) OVER b END AS m FROM bars WINDOW a AS (PARTITION BY symbol ORDER BY date ROWS 20 PRECEDING), b AS (PARTITION BY symbol ORDER BY date ROWS 49 PRECEDING))
-    SELECT symbol, date, coalesce(s > m AND m > lag(m, 5) OVER w AND close > s, false) AS power FROM x {_W}""", ("date",))
+_add("w27_power_trend", lambda s, d: c.power_trend(bars(s, d)), f"""WITH {BARS}, i AS (SELECT symbol, date, close, row_number() OVER w AS i, avg(close) OVER a AS seed, CASE WHEN count(*) OVER b = 50 THEN avg(close) OVER b END AS m FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date), a AS (PARTITION BY symbol ORDER BY date ROWS 20 PRECEDING), b AS (PARTITION BY symbol ORDER BY date ROWS 49 PRECEDING)),
+    e AS (SELECT *, pow(10 / 11::DOUBLE, i - 21) * (max(seed) FILTER (i = 21) OVER (PARTITION BY symbol) + coalesce(sum(close / 11 / pow(10 / 11::DOUBLE, i - 21)) FILTER (i > 21) OVER (PARTITION BY symbol ORDER BY date), 0)) AS s FROM i)
+    SELECT symbol, date, coalesce(i >= 21 AND s > m AND m > lag(m, 5) OVER w AND close > s, false) AS power FROM e {_W}""", ("date",))
 _add("w26_gap_downs", lambda s, d: c.gap_downs(bars(s, d)), f"WITH {BARS}, x AS (SELECT symbol, date, coalesce(open / lag(close) OVER w - 1 <= -0.005 AND volume > 1.1::DOUBLE * lag(volume) OVER w, false)::INT AS h FROM bars {_W}) SELECT symbol, date, CAST(sum(h) OVER (PARTITION BY symbol ORDER BY date ROWS 4 PRECEDING) AS BIGINT) AS gap_downs FROM x", ("date",))
 _DET = """n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS bar FROM bars),
     q AS (SELECT symbol, date, count(*) OVER b = 3 AND count(*) OVER a = 3 AND high > max(high) OVER b AND high > max(high) OVER a AS hi FROM bars WINDOW b AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)),

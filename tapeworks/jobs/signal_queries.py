@@ -15,7 +15,7 @@ from tapeworks.operators import folds, income
 from tapeworks.operators import regime as r
 from tapeworks.operators import signals as g
 from tapeworks.operators import textchecks as t
-from tapeworks.operators.features import sma
+from tapeworks.operators.features import frame, sma
 from tapeworks.sources import bars as src
 from tapeworks.streaming import intraday as live
 
@@ -146,10 +146,14 @@ _POS = """lines AS (SELECT l_orderkey AS position, l_returnflag AS f, CAST(l_shi
 pos AS (SELECT position, min(f) AS kind, sum(q * price) - sum(q) * avg(price) AS pnl, (sum(q * price) - sum(q) * avg(price)) / (sum(q) * avg(price)) * 100 AS pnl_pct, date_diff('day', min(date), max(date)) AS days FROM lines GROUP BY position)"""
 _add("a39_position_outcomes", lambda s, d: g.position_outcomes(_fills(s, d)).select("position", "kind", F.round("pnl_pct", 4).alias("pnl_pct"), "days"), f"WITH {_POS} SELECT position, kind, round(pnl_pct, 4) + 0.0 AS pnl_pct, days FROM pos")
 _add("a39_outcome_stats", lambda s, d: g.outcome_stats(g.position_outcomes(_fills(s, d)).withColumn("pnl", F.round("pnl", 4))), f"WITH {_POS} SELECT kind, count(*) AS n, round(avg(CASE WHEN round(pnl, 4) > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(avg(pnl_pct), 6) AS mean_pct, round(avg(days), 6) AS mean_days, CAST(grouping(kind) AS BIGINT) AS level FROM pos GROUP BY ROLLUP (kind)")
-_add("a40_backtest_quality", lambda s, d: g.backtest_quality(outcomes(s, d).select(F.col("skill").alias("strategy"), F.col("signal_id").alias("at"), F.col("ret5").alias("pnl"))), f"""WITH {OUTCOMES}, e AS (SELECT skill AS strategy, ret5 AS pnl, sum(ret5) OVER w AS eq, signal_id FROM outcomes WINDOW w AS (PARTITION BY skill ORDER BY signal_id ROWS UNBOUNDED PRECEDING)),
-    q AS (SELECT *, greatest(0, max(eq) OVER (PARTITION BY strategy ORDER BY signal_id ROWS UNBOUNDED PRECEDING)) - eq AS dd FROM e)
-    SELECT strategy, count(*) AS n, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(avg(pnl), 6)::DOUBLE AS expectancy, round(sum(pnl) FILTER (pnl > 0) / -sum(pnl) FILTER (pnl < 0), 6)::DOUBLE AS profit_factor, round(max(dd), 6)::DOUBLE AS max_drawdown,
-    CASE WHEN count(*) >= 100 AND sum(pnl) FILTER (pnl > 0) / -sum(pnl) FILTER (pnl < 0) >= 1.5 THEN 'DEPLOY' WHEN avg(pnl) > 0 THEN 'REFINE' ELSE 'ABANDON' END AS verdict FROM q GROUP BY strategy""")
+_add("a40_backtest_quality", lambda s, d: g.backtest_quality(outcomes(s, d).select(F.col("skill").alias("strategy"), F.col("signal_id").alias("at"), "date", (F.col("ret5") * 100).alias("pnl")), 5, True), f"""WITH {OUTCOMES}, e AS (SELECT skill AS strategy, date, ret5 * 100 AS pnl, sum(ret5 * 100) OVER w AS eq, signal_id FROM outcomes WINDOW w AS (PARTITION BY skill ORDER BY signal_id ROWS UNBOUNDED PRECEDING)),
+    q AS (SELECT *, greatest(0, max(eq) OVER (PARTITION BY strategy ORDER BY signal_id ROWS UNBOUNDED PRECEDING)) - eq AS dd FROM e),
+    m AS (SELECT strategy, count(*) AS n, 100.0::DOUBLE * count(*) FILTER (pnl > 0) / count(*) AS wr, coalesce(avg(pnl) FILTER (pnl > 0), 0) AS aw, coalesce(-avg(pnl) FILTER (pnl <= 0), 0) AS al, max(dd) AS dd, date_diff('day', min(date), max(date)) // 365 AS yr FROM q GROUP BY strategy),
+    x AS (SELECT *, round(wr / 100 * aw - (1 - wr / 100) * al, 9) AS ex, CASE WHEN (1 - wr / 100) * al <> 0 THEN round(wr / 100 * aw / ((1 - wr / 100) * al), 9) END AS pf, round(dd, 9) AS d9 FROM m),
+    s AS (SELECT *, CASE WHEN n < 30 THEN 0 WHEN n < 100 THEN 8 + floor((n - 30) / 70 * 7) WHEN n < 200 THEN 15 + floor((n - 100) / 100 * 5) ELSE 20 END AS s1, CASE WHEN ex <= 0 THEN 0 WHEN ex < 0.5 THEN 5 + floor(ex / 0.5 * 5) WHEN ex < 1.5 THEN 10 + floor((ex - 0.5) * 8) ELSE 20 END AS s2,
+        CASE WHEN d9 >= 50 THEN 0 ELSE least(20, CASE WHEN d9 < 20 THEN 12 ELSE floor(12 * (50 - d9) / 30) END + CASE WHEN pf IS NULL OR pf >= 3 THEN 8 WHEN pf < 1 THEN 0 ELSE floor((pf - 1) / 2 * 8) END) END AS s3, least(20, CASE WHEN yr < 5 THEN 0 WHEN yr >= 10 THEN 15 ELSE 5 + floor((yr - 5) / 5 * 10) END + 3) AS s4, 20 AS s5 FROM x)
+    SELECT strategy, n, round(wr, 6) AS win_rate, round(ex, 6) AS expectancy, round(pf, 6) AS profit_factor, round(dd, 6) AS max_drawdown, yr AS years, s1::BIGINT AS sample, s2::BIGINT AS expectancy_score, s3::BIGINT AS risk, s4::BIGINT AS robustness, s5::BIGINT AS realism, (s1 + s2 + s3 + s4 + s5)::BIGINT AS total,
+        CASE WHEN s1 + s2 + s3 + s4 + s5 >= 70 THEN 'Deploy' WHEN s1 + s2 + s3 + s4 + s5 >= 40 THEN 'Refine' ELSE 'Abandon' END AS verdict, array_to_string(list_filter([CASE WHEN n < 30 THEN 'small_sample' END, CASE WHEN dd > 50 THEN 'excessive_drawdown' END, CASE WHEN yr < 5 THEN 'short_test_period' END, CASE WHEN ex < 0 THEN 'negative_expectancy' END, CASE WHEN wr > 90 AND dd < 5 THEN 'too_good' END], lambda z: z IS NOT NULL), ',') AS red_flags FROM s""")
 _add("k02_top_bottom", lambda s, d: g.top_bottom(table(s, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey", 10), """WITH a AS (SELECT c_custkey, c_acctbal, 'top' AS "end" FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10), b AS (SELECT c_custkey, c_acctbal, 'bottom' AS "end" FROM customer ORDER BY c_acctbal, c_custkey DESC LIMIT 10)
     SELECT * FROM a UNION ALL SELECT * FROM b WHERE c_custkey NOT IN (SELECT c_custkey FROM a)""")
 _add("k06_merge_and_rank", lambda s, d: g.merge_and_rank(table(s, d, "orders").withColumn("sym", F.col("o_custkey") % 97), "sym", "o_totalprice", "o_orderstatus", 20), "SELECT o_custkey % 97 AS sym, max(o_totalprice) AS o_totalprice, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS sources FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
@@ -168,7 +172,10 @@ def _series(s: SparkSession, d: str) -> DataFrame:
 
 _add("w34_history_percentile", lambda s, d: b.history_percentile(_series(s, d).where("raw is not null"), "raw", True), f"WITH {_BS}, l AS (SELECT arg_max(raw, date) AS x FROM sx WHERE raw IS NOT NULL) SELECT round(max(x), 6) AS latest, round(avg(CASE WHEN raw < x THEN 1.0 WHEN raw = x THEN 0.5 ELSE 0.0 END) * 100, 6)::DOUBLE AS pct FROM sx, l WHERE raw IS NOT NULL")
 _add("w35_pink_zone", lambda s, d: b.pink_zone(_series(s, d)), f"WITH {_BS}, f AS (SELECT date, coalesce(trend = -1 AND round(ma8, 9) < round(ma200, 9), false) AS f FROM sy), q AS (SELECT *, sum((NOT f)::INT) OVER (ORDER BY date) AS g FROM f) SELECT date, CAST(sum(f::INT) OVER (PARTITION BY g ORDER BY date) AS BIGINT) AS streak FROM q", ("date",))
-_add("w37_level_and_gap", lambda s, d: b.level_and_gap(_series(s, d)).select("date", "gap"), f"WITH {_BS} SELECT date, round(coalesce(least(100, greatest(0, (ma8 - ma200 + 0.2) / 0.4 * 100)), 0) * (ma8 IS NOT NULL)::INT, 6)::DOUBLE AS gap FROM sy", ("date",))
+_add("w37_level_and_gap", lambda s, d: b.level_and_gap(_series(s, d)), f"""WITH {_BS}, r AS (SELECT date, trend, round(ma8, 9) AS m, round(ma200, 9) AS l, lag(round(ma8, 9), 5) OVER (ORDER BY date) AS o FROM sy), g AS (SELECT *, round(m - l, 9) AS gp FROM r)
+    SELECT date, greatest(0, least(100, round_even(0.7 * CASE WHEN m >= 0.7 THEN 95 WHEN m >= 0.6 THEN 80 WHEN m >= 0.5 THEN 65 WHEN m >= 0.4 THEN 50 WHEN m >= 0.3 THEN 35 WHEN m >= 0.2 THEN 20 ELSE 5 END + 0.3 * CASE trend WHEN 1 THEN 80 ELSE 20 END, 0)
+        + CASE WHEN m < o AND m > 0.6 THEN -10 WHEN m < o AND m < 0.4 THEN 5 WHEN m > o AND m < 0.6 THEN 5 ELSE 0 END))::DOUBLE + CASE WHEN m IS NULL THEN NULL ELSE 0 END AS level,
+        (CASE WHEN o IS NULL THEN 50 WHEN gp IS NOT NULL THEN greatest(0, least(100, CASE WHEN gp >= 0.15 THEN 95 WHEN gp >= 0.1 THEN 80 WHEN gp >= 0.05 THEN 65 WHEN gp >= 0 THEN 50 WHEN gp >= -0.05 THEN 35 WHEN gp >= -0.1 THEN 20 ELSE 5 END + CASE WHEN gp < 0 AND m > o THEN 10 WHEN gp > 0 AND m <= o THEN -10 ELSE 0 END)) END)::DOUBLE AS gap FROM g""", ("date",))
 _add("w36_cycle_position", lambda s, d: b.cycle_position(_series(s, d)))
 _add("w38_divergence", lambda s, d: b.divergence(_series(s, d)).withColumn("divergence", F.round("divergence", 4)), f"""WITH {_BS}, i AS (SELECT *, exp(sum(ln(1 + coalesce(mr, 0))) OVER (ORDER BY date)) AS idx FROM sy)
     SELECT date, round(0.6::DOUBLE * ((ma8 - lag(ma8, 59) OVER w) - (idx / lag(idx, 59) OVER w - 1) / 10) + 0.4::DOUBLE * ((ma8 - lag(ma8, 19) OVER w) - (idx / lag(idx, 19) OVER w - 1) / 10), 4) AS divergence FROM i WINDOW w AS (ORDER BY date)""", ("date",))
@@ -189,15 +196,23 @@ _add("a22_weighted_component_score", lambda s, d: b.weighted_score(_components(s
     SELECT date, round(c, 6)::DOUBLE AS composite, CASE WHEN c >= 80 THEN 'Strong' WHEN c >= 60 THEN 'Healthy' WHEN c >= 40 THEN 'Neutral' WHEN c >= 20 THEN 'Weak' ELSE 'Critical' END AS zone FROM q""", ("date",))
 _add("a43_signal_convergence", lambda s, d: b.signal_convergence(_components(s, d), ["level", "trend", "calm"]))
 _add("a42_exposure", lambda s, d: b.exposure(_components(s, d), {"level": 0.5, "trend": 0.3, "calm": 0.2}, ["trend"]))
-_SECT = f"{BARS}, sr AS (SELECT date, substr(symbol, 1, 7) AS sector, avg((close > open)::INT) AS ratio, avg(close) > avg(open) AS up FROM bars GROUP BY 1, 2)"
+_SECT = f"{BARS}, sr AS (SELECT date, symbol AS sector, avg(CASE WHEN close > open THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY symbol ORDER BY date ROWS 9 PRECEDING) AS ratio, close > open AS up FROM bars)"
+_SIDES = {**dict.fromkeys(("Brand#1", "Brand#2", "Brand#3", "Brand#11", "Brand#12"), "cyclical"), **dict.fromkeys(("Brand#4", "Brand#5", "Brand#13", "Brand#14"), "defensive"), **dict.fromkeys(("Brand#6", "Brand#15"), "commodity")}
 
 
 def _sectors(s: SparkSession, d: str) -> DataFrame:
-    return bars(s, d).groupBy("date", F.substring("symbol", 1, 7).alias("sector")).agg(F.avg((F.col("close") > F.col("open")).cast("double")).alias("ratio"), (F.avg("close") > F.avg("open")).alias("up"))
-
-
-_add("a24_sector_participation", lambda s, d: b.sector_participation(_sectors(s, d)), f"WITH {_SECT} SELECT date, round(0.6 * avg(CASE WHEN up THEN 100.0 ELSE 0 END) + 0.4 * (100 - least(100, (max(ratio) - min(ratio)) * 100)), 6)::DOUBLE AS score, count(*) FILTER (ratio > 0.37) AS overbought, count(*) FILTER (ratio < 0.097) AS oversold FROM sr GROUP BY date", ("date",))
-_add("a23_sector_groups", lambda s, d: b.sector_groups(_sectors(s, d), {"Brand#1": "cyclical", "Brand#2": "defensive"}), f"WITH {_SECT} SELECT date, round(avg(ratio) FILTER (sector = 'Brand#1'), 6) AS cyclical, round(avg(ratio) FILTER (sector = 'Brand#2'), 6) AS defensive, round(avg(ratio) FILTER (sector = 'Brand#1') - avg(ratio) FILTER (sector = 'Brand#2'), 6) AS difference, round(stddev_pop(ratio), 6) AS sd, stddev_pop(ratio) > 0.08 AS divergent FROM sr GROUP BY date", ("date",))
+    """A brand is a sector: its share of rising bars among the last ten."""
+    up = F.col("close") > F.col("open")
+    return bars(s, d).select("date", F.col("symbol").alias("sector"), F.avg(F.when(up, 1.0).otherwise(0.0)).over(frame(10)).alias("ratio"), up.alias("up"))
+
+
+_add("a24_sector_participation", lambda s, d: b.sector_participation(_sectors(s, d)), f"""WITH {_SECT}, q AS (SELECT date, count(*) FILTER (up) AS up, round(max(ratio) - min(ratio), 9) AS x, count(*) FILTER (ratio > 0.37) AS overbought, count(*) FILTER (ratio < 0.097) AS oversold FROM sr GROUP BY date)
+    SELECT date, round_even(round(0.6::DOUBLE * CASE WHEN up >= 10 THEN 100 WHEN up >= 8 THEN 80 WHEN up >= 6 THEN 60 WHEN up >= 4 THEN 40 WHEN up >= 2 THEN 20 ELSE 0 END + 0.4::DOUBLE * CASE WHEN x < 0.15 THEN 100 WHEN x < 0.25 THEN 100 - (x - 0.15) / 0.1 * 20 WHEN x < 0.35 THEN 80 - (x - 0.25) / 0.1 * 20 WHEN x < 0.45 THEN 60 - (x - 0.35) / 0.1 * 30 ELSE greatest(0, 30 - (x - 0.45) / 0.1 * 30) END, 9), 0)::BIGINT AS score, up, overbought, oversold FROM q""", ("date",))
+_add("a23_sector_groups", lambda s, d: b.sector_groups(_sectors(s, d), _SIDES), f"""WITH {_SECT}, m AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in _SIDES.items())}) v(sector, g)),
+    p AS (SELECT date, g, avg(ratio) AS mean, n >= 2 AND g <> 'commodity' AND (round(stddev_pop(ratio), 9) > 0.08 OR round(max(ratio) - min(ratio), 9) > 0.2 OR (bool_or(up) AND NOT bool_and(up))) AS dv FROM (SELECT sr.*, g, count(*) OVER (PARTITION BY date, g) AS n FROM sr JOIN m USING (sector)) GROUP BY date, g, n),
+    q AS (SELECT date, max(mean) FILTER (g = 'cyclical') AS c, max(mean) FILTER (g = 'defensive') AS f, max(mean) FILTER (g = 'commodity') AS o, bool_or(dv) AS divided FROM p GROUP BY date), r AS (SELECT *, round(c - f, 9) AS x, round(o - greatest(c, f), 9) AS ld FROM q)
+    SELECT date, round(c, 6) AS cyclical, round(f, 6) AS defensive, round(o, 6) AS commodity, round(x, 6) AS difference, coalesce(ld > 0, false) AS late_cycle, divided, (CASE WHEN x IS NULL THEN 50 ELSE round_even(round(least(100, greatest(0, CASE WHEN x > 0.15 THEN least(100, 90 + (x - 0.15) / 0.1 * 10) WHEN x > 0.05 THEN 70 + (x - 0.05) / 0.1 * 19 WHEN x > -0.05 THEN 45 + (x + 0.05) / 0.1 * 24 WHEN x > -0.15 THEN 20 + (x + 0.15) / 0.1 * 24 ELSE greatest(0, 19 + (x + 0.15) / 0.1 * 19) END
+        + CASE WHEN ld > 0.1 THEN -10 WHEN ld > 0 THEN -5 ELSE 0 END + CASE WHEN divided THEN -5 ELSE 0 END)), 9), 0) END)::BIGINT AS score FROM r""", ("date",))
 _LIB = (("euphoria", 90.0, 90.0), ("mixed", 50.0, 60.0), ("panic", 10.0, 20.0))
 _add("a44_nearest_pattern", lambda s, d: b.nearest_pattern(_components(s, d).where("level is not null and trend is not null"), s.createDataFrame(_LIB, "name string, level double, trend double"), {"level": 1.0, "trend": 0.5}), f"""WITH {_COMP}, lib AS (SELECT * FROM (VALUES ('euphoria', 90.0, 90.0), ('mixed', 50.0, 60.0), ('panic', 10.0, 20.0)) v(name, l, t)),
     q AS (SELECT date, name, pow(level - l, 2) + pow(trend - t, 2) * 0.5 AS dist FROM cp, lib WHERE level IS NOT NULL AND trend IS NOT NULL) SELECT date, arg_min(name, (dist, name)) AS match, round(min(dist), 6)::DOUBLE AS distance FROM q GROUP BY date""", ("date",))

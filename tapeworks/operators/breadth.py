@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tapeworks.functions.scalars import clamp, interpolated, linear_score
+from tapeworks.functions.scalars import clamp, step_score
 
 def by_date() -> WindowSpec:
     return Window.orderBy("date")
@@ -43,12 +43,23 @@ def pink_zone(series: DataFrame) -> DataFrame:
     return run_length(series, (F.col("trend") == -1) & (F.round("ma8", 9) < F.round("ma200", 9)), "streak").select("date", "streak")
 
 
+#: Ladders of the short mean's level and of its gap over the long mean.
+LEVELS = [(0.7, 95), (0.6, 80), (0.5, 65), (0.4, 50), (0.3, 35), (0.2, 20)]
+GAPS = [(0.15, 95), (0.10, 80), (0.05, 65), (0.0, 50), (-0.05, 35), (-0.10, 20)]
+
+
 def level_and_gap(series: DataFrame) -> DataFrame:
-    """Level score (short mean 70 %, trend 30 %, +-5 by its five-row direction) and score of the means' gap."""
-    step = F.signum(F.col("ma8") - F.lag("ma8", 5).over(by_date()))
-    level = 0.7 * interpolated(F.col("ma8"), ((0.2, 0), (0.4, 30), (0.5, 50), (0.6, 70), (0.8, 100))) + F.when(F.col("trend") == 1, 30).otherwise(0) + 5 * F.coalesce(step, F.lit(0.0))
-    gap = linear_score(F.col("ma8") - F.col("ma200"), -0.2, 0.2)
-    return series.select("date", clamp(level, 0.0, 100.0).alias("level"), gap.alias("gap"))
+    """level: the short mean's ladder 70 %, the long mean's trend 30 % (80 up, 20 down), and what its move over five rows
+    changes; gap: the ladder of both means' gap, 10 more for a recovery below, 10 less for a decline above (50 before
+    the sixth row). Values are compared at nine decimals."""
+    short, long = F.round("ma8", 9), F.round("ma200", 9)
+    old = F.lag(short, 5).over(by_date())
+    turn = F.when((short < old) & (short > 0.6), -10).when((short < old) & (short < 0.4), 5).when((short > old) & (short < 0.6), 5).otherwise(0)
+    level = F.bround(0.7 * step_score(short, LEVELS, 5) + 0.3 * F.when(F.col("trend") == 1, 80).otherwise(20)) + turn
+    gap = F.round(short - long, 9)
+    mend = F.when((gap < 0) & (short > old), 10).when((gap > 0) & ~(short > old), -10).otherwise(0)
+    gapped = F.when(old.isNull(), 50.0).otherwise(clamp(step_score(gap, GAPS, 5) + mend, 0.0, 100.0))
+    return series.select("date", clamp(level, 0.0, 100.0).alias("level"), gapped.alias("gap"))
 
 
 def divergence(series: DataFrame, long: int = 60, short: int = 20) -> DataFrame:
@@ -104,18 +115,37 @@ def weighted_score(rows: DataFrame, weights: dict[str, float], renormalise: bool
 
 
 def sector_participation(rows: DataFrame, over: float = 0.37, under: float = 0.097) -> DataFrame:
-    """By date from (date, sector, ratio, up): share of sectors up 60 %, evenness of ratios 40 %, extreme sectors."""
-    spread = F.max("ratio") - F.min("ratio")
-    score = 0.6 * F.avg(F.when(F.col("up"), 100.0).otherwise(0.0)) + 0.4 * (100 - clamp(spread * 100, 0.0, 100.0))
-    return rows.groupBy("date").agg(score.alias("score"), F.count_if(F.col("ratio") > over).alias("overbought"), F.count_if(F.col("ratio") < under).alias("oversold"))
+    """By date from (date, sector, ratio, up): ladder of the number of sectors up 60 %, of the ratios' spread 40 % (50
+    without ratios), and how many sectors are extreme."""
+    up = F.count_if(F.col("up"))
+    count = F.when(up >= 10, 100).when(up >= 8, 80).when(up >= 6, 60).when(up >= 4, 40).when(up >= 2, 20).otherwise(0)
+    x = F.round(F.max("ratio") - F.min("ratio"), 9)
+    spread = F.when(x.isNull(), 50.0).when(x < 0.15, 100.0).when(x < 0.25, 100 - (x - 0.15) / 0.10 * 20).when(x < 0.35, 80 - (x - 0.25) / 0.10 * 20).when(x < 0.45, 60 - (x - 0.35) / 0.10 * 30).otherwise(F.greatest(F.lit(0.0), 30 - (x - 0.45) / 0.10 * 30))
+    score = F.bround(F.round(0.6 * count + 0.4 * spread, 9)).cast("long")
+    return rows.groupBy("date").agg(score.alias("score"), up.alias("up"), F.count_if(F.col("ratio") > over).alias("overbought"), F.count_if(F.col("ratio") < under).alias("oversold"))
 
 
 def sector_groups(rows: DataFrame, groups: dict[str, str]) -> DataFrame:
-    """By date: mean ratio of the cyclical and defensive groups, their difference and the spread of sectors."""
+    """By date: mean ratio of the cyclical, defensive and commodity groups and the score of the first two's difference.
+
+    5 points off where commodities lead both (10 by over 0.10), and 5 where a group of two or more sectors is divided:
+    deviation over 0.08, spread over 0.20, or a sector against its group's majority (up on a tie). 50 without either
+    group. rows: date, sector, ratio, up; groups: sector -> cyclical, defensive or commodity."""
     side = F.element_at(F.create_map(*[F.lit(x) for kv in groups.items() for x in kv]), F.col("sector"))
-    rows = rows.withColumn("g", side)
-    c, d = F.avg(F.when(F.col("g") == "cyclical", F.col("ratio"))), F.avg(F.when(F.col("g") == "defensive", F.col("ratio")))
-    return rows.groupBy("date").agg(c.alias("cyclical"), d.alias("defensive"), (c - d).alias("difference"), F.stddev_pop("ratio").alias("sd"), (F.stddev_pop("ratio") > 0.08).alias("divergent"))
+    per = rows.withColumn("g", side).where("g is not null and ratio is not null").groupBy("date", "g").agg(
+        F.avg("ratio").alias("mean"), F.stddev_pop("ratio").alias("sd"), (F.max("ratio") - F.min("ratio")).alias("spread"), F.count("*").alias("n"), F.count_if(F.col("up")).alias("up"))
+    split = (F.col("g") != "commodity") & (F.col("n") >= 2) & ((F.round("sd", 9) > 0.08) | (F.round("spread", 9) > 0.20) | ((F.col("up") > 0) & (F.col("up") < F.col("n"))))
+    means = {g: F.max(F.when(F.col("g") == g, F.col("mean"))) for g in ("cyclical", "defensive", "commodity")}
+    out = per.groupBy("date").agg(*[c.alias(g) for g, c in means.items()], F.max(split).alias("divided"))
+    x = F.round(F.col("cyclical") - F.col("defensive"), 9)
+    base = (
+        F.when(x > 0.15, F.least(F.lit(100.0), 90 + (x - 0.15) / 0.10 * 10)).when(x > 0.05, 70 + (x - 0.05) / 0.10 * 19).when(x > -0.05, 45 + (x + 0.05) / 0.10 * 24)
+        .when(x > -0.15, 20 + (x + 0.15) / 0.10 * 24).otherwise(F.greatest(F.lit(0.0), 19 + (x + 0.15) / 0.10 * 19))
+    )
+    lead = F.round(F.col("commodity") - F.greatest("cyclical", "defensive"), 9)
+    late = F.when(lead > 0.10, -10).when(lead > 0, -5).otherwise(0)
+    score = F.when(x.isNull(), 50).otherwise(F.bround(F.round(clamp(base + late + F.when(F.col("divided"), -5).otherwise(0), 0.0, 100.0), 9)))
+    return out.select("date", "cyclical", "defensive", "commodity", x.alias("difference"), (F.coalesce(lead > 0, F.lit(False))).alias("late_cycle"), "divided", score.cast("long").alias("score"))
 
 
 def signal_convergence(rows: DataFrame, modules: list[str]) -> DataFrame:

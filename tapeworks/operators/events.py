@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.scalars import clamp, step_score, trading_days_between
+from tapeworks.functions.scalars import step_score, trading_days_between
 from tapeworks.operators.features import by, frame, full
 
 #: Periods in bars and their weights.
@@ -13,16 +13,52 @@ RS_PERIODS = ((63, 0.4), (126, 0.2), (189, 0.2), (252, 0.2))
 MULTI_PERIODS = ((63, 0.4), (126, 0.3), (252, 0.3))
 
 
+#: Weighted excess return in % and the score and rank that it earns.
+RS_LADDER = [(50, 100, 99), (30, 95, 95), (20, 90, 90), (10, 80, 80), (5, 70, 70), (0, 60, 60), (-5, 50, 50), (-10, 40, 40), (-20, 20, 25)]
+
+
 def relative_strength(bars: DataFrame, bench: DataFrame, periods: tuple[tuple[int, float], ...] = RS_PERIODS) -> DataFrame:
-    """Weighted excess return over a benchmark joined by date; weights of missing periods are dealt to the others."""
-    market = Window.partitionBy("symbol").orderBy("date")
-    rows = bars.join(bench, "date")
+    """Weighted excess return in % over a benchmark joined by date, its score and rank estimate.
+
+    A period of which more than half has passed counts from the first bar on, at half its weight; weights of periods
+    that are missing are dealt to the others. Without any the return is null, score and rank are 0.
+    """
+    w = Window.partitionBy("symbol").orderBy("date")
+    rows = bars.join(bench, "date").withColumn("_i", F.row_number().over(w)).withColumn("_c", F.first("close").over(w)).withColumn("_b", F.first("bench").over(w))
+
+    def change(now: str, then: Column) -> Column:
+        return F.when(then > 0, (F.col(now) - then) / then * 100).otherwise(0.0)
+
     total, weight = F.lit(0.0), F.lit(0.0)
-    for n, w in periods:
-        ex = F.col("close") / F.lag("close", n).over(market) - F.col("bench") / F.lag("bench", n).over(market)
-        total = total + F.coalesce(ex * w, F.lit(0.0))
-        weight = weight + F.when(ex.isNotNull(), w).otherwise(0.0)
-    return rows.select("symbol", "date", total.alias("_t"), weight.alias("_w")).select("symbol", "date", F.when(F.col("_w") > 0, F.col("_t") / F.col("_w")).alias("rs"))
+    for n, share in periods:
+        whole, some = F.col("_i") > n, F.col("_i") > n // 2
+        ex = F.when(whole, change("close", F.lag("close", n).over(w)) - change("bench", F.lag("bench", n).over(w))).otherwise(change("close", F.col("_c")) - change("bench", F.col("_b")))
+        mine = F.when(whole, share).when(some, share * 0.5).otherwise(0.0)
+        total, weight = total + ex * mine, weight + mine
+    rows = rows.select("symbol", "date", total.alias("_t"), weight.alias("_w")).withColumn("rs", F.when(F.col("_w") > 0, F.col("_t") / F.col("_w")))
+    score = step_score(F.col("rs"), [(x, y) for x, y, _ in RS_LADDER], 0, 0)
+    rank = step_score(F.col("rs"), [(x, z) for x, _, z in RS_LADDER], 10, 0)
+    return rows.select("symbol", "date", "rs", score.alias("score"), rank.alias("rank"))
+
+
+def multi_period_rs(bars: DataFrame, bench: DataFrame, periods: tuple[tuple[int, float], ...] = MULTI_PERIODS) -> DataFrame:
+    """Weighted return and excess return in % over the periods that each has, and rs: the excess, or without a
+    benchmark the return itself."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    rows = bars.join(bench, "date", "left")
+    own, ex = [], []
+    for n, share in periods:
+        mine = (F.col("close") / F.nullif(F.lag("close", n).over(w), F.lit(0.0)) - 1) * 100
+        own.append((mine, share))
+        ex.append((mine - (F.col("bench") / F.nullif(F.lag("bench", n).over(w), F.lit(0.0)) - 1) * 100, share))
+
+    def mean(parts: list[tuple[Column, float]]) -> Column:
+        total = sum((F.coalesce(c * s, F.lit(0.0)) for c, s in parts), F.lit(0.0))
+        weight = sum((F.when(c.isNotNull(), s).otherwise(0.0) for c, s in parts), F.lit(0.0))
+        return total / F.nullif(weight, F.lit(0.0))
+
+    rows = rows.select("symbol", "date", mean(own).alias("performance"), mean(ex).alias("relative"))
+    return rows.withColumn("rs", F.coalesce("relative", "performance"))
 
 
 def earnings_gap(bars: DataFrame, earnings: DataFrame) -> DataFrame:
@@ -41,17 +77,26 @@ def earnings_trend(bars: DataFrame, earnings: DataFrame) -> DataFrame:
     return earnings.join(rows, ["symbol", "date"]).select("symbol", "date", "pre_trend", "volume_trend")
 
 
+#: Weights of the reaction's components, and the ladders of their scores in %.
+REACTION = {"gap": 0.25, "trend": 0.30, "volume": 0.20, "ma200": 0.15, "ma50": 0.10}
+REACTION_LADDERS = {
+    "gap": ([(10, 100), (7, 85), (5, 70), (3, 55), (1, 35)], 15), "trend": ([(15, 100), (10, 85), (5, 70), (0, 50), (-5, 30)], 15), "volume": ([(2.0, 100), (1.5, 80), (1.2, 60), (1.0, 40)], 20),
+    "ma200": ([(20, 100), (10, 85), (5, 70), (0, 55), (-5, 35)], 15), "ma50": ([(10, 100), (5, 80), (0, 60), (-5, 35)], 15),
+}
+
+
 def earnings_reaction(bars: DataFrame, earnings: DataFrame) -> DataFrame:
-    """Score of each report: gap 25 %, trend before 30 %, volume 20 %, above the 200 day mean 15 %, above the 50 day 10 %."""
+    """Score of each report from its gap, the trend and volume before it and its place over the 200 and 50 bar means,
+    each by its ladder (0 where a value is missing); grade, weakest and strongest component (the first of equals)."""
     means = bars.select("symbol", "date", (F.col("close") / full(F.avg("close"), "close", 200) - 1).alias("d200"), (F.col("close") / full(F.avg("close"), "close", 50) - 1).alias("d50"))
     rows = earnings_gap(bars, earnings).join(earnings_trend(bars, earnings), ["symbol", "date"], "left").join(means, ["symbol", "date"], "left")
-
-    def up(x: Column, scale: float) -> Column:
-        return F.coalesce(clamp(x / scale * 100, 0.0, 100.0), F.lit(0.0))
-
-    score = 0.25 * up(F.abs(F.col("gap")), 0.1) + 0.3 * up(F.col("pre_trend"), 0.2) + 0.2 * up(F.col("volume_trend") - 0.5, 1.5) + 0.15 * up(F.col("d200"), 0.2) + 0.1 * up(F.col("d50"), 0.1)
-    rows = rows.withColumn("score", score)
-    return rows.select("symbol", "date", "score", F.when(F.col("score") >= 85, "A").when(F.col("score") >= 70, "B").when(F.col("score") >= 55, "C").otherwise("D").alias("grade"))
+    value = {"gap": F.abs("gap") * 100, "trend": F.col("pre_trend") * 100, "volume": F.col("volume_trend"), "ma200": F.col("d200") * 100, "ma50": F.col("d50") * 100}
+    rows = rows.select("symbol", "date", *[step_score(F.round(value[c], 9), *REACTION_LADDERS[c], 0).alias(c) for c in REACTION])
+    score = F.round(sum((F.col(c) * w for c, w in REACTION.items()), F.lit(0.0)), 1)
+    parts = F.array(*[F.struct(F.col(c).alias("s"), F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(REACTION)])
+    best = F.array(*[F.struct((-F.col(c)).alias("s"), F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(REACTION)])
+    rows = rows.withColumn("score", score).withColumn("weakest", F.array_min(parts)["c"]).withColumn("strongest", F.array_min(best)["c"])
+    return rows.select("symbol", "date", "score", F.when(F.col("score") >= 85, "A").when(F.col("score") >= 70, "B").when(F.col("score") >= 55, "C").otherwise("D").alias("grade"), "weakest", "strongest")
 
 
 def nearest_earnings(panel: DataFrame, earnings: DataFrame) -> DataFrame:

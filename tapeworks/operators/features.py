@@ -87,7 +87,8 @@ def latest(rows: DataFrame) -> DataFrame:
 
 
 def trend_template(bars: DataFrame, short: int = 50, middle: int = 150, long: int = 200, back: int = 22) -> DataFrame:
-    """Seven criteria of a rising trend, 14.3 points each, and their sum."""
+    """Seven criteria of a rising trend, 14.3 points each, their sum, and the score after the penalty for a close far
+    above the short mean; the penalty for one far above the long mean is reported only."""
     rows = bars
     for k, n in (("s", short), ("m", middle), ("l", long)):
         rows = rows.withColumn(f"_{k}", full(F.avg("close"), "close", n))
@@ -99,7 +100,11 @@ def trend_template(bars: DataFrame, short: int = 50, middle: int = 150, long: in
     ]
     flags = [F.coalesce(t, F.lit(False)) for t in tests]
     score = sum((F.when(f, 14.3).otherwise(0.0) for f in flags), F.lit(0.0))
-    return rows.select("symbol", "date", "close", F.array(*flags).alias("criteria"), F.round(F.least(score, F.lit(100.0)), 1).alias("raw_score"))
+    near, far = (F.round((c - F.col(m)) / F.col(m) * 100, 9) for m in ("_s", "_l"))
+    extended = F.coalesce(F.when(near >= 25, -20).when(near >= 18, -15).when(near >= 12, -10).when(near >= 8, -5), F.lit(0))
+    long_extended = F.coalesce(F.when(far >= 70, -20).when(far >= 60, -15).when(far > 50, -10), F.lit(0))
+    raw = F.round(F.least(score, F.lit(100.0)), 1)
+    return rows.select("symbol", "date", "close", F.array(*flags).alias("criteria"), raw.alias("raw_score"), extended.alias("extended_penalty"), long_extended.alias("sma200_penalty"), F.round(F.greatest(F.lit(0.0), raw + extended), 1).alias("score"))
 
 
 def period_return(bars: DataFrame, n: int, both_ends: bool = False) -> DataFrame:

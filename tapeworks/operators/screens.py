@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.operators.features import by, frame, full
+from tapeworks.operators.folds import fold
+from tapeworks.operators.ordered import numbered
 
 
 def prefilter_quote(quotes: DataFrame, price: float = 10.0, volume: float = 200_000.0, above: float = 0.2, below: float = 0.3) -> DataFrame:
@@ -77,9 +79,9 @@ def dedupe_share_classes(profiles: DataFrame) -> DataFrame:
 
 def cap_synthetic(tickets: DataFrame, ratio: float = 0.5, least: int = 3) -> DataFrame:
     """Synthetic rows, best first, up to max(ceil(real * ratio), least) per group; all real rows."""
-    w = Window.partitionBy("grp", "synthetic").orderBy(F.desc("priority"), "id")
-    rows = tickets.withColumn("_k", F.row_number().over(w)).withColumn("_r", F.sum((~F.col("synthetic")).cast("int")).over(Window.partitionBy("grp")))
-    return rows.where(~F.col("synthetic") | (F.col("_k") <= F.greatest(F.ceil(F.col("_r") * ratio), F.lit(least)))).drop("_k", "_r")
+    real = tickets.groupBy("grp").agg(F.count_if(~F.col("synthetic")).alias("_r"))
+    rows = numbered(tickets, ["grp", "synthetic"], [F.desc("priority"), F.col("id")], "_k").join(real, "grp")
+    return rows.where(~F.col("synthetic") | (F.col("_k") <= F.greatest(F.ceil(F.col("_r") * ratio), F.lit(least)))).drop("_k", "_r", "_size")
 
 
 def rank_composite(rows: DataFrame, weights: dict[str, float], group: str) -> DataFrame:
@@ -95,11 +97,10 @@ def rank_composite(rows: DataFrame, weights: dict[str, float], group: str) -> Da
 
 
 def sector_strength(rows: DataFrame, ret: str) -> DataFrame:
-    """Rank of a return in its sector as (n - rank) / n * 100; leaders from 80."""
-    w = Window.partitionBy("sector")
-    n = F.count(ret).over(w)
-    x = (n - F.rank().over(w.orderBy(F.desc(ret)))) / n * 100
-    return rows.select("symbol", "sector", x.alias("strength"), (x >= 80).alias("leader"))
+    """Rank of a return in its sector as (n - rank) / n * 100 over rows that have one; leaders from 80."""
+    ranked = numbered(rows.where(F.col(ret).isNotNull()), ["sector"], [F.desc(ret)], "_k", ranked=True)
+    x = (F.col("_size") - F.col("_k")) / F.col("_size") * 100
+    return ranked.select("symbol", "sector", x.alias("strength"), (x >= 80).alias("leader"))
 
 
 def score_trend(history: DataFrame, n: int = 5) -> DataFrame:
@@ -151,10 +152,10 @@ def trend_trades(bars: DataFrame, n: int = 20) -> DataFrame:
 
 
 def power_trend(bars: DataFrame) -> DataFrame:
-    """Close over the 21 bar mean over the rising 50 bar mean."""
-    s, m = full(F.avg("close"), "close", 21), full(F.avg("close"), "close", 50)
-    rows = bars.withColumn("s", s).withColumn("m", m)
-    return rows.select("symbol", "date", F.coalesce((F.col("s") > F.col("m")) & (F.col("m") > F.lag("m", 5).over(by())) & (F.col("close") > F.col("s")), F.lit(False)).alias("power"))
+    """Close over the 21 bar exponential mean, that over the 50 bar mean, and this one above its value five bars ago."""
+    means = fold(bars, "indicators").select("symbol", "date", F.col("ema21").alias("s"))
+    rows = bars.withColumn("m", full(F.avg("close"), "close", 50)).withColumn("m5", F.lag("m", 5).over(by())).join(means, ["symbol", "date"])
+    return rows.select("symbol", "date", F.coalesce((F.col("s") > F.col("m")) & (F.col("m") > F.col("m5")) & (F.col("close") > F.col("s")), F.lit(False)).alias("power"))
 
 
 def gap_downs(bars: DataFrame, gap: float = -0.005, times: float = 1.1, n: int = 5) -> DataFrame:

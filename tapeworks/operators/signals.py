@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.scalars import clamp, horizon_bucket, horizons_overlap, normalize_direction, ticker_array
+from tapeworks.operators.ordered import drawdowns
 
 SIGNAL_COLUMNS = ["signal_ref", "skill", "title", "raw_score", "tickers", "direction", "horizon", "ts"]
 
@@ -209,16 +210,33 @@ def outcome_stats(positions: DataFrame) -> DataFrame:
     return positions.rollup("kind").agg(F.count("*").alias("n"), F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.avg("pnl_pct").alias("mean_pct"), F.avg("days").alias("mean_days"), F.grouping_id().cast("int").alias("level"))
 
 
-def backtest_quality(trades: DataFrame) -> DataFrame:
-    """Per strategy from trades (strategy, at, pnl): win rate, means, expectancy, profit factor, largest drawdown, verdict."""
-    w = Window.partitionBy("strategy").orderBy("at")
-    rows = trades.withColumn("eq", F.sum("pnl").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("dd", F.greatest(F.lit(0.0), F.max("eq").over(w.rowsBetween(Window.unboundedPreceding, 0))) - F.col("eq"))
-    win, loss = F.col("pnl") > 0, F.col("pnl") < 0
-    lost = -F.sum(F.when(loss, F.col("pnl")).otherwise(0.0))
-    out = rows.groupBy("strategy").agg(
-        F.count("*").alias("n"), F.avg(F.when(win, 1.0).otherwise(0.0)).alias("win_rate"), F.avg("pnl").alias("expectancy"), F.when(lost > 0, F.sum(F.when(win, F.col("pnl")).otherwise(0.0)) / lost).alias("profit_factor"), F.max("dd").alias("max_drawdown"))
-    return out.withColumn("verdict", F.when((F.col("n") >= 100) & (F.col("profit_factor") >= 1.5), "DEPLOY").when(F.col("expectancy") > 0, "REFINE").otherwise("ABANDON"))
+def backtest_quality(trades: DataFrame, parameters: int, slippage_tested: bool) -> DataFrame:
+    """Per strategy from trades (strategy, at, date, pnl in %): win rate, expectancy, profit factor (null without losses),
+    largest drawdown of the running sum, whole years; scores of 0 to 20 for sample, expectancy, risk, robustness and
+    realism, their total, verdict and red flags. A strategy's trades are range-sorted, so it may hold most of the table.
+    """
+    rows = drawdowns(trades, ["strategy"], [F.col("at")], "pnl")
+    win, pnl = F.col("pnl") > 0, F.col("pnl")
+    m = rows.groupBy("strategy").agg(
+        F.count("*").alias("n"), (F.avg(F.when(win, 1.0).otherwise(0.0)) * 100).alias("win_rate"), F.coalesce(F.avg(F.when(win, pnl)), F.lit(0.0)).alias("aw"), F.coalesce(-F.avg(F.when(~win, pnl)), F.lit(0.0)).alias("al"),
+        F.max("dd").alias("max_drawdown"), F.floor(F.datediff(F.max("date"), F.min("date")) / 365).alias("years"))
+    share = F.col("win_rate") / 100
+    m = m.withColumn("expectancy", F.round(share * F.col("aw") - (1 - share) * F.col("al"), 9)).withColumn("profit_factor", F.round(share * F.col("aw") / F.nullif((1 - share) * F.col("al"), F.lit(0.0)), 9))
+    n, ex, pf, dd, yr = F.col("n"), F.col("expectancy"), F.col("profit_factor"), F.round("max_drawdown", 9), F.col("years")
+    params = 5 if parameters <= 4 else 3 if parameters <= 6 else 1 if parameters == 7 else 0
+    scores = {
+        "sample": F.when(n < 30, 0).when(n < 100, 8 + F.floor((n - 30) / 70 * 7)).when(n < 200, 15 + F.floor((n - 100) / 100 * 5)).otherwise(20),
+        "expectancy_score": F.when(ex <= 0, 0).when(ex < 0.5, 5 + F.floor(ex / 0.5 * 5)).when(ex < 1.5, 10 + F.floor((ex - 0.5) * 8)).otherwise(20),
+        "risk": F.when(dd >= 50, 0).otherwise(F.least(F.lit(20), F.when(dd < 20, 12).otherwise(F.floor(12 * (50 - dd) / 30)) + F.when(pf.isNull() | (pf >= 3), 8).when(pf < 1, 0).otherwise(F.floor((pf - 1) / 2 * 8)))),
+        "robustness": F.least(F.lit(20), F.when(yr < 5, 0).when(yr >= 10, 15).otherwise(5 + F.floor((yr - 5) / 5 * 10)) + params), "realism": F.lit(20 if slippage_tested else 0),
+    }
+    flags = [
+        (n < 30, "small_sample"), (F.lit(not slippage_tested), "no_slippage_test"), (F.col("max_drawdown") > 50, "excessive_drawdown"), (F.lit(parameters >= 7), "over_optimized"), (yr < 5, "short_test_period"),
+        (ex < 0, "negative_expectancy"), ((F.col("win_rate") > 90) & (F.col("max_drawdown") < 5), "too_good"),
+    ]
+    out = m.select("strategy", "n", "win_rate", "expectancy", "profit_factor", "max_drawdown", "years", *[c.cast("long").alias(k) for k, c in scores.items()], F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(k)) for c, k in flags])), ",").alias("red_flags"))
+    out = out.withColumn("total", sum((F.col(k) for k in scores), F.lit(0)).cast("long"))
+    return out.withColumn("verdict", F.when(F.col("total") >= 70, "Deploy").when(F.col("total") >= 40, "Refine").otherwise("Abandon"))
 
 
 def best_per_key(rows: DataFrame, key: str, score: str, ties: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Spellings of one instrument, and price ranges in digits before the point.
 NOTATIONS = {"gold": ("GLD", "GC", "XAUUSD"), "sp500": ("SPX", "ES", "S&P 500"), "oil": ("CL", "USO", "WTI")}
-PRICE_DIGITS = {"GLD": (2, 3), "GC": (3, 4), "SPY": (2, 3), "SPX": (4, 4), "VIX": (1, 2)}
+PRICE_DIGITS = {"GLD": (2, 3), "GC": (3, 4), "SPY": (2, 3), "SPX": (4, 5), "VIX": (1, 2), "TLT": (2, 3), "SLV": (2, 2), "SI": (2, 2), "USO": (2, 2), "CL": (2, 3)}
 
 
 def price_scale_check(docs: DataFrame) -> DataFrame:

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 COLUMNS = ["symbol", "timestamp", "open", "high", "low", "close", "volume"]
 #: Header names of exports, the preferred first, and date formats.
 ALIASES = {
-    "date": ("date", "datetime", "time", "timestamp"), "open": ("open", "open price", "o"), "high": ("high", "high price", "h"), "low": ("low", "low price", "l"),
-    "close": ("close", "close price", "last", "price", "c"), "volume": ("volume", "vol", "vol.", "v"), "symbol": ("symbol", "ticker", "code"),
+    "date": ("date", "datetime", "time", "trade date", "tradedate", "report_date", "day", "تاريخ", "اليوم"),
+    "open": ("open", "o", "openprice", "open price", "افتتاح"), "high": ("high", "h", "highprice", "high price", "اعلى", "أعلى"), "low": ("low", "l", "lowprice", "low price", "ادنى", "أدنى"),
+    "close": ("close", "current_close", "c", "closeprice", "close price", "last_price", "last", "ltp", "اغلاق", "إغلاق"),
+    "volume": ("volume", "trade_volume", "vol", "qty", "quantity", "shares", "حجم", "الكمية"), "symbol": ("symbol", "ticker", "code", "company", "security", "name", "الرمز", "الشركة"),
 }
-DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy/MM/dd", "dd MMM yyyy", "MMM dd, yyyy")
+DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy/MM/dd", "dd MMM yyyy", "dd-MMM-yyyy")
 
 
 def clean_bars(raw: DataFrame) -> DataFrame:
@@ -30,7 +32,9 @@ def load_bars_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_date(text: Column) -> Column:
-    return F.coalesce(*[F.try_to_date(F.trim(text), f) for f in DATE_FORMATS])
+    """A date in one of the formats, with or without a time of day."""
+    day = F.regexp_replace(F.trim(text), r"(T| +)\d{1,2}:.*$", "")
+    return F.coalesce(*[F.try_to_date(day, f) for f in DATE_FORMATS])
 
 
 def load_bars_csv(spark: SparkSession, path: str, default_symbol: str | None = None) -> DataFrame:
