@@ -352,7 +352,7 @@ def cluster_links(rows: DataFrame, num: int, den: int, block: int, block_bytes:
     return links.unionByName(cut(block_product(again, num, den)))
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, block: int = 512, part_rows: int = 2_000_000) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, block: int = 256, part_rows: int = 2_000_000) -> DataFrame:
     """id, n_shingles, component_id (least id reachable by links), th (hash of the text) and lead for every row of docs.
 
     lead tells whether the row has its component's least id and, with that id, the least th: one text of each
