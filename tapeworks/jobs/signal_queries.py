@@ -15,6 +15,7 @@ from tapeworks.operators import folds, income
 from tapeworks.operators import regime as r
 from tapeworks.operators import signals as g
 from tapeworks.operators import textchecks as t
+from tapeworks.operators import vcp
 from tapeworks.operators.features import frame, sma
 from tapeworks.sources import bars as src
 from tapeworks.streaming import intraday as live
@@ -272,14 +273,16 @@ _add("t10_session_gaps", lambda s, d: t.session_gaps(table(s, d, "events")), "WI
 
 # Folds and intraday state.
 def _smooth(s: SparkSession, d: str) -> DataFrame:
-    """Bars around the 20 day mean close: the ticks of unrelated parts jump too much for patterns of days."""
-    rows = sma(bars(s, d), 20).where("sma_20 is not null")
-    return rows.select("symbol", "date", F.col("sma_20").alias("open"), (F.col("sma_20") * 1.01).alias("high"), (F.col("sma_20") * 0.99).alias("low"), F.col("sma_20").alias("close"), "volume")
+    """Bars of 20 day means: the ticks of unrelated parts jump too much for patterns of days."""
+    rows = bars(s, d).withColumn("_n", F.count("*").over(frame(20)))
+    means = rows.select("symbol", "date", "volume", "_n", *[F.avg(c).over(frame(20)).alias(c) for c in ("open", "high", "low", "close")]).where("_n = 20")
+    return means.select("symbol", "date", "open", "high", "low", "close", "volume")
 
 
 _add("h_indicators", lambda s, d: folds.fold(bars(s, d), "indicators"))
 for _name in ("vcp", "walk_forward", "rally", "mean_reversion"):
     _add(f"h_{_name}", lambda s, d, n=_name: folds.fold(_smooth(s, d), n))
+_add("h03_vcp_screen", lambda s, d: vcp.vcp_screen(_smooth(s, d), _smooth(s, d).groupBy("date").agg(F.avg("close").alias("bench"))))
 _add("h06_dividend_basis", lambda s, d: folds.fold(_dividends(s, d), "dividends"))
 _add("h15_risk_budget", lambda s, d: folds.fold(table(s, d, "orders").where("o_totalprice > 0").select(F.col("o_custkey").cast("string").alias("account"), F.col("o_orderkey").cast("string").alias("candidate"), F.col("o_orderpriority").alias("sector"), F.col("o_totalprice").alias("score"), (F.col("o_totalprice") / 100000).alias("risk")), "risk_budget"))
 Q["t01_session_vwap"] = lambda s, d: live.session_vwap(intraday(s, d)).select("ticker", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), F.round("vwap", 8).alias("vwap"))

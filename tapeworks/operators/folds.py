@@ -146,24 +146,74 @@ def fold_walk_forward(g: pd.DataFrame, step: int = 5, window: int = 120, ahead:
     return pd.DataFrame(rows, columns=["symbol", "as_of", "score", "pivot", "outcome", "days", "max_gain"])
 
 
-def fold_rally(g: pd.DataFrame, gain: float = 0.0125, first: int = 4, last: int = 10) -> pd.DataFrame:
-    """State of the latest rally attempt in 60 bars: low, day count, follow-through day."""
-    _, _, low, c, v = (x[-60:] for x in _arrays(g))
-    state, day, ftd = "NO_SIGNAL", 0, -1
-    if len(c) >= 10:
-        at = int(np.argmin(c[:-3])) if len(c) > 3 else 0
-        state = "CORRECTION"
-        for i in range(at + 1, len(c)):
-            if low[i] < low[at]:
-                at, day, ftd, state = i, 0, -1, "CORRECTION"
-                continue
-            if day == 0 and c[i] <= c[i - 1]:
-                continue
-            day += 1
-            state = "RALLY" if state == "CORRECTION" else state
-            if ftd < 0 and first <= day <= last and c[i] / c[i - 1] - 1 >= gain and v[i] > v[i - 1]:
-                ftd, state = day, "CONFIRMED"
-    return pd.DataFrame([{"symbol": g["symbol"].iat[0], "state": state, "rally_day": day, "ftd_day": ftd}])
+# A swing low's least fall in % and down days, a follow-through's days, least gain in % and tiers.
+RALLY = {"fall": 3.0, "down_days": 3, "first": 4, "last": 10, "gain": 1.25, "recommended": 1.5, "strong": 2.0}
+
+
+def swing_lows(c: np.ndarray, most: int = 6) -> list[int]:
+    """Latest lows first: a close no neighbour undercuts, 3 % below the highest of 40 closes, with three down days since."""
+    found = []
+    for i in range(len(c) - 1, 3, -1):
+        before = c[max(0, i - 40) : i]
+        top = max(0, i - 40) + int(np.argmax(before))
+        beside = (c[i - 1] > 0 and c[i - 1] < c[i]) or (i + 1 < len(c) and 0 < c[i + 1] < c[i])
+        if c[i] > 0 and c[top] > 0 and (c[i] / c[top] - 1) * 100 <= -RALLY["fall"] and int((np.diff(c[top : i + 1]) < 0).sum()) >= RALLY["down_days"] and not beside:
+            found.append(i)
+            if len(found) == most:
+                break
+    return found
+
+
+def rally_attempt(h: np.ndarray, low: np.ndarray, c: np.ndarray, at: int) -> tuple[bool, int, int]:
+    """(failed, first day's index or -1, days so far) of the attempt after a swing low.
+
+    It fails on a close below the swing low's, or on day 2 or 3 below the first day's low."""
+    i = np.arange(at + 1, len(c))
+    under = i[c[i] < c[at]]
+    start = i[(c[i] > c[i - 1]) | ((h[i] > low[i]) & (c[i] - low[i] >= 0.5 * (h[i] - low[i])))]
+    if not len(start) or (len(under) and under[0] <= start[0]):
+        return bool(len(under)), -1, 0
+    one = int(start[0])
+    early = np.arange(one + 1, min(one + 3, len(c)))
+    return bool(len(under)) or bool((c[early] < low[one]).any()), one, len(c) - one
+
+
+def follow_through(c: np.ndarray, v: np.ndarray, one: int) -> tuple[int, float]:
+    """(index, gain in %) of the first strong day on rising volume on days 4 to 10 of an attempt, or (-1, 0)."""
+    for k in range(one + RALLY["first"] - 1, min(one + RALLY["last"], len(c))):
+        gain = round((c[k] / c[k - 1] - 1) * 100, 2) if c[k - 1] > 0 else 0.0
+        if gain >= RALLY["gain"] and v[k] > v[k - 1] > 0:
+            return k, gain
+    return -1, 0.0
+
+
+def rally_state(h: np.ndarray, low: np.ndarray, c: np.ndarray, v: np.ndarray) -> dict:
+    """State of up to 60 bars, the attempt's day and the follow-through day with its gain and tier.
+
+    The latest swing low decides; without a follow-through there, older ones may hold one: confirmed while no later close
+    is below its low, and the search ends at the first that was undercut."""
+    out = {"state": "NO_SIGNAL", "rally_day": 0, "ftd_day": -1, "gain": 0.0, "tier": None}
+    lows = swing_lows(c) if len(c) >= 10 else []
+    for k, at in enumerate(lows):
+        failed, one, days = rally_attempt(h, low, c, at)
+        ftd, gain = follow_through(c, v, one) if one >= 0 and not failed and days >= RALLY["first"] else (-1, 0.0)
+        held = ftd >= 0 and not (c[ftd + 1 :] < low[ftd]).any()
+        if k == 0:
+            state = "CORRECTION" if one < 0 else "RALLY_ATTEMPT" if days < RALLY["first"] else "RALLY_FAILED" if days > RALLY["last"] else "FTD_WINDOW"
+            out["state"], out["rally_day"] = "RALLY_FAILED" if failed else state, days
+        if ftd < 0:
+            continue
+        if held or k == 0 or out["state"] not in ("RALLY_ATTEMPT", "FTD_WINDOW"):
+            tier = "strong" if gain >= RALLY["strong"] else "recommended" if gain >= RALLY["recommended"] else "minimum"
+            out = {"state": "FTD_CONFIRMED" if held else "FTD_INVALIDATED", "rally_day": days, "ftd_day": ftd - one + 1, "gain": gain, "tier": tier}
+        break
+    return out
+
+
+def fold_rally(g: pd.DataFrame) -> pd.DataFrame:
+    """Rally state of the last 60 bars."""
+    _, h, low, c, v = (x[-60:] for x in _arrays(g))
+    return pd.DataFrame([{"symbol": g["symbol"].iat[0], **rally_state(h, low, c, v)}])
 
 
 def fold_mean_reversion(g: pd.DataFrame, low_rsi: float = 35, high_rsi: float = 55, stop: float = 0.92, bars: int = 15) -> pd.DataFrame:
@@ -183,23 +233,70 @@ def fold_mean_reversion(g: pd.DataFrame, low_rsi: float = 35, high_rsi: float =
     return pd.DataFrame(rows, columns=["symbol", "entry", "exit", "ret", "reason"])
 
 
+# Cadences by the median gap in days with pays a year and usual days, words of a special pay, multiples of
+# the trailing median, and the limits of policy flags.
+CADENCES = ((45, "monthly", 12), (135, "quarterly", 4), (240, "semiannual", 2), (450, "annual", 1))
+CADENCE_DAYS = {"monthly": 30, "quarterly": 91, "semiannual": 182}
+SPECIAL_WORDS = ("special", "supplemental", "one-time", "one time", "extra")
+DIVIDEND = {"extreme": 3.0, "outlier": 1.5, "revert": 1.2, "variable": 0.35, "equal": 0.005, "grace": 45, "least": 4}
+
+
+def cadence(days: np.ndarray) -> tuple[str, int]:
+    """(name, pays a year) from the pay days; irregular where three or more gaps spread over 0.6 of their median."""
+    gaps = np.diff(days)
+    gaps = gaps[gaps > 0]
+    if not len(gaps):
+        return "irregular", 0
+    middle = float(np.median(gaps))
+    name, pays = next(((n, p) for most, n, p in CADENCES if middle <= most), ("irregular", 1))
+    return ("irregular" if len(gaps) >= 3 and gaps.std() > middle * 0.6 else name), pays
+
+
+def special_pays(x: np.ndarray, named: np.ndarray, pays: int) -> np.ndarray:
+    """Pays named special, and those far above the median of the regular ones before: at once from three times on, from
+    one and a half times on if one of the next two falls back. Order matters: a special pay is no part of later medians."""
+    special = named.copy()
+    for i in np.flatnonzero(~named):
+        near = np.arange(max(0, i - max(pays or 4, 8)), i)
+        regular = x[near][~special[near]]
+        middle = float(np.median(regular)) if len(regular) >= DIVIDEND["least"] else 0.0
+        after = np.arange(i + 1, min(i + 3, len(x)))
+        back = bool((x[after][~named[after]] <= DIVIDEND["revert"] * middle).any())
+        special[i] = middle > 0 and (x[i] > DIVIDEND["extreme"] * middle or (x[i] > DIVIDEND["outlier"] * middle and back))
+    return special
+
+
+def dividend_basis(days: np.ndarray, x: np.ndarray, named: np.ndarray, as_of: int | None = None) -> dict:
+    """Basis of one payer's positive pays in order of days (days as numbers)."""
+    name, pays = cadence(days)
+    special = special_pays(x, named, pays)
+    r, rd = x[~special], days[~special]
+    out = {"status": "OK", "cadence": name, "pays_per_year": pays, "specials": int(special.sum()), "annualized": None, "regular_ttm": None, "ttm": None, "variable": False, "cut": False, "frozen": False, "suspended": False}
+    if len(r) < DIVIDEND["least"]:
+        return out | {"status": "ASSUMPTION-REQUIRED"}
+    year = days[-1] - 366
+    window = r[-max(pays or 4, 8) :]
+    raised = np.flatnonzero(np.diff(r) > DIVIDEND["equal"]) + 1
+    usual = CADENCE_DAYS.get(name, 365)
+    if pays and len(r) > pays:
+        move = r[-1] - r[-1 - pays]
+        since = rd[-1] - rd[raised[-1]] if len(raised) else 10_000
+        out["cut"] = bool(move < -DIVIDEND["equal"])
+        out["frozen"] = bool(abs(move) <= DIVIDEND["equal"] and since > usual + DIVIDEND["grace"])
+    out["variable"] = bool(window.mean() > 0 and window.std() / window.mean() > DIVIDEND["variable"])
+    out["suspended"] = as_of is not None and bool(as_of - rd[-1] > usual + DIVIDEND["grace"])
+    return out | {"annualized": round(float(r[-1]) * pays, 4) if pays else None, "regular_ttm": round(float(r[rd > year].sum()), 4), "ttm": round(float(x[days > year].sum()), 4)}
+
+
 def fold_dividends(g: pd.DataFrame) -> pd.DataFrame:
-    """Cadence from the median gap, specials against the trailing median of regular pays, and cut / freeze flags."""
-    g = g.sort_values("date")
-    days, x = pd.to_datetime(g["date"]), g["dividend"].to_numpy(float)
-    gap = float(days.diff().dt.days.median()) if len(x) > 1 else np.nan
-    cadence = "unknown" if gap != gap else "monthly" if gap <= 45 else "quarterly" if gap <= 135 else "semiannual" if gap <= 240 else "annual" if gap <= 450 else "irregular"
-    regular: list[float] = []
-    special = 0
-    for v in x:
-        if len(regular) >= 4 and v > 1.5 * float(np.median(regular[-4:])):
-            special += 1
-        else:
-            regular.append(v)
-    r = np.array(regular)
-    cov = float(r.std() / r.mean()) if len(r) > 3 and r.mean() > 0 else np.nan
-    cut = bool(len(r) > 1 and r[-1] < r[-2] - 0.005)
-    return pd.DataFrame([{"symbol": g["symbol"].iat[0], "cadence": cadence, "specials": special, "variable": bool(cov > 0.35), "cut": cut, "frozen": bool(len(r) > 4 and np.ptp(r[-5:]) <= 0.005)}])
+    """Dividend basis of each payer; a column label, if any, names special pays."""
+    g = g[g["dividend"] > 0].sort_values("date")
+    days = pd.to_datetime(g["date"]).to_numpy().astype("datetime64[D]").astype(int)
+    label = g["label"].fillna("").str.lower() if "label" in g.columns else pd.Series([""] * len(g))
+    named = np.array([any(w in t for w in SPECIAL_WORDS) for t in label], bool)
+    found = dividend_basis(days, g["dividend"].to_numpy(float), named) if len(g) else {"status": "NO-DIVIDEND"}
+    names = [c.split()[0] for c in FOLDS["dividends"][2].split(", ")]
+    return pd.DataFrame([{"symbol": g["symbol"].iat[0] if len(g) else None, **found}], columns=names)
 
 
 def fold_risk_budget(g: pd.DataFrame, budget: float = 6.0, per_sector: float = 3.0) -> pd.DataFrame:
@@ -219,9 +316,9 @@ FOLDS: dict[str, tuple[Callable[[pd.DataFrame], pd.DataFrame], str, str]] = {
     "indicators": (fold_indicators, "symbol", "symbol string, date date, ema21 double, ema10_first double, rsi14 double"),
     "vcp": (fold_vcp, "symbol", "symbol string, valid boolean, score double, contractions long, pivot double, last_low double"),
     "walk_forward": (fold_walk_forward, "symbol", "symbol string, as_of date, score double, pivot double, outcome string, days long, max_gain double"),
-    "rally": (fold_rally, "symbol", "symbol string, state string, rally_day long, ftd_day long"),
+    "rally": (fold_rally, "symbol", "symbol string, state string, rally_day long, ftd_day long, gain double, tier string"),
     "mean_reversion": (fold_mean_reversion, "symbol", "symbol string, entry date, exit date, ret double, reason string"),
-    "dividends": (fold_dividends, "symbol", "symbol string, cadence string, specials long, variable boolean, cut boolean, frozen boolean"),
+    "dividends": (fold_dividends, "symbol", "symbol string, status string, cadence string, pays_per_year long, specials long, annualized double, regular_ttm double, ttm double, variable boolean, cut boolean, frozen boolean, suspended boolean"),
     "risk_budget": (fold_risk_budget, "account", "account string, candidate string, plan string, heat double"),
 }
 

@@ -23,7 +23,7 @@ def stretches(rows: DataFrame, group: list[str], order: list[Column]) -> DataFra
 
 def carried(totals: DataFrame, group: list[str], aggs: dict[str, Column]) -> DataFrame:
     """What earlier stretches of a group add up to; totals has a row per stretch and group."""
-    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(*group, "_part", *[c.over(before).alias(name) for name, c in aggs.items()])
 
 

@@ -16,7 +16,8 @@ QUERIES, SQL = market_queries(), market_sql()
 #: One or two queries of each module; the whole catalogue is compared by the driver.
 CHOSEN = ["bars_daily", "w01_sma", "w05_atr", "w13_multi_period_return", "w21_distribution_days", "w28_candlestick_patterns", "a12_pattern_backtest", "a45_dd_status", "w32_rs_rank_percentile", "j01_relative_strength", "j03_earnings_gap",
           "j05_nearest_earnings", "j06_holding_returns", "a01_market_breadth", "j17_lead_lag_market", "f09_normalize_score", "f16_trading_days", "a14_skill_metrics", "a18_outcome_summary", "h12_contradictions", "a31_dividend_growth_calendar",
-          "a38_calendar_summary", "t01_session_vwap", "t06_regular_session", "s11_upsert_history", "k02_top_bottom"]
+          "a38_calendar_summary", "t01_session_vwap", "t06_regular_session", "s11_upsert_history", "k02_top_bottom", "a30_theme_heat", "j21_theme_overlap", "a28_macro_components", "a29_macro_regime",
+          "a46_dividend_triggers", "a47_payout_safety", "a50_trade_review", "u05_rule_hints", "a40_backtest_quality", "w27_power_trend"]
 
 
 @pytest.fixture(scope="module")
