@@ -137,6 +137,12 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, en
     ids and end_id, cut at multiples of capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from encoded(batches)
+        finally:
+            _tokenizer.cache_clear()  # workers are reused by stages that need no tokeniser
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(tokenizer)
         for batch in batches:
             copies: dict = {}

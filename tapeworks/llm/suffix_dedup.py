@@ -242,7 +242,7 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200,
         for batch in batches:  # sorted by name: cut between buckets
             held.append(batch)
             size += batch.nbytes
-            if size > 3 << 19:
+            if size > 1 << 20:
                 table = pa.Table.from_batches(held)
                 name = table.column("name").to_numpy()
                 edge = int(np.searchsorted(name, name[-1]))

@@ -8,6 +8,7 @@ multi-byte UTF-8 character.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,11 @@ import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
 
+try:  # glibc: arrays of a megabyte or more go back to the system when freed, so that reused workers stay small
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)
+except (AttributeError, OSError):
+    pass
+
 IS_WORD = np.ones(256, bool)
 IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 LOWER = np.arange(256, dtype=np.uint8)
