@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tapeworks.jobs.event_queries import _REG, _regimes
 from tapeworks.jobs.feature_queries import _HITS
-from tapeworks.jobs.tables import BARS, bars, dates_as_text, rounded, table
-from tapeworks.operators import desk, macro, reviews
+from tapeworks.jobs.tables import BARS, bars, dates_as_text, earnings, rounded, table
+from tapeworks.operators import desk, macro, parabolic, reviews
 from tapeworks.operators.events import monthly_close
 from tapeworks.operators.features import by, full, rolling_zscore
 
@@ -276,3 +276,44 @@ _add("a50_trade_review", lambda s, d: reviews.trade_review(_trades(s, d)), """WI
         CASE WHEN j = 'r' THEN 'hesitation' END, CASE WHEN pc + pw >= 3 THEN 'rule_drift' END], lambda z: z IS NOT NULL) AS g FROM p)
     SELECT k AS trade_id, (pc + nc + ec)::BIGINT AS criticals, (pw + nw + ew)::BIGINT AS warnings, greatest(0, 100 - 30 * pc - 15 * pw)::BIGINT AS score, CASE WHEN len(g) = 0 THEN 'no_pattern_detected' ELSE array_to_string(g, ',') END AS tags,
         CASE WHEN pc + nc + ec >= 2 OR (j = 'm' AND ls >= 2) OR ls >= 4 THEN 'COOL_DOWN' WHEN pc + nc + ec >= 1 THEN 'RULE_VIOLATION' WHEN pw + nw + ew > 0 THEN 'REVIEW_REQUIRED' ELSE 'OK' END AS verdict FROM t""")
+
+
+_LIN = "greatest(0, least(100, coalesce(({x} - {lo}) / {n} * 100, 0)))"
+
+
+def _lin(x: str, lo: float, hi: float) -> str:
+    return _LIN.format(x=x, lo=lo, n=hi - lo)
+
+
+_PARTS = list(parabolic.WEIGHTS)
+_add("h17_parabolic_screen", lambda s, d: parabolic.parabolic_screen(bars(s, d), earnings(s, d)), f"""WITH {BARS}, a AS (SELECT *, row_number() OVER w AS i, close / lag(close) OVER w - 1 AS r, coalesce(close > lag(close) OVER w, false) AS g, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr, high >= max(high) OVER y AS tp FROM bars
+        WINDOW w AS (PARTITION BY symbol ORDER BY date), y AS (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING)),
+    b AS (SELECT *, sum((NOT g)::INT) OVER w AS run, CASE WHEN count(r) OVER f3 = 3 THEN avg(r) OVER f3 END AS q3, CASE WHEN count(r) OVER f10 = 10 THEN avg(r) OVER f10 END AS q10, close / lag(close, 3) OVER w - 1 AS r3, close / lag(close, 5) OVER w - 1 AS r5, CASE WHEN count(*) OVER f20 = 20 THEN avg(close) OVER f20 END AS m20, CASE WHEN count(tr) OVER f14 = 14 THEN avg(tr) OVER f14 END AS atr,
+        avg(tr) OVER f5 AS t5, CASE WHEN count(tr) OVER g20 = 20 THEN avg(tr) OVER g20 END AS tb, avg(close * volume) OVER f20 AS adv, CASE WHEN count(*) OVER p20 = 20 THEN avg(volume) OVER p20 END AS pv, bool_or(tp) OVER f2 AS ah FROM a
+        WINDOW w AS (PARTITION BY symbol ORDER BY date), f2 AS (PARTITION BY symbol ORDER BY date ROWS 1 PRECEDING), f3 AS (PARTITION BY symbol ORDER BY date ROWS 2 PRECEDING), f5 AS (PARTITION BY symbol ORDER BY date ROWS 4 PRECEDING), f10 AS (PARTITION BY symbol ORDER BY date ROWS 9 PRECEDING), f14 AS (PARTITION BY symbol ORDER BY date ROWS 13 PRECEDING),
+        f20 AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING), p20 AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), g20 AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 24 PRECEDING AND 5 PRECEDING)),
+    c AS (SELECT *, sum(g::INT) OVER (PARTITION BY symbol, run ORDER BY date) AS green FROM b),
+    ev AS (SELECT c.symbol, c.date, max(e.date) FILTER (e.date <= c.date) AS le, min(e.date) FILTER (e.date > c.date) AS ne FROM c LEFT JOIN earn e ON e.symbol = c.symbol GROUP BY 1, 2),
+    s AS (SELECT c.*, le, ne, round(0.5 * {_lin("(close / m20 - 1) * 100", 20, 120)} + 0.5 * {_lin("CASE WHEN atr > 0 THEN (close - m20) / atr END", 3, 10)}, 9) AS ma_extension,
+        round(0.4::DOUBLE * {_lin("r5 * 100", 20, 100)} + 0.2::DOUBLE * {_lin("green", 2, 5)} + 0.2::DOUBLE * {_lin("CASE WHEN q10 <> 0 THEN q3 / q10 END", 1, 2)} + 0.2::DOUBLE * {_lin("r3 * 100", 10, 50)}, 9) AS acceleration,
+        round({_lin("CASE WHEN pv > 0 THEN volume / pv END", 1.5, 5)}, 9) AS volume_climax, round({_lin("CASE WHEN tb > 0 THEN t5 / tb END", 1.2, 3)}, 9) AS range_expansion, round(CASE WHEN adv > 0 THEN greatest(0, least(10, (log10(adv) - 7) / 1.5 * 10)) * 10 ELSE 0 END, 9) AS liquidity FROM c JOIN ev ON ev.symbol = c.symbol AND ev.date = c.date),
+    t AS (SELECT *, round({" + ".join(f"{k} * {w}::DOUBLE" for k, w in parabolic.WEIGHTS.items())}, 1) AS score, [{", ".join(_PARTS)}] AS l, coalesce(high > low AND (close - low) / (high - low) >= 0.8::DOUBLE, false) AS st,
+        coalesce(5 * floor((date - DATE '1969-12-29') / 7) + least(((date - DATE '1969-12-29') % 7) + 1, 5) - 5 * floor((le - DATE '1969-12-29') / 7) - least(((le - DATE '1969-12-29') % 7) + 1, 5) <= 5, false) AS rc FROM s)
+    SELECT symbol, date, {", ".join(f"round({k}, 6)::DOUBLE AS {k}" for k in _PARTS)}, score, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 50 THEN 'C' ELSE 'D' END AS grade, {_PARTS}[list_position(l, list_min(l))] AS weakest, {_PARTS}[list_position(l, list_max(l))] AS strongest,
+        CASE WHEN st AND ah THEN 'still_in_markup' END AS state_cap, concat_ws(',', CASE WHEN st AND NOT ah AND pv > 0 AND volume / pv >= 2 THEN 'too_early_to_short' END, CASE WHEN rc THEN 'recent_earnings_catalyst' END) AS warnings, coalesce(ne - date <= 2, false) AS blackout FROM t""", ("date",))
+
+
+def _plans(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A user watches a kind of event on every day from the first one on; a day's state is known where there were events."""
+    ev = table(s, d, "events").select(F.to_date("ts").alias("session"), F.col("event_type").alias("ticker"), (F.col("user_id") % 50).alias("u"), "value")
+    end = ev.agg(F.max("session")).first()[0]  # one date
+    first = ev.groupBy(F.concat_ws("/", "u", "ticker").alias("plan_id"), "ticker").agg(F.min("session").alias("first"))
+    plans = first.select("plan_id", "ticker", F.explode(F.sequence("first", F.lit(end))).alias("session"))
+    states = ev.groupBy(F.concat_ws("/", "u", "ticker").alias("plan_id"), "session").agg(F.when(F.max("value") > 190, "triggered").otherwise("armed").alias("state"))
+    return plans, states, ev.where("value > 100").groupBy("ticker", "session").agg(F.count("*").alias("n"), F.max("value").alias("top")).where("top > 150").select("ticker", "session")
+
+
+_add("t07_no_bars", lambda s, d: parabolic.carry_forward(*_plans(s, d)), """WITH ev AS (SELECT CAST(ts AS DATE) AS session, event_type AS ticker, user_id % 50 AS u, value FROM events), p AS (SELECT u || '/' || ticker AS plan_id, ticker, CAST(unnest(generate_series(min(session), (SELECT max(session) FROM ev), INTERVAL 1 DAY)) AS DATE) AS session FROM ev GROUP BY u, ticker),
+    st AS (SELECT u || '/' || ticker AS plan_id, session, CASE WHEN max(value) > 190 THEN 'triggered' ELSE 'armed' END AS state FROM ev GROUP BY 1, 2), b AS (SELECT ticker, session FROM ev WHERE value > 100 GROUP BY 1, 2 HAVING max(value) > 150),
+    l AS (SELECT p.plan_id, p.session, arg_max(state, s.session) FILTER (s.session < p.session) AS prior, max(state) FILTER (s.session = p.session) AS cur FROM p LEFT JOIN st s ON s.plan_id = p.plan_id AND s.session <= p.session GROUP BY 1, 2)
+    SELECT p.plan_id, p.ticker, p.session, CASE WHEN b.session IS NOT NULL THEN coalesce(cur, 'armed') ELSE coalesce(prior, 'armed') END AS state, CASE WHEN b.session IS NOT NULL THEN 'ok' ELSE 'no_bars' END AS status FROM p JOIN l ON l.plan_id = p.plan_id AND l.session = p.session LEFT JOIN b ON b.ticker = p.ticker AND b.session = p.session""", ("session",))

@@ -223,7 +223,13 @@ _add(
     SELECT symbol, q.m AS metric, round(q.z, 6) AS z FROM y WHERE abs(q.z) >= 0.5 ORDER BY abs(q.z) DESC, symbol, metric LIMIT 10""",
     (),
 )
-Q["j16_leader_follower"] = lambda s, d: rounded(r.leader_follower(_panel(s, d), "2001-06-15", pool=120, least=0.1, quiet_below=0.5))
+_add("j16_leader_follower", lambda s, d: r.leader_follower(_panel(s, d), "2001-06-15", least=0.05, quiet_below=0.5, per_leader=12, k=12), f"""{_PANEL}, dt AS (SELECT date, row_number() OVER (ORDER BY date DESC) AS k FROM (SELECT DISTINCT date FROM panel WHERE date <= DATE '2001-06-15')),
+    sp AS (SELECT p.*, k FROM panel p JOIN dt USING (date) WHERE k <= 90), lq AS (SELECT symbol, avg(close * volume) AS v FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS q FROM sp) WHERE q <= 20 GROUP BY symbol ORDER BY v DESC, symbol LIMIT 120),
+    td AS (SELECT * FROM panel WHERE date = DATE '2001-06-15'), ld AS (SELECT symbol AS leader, ret_1d AS lr FROM (SELECT * FROM td WHERE abs(ret_1d) >= 0.045 ORDER BY abs(ret_1d) DESC, symbol LIMIT 6) WHERE symbol IN (SELECT symbol FROM lq)),
+    pr AS (SELECT leader, lr, b.symbol, corr(a.ret_1d, b.ret_1d) AS corr, count(*) AS n FROM ld JOIN sp a ON a.symbol = leader JOIN sp b ON b.k = a.k - 1 AND b.symbol <> leader AND b.symbol IN (SELECT symbol FROM lq) WHERE a.ret_1d IS NOT NULL AND b.ret_1d IS NOT NULL GROUP BY ALL),
+    tp AS (SELECT *, row_number() OVER (PARTITION BY leader ORDER BY round(corr, 9) DESC, symbol) AS q FROM pr WHERE round(corr, 9) >= 0.05),
+    sc AS (SELECT leader, tp.symbol, corr, n, round(40 * {_CLIP.format('abs(lr) / 0.12')} + 35 * {_CLIP.format('corr / 0.6')} + 15 * {_CLIP.format('rv / 3')} + CASE WHEN close > ma50 THEN 10 ELSE 4 END, 2) AS score FROM tp JOIN td ON td.symbol = tp.symbol WHERE q <= 12 AND abs(ret_1d) < 0.5),
+    bb AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, leader) AS z FROM sc) SELECT leader, symbol, round(corr, 6) AS corr, n, score FROM bb WHERE z = 1 ORDER BY score DESC, symbol LIMIT 12""", ())
 _add(
     "a10_market_factor",
     lambda s, d: f.period_return(bars(s, d), 1).groupBy("date").agg(F.avg("ret_1").alias("factor")),

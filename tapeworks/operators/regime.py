@@ -110,18 +110,33 @@ def regime_shift(days: DataFrame) -> DataFrame:
     return days.select("date", (F.col("b50") - F.lag("b50", 7).over(w)).alias("breadth_delta"), F.sum("market_ret").over(w.rowsBetween(-4, 0)).alias("ret5"))
 
 
-def leader_follower(panel: DataFrame, as_of: str, move: float = 0.045, leaders: int = 6, pool: int = 120, days: int = 90, least: float = 0.25, per_leader: int = 5, quiet_below: float = 0.015) -> DataFrame:
-    """Quiet symbols whose returns followed a large mover's of the day before; best leader per follower."""
-    day = panel.where(F.col("date") == F.lit(as_of).cast("date"))
-    lead = day.where(F.abs("ret_1d") >= move).orderBy(F.desc(F.abs("ret_1d")), "symbol").limit(leaders).select(F.col("symbol").alias("leader"), F.col("ret_1d").alias("leader_ret"))
-    quiet = day.where(F.abs("ret_1d") < quiet_below).orderBy(F.desc(F.col("close") * F.col("volume")), "symbol").limit(pool).select("symbol")
-    span = panel.where((F.col("date") <= F.lit(as_of).cast("date")) & (F.col("date") > F.date_sub(F.lit(as_of).cast("date"), days)))
-    first = span.select("symbol", F.lead("date").over(by()).alias("date"), F.col("ret_1d").alias("r1")).join(F.broadcast(lead), F.col("symbol") == F.col("leader")).select("leader", "leader_ret", "date", "r1")
-    second = span.join(F.broadcast(quiet), "symbol").select("symbol", "date", F.col("ret_1d").alias("r2"))
-    pairs = first.join(second, "date").where("leader <> symbol").groupBy("leader", "leader_ret", "symbol").agg(F.corr("r1", "r2").alias("corr"), F.count("*").alias("n")).where(F.col("corr") >= least)
-    pairs = pairs.withColumn("k", F.row_number().over(Window.partitionBy("leader").orderBy(F.desc("corr"), "symbol"))).where(F.col("k") <= per_leader)
-    pairs = pairs.withColumn("b", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("corr"), "leader"))).where("b = 1")
-    return pairs.select("leader", "symbol", "corr", "n")
+def leader_follower(panel: DataFrame, as_of: str, move: float = 0.045, leaders: int = 6, pool: int = 120, sessions: int = 90, least: float = 0.25, per_leader: int = 5, quiet_below: float = 0.015, k: int = 4) -> DataFrame:
+    """Quiet symbols whose returns followed a large mover's of the session before: best leader per follower, the k best.
+
+    Sessions are the last `sessions` dates of the panel up to as_of. Followers and leaders are among the `pool` symbols of
+    the largest mean value of their last 20 rows there; each leader keeps its `per_leader` best correlations, and of these
+    the followers that moved less than `quiet_below` on the day."""
+    day = F.lit(as_of).cast("date")
+    dates = panel.select("date").distinct().where(F.col("date") <= day).orderBy(F.desc("date")).limit(sessions + 1)
+    span = panel.join(F.broadcast(dates), "date")  # at most sessions + 1 dates
+    first = dates.orderBy("date").limit(1).select(F.col("date").alias("_first"))
+    n = dates.count()
+    if n > sessions:
+        span = span.join(F.broadcast(first), F.col("date") == F.col("_first"), "left_anti")
+    last = span.withColumn("_k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))).where("_k <= 20")
+    liquid = last.groupBy("symbol").agg(F.avg(F.col("close") * F.col("volume")).alias("_v")).orderBy(F.desc("_v"), "symbol").limit(pool).select("symbol")
+    span = span.join(F.broadcast(liquid), "symbol")  # at most `pool` symbols
+    today = panel.where(F.col("date") == day)
+    lead = today.where(F.abs("ret_1d") >= move).orderBy(F.desc(F.abs("ret_1d")), "symbol").limit(leaders).join(liquid, "symbol").select(F.col("symbol").alias("leader"), F.col("ret_1d").alias("leader_ret"))
+    order = dates.select("date", F.lead("date").over(Window.orderBy("date")).alias("next"))  # as many rows as dates
+    before = span.join(F.broadcast(lead), F.col("symbol") == F.col("leader")).join(F.broadcast(order), "date").select("leader", "leader_ret", F.col("next").alias("date"), F.col("ret_1d").alias("r1"))
+    pairs = before.join(span.select("symbol", "date", F.col("ret_1d").alias("r2")), "date").where("leader <> symbol and r1 is not null and r2 is not null").groupBy("leader", "leader_ret", "symbol").agg(F.corr("r1", "r2").alias("corr"), F.count("*").alias("n"))
+    pairs = pairs.where(F.round("corr", 9) >= least).withColumn("_k", F.row_number().over(Window.partitionBy("leader").orderBy(F.desc(F.round("corr", 9)), "symbol"))).where(F.col("_k") <= per_leader)
+    quiet = today.where(F.abs("ret_1d") < quiet_below).select("symbol", "close", "ma50", "rel_volume")
+    score = 40 * part(F.abs("leader_ret"), 0.12) + 35 * part(F.col("corr"), 0.60) + 15 * part(F.col("rel_volume"), 3.0) + F.when(F.col("close") > F.col("ma50"), 10).otherwise(4)
+    rows = pairs.join(quiet, "symbol").withColumn("score", F.round(clamp(score, 0.0, 100.0), 2))
+    rows = rows.withColumn("_b", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("score"), "leader"))).where("_b = 1")
+    return rows.select("leader", "symbol", "corr", "n", "score").orderBy(F.desc("score"), "symbol").limit(k)
 
 
 def vol20(bars: DataFrame) -> DataFrame:
