@@ -346,6 +346,37 @@ def test_language(spark):
     assert language.identify(df.limit(0)).count() == 0
 
 
+def test_language_with_declarations_withheld(spark):
+    """On rows whose declaration is withheld, the label is no input: text alone and fused evidence against it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)) == 0
+    rows = language.document_rows(docs)
+    found = language.identify(rows.withColumn("declared", F.when(~held, F.col("declared")))).where(held).join(rows.select("id", F.col("declared").alias("truth")), "id")
+    got = found.agg(F.count("*").alias("n"), F.avg((F.col("lang") == F.col("truth")).cast("int")).alias("fused"), F.avg((F.col("text_lang") == F.col("truth")).cast("int")).alias("text")).first()
+    assert got.n > 150 and got.fused >= 0.99 and got.text >= 0.99
+    twice = rows.where("id < 5").union(rows.where("id < 5")).withColumn("th", F.lit(1)).withColumn("lang", F.lit("xx"))
+    assert language.identify(twice).count() == 2 * rows.where("id < 5").count()
+
+
+def test_packing_spreads_repeated_rows(spark):
+    path = tokenizer_path("word_bpe_49k.json")
+    df = frame(spark, ["one two three"]).crossJoin(spark.range(300).select("id")).drop("id")
+    got = packing.pack_documents(df, path, group_pieces=40).collect()
+    groups = Counter(r.sequence_id >> 32 for r in got)
+    assert len(got) == 300 and len(groups) > 4 and max(groups.values()) < 150
+    assert packing.pack_documents(df.limit(0), path).count() == 0
+    assert packing.cuts_agree(path)
+
+
+def test_media_edges(spark):
+    df = frame(spark, ["a", None, "b" * 70000]).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
+    got = {(r.doc_id, r.n_bytes): r for r in media.media_columns(df.union(df)).collect()}
+    assert set(got) == {(None, 1), (1, 0), (2, 70000)} and media.media_columns(df.union(df)).count() == 6
+    for r in got.values():
+        assert media.describe(media.pad({1: b"a", 0: b"", 70000: b"b" * 70000}[r.n_bytes]), r.height) == r.feature and r.media_bytes > 0
+    assert media.media_columns(df.limit(0)).count() == 0
+
+
 def test_licenses(spark):
     body = sentence(300, random.Random(6))
     texts = [body + "\nReleased under the MIT License.\n" + body, body, None, "Licensed under the apache license version 2.0", "licensed under nothing", "All rights reserved. All rights reserved.", "Permission is hereby granted, free of charge, to any human obtaining a copy of this software and associated documentation files"]
