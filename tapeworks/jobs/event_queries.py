@@ -12,6 +12,7 @@ from tapeworks.operators import events as e
 from tapeworks.operators import features as f
 from tapeworks.operators import pairs as p
 from tapeworks.operators import regime as r
+from tapeworks.operators.ordered import stored
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -248,7 +249,7 @@ _CHOSEN = f"many AS (SELECT symbol FROM wide GROUP BY symbol HAVING count(*) >=
 
 
 def _chosen(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    panel = wide_bars(s, d)
+    panel = stored(wide_bars(s, d))  # read three times
     return p.correlated_pairs(panel, 0.17), panel
 
 

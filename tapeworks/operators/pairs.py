@@ -1,28 +1,72 @@
-"""Pair screening. Statistics of all pairs come from one aggregate over a self-join by date; only pairs that pass get
-their series again."""
+"""Pair screening. Statistics of all pairs come from products of blocks of symbols; only pairs that pass get their series
+again."""
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pair_statistics(bars: DataFrame, value: str = "close", least_bars: int = 250, least_common: int = 100) -> DataFrame:
-    """a, b (a < b), n, corr, beta, alpha of b's and a's values on common dates: a = alpha + beta * b."""
+def block_statistics(symbol: np.ndarray, day: np.ndarray, x: np.ndarray, days: int = 4096) -> tuple[np.ndarray, ...]:
+    """(names, n, corr, beta, alpha) of all pairs of a task's symbols, as matrices: row = alpha + beta * column.
+
+    Sums over common days are matrix products of values and of masks, by stretches of days; values are taken less their
+    symbol's mean, so that the sums keep their digits."""
+    names, at = np.unique(symbol, return_inverse=True)
+    k = len(names)
+    mean = np.bincount(at, x, k) / np.bincount(at, minlength=k)
+    x = x - mean[at]
+    _, when = np.unique(day, return_inverse=True)
+    order = np.argsort(when, kind="stable")
+    at, x, when = at[order], x[order], when[order]
+    n, sa, sab, saa = (np.zeros((k, k)) for _ in range(4))
+    for lo in range(0, int(when[-1]) + 1, days):
+        part = slice(*np.searchsorted(when, [lo, lo + days]))
+        here, value = np.zeros((days, k)), np.zeros((days, k))
+        here[when[part] - lo, at[part]] = 1
+        value[when[part] - lo, at[part]] = x[part]
+        n += here.T @ here
+        sa += value.T @ here
+        sab += value.T @ value
+        saa += (value * value).T @ here
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ma, mb = sa / n, sa.T / n
+        cov, va, vb = sab / n - ma * mb, saa / n - ma * ma, saa.T / n - mb * mb
+        corr, beta = cov / np.sqrt(va * vb), cov / vb
+        return names, n, corr, beta, ma + mean[:, None] - beta * (mb + mean[None, :])
+
+
+def pair_statistics(bars: DataFrame, value: str = "close", least_bars: int = 250, least_common: int = 100, least_corr: float | None = None, block: int = 256) -> DataFrame:
+    """a, b (a < b), n, corr, beta, alpha of b's and a's values on common dates: a = alpha + beta * b.
+
+    Symbols are dealt into blocks of about `block`; a task takes two blocks and returns the pairs between them that have
+    enough common dates and, if asked, correlation. A row travels once for each block, never once for each pair."""
     rows = bars.select("symbol", "date", F.col(value).alias("x")).where("x is not null")
     many = rows.groupBy("symbol").agg(F.count("*").alias("k")).where(F.col("k") >= least_bars).select("symbol")
-    rows = rows.join(many, "symbol")
-    left = rows.select(F.col("symbol").alias("a"), "date", F.col("x").alias("y"))
-    right = rows.select(F.col("symbol").alias("b"), "date", "x")
-    out = left.join(right, "date").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("y", "x").alias("corr"), F.regr_slope("y", "x").alias("beta"), F.regr_intercept("y", "x").alias("alpha"))
-    return out.where(F.col("n") >= least_common)
+    blocks = 1 + many.count() // block  # one number
+    rows = rows.join(many, "symbol").withColumn("own", F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select(F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "symbol", F.datediff("date", F.lit("1970-01-01").cast("date")).alias("day"), F.col("x").cast("double").alias("x"))
+
+    def run(table: pa.Table) -> pa.Table:
+        symbol, own = table.column("symbol").to_numpy(zero_copy_only=False).astype(str), table.column("own").to_numpy()
+        where = dict(zip(symbol.tolist(), own.tolist(), strict=True))
+        names, n, corr, beta, alpha = block_statistics(symbol, table.column("day").to_numpy(), table.column("x").to_numpy())
+        side = np.array([where[x] for x in names])
+        between = side[:, None] != side[None, :] if table.column("one")[0].as_py() != table.column("two")[0].as_py() else np.ones(n.shape, bool)
+        good = np.triu(between & (n >= least_common), 1)
+        if least_corr is not None:
+            good &= np.nan_to_num(corr, nan=-2.0) >= least_corr
+        i, j = np.nonzero(good)
+        return pa.table({"a": pa.array(names[i].tolist(), pa.string()), "b": pa.array(names[j].tolist(), pa.string()), "n": pa.array(n[i, j].astype(np.int64)), **{k: pa.array(m[i, j]) for k, m in (("corr", corr), ("beta", beta), ("alpha", alpha))}})
+
+    return rows.groupBy("one", "two").applyInArrow(run, "a string, b string, n long, corr double, beta double, alpha double")
 
 
 def correlated_pairs(bars: DataFrame, corr: float = 0.7, **how: int) -> DataFrame:
-    return pair_statistics(bars, **how).where(F.col("corr") >= corr)
+    return pair_statistics(bars, least_corr=corr, **how)
 
 
 def pair_spread(pairs: DataFrame, bars: DataFrame, window: int = 90) -> DataFrame:
