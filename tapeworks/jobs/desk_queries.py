@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeworks.jobs.event_queries import _REG, _regimes
 from tapeworks.jobs.feature_queries import _HITS
-from tapeworks.jobs.tables import BARS, bars, dates_as_text, earnings, rounded, table
+from tapeworks.jobs.tables import BARS, INTRADAY, bars, dates_as_text, earnings, intraday, rounded, table
 from tapeworks.operators import desk, macro, parabolic, reviews
 from tapeworks.operators.events import monthly_close
 from tapeworks.operators.features import by, full, rolling_zscore
+from tapeworks.streaming import intraday as live
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -317,3 +318,16 @@ _add("t07_no_bars", lambda s, d: parabolic.carry_forward(*_plans(s, d)), """WITH
     st AS (SELECT u || '/' || ticker AS plan_id, session, CASE WHEN max(value) > 190 THEN 'triggered' ELSE 'armed' END AS state FROM ev GROUP BY 1, 2), b AS (SELECT ticker, session FROM ev WHERE value > 100 GROUP BY 1, 2 HAVING max(value) > 150),
     l AS (SELECT p.plan_id, p.session, arg_max(state, s.session) FILTER (s.session < p.session) AS prior, max(state) FILTER (s.session = p.session) AS cur FROM p LEFT JOIN st s ON s.plan_id = p.plan_id AND s.session <= p.session GROUP BY 1, 2)
     SELECT p.plan_id, p.ticker, p.session, CASE WHEN b.session IS NOT NULL THEN coalesce(cur, 'armed') ELSE coalesce(prior, 'armed') END AS state, CASE WHEN b.session IS NOT NULL THEN 'ok' ELSE 'no_bars' END AS status FROM p JOIN l ON l.plan_id = p.plan_id AND l.session = p.session LEFT JOIN b ON b.ticker = p.ticker AND b.session = p.session""", ("session",))
+
+
+def _day_ranges(s: SparkSession, d: str) -> DataFrame:
+    """Mean of the true ranges of up to 14 earlier sessions; null in the first two."""
+    w = Window.partitionBy("ticker").orderBy("session")
+    days = intraday(s, d).groupBy("ticker", "session").agg((F.max("h") - F.min("l")).alias("r"))
+    before = w.rowsBetween(-14, -1)
+    return days.select("ticker", "session", F.when(F.count("r").over(before) >= 2, F.avg("r").over(before)).alias("atr_14"))
+
+
+_add("t02_opening_status", lambda s, d: live.opening_status(intraday(s, d), _day_ranges(s, d), "UTC+9:30"), f"""WITH {INTRADAY}, f AS (SELECT ticker, session, min(ts) AS first, row_number() OVER (PARTITION BY ticker ORDER BY session) AS k FROM intraday GROUP BY ticker, session)
+    SELECT ticker, session, CASE WHEN k <= 2 THEN 'atr_14_unavailable' WHEN strftime(first + INTERVAL 570 MINUTE, '%H:%M') <> '09:30' THEN 'opening_range_bar_unavailable' END AS skip_reason FROM f""", ("session",))
+Q["t02_orl_monitor"] = lambda s, d: rounded(live.orl_monitor(intraday(s, d), _day_ranges(s, d), "UTC+9:30"))

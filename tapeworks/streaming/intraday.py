@@ -158,6 +158,26 @@ def latest_arrivals(bars: DataFrame, arrival: str) -> DataFrame:
     return bars.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def stream_latest(bars: DataFrame) -> DataFrame:
-    """Stream without bars repeated within the watermark; later ones are dropped."""
-    return bars.withWatermark("ts", "10 minutes").dropDuplicatesWithinWatermark(["ticker", "ts"])
+def stream_latest(bars: DataFrame, arrival: str) -> DataFrame:
+    """Stream of one bar per (ticker, ts), the last to arrive, out once the watermark of 10 minutes has passed it; what
+    comes later than that is dropped."""
+    rest = [c for c in bars.columns if c not in ("ticker", "ts")]
+    rows = bars.withWatermark("ts", "10 minutes").groupBy("ticker", "ts").agg(F.max_by(F.struct(*rest), F.col(arrival)).alias("x"))
+    return rows.select("ticker", "ts", "x.*").select(*bars.columns)
+
+
+def opening_status(bars: DataFrame, ranges: DataFrame, zone: str = "America/New_York") -> DataFrame:
+    """ticker, session and why the opening-range monitor skips it (null: it runs): no daily true range (ranges: ticker,
+    session, atr_14), or a first bar that is not the 09:30 one of the zone; the range's absence goes first."""
+    first = bars.groupBy("ticker", "session").agg(F.min("ts").alias("first"))
+    opens = F.date_format(F.from_utc_timestamp("first", zone), "HH:mm") == "09:30"
+    rows = first.join(ranges.select("ticker", "session", "atr_14"), ["ticker", "session"], "left")
+    return rows.select("ticker", "session", F.when(F.col("atr_14").isNull(), "atr_14_unavailable").when(~opens, "opening_range_bar_unavailable").alias("skip_reason"))
+
+
+def orl_monitor(bars: DataFrame, ranges: DataFrame, zone: str = "America/New_York") -> DataFrame:
+    """The opening-range machine's phase where it runs, armed and the reason where it is skipped."""
+    status = opening_status(bars, ranges, zone)
+    found = fold_sessions(bars, "orl").select("ticker", "session", "phase", "bars")
+    ran = F.col("skip_reason").isNull()
+    return status.join(found, ["ticker", "session"]).select("ticker", "session", F.when(ran, F.col("phase")).otherwise("armed").alias("state"), F.when(ran, "evaluated").otherwise("skipped").alias("status"), "skip_reason", "bars")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tapeworks.operators import folds, macro, ordered, reviews, screens, themes, vcp
+from tapeworks.operators import folds, macro, ordered, pairs, reviews, screens, themes, vcp
+from tapeworks.streaming import intraday
 
 
 def test_numbers_ranks_and_drawdowns_over_hot_groups(spark):
@@ -114,3 +117,36 @@ def test_verdicts(spark):
     df = spark.createDataFrame(rows, "s string, f string, c string, b boolean")
     got = [r[0] for r in df.select(reviews.final_verdict(*(F.col(x) for x in "sfcb"))).collect()]
     assert got == ["CLEAN-PASS", "PASS-CAUTION", "HOLD-REVIEW", "CONDITIONAL-PASS", "HOLD-REVIEW", "FAIL", "STEP1-RECHECK", "HOLD-REVIEW"]
+
+
+def test_pairs_by_block_products(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(0, 1, (300, 1))
+    x = pd.DataFrame(1e6 + 50 * (base + rng.normal(0, 1, (300, 9)) * np.linspace(0.2, 2, 9)), columns=[f"s{i}" for i in range(9)]).mask(rng.random((300, 9)) < 0.1)
+    x["s8"] = 5.0  # no spread, no correlation
+    long = x.reset_index().melt("index", var_name="symbol", value_name="close").dropna()
+    df = spark.createDataFrame([(s, (pd.Timestamp("2020-01-01") + pd.Timedelta(days=int(i))).date(), float(v)) for i, s, v in long[["index", "symbol", "close"]].itertuples(index=False)], "symbol string, date date, close double")
+    got = {(r.a, r.b): r for r in pairs.pair_statistics(df, least_bars=100, least_common=50, block=3).collect()}
+    assert set(got) == {(a, b) for a in x for b in x if a < b}
+    for (a, b), r in got.items():
+        both = x[[a, b]].dropna()
+        assert r.n == len(both)
+        if "s8" not in (a, b):
+            beta = both.cov().loc[a, b] / both[b].var()
+            assert r.corr == pytest.approx(both.corr().loc[a, b]) and r.beta == pytest.approx(beta) and r.alpha == pytest.approx(both[a].mean() - beta * both[b].mean())
+    strong = {(r.a, r.b) for r in pairs.correlated_pairs(df, 0.6, least_bars=100, least_common=50).collect()}
+    assert strong == {k for k, r in got.items() if "s8" not in k and r.corr >= 0.6}
+
+
+def test_stream_keeps_the_last_arrival(spark, tmp_path):
+    at = pd.Timestamp("2024-01-02 14:30")
+    rows = [("x", at, 1, 10.0), ("x", at, 3, 12.0), ("x", at, 2, 11.0), ("y", at, 1, 5.0), ("x", at + pd.Timedelta(hours=2), 4, 20.0), ("x", at + pd.Timedelta(hours=3), 5, 21.0), ("x", at, 6, 99.0)]
+    df = spark.createDataFrame([(a, t.to_pydatetime(), n, c) for a, t, n, c in rows], "ticker string, ts timestamp, arrival long, c double")
+    for k, part in enumerate(("arrival <= 3 and c < 20", "c = 20", "c = 21", "c = 99")):  # the last one comes after the watermark has passed it
+        df.where(part).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = intraday.stream_latest(stream, "arrival").writeStream.format("memory").queryName("latest_bars").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r.ticker, r.c) for r in spark.table("latest_bars").where("c < 20 or c = 99").collect()} == {("x", 12.0), ("y", 5.0)}
+    assert intraday.latest_arrivals(df.where("c < 20"), "arrival").where("ticker = 'x'").first().c == 12.0
