@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapeworks.jobs.event_queries import _REG, _regimes
 from tapeworks.jobs.feature_queries import _HITS
 from tapeworks.jobs.tables import BARS, INTRADAY, bars, dates_as_text, earnings, intraday, rounded, table
-from tapeworks.operators import desk, macro, parabolic, reviews
+from tapeworks.operators import desk, growth, macro, parabolic, reviews
 from tapeworks.operators.events import monthly_close
 from tapeworks.operators.features import by, full, rolling_zscore
 from tapeworks.streaming import intraday as live
@@ -331,3 +331,23 @@ def _day_ranges(s: SparkSession, d: str) -> DataFrame:
 _add("t02_opening_status", lambda s, d: live.opening_status(intraday(s, d), _day_ranges(s, d), "UTC+9:30"), f"""WITH {INTRADAY}, f AS (SELECT ticker, session, min(ts) AS first, row_number() OVER (PARTITION BY ticker ORDER BY session) AS k FROM intraday GROUP BY ticker, session)
     SELECT ticker, session, CASE WHEN k <= 2 THEN 'atr_14_unavailable' WHEN strftime(first + INTERVAL 570 MINUTE, '%H:%M') <> '09:30' THEN 'opening_range_bar_unavailable' END AS skip_reason FROM f""", ("session",))
 Q["t02_orl_monitor"] = lambda s, d: rounded(live.orl_monitor(intraday(s, d), _day_ranges(s, d), "UTC+9:30"))
+
+
+def _growth(s: SparkSession, d: str) -> DataFrame:
+    """Components of each brand: newness of its bars, sponsorship of its lines' suppliers, others from its lines."""
+    b = bars(s, d)
+    lines = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("symbol"))
+    own = lines.agg(F.countDistinct("l_suppkey").alias("h"), (F.avg(F.when(F.col("l_returnflag") == "N", 100.0).otherwise(0.0))).alias("share"), F.max(F.col("l_suppkey") == 7).alias("named"), F.avg("l_quantity").alias("q"), F.sum("l_linenumber").alias("lines"), F.avg(F.when(F.col("l_linestatus") == "O", 100.0).otherwise(0.0)).alias("o"))
+    rows = own.join(growth.newness(b), "symbol")
+    return rows.select("symbol", F.round(F.col("q") * 3, 6).alias("C"), F.round(F.col("o") + 20, 6).alias("A"), "N", (F.col("lines") % 101).alias("S"), (F.col("lines") % 97).alias("L"), growth.sponsorship(F.col("h"), F.round("share", 6), F.col("named")).alias("I"), F.when(F.col("lines") % 5 != 0, 80).otherwise(0).alias("M"))
+
+
+_add("a41_growth_composite", lambda s, d: growth.growth_composite(_growth(s, d)), f"""WITH {BARS}, t AS (SELECT symbol, date, close, volume, max(high) OVER y AS top, avg(volume) OVER v AS mean FROM bars WINDOW y AS (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING), v AS (PARTITION BY symbol ORDER BY date ROWS 49 PRECEDING) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1),
+    u AS (SELECT symbol, round((close / top - 1) * 100, 9) AS f, close >= top * 0.995::DOUBLE AND volume > mean * 1.4::DOUBLE AS b FROM t), nn AS (SELECT symbol, CASE WHEN f >= -5 AND b THEN 100 WHEN f >= -10 AND b THEN 80 WHEN f >= -15 OR b THEN 60 WHEN f >= -25 THEN 40 ELSE 20 END AS "N" FROM u),
+    w AS (SELECT p_brand AS symbol, count(DISTINCT l_suppkey) AS h, round(avg(CASE WHEN l_returnflag = 'N' THEN 100.0::DOUBLE ELSE 0 END), 6) AS sh, bool_or(l_suppkey = 7) AS nm, avg(l_quantity) AS q, sum(l_linenumber) AS ln, avg(CASE WHEN l_linestatus = 'O' THEN 100.0::DOUBLE ELSE 0 END) AS o FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+    i AS (SELECT *, CASE WHEN h BETWEEN 50 AND 100 AND sh BETWEEN 30 AND 60 THEN 100 WHEN nm AND h BETWEEN 30 AND 150 THEN 90 WHEN (h >= 30 AND h < 50 AND sh BETWEEN 20 AND 40) OR (h > 100 AND h <= 150 AND sh BETWEEN 40 AND 70) THEN 80 WHEN (h >= 20 AND h < 30 AND sh BETWEEN 20 AND 50) OR (h BETWEEN 50 AND 150 AND sh BETWEEN 20 AND 70) THEN 60
+        WHEN sh < 10 OR sh > 90 THEN 20 WHEN sh < 20 OR sh > 80 THEN 40 ELSE 50 END AS b FROM w),
+    c AS (SELECT symbol, round(q * 3, 6) AS "C", round(o + 20, 6) AS "A", "N", ln % 101 AS "S", ln % 97 AS "L", least(100, b + CASE WHEN nm THEN 10 ELSE 0 END) AS "I", CASE WHEN ln % 5 <> 0 THEN 80 ELSE 0 END AS "M" FROM i JOIN nn USING (symbol)),
+    s AS (SELECT *, {" + ".join(f'"{c}" * {w}::DOUBLE' for c, w in growth.WEIGHTS.items())} AS x, ["C", "A", "N", "S", "L", "I", "M"] AS lst, list_filter([{", ".join(f"""CASE WHEN "{c}" < {v} THEN '{c}' END""" for c, v in growth.LEAST.items())}], lambda z: z IS NOT NULL) AS f FROM c)
+    SELECT symbol, round(x, 1) AS composite, CASE WHEN round(x, 9) >= 90 THEN 'Exceptional+' WHEN round(x, 9) >= 80 THEN 'Exceptional' WHEN round(x, 9) >= 70 THEN 'Strong' WHEN round(x, 9) >= 60 THEN 'Above Average' WHEN round(x, 9) >= 50 THEN 'Average' WHEN round(x, 9) >= 40 THEN 'Below Average' ELSE 'Weak' END AS rating,
+        ['C', 'A', 'N', 'S', 'L', 'I', 'M'][list_position(lst, list_min(lst))] AS weakest, array_to_string(f, ',') AS failed, CASE WHEN "M" = 0 OR "L" < 40 OR len(f) > 1 THEN 'avoid' WHEN len(f) = 1 THEN 'watchlist' ELSE 'buy' END AS advice FROM s""")
