@@ -12,7 +12,8 @@ refined until its bucket is its own (settled: not repeated) or its bucket's dept
    one; a suffix alone in its bucket is settled and leaves, and so does every suffix that points to a settled one.
    Windows whose bytes occur more than once as a whole need no sorting and stand for each other.
    A bucket of more than `hot` suffixes is not sent to one place: its windows are named by the same pairs of buckets
-   where their text is, to full depth, and Spark groups the last names, so no task holds an unbounded bucket.
+   where their text is, to full depth, combined there, and Spark groups the last names, so no task holds an unbounded
+   bucket.
 3. Windows in buckets of two or more cover the bytes to remove.
 
 Texts that occur more than once as a whole are reduced to one unit first. Names are 64-bit hashes of content.
@@ -180,10 +181,31 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200,
     discard(suffixes, buckets)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["u1", "u2", "lo", "hi", "name", "body"]
+
+        def windows_of(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            # Combined before the shuffle: of windows alike one goes on, and all of them are known to be repeated.
+            u1, u2, at, name = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(name, kind="stable")
+            same = name[order][1:] == name[order][:-1]
+            again, later = np.zeros(len(name), bool), np.zeros(len(name), bool)
+            again[order[1:]] = later[order[1:]] = same
+            again[order[:-1]] |= same
+            k = np.flatnonzero(~later)
+            yield pa.RecordBatch.from_arrays([pa.array(u1[k]), pa.array(u2[k]), pa.array(at[k]), pa.nulls(len(k), pa.int64()), pa.array(name[k].view(np.int64)), pa.nulls(len(k), pa.binary())], names)
+            k = np.flatnonzero(again)
+            first, last = runs(at[k], u1[k])
+            yield pa.RecordBatch.from_arrays([pa.array(u1[k][first]), pa.array(u2[k][first]), pa.array(at[k][first]), pa.array(at[k][last]), pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.binary())], names)
+
+        def bodies_of(out: list[list]) -> pa.RecordBatch:
+            u1, u2, lo, name, body = out
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (u1, u2, lo)), pa.nulls(len(lo), pa.int64()), pa.array(name, pa.int64()), pa.array(body, pa.binary())], names)
+
         for batch in batches:
-            names = ["u1", "u2", "lo", "name", "body"]
             u1, u2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            out, held = [[] for _ in names], 0
+            out, held = [[] for _ in range(5)], 0
+            parts: list[tuple[np.ndarray, ...]] = []
+            many = 0
             for i, (body, places) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 raw, places = body.as_buffer(), places.values
                 code = places.field("place").to_numpy()
@@ -204,14 +226,20 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200,
                     window = np.unique(_ragged(lo[warm], (hi - lo + 1)[warm]))
                     first, last = int(window[0]), int(window[-1]) + length
                     full = refined_names(gram_names(data[first:last], gram), gram, length)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(window), u1[i])), pa.array(np.full(len(window), u2[i])), pa.array(window), pa.array(full[window - first].view(np.int64)), pa.nulls(len(window), pa.binary())], names)
+                    parts.append((np.full(len(window), u1[i]), np.full(len(window), u2[i]), window, full[window - first]))
+                    many += len(window)
+                    if many > 1 << 19:
+                        yield from windows_of(parts)
+                        parts, many = [], 0
                 if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, [pa.int64()] * 4 + [pa.binary()], strict=True)], names)
-                    out, held = [[] for _ in names], 0
+                    yield bodies_of(out)
+                    out, held = [[] for _ in range(5)], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, [pa.int64()] * 4 + [pa.binary()], strict=True)], names)
+                yield bodies_of(out)
+            if parts:
+                yield from windows_of(parts)
 
-    sent = written(units.join(open_, "u1").select("u1", "u2", "text", "places").mapInArrow(send, "u1 long, u2 long, lo long, name long, body binary"), "buckets")
+    sent = written(units.join(open_, "u1").select("u1", "u2", "text", "places").mapInArrow(send, "u1 long, u2 long, lo long, hi long, name long, body binary"), "buckets")
     discard(open_)
 
     def settle(batch: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -256,11 +284,12 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200,
                 yield from settle(table)
 
     cold = sent.where("body is not null").select("name", "u1", "u2", "lo", "body").repartition("name").sortWithinPartitions("name").mapInArrow(meet, "u1 long, u2 long, lo long, hi long")
-    warm = sent.where("body is null").select("name", "u1", "u2", "lo")
+    known = sent.where("hi is not null").select("u1", "u2", "lo", "hi")
+    warm = sent.where("body is null and hi is null").select("name", "u1", "u2", "lo")
     spot = F.struct("u1", "u2", "lo")
     twice = warm.groupBy("name").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("name")
     warm = warm.join(written(twice, "hot-names"), "name").select("u1", "u2", "lo", F.col("lo").alias("hi"))
-    spans = cut(cold.unionByName(warm).groupBy("u1", "u2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    spans = cut(cold.unionByName(known).unionByName(warm).groupBy("u1", "u2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
     discard(sent)
     return units, spans
 
