@@ -300,7 +300,7 @@ _add("h17_parabolic_screen", lambda s, d: parabolic.parabolic_screen(bars(s, d),
         round({_lin("CASE WHEN pv > 0 THEN volume / pv END", 1.5, 5)}, 9) AS volume_climax, round({_lin("CASE WHEN tb > 0 THEN t5 / tb END", 1.2, 3)}, 9) AS range_expansion, round(CASE WHEN adv > 0 THEN greatest(0, least(10, (log10(adv) - 7) / 1.5 * 10)) * 10 ELSE 0 END, 9) AS liquidity FROM c JOIN ev ON ev.symbol = c.symbol AND ev.date = c.date),
     t AS (SELECT *, round({" + ".join(f"{k} * {w}::DOUBLE" for k, w in parabolic.WEIGHTS.items())}, 1) AS score, [{", ".join(_PARTS)}] AS l, coalesce(high > low AND (close - low) / (high - low) >= 0.8::DOUBLE, false) AS st,
         coalesce(5 * floor((date - DATE '1969-12-29') / 7) + least(((date - DATE '1969-12-29') % 7) + 1, 5) - 5 * floor((le - DATE '1969-12-29') / 7) - least(((le - DATE '1969-12-29') % 7) + 1, 5) <= 5, false) AS rc FROM s)
-    SELECT symbol, date, {", ".join(f"round({k}, 6)::DOUBLE AS {k}" for k in _PARTS)}, score, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 50 THEN 'C' ELSE 'D' END AS grade, {_PARTS}[list_position(l, list_min(l))] AS weakest, {_PARTS}[list_position(l, list_max(l))] AS strongest,
+    SELECT symbol, date, {", ".join(f"round({k}, 4)::DOUBLE AS {k}" for k in _PARTS)}, score, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 50 THEN 'C' ELSE 'D' END AS grade, {_PARTS}[list_position(l, list_min(l))] AS weakest, {_PARTS}[list_position(l, list_max(l))] AS strongest,
         CASE WHEN st AND ah THEN 'still_in_markup' END AS state_cap, concat_ws(',', CASE WHEN st AND NOT ah AND pv > 0 AND volume / pv >= 2 THEN 'too_early_to_short' END, CASE WHEN rc THEN 'recent_earnings_catalyst' END) AS warnings, coalesce(ne - date <= 2, false) AS blackout FROM t""", ("date",))
 
 

@@ -44,7 +44,7 @@ def parabolic_screen(bars: DataFrame, earnings: DataFrame, blackout: int = 2, ca
     early = strong & ~F.col("at_high") & F.coalesce(F.col("volume_ratio") >= volume, F.lit(False))
     recent = F.col("last_event").isNotNull() & (trading_days_between(F.col("last_event"), F.col("date")) <= catalyst)
     warnings = F.array_join(F.array_compact(F.array(F.when(early, "too_early_to_short"), F.when(recent, "recent_earnings_catalyst"))), ",")
-    return out.select("symbol", "date", *WEIGHTS, "score", grade.alias("grade"), F.array_min(parts)["k"].alias("weakest"), F.array_min(best)["k"].alias("strongest"), F.when(markup, "still_in_markup").alias("state_cap"), warnings.alias("warnings"), F.coalesce(F.datediff("next_event", "date") <= blackout, F.lit(False)).alias("blackout"))
+    return out.select("symbol", "date", *[F.round(k, 4).alias(k) for k in WEIGHTS], "score", grade.alias("grade"), F.array_min(parts)["k"].alias("weakest"), F.array_min(best)["k"].alias("strongest"), F.when(markup, "still_in_markup").alias("state_cap"), warnings.alias("warnings"), F.coalesce(F.datediff("next_event", "date") <= blackout, F.lit(False)).alias("blackout"))
 
 
 def carry_forward(plans: DataFrame, states: DataFrame, bars: DataFrame) -> DataFrame:
