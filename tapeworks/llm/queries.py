@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeworks.llm.centroids import centroid_clusters, clusters_sql
+from tapeworks.llm.importance import IMPORTANCE_SQL, importance_resample
 from tapeworks.llm.jaccard import ngram_jaccard_join
 from tapeworks.llm.language import document_rows, identify, page_rows
 from tapeworks.llm.licenses import license_scan
@@ -15,6 +17,7 @@ from tapeworks.llm.mixing import MIX_SQL, mix_sources
 from tapeworks.llm.packing import pack_documents
 from tapeworks.llm.quality_model import quality_scores
 from tapeworks.llm.quality_rules import RULES_SQL, quality_rules
+from tapeworks.llm.sentence_pieces import piece_ids
 from tapeworks.llm.suffix_dedup import remove_repeats
 from tapeworks.llm.toxicity import toxicity
 
@@ -83,10 +86,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_docs(spark, sf_dir))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that look most like the benchmark's texts: a tenth of those with 20 words or more."""
+    return importance_resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 clusters of the 64-component embeddings after five rounds."""
+    return centroid_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each text with an end id, and the text decoded from them."""
+    return piece_ids(_docs(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_jaccard, op2_media_columns, op3_toxicity, op4_suffix_dedup, op5_quality_classifier, op6_source_mixing, op7_language_id, op8_quality_rules, op9_packing, op10_license_scan)
+    found = (op1_ngram_jaccard, op2_media_columns, op3_toxicity, op4_suffix_dedup, op5_quality_classifier, op6_source_mixing, op7_language_id, op8_quality_rules, op9_packing, op10_license_scan, op11_importance_resampling, op12_centroid_clusters, op13_sentence_pieces)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": MIX_SQL, "op8_quality_rules": RULES_SQL}
+    return {"op6_source_mixing": MIX_SQL, "op8_quality_rules": RULES_SQL, "op11_importance_resampling": IMPORTANCE_SQL, "op12_centroid_clusters": clusters_sql()}

@@ -73,9 +73,9 @@ def blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[i
 class Words:
     """Words of a block: starts, ends (byte positions) and first (index of each text's first word, n + 1 long)."""
 
-    def __init__(self, raw: np.ndarray, offs: np.ndarray, lower: bool = False):
+    def __init__(self, raw: np.ndarray, offs: np.ndarray, lower: bool = False, table: np.ndarray = IS_WORD):
         self.raw = LOWER[raw] if lower else raw
-        self.inside = inside = IS_WORD[raw]
+        self.inside = inside = table[raw]
         begin, end = inside.copy(), inside.copy()
         if len(raw):
             begin[1:] &= ~inside[:-1]
