@@ -73,7 +73,7 @@ def _detections(s: SparkSession, d: str) -> DataFrame:
 
 _add("h05_forward_outcome", lambda s, d: c.forward_outcome(_detections(s, d), bars(s, d)), f"""WITH {BARS}, {_DET}, x AS (SELECT det.symbol, det.bar, c0, min(CASE WHEN n.close > pv THEN n.bar END) AS up, min(CASE WHEN n.close < st THEN n.bar END) AS dn, max(n.close) AS hi, min(n.close) AS lo
     FROM det JOIN n ON n.symbol = det.symbol AND n.bar BETWEEN det.bar + 1 AND det.bar + 60 GROUP BY ALL)
-    SELECT symbol, bar, CASE WHEN up IS NOT NULL THEN 'breakout' WHEN dn IS NOT NULL THEN 'stop_hit' ELSE 'timeout' END AS outcome, coalesce(up, dn) - bar AS days, round(hi / c0 - 1, 6) AS max_gain, round(lo / c0 - 1, 6) AS max_loss FROM x""")
+    SELECT symbol, bar, CASE WHEN up IS NOT NULL AND (dn IS NULL OR up <= dn) THEN 'breakout' WHEN dn IS NOT NULL THEN 'stop_hit' ELSE 'timeout' END AS outcome, least(up, dn) - bar AS days, round(hi / c0 - 1, 6) AS max_gain, round(lo / c0 - 1, 6) AS max_loss FROM x""")
 _add("u02_distinct_hints", lambda s, d: c.distinct_hints(table(s, d, "part").select("p_partkey", "p_brand", "p_type"), ["p_brand", "p_type"], "p_partkey"), "SELECT min(p_partkey) AS p_partkey, p_brand, p_type FROM part GROUP BY p_brand, p_type")
 _add("u03_common_dates", lambda s, d: c.common_dates(bars(s, d), "Brand#1", "Brand#2"), f"WITH {BARS} SELECT date FROM bars WHERE symbol IN ('Brand#1', 'Brand#2') AND close > 0 GROUP BY date HAVING count(DISTINCT symbol) = 2", ("date",))
 _add("u04_index_difference", lambda s, d: c.index_difference(table(s, d, "customer").where("c_custkey % 3 <> 0"), table(s, d, "customer").where("c_custkey % 5 <> 0"), "c_custkey"), "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN 'left' ELSE 'right' END AS side FROM customer WHERE (c_custkey % 3 <> 0) <> (c_custkey % 5 <> 0)")

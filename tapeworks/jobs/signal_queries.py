@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions import scalars as x
 from tapeworks.jobs.event_queries import _PANEL, _panel
+from tapeworks.jobs.pattern_queries import smooth
 from tapeworks.jobs.tables import BARS, INTRADAY, OUTCOMES, bars, dates_as_text, intraday, outcomes, rounded, table, ticks
 from tapeworks.operators import breadth as b
 from tapeworks.operators import folds, income
 from tapeworks.operators import regime as r
 from tapeworks.operators import signals as g
 from tapeworks.operators import textchecks as t
-from tapeworks.operators import vcp
 from tapeworks.operators.features import frame, sma
 from tapeworks.sources import bars as src
 from tapeworks.streaming import intraday as live
@@ -117,7 +117,7 @@ _add("h11_dedupe_signals", lambda s, d: g.dedupe_signals(_signals(s, d)))
 _add("h12_contradictions", lambda s, d: g.contradictions(_signals(s, d)), f"""WITH {_SIGS}
     SELECT a.signal_ref AS long_ref, b.signal_ref AS short_ref, min(a.ticker) AS ticker, CASE WHEN a.skill = b.skill THEN 'HIGH' WHEN a.h <> b.h AND a.h <> 'unknown' AND b.h <> 'unknown' THEN 'LOW' ELSE 'MEDIUM' END AS severity
     FROM tick a JOIN tick b ON a.ticker = b.ticker AND a.direction = 'LONG' AND b.direction = 'SHORT' GROUP BY a.signal_ref, b.signal_ref, a.skill, b.skill, a.h, b.h""")
-_add("a20_conviction", lambda s, d: g.adjust_for_contradictions(g.conviction(_signals(s, d), g.dedupe_signals(_signals(s, d)), {"1-URGENT": 0.3, "2-HIGH": 0.25}, "1998-02-01"), g.contradictions(_signals(s, d)).where("severity <> 'HIGH'")))
+_add("a20_conviction", lambda s, d: g.adjust_for_contradictions(g.conviction(_signals(s, d), g.dedupe_signals(_signals(s, d)), {"1-URGENT": 0.3, "2-HIGH": 0.25}, "1998-02-01"), g.contradictions(_signals(s, d))))
 _add("a21_concept_clusters", lambda s, d: g.concept_clusters(outcomes(s, d).select(F.col("skill").alias("hypothesis"), "regime", F.substring(F.col("signal_id").cast("string"), 1, 2).alias("symbol"), F.col("raw").alias("priority"))), f"""WITH {OUTCOMES}, k AS (SELECT skill AS hypothesis, regime, substr(CAST(signal_id AS VARCHAR), 1, 2) AS symbol, raw FROM outcomes),
     c0 AS (SELECT hypothesis, regime, symbol, count(*) AS c FROM k GROUP BY hypothesis, regime, symbol), c AS (SELECT *, row_number() OVER (PARTITION BY hypothesis, regime ORDER BY c DESC, symbol) AS n FROM c0), l AS (SELECT hypothesis, regime, string_agg(symbol, ',' ORDER BY n) AS symbols FROM c WHERE n <= 10 GROUP BY hypothesis, regime)
     SELECT k.hypothesis, k.regime, count(*) AS n, round(avg(raw), 4) AS mean_priority, any_value(symbols) AS symbols FROM k JOIN l ON k.hypothesis = l.hypothesis AND k.regime = l.regime GROUP BY k.hypothesis, k.regime""")
@@ -272,17 +272,9 @@ _add("x10_log_totals", lambda s, d: t.log_totals(table(s, d, "conversations")),
 _add("t10_session_gaps", lambda s, d: t.session_gaps(table(s, d, "events")), "WITH q AS (SELECT user_id, event_id, CAST(floor(epoch(lead(ts) OVER w)) - floor(epoch(ts)) AS BIGINT) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT * FROM q WHERE gap >= 300")
 
 # Folds and intraday state.
-def _smooth(s: SparkSession, d: str) -> DataFrame:
-    """Bars of 20 day means: the ticks of unrelated parts jump too much for patterns of days."""
-    rows = bars(s, d).withColumn("_n", F.count("*").over(frame(20)))
-    means = rows.select("symbol", "date", "volume", "_n", *[F.avg(c).over(frame(20)).alias(c) for c in ("open", "high", "low", "close")]).where("_n = 20")
-    return means.select("symbol", "date", "open", "high", "low", "close", "volume")
-
-
 _add("h_indicators", lambda s, d: folds.fold(bars(s, d), "indicators"))
-for _name in ("vcp", "walk_forward", "rally", "mean_reversion"):
-    _add(f"h_{_name}", lambda s, d, n=_name: folds.fold(_smooth(s, d), n))
-_add("h03_vcp_screen", lambda s, d: vcp.vcp_screen(_smooth(s, d), _smooth(s, d).groupBy("date").agg(F.avg("close").alias("bench"))))
+for _name in ("rally", "mean_reversion"):
+    _add(f"h_{_name}", lambda s, d, n=_name: folds.fold(smooth(s, d), n))
 _add("h06_dividend_basis", lambda s, d: folds.fold(_dividends(s, d), "dividends"))
 _add("h15_risk_budget", lambda s, d: folds.fold(table(s, d, "orders").where("o_totalprice > 0").select(F.col("o_custkey").cast("string").alias("account"), F.col("o_orderkey").cast("string").alias("candidate"), F.col("o_orderpriority").alias("sector"), F.col("o_totalprice").alias("score"), (F.col("o_totalprice") / 100000).alias("risk")), "risk_budget"))
 Q["t01_session_vwap"] = lambda s, d: live.session_vwap(intraday(s, d)).select("ticker", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), F.round("vwap", 8).alias("vwap"))

@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tapeworks.operators import contraction
+
 
 def ema(x: np.ndarray, n: int, seed_first: bool = False) -> np.ndarray:
     """Exponential mean: seeded with the mean of the first n values (plain running mean before), or with the first."""
@@ -44,70 +46,6 @@ def rsi(x: np.ndarray, n: int = 14) -> np.ndarray:
     return out
 
 
-def last_atr(h: np.ndarray, low: np.ndarray, c: np.ndarray, n: int = 14) -> float:
-    if len(c) < n + 1:
-        return 0.0
-    tr = np.maximum(h[1:] - low[1:], np.maximum(np.abs(h[1:] - c[:-1]), np.abs(low[1:] - c[:-1])))
-    return float(tr[-n:].mean())
-
-
-def zigzag(h: np.ndarray, low: np.ndarray, c: np.ndarray, times: float = 1.5, n: int = 14) -> tuple[list[tuple[int, float]], list[tuple[int, float]]]:
-    """Alternating swing highs and lows that turn by more than times * the last true range, from the early high on."""
-    step = times * last_atr(h, low, c, n)
-    highs: list[tuple[int, float]] = []
-    lows: list[tuple[int, float]] = []
-    if step <= 0 or len(c) < n:
-        return highs, lows
-    at = int(np.argmax(h[:n]))
-    up, top, bottom = True, (at, float(h[at])), (at, float(low[at]))
-    for i in range(at + 1, len(c)):
-        if up:
-            if h[i] > top[1]:
-                top = (i, float(h[i]))
-            elif top[1] - low[i] >= step:
-                highs.append(top)
-                up, bottom = False, (i, float(low[i]))
-        elif low[i] < bottom[1]:
-            bottom = (i, float(low[i]))
-        elif h[i] - bottom[1] >= step:
-            lows.append(bottom)
-            up, top = True, (i, float(h[i]))
-    (highs if up else lows).append(top if up else bottom)
-    return highs, lows
-
-
-def contractions(h: np.ndarray, low: np.ndarray, c: np.ndarray, least_depth: float = 8.0, ratio: float = 0.75, bars: int = 15) -> dict:
-    """Best run of two to four shrinking pullbacks that starts at one of the three highest swing highs."""
-    highs, lows = zigzag(h, low, c)
-    best: tuple | None = None
-    for start in sorted(highs, key=lambda x: -x[1])[:3]:
-        found: list[tuple[int, float, int, float, float]] = []
-        at = start
-        while at and len(found) < 4:
-            down = next((x for x in lows if x[0] >= at[0] + 1), None)
-            if down is None:
-                break
-            stop = next((x for x in highs if x[0] > down[0]), None)
-            inside = [x for x in lows if x[0] > at[0] and (stop is None or x[0] < stop[0])]
-            down = min(inside, key=lambda x: x[1])
-            depth = (at[1] - down[1]) / at[1] * 100
-            if down[0] - at[0] >= 5:
-                found.append((at[0], at[1], down[0], down[1], depth))
-            at = stop if stop and abs(stop[1] - start[1]) / start[1] <= 0.05 else None
-        if not found:
-            continue
-        shrink = all(b[4] <= a[4] * ratio for a, b in zip(found, found[1:], strict=False))
-        valid = len(found) >= 2 and found[0][4] >= least_depth and shrink and found[-1][2] - found[0][0] >= bars
-        score = min(100.0, 20.0 * len(found) + (30 if shrink and len(found) > 1 else 0) + max(0.0, 20 - found[-1][4]))
-        key = (valid, score, len(found))
-        if best is None or key > best[0]:
-            best = (key, found)
-    if best is None:
-        return {"valid": False, "score": 0.0, "contractions": 0, "pivot": np.nan, "last_low": np.nan, "first_high": -1, "last_low_at": -1}
-    found = best[1]
-    return {"valid": bool(best[0][0]), "score": float(best[0][1]), "contractions": len(found), "pivot": found[-1][1], "last_low": found[-1][3], "first_high": found[0][0], "last_low_at": found[-1][2]}
-
-
 def _arrays(g: pd.DataFrame) -> tuple[np.ndarray, ...]:
     return tuple(g[x].to_numpy(float) for x in ("open", "high", "low", "close", "volume"))
 
@@ -118,32 +56,42 @@ def fold_indicators(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"symbol": g["symbol"], "date": g["date"], "ema21": ema(c, 21), "ema10_first": ema(c, 10, True), "rsi14": rsi(c, 14)})
 
 
+def _as_of(g: pd.DataFrame, end: int, limits: contraction.Limits) -> dict:
+    """The pattern of the bars before row `end`, with dates for the window's bars."""
+    _, h, low, c, v = (x[max(0, end - limits.window) : end] for x in _arrays(g))
+    days = g["date"].to_numpy()[max(0, end - limits.window) : end]
+    found = contraction.detect(h, low, c, v, limits)
+    chain = [{"high_date": days[x["high_at"]], "low_date": days[x["low_at"]], **{k: x[k] for k in ("high", "low", "depth_pct", "bars", "volume")}} for x in found.pop("chain")]
+    first, last = (None if found[k] is None else days[found[k]] for k in ("first_high_at", "last_low_at"))
+    return {"symbol": g["symbol"].iat[0], "date": days[-1], **found, "first_high_date": first, "last_low_date": last, "chain": chain}
+
+
+def fold_swings(g: pd.DataFrame) -> pd.DataFrame:
+    """Confirmed turning points of the last 120 bars."""
+    limits = contraction.Limits()
+    _, h, low, c, _ = (x[-limits.window :] for x in _arrays(g))
+    days = g["date"].to_numpy()[-limits.window :]
+    turns = contraction.turning_points(h, low, limits.swing_ranges * contraction.mean_range(h, low, c, limits.range_bars), limits.range_bars)
+    rows = [{"symbol": g["symbol"].iat[0], "date": days[i], "kind": "high" if s > 0 else "low", "price": float(h[i] if s > 0 else low[i])} for i, s in turns]
+    return pd.DataFrame(rows, columns=["symbol", "date", "kind", "price"])
+
+
 def fold_vcp(g: pd.DataFrame) -> pd.DataFrame:
-    """Contraction pattern of the last 120 bars."""
-    _, h, low, c, _ = (x[-120:] for x in _arrays(g))
-    found = contractions(h, low, c)
-    return pd.DataFrame([{"symbol": g["symbol"].iat[0], **{k: found[k] for k in ("valid", "score", "contractions", "pivot", "last_low")}}])
-
-
-def fold_walk_forward(g: pd.DataFrame, step: int = 5, window: int = 120, ahead: int = 60) -> pd.DataFrame:
-    """Valid patterns at every step-th bar, only from bars up to it, each once, with what the next bars did."""
-    _, h, low, c, _ = _arrays(g)
-    rows, seen = [], set()
-    for end in range(window, len(c), step):
-        a = end - window
-        found = contractions(h[a:end], low[a:end], c[a:end], ratio=0.95, bars=10)
-        if not found["valid"]:
-            continue
-        key = (a + found["first_high"], a + found["last_low_at"], round(found["pivot"], 6))
-        if key in seen:
-            continue
-        seen.add(key)
-        later = c[end : end + ahead]
-        broke, stopped = np.flatnonzero(later > found["pivot"]), np.flatnonzero(later < found["last_low"])
-        first_b, first_s = (int(x[0]) if len(x) else len(later) for x in (broke, stopped))
-        what = "timeout" if first_b == first_s == len(later) else ("breakout" if first_b <= first_s else "stop_hit")
-        rows.append({"symbol": g["symbol"].iat[0], "as_of": g["date"].iat[end - 1], "score": found["score"], "pivot": found["pivot"], "outcome": what, "days": min(first_b, first_s) + (what != "timeout"), "max_gain": float(later.max() / c[end - 1] - 1) if len(later) else np.nan})
-    return pd.DataFrame(rows, columns=["symbol", "as_of", "score", "pivot", "outcome", "days", "max_gain"])
+    """Contraction pattern of the last 120 bars, by the detector's own limits."""
+    return pd.DataFrame([_as_of(g, len(g), contraction.Limits())])[PATTERN_COLUMNS]
+
+
+def fold_vcp_screen(g: pd.DataFrame) -> pd.DataFrame:
+    """The same by the screen's stricter limits."""
+    return pd.DataFrame([_as_of(g, len(g), contraction.SCREEN)])[PATTERN_COLUMNS]
+
+
+def fold_cursors(g: pd.DataFrame) -> pd.DataFrame:
+    """Valid patterns at the rows marked `cursor` of a stretch of one symbol, each from its own 120 bars up to there; only
+    those rows' patterns whose window lies in the stretch are asked for."""
+    rows = [_as_of(g, i + 1, contraction.SCREEN) | {"bar": int(g["bar"].iat[i])} for i in np.flatnonzero(g["cursor"].to_numpy(bool)).tolist()]
+    rows = [r for r in rows if r["valid"]]
+    return pd.DataFrame(rows, columns=[*PATTERN_COLUMNS, "bar"])
 
 
 # A swing low's least fall in % and down days, a follow-through's days, least gain in % and tiers.
@@ -312,10 +260,15 @@ def fold_risk_budget(g: pd.DataFrame, budget: float = 6.0, per_sector: float = 3
     return pd.DataFrame(rows)
 
 
+PATTERN = "symbol string, date date, valid boolean, score long, contractions long, pivot double, last_low double, last_depth double, range_compression double, wide boolean, right_side double, volume_declining boolean, first_high_date date, last_low_date date, chain array<struct<high_date: date, low_date: date, high: double, low: double, depth_pct: double, bars: long, volume: long>>"
+PATTERN_COLUMNS = [c.split()[0] for c in PATTERN.split(", chain")[0].split(", ")] + ["chain"]
+
 FOLDS: dict[str, tuple[Callable[[pd.DataFrame], pd.DataFrame], str, str]] = {
     "indicators": (fold_indicators, "symbol", "symbol string, date date, ema21 double, ema10_first double, rsi14 double"),
-    "vcp": (fold_vcp, "symbol", "symbol string, valid boolean, score double, contractions long, pivot double, last_low double"),
-    "walk_forward": (fold_walk_forward, "symbol", "symbol string, as_of date, score double, pivot double, outcome string, days long, max_gain double"),
+    "swings": (fold_swings, "symbol", "symbol string, date date, kind string, price double"),
+    "vcp": (fold_vcp, "symbol", PATTERN),
+    "vcp_screen": (fold_vcp_screen, "symbol", PATTERN),
+    "cursors": (fold_cursors, "symbol, stretch", PATTERN + ", bar long"),
     "rally": (fold_rally, "symbol", "symbol string, state string, rally_day long, ftd_day long, gain double, tier string"),
     "mean_reversion": (fold_mean_reversion, "symbol", "symbol string, entry date, exit date, ret double, reason string"),
     "dividends": (fold_dividends, "symbol", "symbol string, status string, cadence string, pays_per_year long, specials long, annualized double, regular_ttm double, ttm double, variable boolean, cut boolean, frozen boolean, suspended boolean"),
@@ -330,4 +283,4 @@ def fold(rows: DataFrame, name: str) -> DataFrame:
     def ordered(g: pd.DataFrame) -> pd.DataFrame:
         return run(g.sort_values("date", ignore_index=True) if "date" in g.columns else g)
 
-    return rows.groupBy(key).applyInPandas(ordered, schema)
+    return rows.groupBy(*key.split(", ")).applyInPandas(ordered, schema)

@@ -28,14 +28,14 @@ def carried(totals: DataFrame, group: list[str], aggs: dict[str, Column]) -> Dat
 
 
 def with_carried(rows: DataFrame, group: list[str], found: DataFrame) -> DataFrame:
-    """rows with the columns of carried(): a row per stretch and group, at most stretches and groups together."""
+    """rows with the columns of carried(), a row per stretch and group; Spark chooses the join by its size."""
     names = {c: f"_g_{c}" for c in [*group, "_part"]}
     right = found.select(*[F.col(c).alias(n) for c, n in names.items()], *[c for c in found.columns if c not in names])
     same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
     on = same[0]
     for c in same[1:]:
         on = on & c
-    return rows.join(F.broadcast(right), on, "left").drop(*names.values())
+    return rows.join(right, on, "left").drop(*names.values())
 
 
 def numbered(rows: DataFrame, group: list[str], order: list[Column], name: str, ranked: bool = False) -> DataFrame:

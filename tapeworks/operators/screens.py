@@ -165,14 +165,14 @@ def gap_downs(bars: DataFrame, gap: float = -0.005, times: float = 1.1, n: int =
 
 
 def forward_outcome(detections: DataFrame, bars: DataFrame, n: int = 60) -> DataFrame:
-    """What the n bars after each detection (symbol, bar, pivot, stop) did: the first close over the pivot is a breakout,
-    else the first under the stop a stop hit, else timeout; largest gain and loss over the whole window."""
+    """What the n bars after each detection (symbol, bar, pivot, stop) did: whichever comes first of a close over the
+    pivot (breakout) and one under the stop (stop hit), else timeout; largest gain and loss over the whole window."""
     numbered = bars.select("symbol", F.row_number().over(by()).alias("b"), F.col("close").alias("c"))
     start = numbered.select("symbol", F.col("b").alias("bar"), F.col("c").alias("c0"))
     rows = detections.join(start, ["symbol", "bar"]).withColumn("b", F.explode(F.sequence(F.col("bar") + 1, F.col("bar") + n))).join(numbered, ["symbol", "b"])
     out = rows.groupBy("symbol", "bar", "pivot", "stop", "c0").agg(F.min(F.when(F.col("c") > F.col("pivot"), F.col("b"))).alias("up"), F.min(F.when(F.col("c") < F.col("stop"), F.col("b"))).alias("down"), F.max("c").alias("hi"), F.min("c").alias("lo"))
-    what = F.when(F.col("up").isNotNull(), "breakout").when(F.col("down").isNotNull(), "stop_hit").otherwise("timeout")
-    return out.select("symbol", "bar", what.alias("outcome"), (F.coalesce("up", "down") - F.col("bar")).alias("days"), (F.col("hi") / F.col("c0") - 1).alias("max_gain"), (F.col("lo") / F.col("c0") - 1).alias("max_loss"))
+    what = F.when(F.col("up") <= F.coalesce("down", "up"), "breakout").when(F.col("down").isNotNull(), "stop_hit").otherwise("timeout")
+    return out.select("symbol", "bar", what.alias("outcome"), (F.least("up", "down") - F.col("bar")).alias("days"), (F.col("hi") / F.col("c0") - 1).alias("max_gain"), (F.col("lo") / F.col("c0") - 1).alias("max_loss"))
 
 
 def distinct_hints(hints: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -63,17 +63,6 @@ def test_rsi_and_ema():
     assert folds.ema(np.array([1.0, 3]), 3, True)[1] == pytest.approx(2)
 
 
-def test_walk_forward_sees_only_the_past():
-    rng = np.random.default_rng(5)
-    c = 100 + np.cumsum(rng.normal(0, 1, 400))
-    g = pd.DataFrame({"symbol": "A", "date": [START + dt.timedelta(days=i) for i in range(400)], "open": c, "high": c * 1.01, "low": c * 0.99, "close": c, "volume": 1.0})
-    whole, part = folds.fold_walk_forward(g), folds.fold_walk_forward(g.iloc[:300])
-    cut = g["date"].iat[299]
-    key = ["as_of", "score", "pivot"]
-    early = whole[whole["as_of"] <= cut][key].reset_index(drop=True)
-    assert early.head(len(part)).equals(part[key].reset_index(drop=True))
-
-
 def test_unit_root():
     rng = np.random.default_rng(2)
     noise, walk = rng.normal(size=500), np.cumsum(rng.normal(size=500))
