@@ -269,7 +269,6 @@ _add("x06_usage_counts", lambda s, d: t.usage_counts(table(s, d, "conversations"
 _add("x08_repeated_sequences", lambda s, d: t.repeated_sequences(table(s, d, "conversations"), "role"), "WITH q AS (SELECT role || '>' || lead(role, 1) OVER w || '>' || lead(role, 2) OVER w AS sequence FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT sequence, count(*) AS n FROM q WHERE sequence IS NOT NULL GROUP BY sequence HAVING count(*) >= 3")
 _add("x09_automation_requests", lambda s, d: t.automation_requests(table(s, d, "conversations").withColumn("text", F.concat(F.lit("create "), "text"))), "SELECT DISTINCT conv_id, substr('create ' || text, 1, 100) AS request FROM conversations WHERE role = 'user'")
 _add("x10_log_totals", lambda s, d: t.log_totals(table(s, d, "conversations")), "SELECT role, count(*) AS messages, count(DISTINCT conv_id) AS conversations, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY role")
-_add("t10_session_gaps", lambda s, d: t.session_gaps(table(s, d, "events")), "WITH q AS (SELECT user_id, event_id, CAST(floor(epoch(lead(ts) OVER w)) - floor(epoch(ts)) AS BIGINT) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT * FROM q WHERE gap >= 300")
 
 # Folds and intraday state.
 _add("h_indicators", lambda s, d: folds.fold(bars(s, d), "indicators"))
@@ -279,12 +278,7 @@ _add("h06_dividend_basis", lambda s, d: folds.fold(_dividends(s, d), "dividends"
 _add("h15_risk_budget", lambda s, d: folds.fold(table(s, d, "orders").where("o_totalprice > 0").select(F.col("o_custkey").cast("string").alias("account"), F.col("o_orderkey").cast("string").alias("candidate"), F.col("o_orderpriority").alias("sector"), F.col("o_totalprice").alias("score"), (F.col("o_totalprice") / 100000).alias("risk")), "risk_budget"))
 Q["t01_session_vwap"] = lambda s, d: live.session_vwap(intraday(s, d)).select("ticker", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), F.round("vwap", 8).alias("vwap"))
 SQL["t01_session_vwap"] = f"WITH {INTRADAY} SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M') AS at, round(sum(c * v) OVER w / sum(v) OVER w, 8) AS vwap FROM intraday WINDOW w AS (PARTITION BY ticker, session ORDER BY ts)"
-for _name in live.STEPS:
-    _add(f"t_{_name}_fsm", lambda s, d, n=_name: live.fold_sessions(intraday(s, d), n))
-_add("t05_plan_monitor", lambda s, d: live.plan_monitor(table(s, d, "events").select(F.col("event_type").alias("ticker")).distinct().select(F.concat(F.lit("plan-"), "ticker").alias("plan_id"), "ticker", F.lit("orl").alias("kind"), F.lit(1000.0).alias("risk_cash")), intraday(s, d)))
 _add("t06_regular_session", lambda s, d: live.regular_session(table(s, d, "events")).groupBy("session").agg(F.count("*").alias("n")), "SELECT CAST((ts - INTERVAL 5 HOUR)::DATE AS VARCHAR) AS session, count(*) AS n FROM events WHERE hour(ts - INTERVAL 5 HOUR) * 60 + minute(ts - INTERVAL 5 HOUR) BETWEEN 570 AND 959 AND isodow(ts - INTERVAL 5 HOUR) <= 5 GROUP BY 1")
-_add("t08_short_sale_state", lambda s, d: live.short_sale_state(bars(s, d)), f"WITH {BARS}, q AS (SELECT symbol, date, coalesce(low <= lag(close) OVER w * (1 - 0.1::DOUBLE), false) AS hit FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)) SELECT symbol, date, hit, hit OR coalesce(lag(hit) OVER (PARTITION BY symbol ORDER BY date), false) AS restricted FROM q", ("date",))
-_add("t09_latest_arrivals", lambda s, d: live.latest_arrivals(table(s, d, "events").select(F.col("event_type").alias("ticker"), F.date_trunc("hour", "ts").cast("string").alias("ts"), "event_id"), "event_id"), "SELECT event_type AS ticker, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS ts, max(event_id) AS event_id FROM events GROUP BY 1, 2")
 
 # Readers' checks.
 _add("s10_audit_bars", lambda s, d: src.audit_bars(bars(s, d)), f"WITH {BARS}, q AS (SELECT symbol, date, date_diff('day', lag(date) OVER (PARTITION BY symbol ORDER BY date), date) AS gap FROM bars) SELECT symbol, date, 'gap' AS problem FROM q WHERE gap > 3", ("date",))

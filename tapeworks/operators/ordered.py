@@ -3,15 +3,19 @@ tasks, each task works on its stretch, and one row of totals per stretch and gro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_path(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, below the warehouse where that is unset (tests, a single machine)."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written by checkpoint() into the folder of spark.checkpoint.dir (below the warehouse where that is unset)."""
-    sc, conf = df.sparkSession.sparkContext, df.sparkSession.conf
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    """df written by checkpoint() into the shared folder."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(shared_path(df.sparkSession))
     return df.checkpoint()
 
 
