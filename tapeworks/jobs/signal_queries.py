@@ -263,8 +263,6 @@ _add("a52_portfolio_summary", lambda s, d: income.portfolio_summary(table(s, d,
 Q["a52_portfolio_summary"] = (lambda run: lambda s, d: run(s, d).withColumn("value", F.round("value", 4)))(Q["a52_portfolio_summary"])
 
 # Texts and logs.
-_add("x01_x05_text_checks", lambda s, d: t.run_checks(table(s, d, "documents")))
-_add("x05_unit_check", lambda s, d: t.run_checks(table(s, d, "documents"), ["units"]), r"""SELECT doc_id, 'units' AS "check", len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '\d\s*bps?\b') AND regexp_matches(l, '\d\s*%'))) AS n FROM documents""")
 _add("x06_usage_counts", lambda s, d: t.usage_counts(table(s, d, "conversations"), r"\b(th[a-z]{4})\b"), r"SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\b(th[a-z]{4})\b', 1)) AS name FROM conversations) GROUP BY name")
 _add("x08_repeated_sequences", lambda s, d: t.repeated_sequences(table(s, d, "conversations"), "role"), "WITH q AS (SELECT role || '>' || lead(role, 1) OVER w || '>' || lead(role, 2) OVER w AS sequence FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT sequence, count(*) AS n FROM q WHERE sequence IS NOT NULL GROUP BY sequence HAVING count(*) >= 3")
 _add("x09_automation_requests", lambda s, d: t.automation_requests(table(s, d, "conversations").withColumn("text", F.concat(F.lit("create "), "text"))), "SELECT DISTINCT conv_id, substr('create ' || text, 1, 100) AS request FROM conversations WHERE role = 'user'")

@@ -1,80 +1,10 @@
-"""Checks of report texts and jobs on session logs; each check is a function of documents to findings."""
+"""Jobs on session logs: usage, errors, sequences, requests, pauses, totals."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Spellings of one instrument, and price ranges in digits before the point.
-NOTATIONS = {"gold": ("GLD", "GC", "XAUUSD"), "sp500": ("SPX", "ES", "S&P 500"), "oil": ("CL", "USO", "WTI")}
-PRICE_DIGITS = {"GLD": (2, 3), "GC": (3, 4), "SPY": (2, 3), "SPX": (4, 5), "VIX": (1, 2), "TLT": (2, 3), "SLV": (2, 2), "SI": (2, 2), "USO": (2, 2), "CL": (2, 3)}
-
-
-def price_scale_check(docs: DataFrame) -> DataFrame:
-    """doc_id, ticker, price where a price within 80 characters of a ticker has an unusual number of digits."""
-    names = "|".join(PRICE_DIGITS)
-    found = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(rf"\b(?:{names})\b[^$\n]{{0,80}}\$[0-9][0-9,]*"), F.lit(0))).alias("m"))
-    rows = found.select("doc_id", F.regexp_extract("m", rf"^({names})", 1).alias("ticker"), F.regexp_replace(F.regexp_extract("m", r"\$([0-9][0-9,]*)$", 1), ",", "").alias("price"))
-    lo = F.element_at(F.create_map(*[F.lit(x) for k, v in PRICE_DIGITS.items() for x in (k, v[0])]), F.col("ticker"))
-    hi = F.element_at(F.create_map(*[F.lit(x) for k, v in PRICE_DIGITS.items() for x in (k, v[1])]), F.col("ticker"))
-    return rows.where((F.length("price") < lo) | (F.length("price") > hi))
-
-
-def mixed_notation_check(docs: DataFrame) -> DataFrame:
-    """doc_id, instrument, spellings where a document spells one instrument in more than one way."""
-    out = []
-    for name, forms in NOTATIONS.items():
-        hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(rf"(?<![A-Za-z]){f_.replace('&', '&')}(?![A-Za-z])"), F.lit(f_)) for f_ in forms]))
-        out.append(F.when(F.size(hits) > 1, F.struct(F.lit(name).alias("instrument"), hits.alias("spellings"))))
-    return docs.select("doc_id", F.explode(F.array_compact(F.array(*out))).alias("x")).select("doc_id", "x.*")
-
-
-_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
-
-
-def weekday_mismatch_check(docs: DataFrame, year: int) -> DataFrame:
-    """doc_id, day, said, is where "Month d, yyyy (Weekday)" disagrees with the calendar; a missing year is `year`."""
-    pattern = rf"((?:{_MONTHS}) \d{{1,2}}(?:, \d{{4}})? \((?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*\))"
-    rows = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("m"))
-    y = F.regexp_extract("m", r", (\d{4})", 1)
-    day = F.try_to_date(F.concat_ws(" ", F.regexp_extract("m", r"^(\w+ \d{1,2})", 1), F.when(y == "", str(year)).otherwise(y)), "MMMM d yyyy")
-    rows = rows.select("doc_id", day.alias("day"), F.substring(F.regexp_extract("m", r"\((\w+)\)", 1), 1, 3).alias("said"))
-    return rows.withColumn("is", F.date_format("day", "EEE")).where(F.col("day").isNotNull() & (F.col("said") != F.col("is")))
-
-
-def allocation_sum_check(docs: DataFrame, slack: float = 0.5) -> DataFrame:
-    """doc_id, total of the lines "- name: n%" under an allocation heading where it is not 100 +- slack."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.when(F.col("line").rlike(r"^#+\s"), F.when(F.lower("line").contains("allocation"), F.col("i")).otherwise(-1))
-    rows = lines.withColumn("section", F.last(head, ignorenulls=True).over(w)).where("section >= 0")
-    pct = F.regexp_extract("line", r"([0-9]+(?:\.[0-9]+)?)\s*%", 1).try_cast("double")
-    out = rows.where(pct.isNotNull()).groupBy("doc_id", "section").agg(F.sum(pct).alias("total"))
-    return out.where(F.abs(F.col("total") - 100) > slack)
-
-
-def unit_check(docs: DataFrame) -> DataFrame:
-    """doc_id, line where basis points and percentages stand on one line."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    return lines.where(F.col("t").rlike(r"\d\s*bps?\b") & F.col("t").rlike(r"\d\s*%")).select("doc_id", "line")
-
-
-CHECKS: dict[str, Callable[[DataFrame], DataFrame]] = {"price_scale": price_scale_check, "notation": mixed_notation_check, "weekday": lambda d: weekday_mismatch_check(d, 2024), "allocation": allocation_sum_check, "units": unit_check}
-
-
-def run_checks(docs: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """doc_id, check, n: findings of the chosen checks on every document, 0 where there are none."""
-    chosen = names or list(CHECKS)
-    out = docs.select("doc_id", F.explode(F.array(*map(F.lit, chosen))).alias("check"))
-    found = None
-    for name in chosen:
-        one = CHECKS[name](docs).groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("check", F.lit(name))
-        found = one if found is None else found.unionByName(one)
-    return out.join(found, ["doc_id", "check"], "left").select("doc_id", "check", F.coalesce("n", F.lit(0)).alias("n"))
-
-
 #: Words of an error in tool output, and of a wish for automation.
 ERROR_WORDS = ("error", "exception", "traceback", "failed")
 REQUEST_WORDS = ("skill", "create", "automate", "workflow", "pattern")
