@@ -189,5 +189,5 @@ def position_size(account: float, risk_pct: float, entry: Column, stop: Column,
 
 def trade_prices(pivot: Column, stop: Column, buffer: float = 0.001, slip: float = 0.02) -> dict[str, Column]:
     """Entry above the pivot, worst entry, risk in % of the worst entry, and targets at two and three times the risk."""
-    entry, worst = pivot * (1 + buffer), pivot * (1 + buffer) * (1 + slip)
+    entry, worst = pivot * (1 + buffer), pivot * (1 + slip)
     return {"entry": F.round(entry, 2), "worst": F.round(worst, 2), "risk_pct": F.round((worst - stop) / worst * 100, 4), "target_2r": F.round(worst + 2 * (worst - stop), 2), "target_3r": F.round(worst + 3 * (worst - stop), 2)}

@@ -48,8 +48,6 @@ _add("w47_sector_strength", lambda s, d: c.sector_strength(table(s, d, "customer
 _add("w46_score_trend", lambda s, d: c.score_trend(bars(s, d).select("symbol", "date", (F.col("close") / 1000).alias("score"))), f"WITH {BARS}, x AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM bars), y AS (SELECT symbol, arg_max(close / 1000, date) - arg_min(close / 1000, date) AS q FROM x WHERE k <= 5 GROUP BY symbol) SELECT symbol, round(q, 6) AS delta, CASE WHEN q > 2 THEN 'improving' WHEN q < -2 THEN 'deteriorating' ELSE 'stable' END AS trend FROM y")
 _add("h18_plateau", lambda s, d: c.plateau(table(s, d, "orders").select(F.col("o_custkey").alias("strategy"), F.col("o_orderkey").alias("i"), (F.col("o_totalprice") / 5000).alias("score"))), """WITH x AS (SELECT o_custkey AS strategy, o_orderkey AS i, o_totalprice / 5000 AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders),
     y AS (SELECT strategy, count(*) = 3 AND max(score) - min(score) <= 3 AS p, arg_max(score, i) AS a, arg_min(score, i) AS b FROM x WHERE k <= 3 GROUP BY strategy) SELECT strategy, p AS plateau, CASE WHEN a < 30 AND a <= b THEN 'abandon' WHEN p THEN 'pivot' ELSE 'continue' END AS advice FROM y""")
-_add("h14_discover_clusters", lambda s, d: c.discover_clusters(table(s, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), "c_custkey", "c_acctbal", "c_nationkey", 50.0), """WITH x AS (SELECT *, CASE WHEN lag(c_acctbal) OVER w - c_acctbal < 50 THEN 0 ELSE 1 END AS nw FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)),
-    y AS (SELECT *, sum(nw) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey ROWS UNBOUNDED PRECEDING) AS cluster FROM x) SELECT c_nationkey, CAST(cluster AS BIGINT) AS cluster, count(*) AS n, round(avg(c_acctbal), 6) AS mean FROM y GROUP BY 1, 2 HAVING count(*) >= 2""")
 _THEMES = {"size": ["small", "medium"], "offer": ["promo", "economy"]}
 _add("j19_theme_match", lambda s, d: c.theme_match(table(s, d, "part").select("p_type").distinct(), _THEMES, "p_type"), "WITH x AS (SELECT DISTINCT lower(p_type) AS t FROM part) SELECT 'size' AS theme, count(*) AS members FROM x WHERE regexp_matches(t, 'small|medium') HAVING count(*) >= 2 UNION ALL SELECT 'offer', count(*) FROM x WHERE regexp_matches(t, 'promo|economy') HAVING count(*) >= 2")
 _add("j20_unmatched", lambda s, d: c.unmatched(table(s, d, "part").select("p_type").distinct(), _THEMES, "p_type"), "SELECT DISTINCT p_type FROM part WHERE NOT regexp_matches(lower(p_type), 'small|medium|promo|economy')")

@@ -66,7 +66,7 @@ def _size() -> tuple[Column, Column]:
     return x.position_size(100000.0, 1.0, F.col("p_retailprice"), F.col("p_retailprice") * 0.93, 10.0)
 _scalar("f22_position_size", "part", "p_partkey", {"shares": (lambda: _size()[0], "CAST(least(floor(1000.0::DOUBLE / (p_retailprice - p_retailprice * 0.93::DOUBLE)), floor(10000.0::DOUBLE / p_retailprice)) AS BIGINT)"),
     "binds": (lambda: _size()[1], "CASE WHEN floor(1000.0::DOUBLE / (p_retailprice - p_retailprice * 0.93::DOUBLE)) <= floor(10000.0::DOUBLE / p_retailprice) THEN 'risk' ELSE 'position' END")})
-_scalar("f23_trade_prices", "part", "p_partkey", {"risk_pct": (lambda: x.trade_prices(F.col("p_retailprice"), F.col("p_retailprice") * 0.9 - F.col("p_size"))["risk_pct"], "round((p_retailprice * 1.001::DOUBLE * 1.02::DOUBLE - (p_retailprice * 0.9::DOUBLE - p_size)) / (p_retailprice * 1.001::DOUBLE * 1.02::DOUBLE) * 100, 4)")})
+_scalar("f23_trade_prices", "part", "p_partkey", {"risk_pct": (lambda: x.trade_prices(F.col("p_retailprice"), F.col("p_retailprice") * 0.9 - F.col("p_size"))["risk_pct"], "round((p_retailprice * 1.02::DOUBLE - (p_retailprice * 0.9::DOUBLE - p_size)) / (p_retailprice * 1.02::DOUBLE) * 100, 4)")})
 
 # Outcomes of signals.
 _CAT = """cat AS (SELECT *, CASE WHEN abs(ret5) < 0.005 THEN 'NEUTRAL' WHEN sg > 0 THEN 'TRUE_POSITIVE' WHEN changed AND sg < -0.02 THEN 'REGIME_MISMATCH' WHEN sg < -0.02 THEN 'FALSE_POSITIVE_SEVERE' ELSE 'FALSE_POSITIVE' END AS category
@@ -117,7 +117,10 @@ _add("h11_dedupe_signals", lambda s, d: g.dedupe_signals(_signals(s, d)))
 _add("h12_contradictions", lambda s, d: g.contradictions(_signals(s, d)), f"""WITH {_SIGS}
     SELECT a.signal_ref AS long_ref, b.signal_ref AS short_ref, min(a.ticker) AS ticker, CASE WHEN a.skill = b.skill THEN 'HIGH' WHEN a.h <> b.h AND a.h <> 'unknown' AND b.h <> 'unknown' THEN 'LOW' ELSE 'MEDIUM' END AS severity
     FROM tick a JOIN tick b ON a.ticker = b.ticker AND a.direction = 'LONG' AND b.direction = 'SHORT' GROUP BY a.signal_ref, b.signal_ref, a.skill, b.skill, a.h, b.h""")
-_add("a20_conviction", lambda s, d: g.adjust_for_contradictions(g.conviction(_signals(s, d), g.dedupe_signals(_signals(s, d)), {"1-URGENT": 0.3, "2-HIGH": 0.25}, "1998-02-01"), g.contradictions(_signals(s, d))))
+_add("h12_contradiction_counts", lambda s, d: g.contradiction_counts(_signals(s, d)), f"""WITH {_SIGS}, p AS (SELECT a.signal_ref AS la, b.signal_ref AS sb, CASE WHEN a.skill = b.skill THEN 'high' WHEN a.h <> b.h AND a.h <> 'unknown' AND b.h <> 'unknown' THEN 'low' ELSE 'medium' END AS v
+        FROM tick a JOIN tick b ON a.ticker = b.ticker AND a.direction = 'LONG' AND b.direction = 'SHORT' GROUP BY a.signal_ref, b.signal_ref, a.skill, b.skill, a.h, b.h)
+    SELECT signal_ref, count(*) FILTER (v = 'high') AS high, count(*) FILTER (v = 'medium') AS medium, count(*) FILTER (v = 'low') AS low FROM (SELECT la AS signal_ref, v FROM p UNION ALL SELECT sb, v FROM p) GROUP BY signal_ref""")
+_add("a20_conviction", lambda s, d: g.adjust_for_contradictions(g.conviction(_signals(s, d), g.dedupe_signals(_signals(s, d)), {"1-URGENT": 0.3, "2-HIGH": 0.25}, "1998-02-01"), g.contradiction_counts(_signals(s, d))))
 _add("a21_concept_clusters", lambda s, d: g.concept_clusters(outcomes(s, d).select(F.col("skill").alias("hypothesis"), "regime", F.substring(F.col("signal_id").cast("string"), 1, 2).alias("symbol"), F.col("raw").alias("priority"))), f"""WITH {OUTCOMES}, k AS (SELECT skill AS hypothesis, regime, substr(CAST(signal_id AS VARCHAR), 1, 2) AS symbol, raw FROM outcomes),
     c0 AS (SELECT hypothesis, regime, symbol, count(*) AS c FROM k GROUP BY hypothesis, regime, symbol), c AS (SELECT *, row_number() OVER (PARTITION BY hypothesis, regime ORDER BY c DESC, symbol) AS n FROM c0), l AS (SELECT hypothesis, regime, string_agg(symbol, ',' ORDER BY n) AS symbols FROM c WHERE n <= 10 GROUP BY hypothesis, regime)
     SELECT k.hypothesis, k.regime, count(*) AS n, round(avg(raw), 4) AS mean_priority, any_value(symbols) AS symbols FROM k JOIN l ON k.hypothesis = l.hypothesis AND k.regime = l.regime GROUP BY k.hypothesis, k.regime""")
@@ -273,7 +276,6 @@ _add("h_indicators", lambda s, d: folds.fold(bars(s, d), "indicators"))
 for _name in ("rally", "mean_reversion"):
     _add(f"h_{_name}", lambda s, d, n=_name: folds.fold(smooth(s, d), n))
 _add("h06_dividend_basis", lambda s, d: folds.fold(_dividends(s, d), "dividends"))
-_add("h15_risk_budget", lambda s, d: folds.fold(table(s, d, "orders").where("o_totalprice > 0").select(F.col("o_custkey").cast("string").alias("account"), F.col("o_orderkey").cast("string").alias("candidate"), F.col("o_orderpriority").alias("sector"), F.col("o_totalprice").alias("score"), (F.col("o_totalprice") / 100000).alias("risk")), "risk_budget"))
 Q["t01_session_vwap"] = lambda s, d: live.session_vwap(intraday(s, d)).select("ticker", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), F.round("vwap", 8).alias("vwap"))
 SQL["t01_session_vwap"] = f"WITH {INTRADAY} SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M') AS at, round(sum(c * v) OVER w / sum(v) OVER w, 8) AS vwap FROM intraday WINDOW w AS (PARTITION BY ticker, session ORDER BY ts)"
 _add("t06_regular_session", lambda s, d: live.regular_session(table(s, d, "events")).groupBy("session").agg(F.count("*").alias("n")), "SELECT CAST((ts - INTERVAL 5 HOUR)::DATE AS VARCHAR) AS session, count(*) AS n FROM events WHERE hour(ts - INTERVAL 5 HOUR) * 60 + minute(ts - INTERVAL 5 HOUR) BETWEEN 570 AND 959 AND isodow(ts - INTERVAL 5 HOUR) <= 5 GROUP BY 1")

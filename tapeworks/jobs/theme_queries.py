@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeworks.jobs.tables import BARS, bars, rounded, table
+from tapeworks.operators import screens
 from tapeworks.operators import themes as t
 from tapeworks.operators.features import by, frame, full
 
@@ -147,3 +148,33 @@ b AS (SELECT theme, max(ov) AS ov, arg_max(f2, (ov, other)) AS f2 FROM j WHERE o
 mn AS (SELECT theme, arg_max(sector, (n, sector)) AS main FROM (SELECT theme, sector, count(*) AS n FROM m GROUP BY ALL) GROUP BY theme)
 SELECT t.theme, origin, direction, CASE WHEN origin = 'vertical' THEN CASE WHEN ov >= 0.5 THEN f2 ELSE CASE main {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _FUNDS.items())} END END ELSE funds END AS funds
 FROM t LEFT JOIN b ON b.theme = t.theme LEFT JOIN mn ON mn.theme = t.theme WHERE t.theme NOT IN (SELECT theme FROM g)""")
+
+
+# Clusters of customers by balance in each nation, with the size of their orders as vector, and of part names by return.
+def _balances(s: SparkSession, d: str) -> DataFrame:
+    sums = table(s, d, "orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("mean_order"), F.count("*").cast("double").alias("orders"))
+    rows = table(s, d, "customer").join(sums, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return rows.select("c_nationkey", F.concat_ws(" ", "c_mktsegment", "c_name").alias("name"), "c_acctbal", "mean_order", "orders")
+
+
+_CLUSTERS = """r AS (SELECT *, {gap} AS g, {dist} AS dist FROM (SELECT *, {lags} FROM base {spans} WINDOW w AS ({part} ORDER BY {value} DESC, name))),
+y AS (SELECT *, sum(CASE WHEN g <= {most} AND sqrt(dist) <= 0.5::DOUBLE THEN 0 ELSE 1 END) OVER ({part} ORDER BY {value} DESC, name ROWS UNBOUNDED PRECEDING) AS cluster FROM r),
+ws AS (SELECT *, row_number() OVER () AS nth FROM (SELECT {key}cluster, {value} AS v, name, unnest(string_split(name, ' ')) AS word, unnest(range(1, len(string_split(name, ' ')) + 1)) AS i FROM y)),
+wc AS (SELECT {key}cluster, trim(word, '(),') AS word, count(*) AS c, min(struct_pack(v := -v, name := name, i := i)) AS f FROM ws WHERE trim(word, '(),') NOT IN ('', {stop}) GROUP BY ALL),
+wn AS (SELECT {key}cluster, string_agg(word, ' & ' ORDER BY k) AS label FROM (SELECT *, row_number() OVER (PARTITION BY {key}cluster ORDER BY c DESC, f) AS k FROM wc) WHERE k <= 2 GROUP BY {key}cluster)
+SELECT {out}CAST(cluster AS BIGINT) AS cluster, count(*) AS n, round(avg({value}), 6) AS mean, coalesce(any_value(label) || ' Related', 'Unknown Cluster') AS label FROM y LEFT JOIN wn USING ({key}cluster) GROUP BY {key}cluster HAVING count(*) >= 2"""
+
+
+def _clusters_sql(value: str, vector: list[str], group: str, most: float) -> str:
+    part = f"PARTITION BY {group}" if group else ""
+    return _CLUSTERS.format(
+        value=value, part=part, most=f"{most}::DOUBLE", key=f"{group}, " if group else "", out=f"{group}, " if group else "", stop=", ".join(f"'{x}'" for x in screens.STOP_WORDS), gap=f"abs({value} - p_{value})",
+        lags=", ".join([*(f"lag({c}) OVER w AS p_{c}" for c in dict.fromkeys([value, *vector])), *(f"max({c}) OVER ({part}) - min({c}) OVER ({part}) AS r_{c}" for c in vector)]), spans="",
+        dist=" + ".join(f"CASE WHEN r_{c} > 0 THEN pow(({c} - p_{c}) / r_{c}, 2) ELSE 0 END" for c in vector),
+    )
+
+
+Q["h14_discover_clusters"] = lambda s, d: rounded(screens.discover_clusters(_balances(s, d), ["c_nationkey"], "c_acctbal", "name", ["mean_order", "orders"], 150.0))
+SQL["h14_discover_clusters"] = f"""WITH base AS (SELECT c_nationkey, c_mktsegment || ' ' || c_name AS name, c_acctbal, coalesce(avg(o_totalprice), 0) AS mean_order, count(o_orderkey)::DOUBLE AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL), {_clusters_sql("c_acctbal", ["mean_order", "orders"], "c_nationkey", 150.0)}"""
+Q["h14_industry_clusters"] = lambda s, d: rounded(screens.discover_clusters(t.rank_industries(industries(s, d)), [], "weighted_return", "name", ["perf_1w", "perf_1m", "perf_3m"], 25.0))
+SQL["h14_industry_clusters"] = f"""WITH {_IND}, base AS (SELECT name, round(w, 4) AS weighted_return, coalesce(perf_1w, 0) AS perf_1w, coalesce(perf_1m, 0) AS perf_1m, coalesce(perf_3m, 0) AS perf_3m FROM wr), {_clusters_sql("weighted_return", ["perf_1w", "perf_1m", "perf_3m"], "", 25.0)}"""

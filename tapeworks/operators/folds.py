@@ -247,19 +247,6 @@ def fold_dividends(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([{"symbol": g["symbol"].iat[0] if len(g) else None, **found}], columns=names)
 
 
-def fold_risk_budget(g: pd.DataFrame, budget: float = 6.0, per_sector: float = 3.0) -> pd.DataFrame:
-    """Candidates of an account by score: actionable while heat and sector stay within limits."""
-    g = g.sort_values(["score", "candidate"], ascending=[False, True])
-    heat, sectors, rows = 0.0, {}, []
-    for x in g.itertuples():
-        used = sectors.get(x.sector, 0.0)
-        plan = "deferred" if heat + x.risk > budget else "constrained" if used + x.risk > per_sector else "actionable"
-        if plan == "actionable":
-            heat, sectors[x.sector] = heat + x.risk, used + x.risk
-        rows.append({"account": x.account, "candidate": x.candidate, "plan": plan, "heat": heat})
-    return pd.DataFrame(rows)
-
-
 PATTERN = "symbol string, date date, valid boolean, score long, contractions long, pivot double, last_low double, last_depth double, range_compression double, wide boolean, right_side double, volume_declining boolean, first_high_date date, last_low_date date, chain array<struct<high_date: date, low_date: date, high: double, low: double, depth_pct: double, bars: long, volume: long>>"
 PATTERN_COLUMNS = [c.split()[0] for c in PATTERN.split(", chain")[0].split(", ")] + ["chain"]
 
@@ -272,7 +259,6 @@ FOLDS: dict[str, tuple[Callable[[pd.DataFrame], pd.DataFrame], str, str]] = {
     "rally": (fold_rally, "symbol", "symbol string, state string, rally_day long, ftd_day long, gain double, tier string"),
     "mean_reversion": (fold_mean_reversion, "symbol", "symbol string, entry date, exit date, ret double, reason string"),
     "dividends": (fold_dividends, "symbol", "symbol string, status string, cadence string, pays_per_year long, specials long, annualized double, regular_ttm double, ttm double, variable boolean, cut boolean, frozen boolean, suspended boolean"),
-    "risk_budget": (fold_risk_budget, "account", "account string, candidate string, plan string, heat double"),
 }
 
 

@@ -54,6 +54,24 @@ def numbered(rows: DataFrame, group: list[str], order: list[Column], name: str,
     return out.withColumn(name, F.col(name).cast("long") + F.coalesce("_before", F.lit(0))).drop("_before", "_part")
 
 
+def islands(rows: DataFrame, group: list[str], order: list[Column], columns: list[str], joined: Column, name: str) -> DataFrame:
+    """rows with a running number of their stretch of neighbours: a row goes on with the one before it in the group's
+    order where `joined` holds, an expression of its columns and of the neighbour's, named _p_<column>.
+
+    The last row of each stretch of the sort is carried to the next, and so are the breaks before it.
+    """
+    parts = stretches(rows, group, order)
+    w = Window.partitionBy("_part", *group).orderBy(*order)
+    ends = parts.withColumn("_k", F.row_number().over(w)).withColumn("_c", F.count("*").over(Window.partitionBy("_part", *group))).where("_k = _c").select("_part", *group, F.struct(*columns).alias("l"))
+    seen = with_carried(parts.withColumn("_l", F.lag(F.struct(*columns)).over(w)), group, carried(ends, group, {"_e": F.last("l", ignorenulls=True)}))
+    before = F.coalesce("_l", "_e")
+    seen = seen.select("*", *[before[c].alias(f"_p_{c}") for c in columns])
+    seen = stored(seen.withColumn("_new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).drop("_l", "_e", *[f"_p_{c}" for c in columns]))
+    sums = carried(seen.groupBy("_part", *group).agg(F.sum("_new").alias("s")), group, {"_s": F.sum("s")})
+    out = with_carried(seen.withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))), group, sums)
+    return out.withColumn(name, F.col(name) + F.coalesce("_s", F.lit(0))).drop("_new", "_s", "_part")
+
+
 def drawdowns(rows: DataFrame, group: list[str], order: list[Column], value: str) -> DataFrame:
     """rows with eq, the running sum of a value in the group's order, and dd, how far it is below its highest so far (0
     at least)."""

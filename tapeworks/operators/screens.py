@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.operators.features import by, frame, full
 from tapeworks.operators.folds import fold
-from tapeworks.operators.ordered import numbered
+from tapeworks.operators.ordered import islands, numbered
 
 
 def prefilter_quote(quotes: DataFrame, price: float = 10.0, volume: float = 200_000.0, above: float = 0.2, below: float = 0.3) -> DataFrame:
@@ -85,15 +85,18 @@ def cap_synthetic(tickets: DataFrame, ratio: float = 0.5, least: int = 3) -> Dat
 
 
 def rank_composite(rows: DataFrame, weights: dict[str, float], group: str) -> DataFrame:
-    """Weighted (n - rank + 1) / n of each metric in its group; a missing metric's weight goes to the others."""
+    """Weighted (n - rank + 1) / n of each metric in its group (ties: symbol); a missing metric's weight goes to the others.
+
+    Ranks come from a range sort for each metric, so a group may hold most rows.
+    """
     total, weight = F.lit(0.0), F.lit(0.0)
-    for c, w in weights.items():
-        n = F.count(c).over(Window.partitionBy(group))
-        k = F.row_number().over(Window.partitionBy(group).orderBy(F.desc_nulls_last(c), "symbol"))
+    for i, (c, w) in enumerate(weights.items()):
+        counts = rows.groupBy(F.col(group).alias(f"_g{i}")).agg(F.count(c).alias(f"_n{i}"))
+        rows = numbered(rows, [group], [F.desc_nulls_last(c), F.col("symbol")], f"_k{i}").drop("_size").join(counts, F.col(group).eqNullSafe(F.col(f"_g{i}"))).drop(f"_g{i}")
         have = F.col(c).isNotNull()
-        total = total + F.when(have, (n - k + 1) / n * w).otherwise(0.0)
+        total = total + F.when(have, (F.col(f"_n{i}") - F.col(f"_k{i}") + 1) / F.col(f"_n{i}") * w).otherwise(0.0)
         weight = weight + F.when(have, w).otherwise(0.0)
-    return rows.withColumn("_t", total).withColumn("_w", weight).withColumn("composite", F.when(F.col("_w") > 0, F.col("_t") / F.col("_w"))).drop("_t", "_w")
+    return rows.withColumn("composite", F.when(weight > 0, total / weight)).drop(*[f"_{x}{i}" for i in range(len(weights)) for x in "nk"])
 
 
 def sector_strength(rows: DataFrame, ret: str) -> DataFrame:
@@ -118,11 +121,42 @@ def plateau(iterations: DataFrame, n: int = 3, band: float = 3.0, low: float = 3
     return out.select("strategy", flat.alias("plateau"), F.when((F.col("now") < low) & (F.col("now") <= F.col("then")), "abandon").when(flat, "pivot").otherwise("continue").alias("advice"))
 
 
-def discover_clusters(rows: DataFrame, key: str, value: str, group: str, gap: float = 3.0) -> DataFrame:
-    """Runs of rows whose sorted values are less than gap apart, two rows or more."""
-    w = Window.partitionBy(group).orderBy(F.desc(value), key)
-    rows = rows.withColumn("_new", F.when(F.lag(value).over(w) - F.col(value) < gap, 0).otherwise(1)).withColumn("cluster", F.sum("_new").over(w))
-    return rows.groupBy(group, "cluster").agg(F.count("*").alias("n"), F.avg(value).alias("mean")).where("n >= 2")
+#: Words that name no theme.
+STOP_WORDS = ("Services", "Products", "Equipment", "Materials", "General", "Other", "Specialty", "Diversified", "Regulated", "Independent", "&", "-", "and")
+
+
+def discover_clusters(rows: DataFrame, group: list[str], value: str, name: str, vector: list[str], gap: float = 3.0, far: float = 0.5) -> DataFrame:
+    """group, cluster, n, mean and label of runs of two rows or more: sorted by value from the highest (ties: name), a row
+    joins the one before it if their values are at most gap apart and their vectors, each component divided by its range in
+    the group, at most far.
+
+    A missing value or component counts as 0; a component without range plays no part. The label joins the two commonest
+    words of the names (ties: the word that comes first in the run), without stop words, brackets and commas.
+    """
+    zero = rows.select(*group, name, *[F.coalesce(c, F.lit(0.0)).cast("double").alias(c) for c in dict.fromkeys([value, *vector])])
+    spans = zero.groupBy(*group).agg(*[(F.max(c) - F.min(c)).alias(f"_r_{c}") for c in vector]) if group else zero.agg(*[(F.max(c) - F.min(c)).alias(f"_r_{c}") for c in vector])
+    if group:
+        spans = spans.select(*[F.col(c).alias(f"_g_{c}") for c in group], *[f"_r_{c}" for c in vector])
+        on = F.lit(True)
+        for c in group:
+            on = on & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+        zero = zero.join(spans, on).drop(*[f"_g_{c}" for c in group])
+    else:
+        found = spans.first()  # one row
+        zero = zero.select("*", *[F.lit(found[f"_r_{c}"]).alias(f"_r_{c}") for c in vector])
+    gaps = [F.when(F.col(f"_r_{c}") > 0, F.pow((F.col(c) - F.col(f"_p_{c}")) / F.col(f"_r_{c}"), 2)).otherwise(0.0) for c in vector]
+    near = (F.abs(F.col(value) - F.col(f"_p_{value}")) <= gap) & (F.sqrt(sum(gaps, F.lit(0.0))) <= far)
+    rows = islands(zero, group, [F.desc(value), F.col(name)], list(dict.fromkeys([value, *vector])), near, "cluster")
+    key = [*group, "cluster"]
+    out = rows.groupBy(*key).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).where("n >= 2")
+    words = rows.select(*key, value, name, F.posexplode(F.split(name, r"\s+")).alias("_i", "_w")).withColumn("_w", F.regexp_replace("_w", r"^[(),]+|[(),]+$", "")).where((F.col("_w") != "") & ~F.col("_w").isin(*STOP_WORDS))
+    counts = words.groupBy(*key, "_w").agg(F.count("*").alias("_c"), F.min(F.struct((-F.col(value)).alias("v"), F.col(name), F.col("_i"))).alias("_f"))
+    best = counts.groupBy(*key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("_c")).alias("c"), F.col("_f"), F.col("_w").alias("w")))), 1, 2).alias("_b"))
+    best = best.select(*[F.col(c).alias(f"_k_{c}") for c in key], F.concat(F.array_join(F.transform("_b", lambda x: x["w"]), " & "), F.lit(" Related")).alias("label"))
+    on = F.lit(True)
+    for c in key:
+        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return out.join(best, on, "left").select(*key, "n", "mean", F.coalesce("label", F.lit("Unknown Cluster")).alias("label"))
 
 
 def theme_match(industries: DataFrame, themes: dict[str, list[str]], key: str, least: int = 2) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.scalars import clamp, horizon_bucket, horizons_overlap, normalize_direction, ticker_array
-from tapeworks.operators.ordered import drawdowns
+from tapeworks.operators.ordered import drawdowns, stored
 
 SIGNAL_COLUMNS = ["signal_ref", "skill", "title", "raw_score", "tickers", "direction", "horizon", "ts"]
 
@@ -52,42 +52,29 @@ def similar_pairs(signals: DataFrame, tickers: float = 0.30, titles: float = 0.6
     return overlap("t", tickers).union(overlap("w", titles)).distinct()
 
 
-def dedupe_signals(signals: DataFrame, tickers: float = 0.30, titles: float = 0.60, small: int = 100_000) -> DataFrame:
+def dedupe_signals(signals: DataFrame, tickers: float = 0.30, titles: float = 0.60) -> DataFrame:
     """(signal_ref, primary): greedy in descending score: a signal absorbs every later similar one not yet absorbed.
 
-    Decided in rounds over the similar pairs: a signal without an undecided better neighbour is a primary, and takes its
-    worse undecided neighbours (the best primary wins). Rounds go on until no pair is undecided; the last `small` pairs
-    are decided by the sequential pass on the driver, as a chain of similar signals takes a round per two links. This
-    equals the sequential pass, whatever a component's size or shape. Repeated references rank by their best row.
+    Decided in rounds over the similar pairs, each of them two joins: a signal without an undecided better neighbour is a
+    primary, its worse neighbours are absorbed, and their own pairs fall away. Every round writes its decisions and what is
+    left; rounds go on until no pair is undecided, two links of a chain of ever worse signals a round. An absorbed signal
+    then goes to the best of its primaries. This equals the sequential pass, whatever a component's size or shape. Repeated
+    references rank by their best row.
     """
     rank = signals.select("signal_ref", F.struct((-F.col("raw_score")).alias("s"), F.col("skill"), F.col("signal_ref").alias("r")).alias("rank")).groupBy("signal_ref").agg(F.min("rank").alias("rank"))
     pairs = similar_pairs(signals, tickers, titles)
     ra, rb = rank.select(F.col("signal_ref").alias("a"), F.col("rank").alias("ra")), rank.select(F.col("signal_ref").alias("b"), F.col("rank").alias("rb"))
     edges = pairs.join(ra, "a").join(rb, "b")
     better = F.col("ra") < F.col("rb")
-    edges = edges.select(F.when(better, F.col("a")).otherwise(F.col("b")).alias("hi"), F.when(better, F.col("ra")).otherwise(F.col("rb")).alias("hr"), F.when(better, F.col("b")).otherwise(F.col("a")).alias("lo"))
-    edges = edges.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else edges.persist()
-    taken = None
-    left = edges
-    while left.limit(small + 1).count() > small:
+    left = edges = stored(edges.select(F.when(better, F.col("a")).otherwise(F.col("b")).alias("hi"), F.when(better, F.col("ra")).otherwise(F.col("rb")).alias("hr"), F.when(better, F.col("b")).otherwise(F.col("a")).alias("lo")))
+    gone = edges.select("lo").limit(0)
+    while not left.isEmpty():
         blocked = left.select(F.col("lo").alias("hi")).distinct()
-        free = left.join(blocked, "hi", "left_anti")
-        new = free.groupBy("lo").agg(F.min_by("hi", "hr").alias("primary"))
-        gone = new.select("lo")
-        left = left.join(gone, "lo", "left_anti").join(gone.select(F.col("lo").alias("hi")), "hi", "left_anti")
-        left = left.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else left.persist()
-        taken = new if taken is None else taken.unionByName(new)
-    absorbed: dict[str, str] = {}
-    for hi, lo in left.orderBy("hr").select("hi", "lo").collect():  # at most `small` pairs
-        if hi not in absorbed:
-            absorbed.setdefault(lo, hi)
-    if absorbed:
-        new = signals.sparkSession.createDataFrame(list(absorbed.items()), "lo string, primary string")
-        taken = new if taken is None else taken.unionByName(new)
-    out = signals.select("signal_ref")
-    if taken is None:
-        return out.withColumn("primary", F.col("signal_ref"))
-    return out.join(taken.withColumnRenamed("lo", "signal_ref"), "signal_ref", "left").withColumn("primary", F.coalesce("primary", "signal_ref"))
+        new = stored(left.join(blocked, "hi", "left_anti").select("lo").distinct())
+        left = stored(left.join(new, "lo", "left_anti").join(new.select(F.col("lo").alias("hi")), "hi", "left_anti"))
+        gone = gone.unionByName(new)
+    taken = edges.join(gone.select(F.col("lo").alias("hi")), "hi", "left_anti").groupBy("lo").agg(F.min_by("hi", "hr").alias("primary"))
+    return signals.select("signal_ref").join(taken.withColumnRenamed("lo", "signal_ref"), "signal_ref", "left").withColumn("primary", F.coalesce("primary", "signal_ref"))
 
 
 def contradictions(signals: DataFrame) -> DataFrame:
@@ -100,11 +87,40 @@ def contradictions(signals: DataFrame) -> DataFrame:
     return both.select("long_ref", "short_ref", "ticker", level.alias("severity"))
 
 
-def adjust_for_contradictions(scores: DataFrame, found: DataFrame, penalty: float = 0.10) -> DataFrame:
-    """score times (1 - penalty) per medium contradiction; signals in a high one are excluded."""
-    sides = found.select(F.explode(F.array("long_ref", "short_ref")).alias("signal_ref"), "severity")
-    sums = sides.groupBy("signal_ref").agg(F.count_if(F.col("severity") == "MEDIUM").alias("m"), F.count_if(F.col("severity") == "HIGH").alias("x"))
-    out = scores.join(sums, "signal_ref", "left").where(F.coalesce("x", F.lit(0)) == 0)
+def contradiction_counts(signals: DataFrame, wide: int = 8) -> DataFrame:
+    """signal_ref, high, medium, low: how many opposite signals each one shares a ticker with, by severity as in
+    contradictions(), each opposite signal once however many tickers are shared; signals without any have no row.
+
+    No pair is made. An opposite signal that shares some of a signal's tickers is counted by the sets they share: the
+    sum over the signal's subsets of tickers, odd sizes added and even ones taken off, of the opposite signals that hold
+    the subset. Those are grouped by subset, direction, producer and horizon, so that a popular ticker is one row of each.
+    Pairs with a signal of more than `wide` tickers, whose subsets would be too many, are counted as pairs on tickers.
+    """
+    base = signals.where(F.col("direction").isin("LONG", "SHORT")).select("signal_ref", "skill", "direction", horizon_bucket(F.col("horizon")).alias("h"), F.array_sort(F.array_distinct("tickers")).alias("t"))
+    base = base.where(F.size("t") > 0)
+    narrow, broad = base.where(F.size("t") <= wide), base.where(F.size("t") > wide)
+    subsets = F.aggregate("t", F.array(F.array().cast("array<string>")), lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(x)))))
+    parts = narrow.select("signal_ref", "skill", "direction", "h", F.explode(subsets).alias("s")).where(F.size("s") > 0)
+    held = parts.groupBy("s", "direction", F.col("skill").alias("s2"), F.col("h").alias("h2")).agg(F.count("*").alias("n"))
+    held = held.withColumn("direction", F.when(F.col("direction") == "LONG", "SHORT").otherwise("LONG"))
+    signed = F.when(F.size("s") % 2 == 1, F.col("n")).otherwise(-F.col("n"))
+    rows = parts.join(held, ["s", "direction"]).select("signal_ref", "skill", "h", "s2", "h2", signed.alias("n"))
+
+    each = lambda df: df.select("signal_ref", "skill", "direction", "h", F.size("t").alias("k"), F.explode("t").alias("ticker"))
+    one, two = each(broad), each(base).select(F.col("signal_ref").alias("r2"), F.col("skill").alias("s2"), F.col("direction").alias("d2"), F.col("h").alias("h2"), F.col("k").alias("k2"), "ticker")
+    both = one.join(two, "ticker").where("direction <> d2").select("signal_ref", "skill", "h", "r2", "s2", "h2", "k2").distinct()
+    back = both.where(F.col("k2") <= wide).select(F.col("r2").alias("signal_ref"), F.col("s2").alias("skill"), F.col("h2").alias("h"), F.col("skill").alias("s2"), F.col("h").alias("h2"))
+    for more in (both.select("signal_ref", "skill", "h", "s2", "h2"), back):
+        rows = rows.unionByName(more.withColumn("n", F.lit(1).cast("long")))
+    same, apart = F.col("skill") == F.col("s2"), ~horizons_overlap(F.col("h"), F.col("h2"))
+    level = F.when(same, "high").when(apart, "low").otherwise("medium")
+    sums = [F.sum(F.when(F.col("level") == k, F.col("n")).otherwise(0)).alias(k) for k in ("high", "medium", "low")]
+    return rows.withColumn("level", level).groupBy("signal_ref").agg(*sums).where("high + medium + low > 0")
+
+
+def adjust_for_contradictions(scores: DataFrame, counts: DataFrame, penalty: float = 0.10) -> DataFrame:
+    """score times (1 - penalty) per medium contradiction; signals in a high one are excluded. counts: contradiction_counts()."""
+    out = scores.join(counts.select("signal_ref", F.col("medium").alias("m"), F.col("high").alias("x")), "signal_ref", "left").where(F.coalesce("x", F.lit(0)) == 0)
     return out.withColumn("score", F.col("score") * F.pow(F.lit(1 - penalty), F.coalesce("m", F.lit(0)))).drop("m", "x")
 
 
