@@ -120,7 +120,7 @@ def lone_columns(rows: DataFrame, sets_of: Callable[[pa.RecordBatch], Iterator[t
     return sent.mapInArrow(meet, "d long").groupBy("d").agg(F.count("*").alias("lone"))
 
 
-def heavy_cells(rows: DataFrame, least: int) -> np.ndarray:
+def heavy_cells(rows: DataFrame, least: int, tasks: int = 64) -> np.ndarray:
     """Which of 2**22 cells of the hash range have `least` entries or more in the packed sets: half a megabyte of bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +138,7 @@ def heavy_cells(rows: DataFrame, least: int) -> np.ndarray:
         return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([np.packbits(total >= least).tobytes()], pa.binary())})
 
     out = np.zeros(1 << _BITS, bool)
-    for row in rows.select("vals").coalesce(64).mapInArrow(run, "slice long, counts binary").groupBy("slice").applyInArrow(add, "slice long, counts binary").collect():  # fixed size
+    for row in rows.select("vals").coalesce(tasks).mapInArrow(run, "slice long, counts binary").groupBy("slice").applyInArrow(add, "slice long, counts binary").collect():  # fixed size
         out[row["slice"] * _SLICE : (row["slice"] + 1) * _SLICE] = np.unpackbits(np.frombuffer(row["counts"], np.uint8)).astype(bool)
     return out
 
@@ -200,7 +200,7 @@ def merge_columns(col: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndar
     return col[new], key[new], pairs[:, 0], pairs[:, 1]
 
 
-def candidate_edges(ordered: DataFrame, num: int, den: int, flush: int = 1_000_000) -> DataFrame:
+def candidate_edges(ordered: DataFrame, num: int, den: int, parts: int, flush: int = 1_000_000) -> DataFrame:
     """(a, b): set keys that share a column which both send, as stars around the least key that a task has met."""
 
     def send(col: list[np.ndarray], key: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +242,7 @@ def candidate_edges(ordered: DataFrame, num: int, den: int, flush: int = 1_000_0
         _, _, a, b = merge_columns(np.concatenate(col), np.concatenate(key))
         yield pa.RecordBatch.from_arrays([as_long(a), as_long(b)], ["a", "b"])
 
-    return ordered.mapInArrow(local, "key long, a long, b long").repartition("key").mapInArrow(meet, "a long, b long").distinct()
+    return ordered.mapInArrow(local, "key long, a long, b long").repartition(parts, "key").mapInArrow(meet, "a long, b long").distinct()
 
 
 def overlap_links(sets: list[np.ndarray], num: int, den: int, cells: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -415,9 +415,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     discard(block_one)
 
     bulk = rows.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).first()
-    heavy = heavy_cells(rows, max(64, bulk["n"] // 200))
+    # A task that counts cells sends 16 MB whatever it has read: 200 million columns a task keep that to a hundredth.
+    heavy = heavy_cells(rows, max(64, bulk["n"] // 200), max(64, (bulk["s"] or 0) // 200_000_000))
     ordered = written(ordered_columns(rows, heavy, 1 + (bulk["s"] or 0) // part_rows), "jaccard-columns")
-    label = cut(connected_components(candidate_edges(ordered, num, den)).select(F.col("node").alias("d"), F.col("root").alias("cluster")))
+    sent = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + int((bulk["s"] or 0) * share) // part_rows)
+    label = cut(connected_components(candidate_edges(ordered, num, den, sent)).select(F.col("node").alias("d"), F.col("root").alias("cluster")))
     discard(ordered)
     node = F.concat(F.lpad(F.hex("d"), 16, "0"), F.lpad(F.hex("k2"), 16, "0"))
     links = cluster_links(rows.join(label, "d").withColumn("node", node), num, den, block)

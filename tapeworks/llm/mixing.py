@@ -54,7 +54,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
     """id, th (hash of the text), size, source_size, target, taken of every row.
 
-    A null text has size 0; a null source is a source of its own; sources without words have target 0. The key is a
+    A null text has size 0, a very long one counts whole; a null source is a source of its own; sources without words have target 0. The key is a
     hash of id and text, so reruns agree; repeated rows share a key and may swap places, which leaves the result as it
     is. An empty table gives an empty table; other columns play no part.
     """

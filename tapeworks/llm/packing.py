@@ -126,10 +126,16 @@ PROBE = "Plain words, MixedCase and UPPER; 3.14 x1y22 (a+b)/c [d_e] #f $5 don't
 
 
 def cuts_agree(path: str) -> bool:
-    """Whether a tokenizer gives the same ids word by word as for a whole text."""
-    raw = np.frombuffer(PROBE.encode(), np.uint8)
-    ids, _ = Vocabulary(path).encode(Pieces(raw, np.array([0, len(raw)])))
-    return ids.tolist() == _tokenizer(path).encode(PROBE, add_special_tokens=False).ids
+    """Whether a tokenizer gives the same ids word by word as for a whole text: the probe, and all its own pieces, apart and
+    side by side."""
+    vocabulary = _tokenizer(path).get_vocab(with_added_tokens=False)
+    pieces = [p.replace("</w>", " ") for p in sorted(vocabulary, key=vocabulary.get) if not p.startswith("<|")]
+    for text in (PROBE, " ".join(pieces), "".join(pieces)):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        ids, _ = Vocabulary(path).encode(Pieces(raw, np.array([0, len(raw)])))
+        if ids.tolist() != _tokenizer(path).encode(text, add_special_tokens=False).ids:
+            return False
+    return True
 
 
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, capacity: int) -> DataFrame:

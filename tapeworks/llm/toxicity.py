@@ -88,7 +88,9 @@ def learn_words(labelled: DataFrame, most: int = 2000, ordinary: int = 30_000, l
     """(toxic, ordinary) words, most telling first. labelled: text (lowered), y (1 toxic).
 
     A word is telling if its documents' toxic share exceeds the overall share by `low` standard deviations and is at
-    least a half, however common other words are. Both lists are bounded.
+    least a half, however common other words are. Both lists are bounded, as a dictionary is: words in fewer than three
+    labelled documents are not learned, at most `most` telling ones are, and the `ordinary` commonest others, of which the
+    dictionary's 256 KB then hold the commonest (at sf0.1 a third of 30,000).
     """
     rows = distinct_windows(labelled)
     counts = labelled.agg(F.count("*").alias("n"), F.sum("y").alias("t")).first()
