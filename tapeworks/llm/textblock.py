@@ -18,6 +18,7 @@ BLOCK_BYTES = 1 << 20
 
 try:  # glibc: arrays of a megabyte or more go back to the system when freed, so that reused workers stay small
     ctypes.CDLL(None).mallopt(-3, 1 << 20)
+    pa.set_memory_pool(pa.system_memory_pool())  # Arrow's own pools keep what batches of tens of megabytes have freed
 except (AttributeError, OSError):
     pass
 
