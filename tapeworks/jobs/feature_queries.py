@@ -251,5 +251,5 @@ _add(
     lambda b: f.universe_percentile(f.period_return(b, 20), "ret_20", "pct").select("symbol", "date", "pct"),
     f"""x AS (SELECT symbol, date, close / lag(close, 20) OVER w - 1 AS r FROM bars {_frames(2)}),
     y AS (SELECT *, count(r) OVER (PARTITION BY date ORDER BY r) AS k, count(r) OVER (PARTITION BY date) AS n FROM x)
-    SELECT symbol, date, CAST(CASE WHEN r IS NULL THEN 0 ELSE least(round(100 * k / n), CASE WHEN n < 5 THEN 74 WHEN n < 10 THEN 84 WHEN n < 20 THEN 94 ELSE 100 END) END AS BIGINT) AS pct FROM y""",
+    SELECT symbol, date, CAST(CASE WHEN r IS NULL THEN 0 ELSE least(round_even(100 * k / n, 0), CASE WHEN n < 5 THEN 74 WHEN n < 10 THEN 84 WHEN n < 20 THEN 94 ELSE 100 END) END AS BIGINT) AS pct FROM y""",
 )

@@ -72,13 +72,21 @@ def divergence(series: DataFrame, long: int = 60, short: int = 20) -> DataFrame:
     return rows.select("date", (0.6 * lead(long) + 0.4 * lead(short)).alias("divergence"))
 
 
-def cycle_position(series: DataFrame, k: int = 10, n: int = 120) -> DataFrame:
-    """Latest peak or trough of the short mean within n rows (a peak wins on one row), rows since, direction."""
+def cycle_markers(series: DataFrame, k: int = 10, n: int = 120) -> DataFrame:
+    """The series with row number i, the latest peak or trough of the short mean within n rows (an extreme among k rows on
+    both sides at nine decimals, a peak wins on one row), its level, rows since it, and the direction over five rows."""
     around = by_date().rowsBetween(-k, k)
-    rows = series.withColumn("i", F.row_number().over(by_date())).withColumn("top", F.col("ma8") == F.max("ma8").over(around)).withColumn("low", F.col("ma8") == F.min("ma8").over(around))
-    mark = F.when(F.col("top") | F.col("low"), F.struct("i", F.when(F.col("top"), "peak").otherwise("trough").alias("kind")))
+    x = F.round("ma8", 9)
+    rows = series.withColumn("i", F.row_number().over(by_date())).withColumn("_x", x)
+    rows = rows.withColumn("top", F.col("_x") == F.max("_x").over(around)).withColumn("low", F.col("_x") == F.min("_x").over(around))
+    mark = F.when(F.col("top") | F.col("low"), F.struct("i", F.when(F.col("top"), "peak").otherwise("trough").alias("kind"), F.col("_x").alias("level")))
     rows = rows.withColumn("m", F.max(mark).over(last_n(n)))
-    return rows.select("date", F.col("m.kind").alias("marker"), (F.col("i") - F.col("m.i")).alias("since"), (F.col("ma8") > F.lag("ma8", 5).over(by_date())).alias("rising"))
+    return rows.select("date", "i", F.col("m.kind").alias("marker"), F.col("m.level").alias("level"), (F.col("i") - F.col("m.i")).alias("since"), (F.col("_x") > F.lag("_x", 5).over(by_date())).alias("rising"))
+
+
+def cycle_position(series: DataFrame, k: int = 10, n: int = 120) -> DataFrame:
+    """Latest peak or trough of the short mean within n rows (a peak wins on one row), rows since, direction."""
+    return cycle_markers(series, k, n).select("date", "marker", "since", "rising")
 
 
 def slope_momentum(series: DataFrame) -> DataFrame:

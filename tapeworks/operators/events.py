@@ -141,6 +141,24 @@ def weekly_bars(bars: DataFrame) -> DataFrame:
     )
 
 
+def event_weeks(bars: DataFrame, events: DataFrame, before: int = 4, after: int = 6) -> DataFrame:
+    """ISO weeks around each event (symbol, event): first open, last close, extremes, volume, sessions, green (close not under
+    open) and partial. The event's own week has only bars from the event on, and is partial with under five of them; a
+    symbol's last week is partial if it ends before Friday.
+
+    Bars meet events by (symbol, week), so an event brings at most before + 1 + after weeks of bars whatever the history."""
+    week = F.to_date(F.date_trunc("week", "date"))
+    last = bars.groupBy("symbol").agg(F.max("date").alias("_last"))
+    spans = events.select("symbol", "event").distinct().withColumn("_of", F.to_date(F.date_trunc("week", "event"))).withColumn("_k", F.explode(F.sequence(F.lit(-before), F.lit(after))))
+    spans = spans.withColumn("week", F.date_add("_of", F.col("_k") * 7))
+    rows = bars.withColumn("week", week).join(spans, ["symbol", "week"]).where((F.col("_k") != 0) | (F.col("date") >= F.col("event")))
+    out = rows.groupBy("symbol", "event", "week").agg(
+        F.min_by("open", "date").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "date").alias("close"), F.sum("volume").alias("volume"), F.count("*").alias("sessions"), F.first("_k").alias("_k"))
+    open_week = (F.to_date(F.date_trunc("week", "_last")) == F.col("week")) & (F.weekday("_last") < 4)
+    out = out.join(last, "symbol").withColumn("partial", open_week | ((F.col("_k") == 0) & (F.col("sessions") < 5)))
+    return out.withColumn("green", F.col("close") >= F.col("open")).drop("_k", "_last")
+
+
 def monthly_close(bars: DataFrame) -> DataFrame:
     """Last positive close of each month."""
     return bars.where("close > 0").groupBy("symbol", F.date_format("date", "yyyy-MM").alias("month")).agg(F.max_by("close", "date").alias("close"))

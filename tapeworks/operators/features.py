@@ -181,9 +181,9 @@ def cross_rank(rows: DataFrame, col: str, name: str) -> DataFrame:
 
 
 def universe_percentile(rows: DataFrame, col: str, name: str) -> DataFrame:
-    """100 * share of a day's rows at or below, rounded, capped at 74 / 84 / 94 for days of under 5 / 10 / 20 rows."""
+    """100 * share of a day's rows at or below, rounded half to even, capped at 74 / 84 / 94 for days of under 5 / 10 / 20 rows."""
     day = Window.partitionBy("date")
     n = F.count(col).over(day)
-    share = F.round(100 * F.count(col).over(Window.partitionBy("date").orderBy(col)) / n)
+    share = F.bround(100 * F.count(col).over(Window.partitionBy("date").orderBy(col)) / n)
     cap = F.when(n < 5, 74).when(n < 10, 84).when(n < 20, 94).otherwise(100)
     return rows.withColumn(name, F.when(F.col(col).isNotNull(), F.least(share, cap)).otherwise(0).cast("long"))

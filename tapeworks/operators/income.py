@@ -57,6 +57,33 @@ def dividend_stability(dividends: DataFrame) -> DataFrame:
     return rows.groupBy("symbol").agg(F.count("*").alias("years"), ((F.max("paid") - F.min("paid")) / F.avg("paid")).alias("spread"))
 
 
+def stability_score(dividends: DataFrame, as_of_year: int) -> DataFrame:
+    """Per symbol with three or more whole years before as_of_year and four or more pays: spread in % of the mean (stable
+    under 50), years in a row without a cut of over 5 % (a cut starts anew), growing (two such years and the last sum over
+    the first), and the score: 40 if stable, else 40 less 0.4 a point of spread under 100; 30 if growing; 10 a year up to 30."""
+    w = Window.partitionBy("symbol").orderBy("year")
+    pays = dividends.groupBy("symbol").agg(F.count("*").alias("pays")).where("pays >= 4")
+    rows = dividends.groupBy("symbol", F.year("date").alias("year")).agg(F.sum("dividend").alias("paid")).where(F.col("year") < as_of_year)
+    rows = rows.withColumn("prev", F.lag("paid").over(w)).withColumn("held", F.coalesce(F.col("paid") >= F.col("prev") * 0.95, F.lit(False)))
+    rows = rows.withColumn("g", F.sum(F.when(F.col("held"), 0).otherwise(1)).over(w)).withColumn("run", F.sum(F.when(F.col("held"), 1).otherwise(0)).over(Window.partitionBy("symbol", "g").orderBy("year")))
+    out = rows.groupBy("symbol").agg(F.count("*").alias("years"), F.when(F.avg("paid") > 0, F.round((F.max("paid") - F.min("paid")) / F.avg("paid") * 100, 9)).alias("spread"), F.max_by("run", "year").alias("run"), F.min_by("paid", "year").alias("first"), F.max_by("paid", "year").alias("last"))
+    out = out.where("years >= 3").join(pays, "symbol", "left_semi")
+    stable, growing = F.coalesce(F.col("spread") < 50, F.lit(False)), (F.col("run") >= 2) & (F.col("last") > F.col("first"))
+    calm = F.when(stable, 40.0).when(F.round("spread", 1) < 100, F.greatest(F.lit(0.0), 40 - F.round("spread", 1) * 0.4)).otherwise(0.0)
+    score = F.round(calm + F.when(growing, 30).otherwise(0) + F.least(F.col("run") * 10, F.lit(30)), 1)
+    return out.select("symbol", "years", "spread", F.col("run").alias("growth_years"), stable.alias("stable"), growing.alias("growing"), score.alias("score"))
+
+
+def positive_trend(statements: DataFrame, value: str, years: int = 4) -> DataFrame:
+    """Per symbol: whether the sums of its last `years` whole years rose from first to last with one fall at most; false
+    with under three."""
+    w = Window.partitionBy("symbol").orderBy("year")
+    rows = statements.groupBy("symbol", F.year("period").alias("year")).agg(F.sum(value).alias("v"), F.count("*").alias("q")).where("q = 4")
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("year")))).where(F.col("k") <= years).withColumn("fell", F.coalesce(F.col("v") < F.lag("v").over(w), F.lit(False)))
+    up = (F.count("*") >= 3) & (F.min_by("v", "year") < F.max_by("v", "year")) & (F.count_if(F.col("fell")) <= 1)
+    return rows.groupBy("symbol").agg(F.count("*").alias("years"), F.count_if(F.col("fell")).alias("falls"), F.coalesce(up, F.lit(False)).alias("positive"))
+
+
 def payout_and_health(latest: DataFrame) -> DataFrame:
     """Ratios of one row per symbol: payout of eps (or FFO for trusts), of free cash flow, debt / equity, current ratio."""
     base = F.when(F.col("is_reit"), F.col("ffo")).otherwise(F.col("net_income"))
@@ -77,6 +104,15 @@ def ownership_change(holdings: DataFrame) -> DataFrame:
     return out.where("grade <> 'C'")
 
 
+def ownership_trend(holdings: DataFrame, quarters: int = 8) -> DataFrame:
+    """Per symbol from (symbol, quarter, shares, holders): change over its last `quarters` quarters, shares in % (null from no
+    shares) and holders."""
+    rows = holdings.withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("quarter")))).where(F.col("k") <= quarters)
+    ends = rows.groupBy("symbol").agg(F.count("*").alias("quarters"), F.min_by(F.struct("shares", "holders"), "quarter").alias("a"), F.max_by(F.struct("shares", "holders"), "quarter").alias("b"))
+    change = F.when(F.col("a.shares") > 0, (F.col("b.shares") - F.col("a.shares")) / F.col("a.shares") * 100)
+    return ends.select("symbol", "quarters", change.alias("shares_trend_pct"), (F.col("b.holders") - F.col("a.holders")).alias("holders_trend"))
+
+
 def holder_changes(holders: DataFrame) -> DataFrame:
     """Each holder's move in a symbol between its quarters: new, increased, decreased, unchanged, and the change in %."""
     w = Window.partitionBy("symbol", "holder").orderBy("quarter")
@@ -90,6 +126,27 @@ def calendar_summary(rows: DataFrame) -> DataFrame:
     return rows.cube("date", "timing").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
 
 
+def calendar_stats(rows: DataFrame, large: float = 10e9) -> DataFrame:
+    """(kind, name, n) of reports (date, timing, sector, market_cap): all, large caps and the others, each sector (N/A for
+    null), and the day with most reports (the earliest of equals)."""
+    big = F.coalesce(F.col("market_cap") >= large, F.lit(False))
+    totals = rows.agg(F.count("*").alias("total"), F.count_if(big).alias("large_cap"), F.count_if(~big).alias("mid_cap")).unpivot([], ["total", "large_cap", "mid_cap"], "name", "n").select(F.lit("total").alias("kind"), "name", "n")
+    sectors = rows.groupBy(F.coalesce("sector", F.lit("N/A")).alias("name")).agg(F.count("*").alias("n")).select(F.lit("sector").alias("kind"), "name", "n")
+    days = rows.groupBy("date").agg(F.count("*").alias("n"))
+    peak = days.orderBy(F.desc("n"), "date").limit(1).select(F.lit("peak").alias("kind"), F.col("date").cast("string").alias("name"), "n")
+    return totals.unionByName(sectors).unionByName(peak)
+
+
+#: Order of report times within a day; others last.
+TIMINGS = {"bmo": 1, "amc": 2}
+
+
+def calendar_order(rows: DataFrame) -> DataFrame:
+    """Each day's reports numbered: before the open, after the close, others; the largest cap first, then the symbol."""
+    first = F.coalesce(*[F.when(F.lower("timing") == k, v) for k, v in TIMINGS.items()], F.lit(3))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("date").orderBy(first, F.desc_nulls_last("market_cap"), "symbol")))
+
+
 #: Holding days for a qualified dividend, common and preferred.
 COMMON_DAYS, PREFERRED_DAYS = 61, 91
 
@@ -105,6 +162,22 @@ def yield_entry(holdings: DataFrame, alpha: float = 0.5) -> DataFrame:
     return holdings.select("symbol", target.alias("target_yield"), price.alias("buy_price"), F.when(price.isNull(), "NO_DATA").when(F.col("price") <= price, "TRIGGERED").otherwise("WAIT").alias("signal"))
 
 
+def account_summary(positions: DataFrame, accounts: DataFrame, top: int = 10) -> DataFrame:
+    """Per account from positions (account, symbol, value) and (account, cash): equity (cash and values), gross long value,
+    cash %, number of positions, and the `top` largest as (symbol, % of gross long, % of equity); ties by symbol."""
+    rows = positions.groupBy("account", "symbol").agg(F.sum("value").alias("value")).where("value > 0")
+    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("account").orderBy(F.desc("value"), "symbol")))
+    largest = F.array_sort(F.collect_list(F.when(F.col("k") <= top, F.struct("k", "symbol", "value"))))
+    held = ranked.groupBy("account").agg(F.sum("value").alias("gross_long"), F.count("*").alias("positions"), largest.alias("t"))
+    out = accounts.join(held, "account", "left").withColumn("gross_long", F.coalesce("gross_long", F.lit(0.0))).withColumn("equity", F.coalesce("cash", F.lit(0.0)) + F.col("gross_long"))
+
+    def share(x: Column, of: Column) -> Column:
+        return F.when(of > 0, x / of * 100)
+
+    weights = F.transform("t", lambda x: F.struct(x["symbol"].alias("symbol"), F.round(share(x["value"], F.col("gross_long")), 4).alias("of_long"), F.round(share(x["value"], F.col("equity")), 4).alias("of_equity")))
+    return out.select("account", "equity", "gross_long", share(F.coalesce("cash", F.lit(0.0)), F.col("equity")).alias("cash_pct"), F.coalesce("positions", F.lit(0)).alias("positions"), F.coalesce(weights, F.array().cast("array<struct<symbol:string,of_long:double,of_equity:double>>")).alias("largest"))
+
+
 def portfolio_summary(positions: DataFrame) -> DataFrame:
     """Weights of each (account, sector) in the account's gross long value."""
     rows = positions.groupBy("account", "sector").agg(F.sum("value").alias("value"))

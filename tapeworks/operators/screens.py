@@ -185,6 +185,20 @@ def trend_trades(bars: DataFrame, n: int = 20) -> DataFrame:
     return out.select("symbol", "entry", "exit", (F.col("b") / F.col("a") - 1).alias("ret"))
 
 
+def trade_summary(trades: DataFrame, bars: DataFrame, warm: int) -> DataFrame:
+    """Per symbol with bars: trades (symbol, entry, exit, ret), share won, mean return, compounded return, mean bars held, and
+    the return of holding from the bar `warm` (the last one if there are fewer) to the last. Each trade counts at four decimals; a null share without trades."""
+    numbered = bars.select("symbol", "date", F.row_number().over(by()).alias("i"), "close")
+    at = numbered.select("symbol", "date", "i")
+    rows = trades.join(at.withColumnRenamed("date", "entry").withColumnRenamed("i", "i0"), ["symbol", "entry"]).join(at.withColumnRenamed("date", "exit").withColumnRenamed("i", "i1"), ["symbol", "exit"]).withColumn("r", F.round("ret", 4))
+    total = F.when(F.min("r") <= -1, -1.0).otherwise(F.exp(F.sum(F.log1p("r"))) - 1)
+    won = rows.groupBy("symbol").agg(F.count("*").alias("n"), F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.avg("r").alias("mean_return"), total.alias("total_return"), F.avg(F.col("i1") - F.col("i0")).alias("mean_bars"))
+    hold = numbered.groupBy("symbol").agg(F.max_by("close", "i").alias("b"), F.coalesce(F.max(F.when(F.col("i") == warm, F.col("close"))), F.max_by("close", "i")).alias("a"))
+    out = hold.join(won, "symbol", "left")
+    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("mean_return", "total_return", "mean_bars")}
+    return out.select("symbol", F.coalesce("n", F.lit(0)).alias("trades"), F.round("win_rate", 3).alias("win_rate"), F.round(zero["mean_return"], 4).alias("mean_return"), F.round(zero["total_return"], 4).alias("total_return"), F.round(F.when(F.col("a") != 0, F.col("b") / F.col("a") - 1).otherwise(0.0), 4).alias("hold_return"), F.round(zero["mean_bars"], 1).alias("mean_bars"))
+
+
 def power_trend(bars: DataFrame) -> DataFrame:
     """Close over the 21 bar exponential mean, that over the 50 bar mean, and this one above its value five bars ago."""
     means = fold(bars, "indicators").select("symbol", "date", F.col("ema21").alias("s"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 #: Words of an error in tool output, and of a wish for automation.
 ERROR_WORDS = ("error", "exception", "traceback", "failed")
-REQUEST_WORDS = ("skill", "create", "automate", "workflow", "pattern")
+REQUEST_WORDS = ("skill", "create", "automate", "workflow", "pipeline", "スキル", "作成", "自動化", "ワークフロー")
+#: Starts of prompts that a program wrote.
+AUTOMATED_STARTS = ("# LLM Skill Review Request", "Improve the skill '", "Implement the following plan:", "Score each skill idea candidate")
 
 
 def usage_counts(messages: DataFrame, pattern: str = r"skills/([a-z0-9-]+)/") -> DataFrame:
@@ -29,9 +31,22 @@ def repeated_sequences(messages: DataFrame, item: str, n: int = 3, least: int =
     return rows.groupBy("sequence").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def session_sequences(calls: DataFrame, session: str, order: list[str], item: str, n: int = 3, least: int = 3, floor: int = 9) -> DataFrame:
+    """(session, sequence, n): runs of n consecutive items seen `least` times or more in one session; sessions of under
+    `floor` calls have none. Items that start with two underscores mark errors and are no calls."""
+    calls = calls.where(F.col(item).isNotNull() & ~F.col(item).startswith("__"))
+    w = Window.partitionBy(session).orderBy(*order)
+    cols = [F.col(item), *[F.lead(item, k).over(w) for k in range(1, n)]]
+    size = F.count("*").over(Window.partitionBy(session))
+    rows = calls.select(session, size.alias("_size"), F.when(cols[-1].isNotNull(), F.concat_ws(">", *cols)).alias("sequence")).where((F.col("_size") >= floor) & F.col("sequence").isNotNull())
+    return rows.groupBy(session, "sequence").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
 def automation_requests(messages: DataFrame) -> DataFrame:
-    """User messages with a request word, distinct by their first 100 characters."""
-    hit = F.lower("text").rlike("|".join(REQUEST_WORDS))
+    """User messages with a request word, distinct by their first 100 characters; those that a program wrote are left out."""
+    hit, text = F.lower("text").rlike("|".join(REQUEST_WORDS)), F.regexp_replace("text", r"^\s+", "")
+    for start in AUTOMATED_STARTS:
+        hit = hit & ~text.startswith(start)
     return messages.where((F.col("role") == "user") & hit).select("conv_id", F.substring("text", 1, 100).alias("request")).distinct()
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tapeworks.functions.scalars import trading_days_between
+
 COLUMNS = ["symbol", "timestamp", "open", "high", "low", "close", "volume"]
 #: Header names of exports, the preferred first, and date formats.
 ALIASES = {
@@ -125,3 +127,10 @@ def freshness(df: DataFrame, source: str, as_of: str, limit: int = 5) -> DataFra
     out = df.groupBy(source).agg(F.max("date").alias("latest"))
     age = F.datediff(F.lit(as_of).cast("date"), "latest")
     return out.select(source, "latest", age.alias("age"), (age > limit).alias("is_stale"))
+
+
+def weekday_freshness(df: DataFrame, source: str, as_of: str, limit: int = 2) -> DataFrame:
+    """The same by Mondays to Fridays since the latest date; a source without dates is stale."""
+    out = df.groupBy(source).agg(F.max("date").alias("latest"))
+    age = trading_days_between(F.col("latest"), F.lit(as_of).cast("date"))
+    return out.select(source, "latest", F.when(F.col("latest").isNotNull(), age).alias("age"), (F.col("latest").isNull() | (age > limit)).alias("is_stale"))
