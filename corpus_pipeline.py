@@ -17,7 +17,7 @@ from tapeworks.llm.mixing import mix_sources
 from tapeworks.llm.packing import pack_documents
 from tapeworks.llm.quality_rules import words_of
 from tapeworks.llm.queries import tokenizer_path
-from tapeworks.llm.shared import written
+from tapeworks.llm.shared import bounded_batches, written
 from tapeworks.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,6 +32,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in none of the languages, or too short to tell."""
+    bounded_batches(spark)
     docs = docs.select(*COLUMNS)
     found = identify(document_rows(docs).withColumn("th", F.xxhash64("text")), carry=("th",))
     return _without(docs, found.where(~F.col("kept"))).select(*COLUMNS)
@@ -39,6 +40,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group linked by five-word shingles at a similarity of 0.8: the least id (null last)."""
+    bounded_batches(spark)
     docs = docs.select(*COLUMNS)
     found = ngram_jaccard_join(docs, n=5, num=80, den=100)
     kept = _without(docs, found.where(~F.col("lead")).withColumnRenamed("doc_id", "id"))
@@ -50,6 +52,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes all bytes of 200-byte strings that start more than once in what is left."""
+    bounded_batches(spark)
     out = remove_repeats(docs, carry=["lang", "source"])
     return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
@@ -75,6 +78,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 4096 tokens."""
+    bounded_batches(spark)
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 

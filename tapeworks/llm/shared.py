@@ -41,6 +41,16 @@ def tidy(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_TIDY, before)
 
 
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of at most this size instead of Spark's default of 64 MB, of which a task holds several copies in the
+    JVM and in Python; a size that the session sets itself stays."""
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, size)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A small table, written by checkpoint(): executors may be lost afterwards without a recomputation."""
     ready(df.sparkSession)
