@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from tapeworks.jobs.pattern_queries import smooth
 from tapeworks.jobs.signal_queries import _BS, _DV, _HO, _SECT, _ST, _dividends, _holders, _sectors, _series, _statements
-from tapeworks.jobs.tables import BARS, bars, dates_as_text, earnings, rounded, table, ticks
+from tapeworks.jobs.signal_queries import SQL as _SIGNAL_SQL
+from tapeworks.jobs.tables import BARS, bars, dates_as_text, earnings, outcomes, rounded, table, ticks, wide_bars
 from tapeworks.operators import events as e
 from tapeworks.operators import features as f
-from tapeworks.operators import folds, income, ladders
+from tapeworks.operators import folds, income, ladders, pairs
+from tapeworks.operators import patterns as p
 from tapeworks.operators import screens as c
+from tapeworks.operators import signals as g
 from tapeworks.operators import textchecks as t
 from tapeworks.sources import bars as src
 
@@ -125,3 +128,31 @@ _add("h08_mean_reversion_summary", lambda s, d: c.trade_summary(folds.fold(smoot
 _add("s12_weekday_freshness", lambda s, d: src.weekday_freshness(bars(s, d), "symbol", "2001-11-06"), f"WITH {BARS}, q AS (SELECT symbol, max(date) AS latest FROM bars GROUP BY symbol), n AS (SELECT symbol, latest, (SELECT count(*) FROM range(latest + 1, DATE '2001-11-07', INTERVAL 1 DAY) r(x) WHERE isodow(x) <= 5) AS age FROM q) SELECT symbol, latest, age, age > 2 AS is_stale FROM n", ("latest",))
 _add("x08_session_sequences", lambda s, d: t.session_sequences(table(s, d, "events"), "user_id", ["ts", "event_id"], "event_type"), """WITH q AS (SELECT user_id, event_type || '>' || lead(event_type, 1) OVER w || '>' || lead(event_type, 2) OVER w AS sequence, count(*) OVER (PARTITION BY user_id) AS size FROM events WHERE event_type IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
     SELECT user_id, sequence, count(*) AS n FROM q WHERE size >= 9 AND sequence IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3""")
+
+
+def _thin(s: SparkSession, d: str) -> DataFrame:
+    """Bars whose sessions of under ten shares have no volume."""
+    return bars(s, d).withColumn("volume", F.when(F.col("volume") >= 10, F.col("volume")))
+
+
+_add("w21_skipped_pairs", lambda s, d: p.skipped_pairs(_thin(s, d)), f"""WITH {BARS}, q AS (SELECT symbol, date, close > 0 AND volume >= 10 AS ok FROM bars), r AS (SELECT *, lag(ok) OVER (PARTITION BY symbol ORDER BY date) AS before FROM q)
+    SELECT symbol, date, 'missing_or_invalid_close_volume' AS reason FROM r WHERE before IS NOT NULL AND NOT (ok AND before)""", ("date",))
+_add("w26_weakness", lambda s, d: c.weakness(bars(s, d)), f"""WITH {BARS}, x AS (SELECT *, row_number() OVER w AS i, coalesce(open / lag(close) OVER w - 1 <= -0.005 AND volume > 1.1::DOUBLE * lag(volume) OVER w, false)::INT AS h, CASE WHEN high > lag(high) OVER w AND high > lead(high) OVER w THEN high END AS top FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+    y AS (SELECT symbol, date, close, i, sum(h) OVER (PARTITION BY symbol ORDER BY date ROWS 4 PRECEDING) AS gaps, list(top) FILTER (top IS NOT NULL) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 18 PRECEDING AND 1 PRECEDING) AS tops, max((close, i)) OVER (PARTITION BY symbol ORDER BY date ROWS 14 PRECEDING) AS peak FROM x)
+    SELECT symbol, date, coalesce(i >= 20 AND len(tops) >= 2 AND tops[-1] < tops[-2], false) AS lower_highs, coalesce(i >= 15 AND i - peak[2] BETWEEN 3 AND 10 AND round((close / peak[1] - 1) * 100, 9) < -2, false) AS failed_rally, i >= 6 AND gaps > 0 AS gap_down FROM y""", ("date",))
+
+
+def _evaluations(s: SparkSession, d: str) -> DataFrame:
+    """Producers within regimes are strategies, their years iterations: the evaluation of each year's trades."""
+    name = F.concat_ws("/", "skill", "regime", F.year("date"))
+    trades = outcomes(s, d).select(name.alias("strategy"), F.col("signal_id").alias("at"), "date", (F.col("ret5") * 100).alias("pnl"))
+    rows = g.backtest_quality(trades, 5, True).withColumn("i", F.substring_index("strategy", "/", -1).cast("int")).withColumn("strategy", F.regexp_replace("strategy", "/[0-9]+$", ""))
+    return rows.withColumn("slippage_tested", F.lit(True))
+
+
+_YEARS = _SIGNAL_SQL["a40_backtest_quality"].replace("SELECT skill AS strategy,", "SELECT skill || '/' || regime || '/' || year(date) AS strategy,").replace("PARTITION BY skill ORDER BY signal_id", "PARTITION BY skill, regime, year(date) ORDER BY signal_id")
+_add("h18_stagnation", lambda s, d: c.stagnation(_evaluations(s, d)), f"""WITH ev AS ({_YEARS}), k AS (SELECT *, regexp_replace(strategy, '/[0-9]+$', '') AS name, row_number() OVER (PARTITION BY regexp_replace(strategy, '/[0-9]+$', '') ORDER BY strategy DESC) AS k FROM ev),
+    e AS (SELECT name, count(*) = 3 AND max(total) - min(total) < 3 AS plateau, arg_min(expectancy_score >= 15 AND risk >= 15 AND robustness < 10 AND regexp_matches(red_flags, '(^|,)(over_optimized|short_test_period)(,|$)'), k) AS overfitting,
+        arg_min(coalesce(expectancy < 0.3 AND profit_factor < 1.3, false), k) AS cost_defeat, arg_min(max_drawdown > 35 OR risk <= 5, k) AS tail_risk, count(*) = 3 AND arg_min(total, k) < 30 AND max(total) FILTER (k = 1) <= max(total) FILTER (k = 2) AND max(total) FILTER (k = 2) <= max(total) FILTER (k = 3) AS quit FROM k WHERE k <= 3 GROUP BY name)
+    SELECT name AS strategy, plateau, overfitting, cost_defeat, tail_risk, CASE WHEN quit THEN 'abandon' WHEN plateau OR overfitting OR cost_defeat OR tail_risk THEN 'pivot' ELSE 'continue' END AS advice FROM e""")
+_add("h10_scan_pairs", lambda s, d: pairs.scan_pairs(wide_bars(s, d), 0.17))

@@ -158,8 +158,9 @@ def lead_lag_market(returns: DataFrame) -> DataFrame:
     return rows.groupBy("symbol").agg(F.corr("ret", "m").alias("market_corr"), F.corr("ret", "m1").alias("lead_corr"), F.corr("ret", "r1").alias("auto_corr"), F.count("*").alias("n"))
 
 
-def backtest_pair_series(z: np.ndarray, ratio: np.ndarray, enter: float, leave: float, stop: float) -> list[tuple[int, int, int, float, str]]:
-    """(entry, exit, side, log profit, reason) of trades that sell a high ratio and buy a low one."""
+def backtest_pair_series(z: np.ndarray, ratio: np.ndarray, enter: float, leave: float, stop: float, mark: bool = False) -> list[tuple[int, int, int, float, str]]:
+    """(entry, exit, side, log profit, reason) of trades that sell a high ratio and buy a low one; with mark, one still open
+    ends at the last bar."""
     out, side, at = [], 0, 0
     for i, v in enumerate(z):
         if np.isnan(v):
@@ -170,6 +171,8 @@ def backtest_pair_series(z: np.ndarray, ratio: np.ndarray, enter: float, leave:
         elif abs(v) >= stop or abs(v) <= leave:
             out.append((at, i, side, float(side * (ratio[i] - ratio[at])), "stop" if abs(v) >= stop else "exit"))
             side = 0
+    if mark and side:
+        out.append((at, len(z) - 1, side, float(side * (ratio[-1] - ratio[at])), "open"))
     return out
 
 
@@ -189,3 +192,34 @@ def backtest_pairs(pairs: DataFrame, bars: DataFrame, n: int = 20, enter: float
         return pd.DataFrame({"a": [g["a"].iat[0]], "b": [g["b"].iat[0]], "trades": [len(gain)], "win_rate": [float((gain > 0).mean()) if len(gain) else np.nan], "total": [float(gain.sum())]})
 
     return rows.select("a", "b", "date", "ratio", "z").groupBy("a", "b").applyInPandas(run, "a string, b string, trades long, win_rate double, total double")
+
+
+def scan_pairs(bars: DataFrame, least_corr: float = 0.5, overlap: int = 120, n: int = 20, enter: float = 2.0, leave: float = 0.5, stop: float = 4.0, trades: int = 5, top: int = 20) -> DataFrame:
+    """The `top` pairs by total profit of the spread strategy, among pairs whose returns correlate by `least_corr` over at
+    least `overlap` common sessions and that traded `trades` times or more.
+
+    A trade sells the dearer and buys the cheaper symbol at abs(z) >= enter of the log ratio (population deviation of n
+    bars), leaves at abs(z) <= leave or >= stop, or at the last bar; its profit is the difference of both simple returns. Returns
+    are those between a symbol's own positive closes. Candidates come from block products (pair_statistics), so only
+    pairs that pass get their series; each is one group of at most the common sessions."""
+    good = bars.where("close > 0").select("symbol", "date", "close")
+    returns = good.withColumn("ret", F.col("close") / F.lag("close").over(Window.partitionBy("symbol").orderBy("date")) - 1).where("ret is not null")
+    pairs = pair_statistics(returns.select("symbol", "date", "ret"), "ret", overlap - 1, overlap - 1, least_corr).select("a", "b", "corr")
+    one = good.select(F.col("symbol").alias("a"), "date", F.col("close").alias("x"))
+    two = good.select(F.col("symbol").alias("b"), "date", F.col("close").alias("y"))
+    rows = pairs.join(one, "a").join(two, ["b", "date"]).withColumn("ratio", F.log("x") - F.log("y"))
+    f = Window.partitionBy("a", "b").orderBy("date").rowsBetween(-(n - 1), 0)
+    sd = F.stddev_pop("ratio").over(f)
+    rows = rows.withColumn("z", F.when((F.count("ratio").over(f) == n) & (sd > 0), (F.col("ratio") - F.avg("ratio").over(f)) / sd))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("date")
+        x, y, z = (g[c].to_numpy(float) for c in ("x", "y", "z"))
+        found = backtest_pair_series(z, np.log(x / y), enter, leave, stop, mark=True)
+        gain = np.array([side * ((x[j] / x[i] - 1) - (y[j] / y[i] - 1)) for i, j, side, _, _ in found]).round(4)
+        bars_held = [j - i for i, j, *_ in found]
+        k = len(found)
+        return pd.DataFrame({"a": [g["a"].iat[0]], "b": [g["b"].iat[0]], "corr": [g["corr"].iat[0]], "bars": [len(g)], "trades": [k], "win_rate": [float((gain > 0).mean()) if k else np.nan], "mean_profit": [float(gain.mean()) if k else np.nan], "total_profit": [float(gain.sum())], "mean_bars": [float(np.mean(bars_held)) if k else 0.0]})
+
+    out = rows.groupBy("a", "b").applyInPandas(run, "a string, b string, corr double, bars long, trades long, win_rate double, mean_profit double, total_profit double, mean_bars double")
+    return out.where((F.col("trades") >= trades) & (F.col("bars") >= max(overlap, n + 5))).orderBy(F.round("total_profit", 4).desc(), "a", "b").limit(top)

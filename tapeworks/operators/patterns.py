@@ -44,6 +44,14 @@ def distribution_days(bars: DataFrame, decline: float = -0.002, eps: float = 1e-
     return rows.where((F.col("change") <= decline + eps) & (F.col("volume") > F.col("prev_volume"))).drop("prev_volume")
 
 
+def skipped_pairs(bars: DataFrame) -> DataFrame:
+    """Bars that distribution_days cannot compare: they or the bar before lack a positive close or volume. A symbol's first
+    bar has none before and is not reported."""
+    valid = F.coalesce((F.col("close") > 0) & (F.col("volume") > 0), F.lit(False))
+    rows = bars.withColumn("_ok", valid).withColumn("_before", F.lag("_ok").over(by()))
+    return rows.where(F.col("_before").isNotNull() & ~(F.col("_ok") & F.col("_before"))).select("symbol", "date", F.lit("missing_or_invalid_close_volume").alias("reason"))
+
+
 def stalling_and_clustering(bars: DataFrame, n: int = 25) -> DataFrame:
     """In the last n sessions: distribution days, stalling days (0 to 0.1 % on higher volume), share in the last five."""
     prev, vol = F.lag("close").over(by()), F.lag("volume").over(by())

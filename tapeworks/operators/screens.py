@@ -121,6 +121,31 @@ def plateau(iterations: DataFrame, n: int = 3, band: float = 3.0, low: float = 3
     return out.select("strategy", flat.alias("plateau"), F.when((F.col("now") < low) & (F.col("now") <= F.col("then")), "abandon").when(flat, "pivot").otherwise("continue").alias("advice"))
 
 
+def stagnation(iterations: DataFrame, n: int = 3, band: float = 3.0, low: float = 30.0) -> DataFrame:
+    """Per strategy from its evaluations (strategy, i, total, expectancy_score, risk, robustness, expectancy, profit_factor,
+    max_drawdown in %, red_flags joined by commas, slippage_tested): what its latest one or its last n totals trigger, and
+    the advice: abandon (n totals that never rise, the last under `low`), else pivot on a trigger, else continue.
+
+    plateau: n totals with a spread under the band. overfitting: expectancy and risk scores of 15 or more, robustness under
+    10, and a flag of over-optimisation or a short test. cost_defeat: tested for slippage with expectancy under 0.3 and a
+    profit factor under 1.3. tail_risk: drawdown over 35 % or a risk score of 5 at most. Null values trigger nothing."""
+    last = iterations.withColumn("_k", F.row_number().over(Window.partitionBy("strategy").orderBy(F.desc("i")))).where(F.col("_k") <= n)
+    fields = ["total", "expectancy_score", "risk", "robustness", "expectancy", "profit_factor", "max_drawdown", "red_flags", "slippage_tested"]
+    runs = F.array_sort(F.collect_list(F.struct("_k", "total")))
+    out = last.groupBy("strategy").agg(F.count("*").alias("k"), (F.max("total") - F.min("total")).alias("spread"), runs.alias("runs"), F.min_by(F.struct(*fields), "_k").alias("e"))
+    falls = F.forall(F.sequence(F.lit(1), F.lit(n - 1)), lambda j: F.col("runs")[j - 1]["total"] <= F.col("runs")[j]["total"])
+    tests = {
+        "plateau": (F.col("k") == n) & (F.col("spread") < band),
+        "overfitting": (F.col("e.expectancy_score") >= 15) & (F.col("e.risk") >= 15) & (F.col("e.robustness") < 10) & F.arrays_overlap(F.split("e.red_flags", ","), F.array(F.lit("over_optimized"), F.lit("short_test_period"))),
+        "cost_defeat": F.col("e.slippage_tested") & (F.col("e.expectancy") < 0.3) & (F.col("e.profit_factor") < 1.3),
+        "tail_risk": F.coalesce(F.col("e.max_drawdown") > 35, F.lit(False)) | F.coalesce(F.col("e.risk") <= 5, F.lit(False)),
+    }
+    flags = {name: F.coalesce(test, F.lit(False)) for name, test in tests.items()}
+    give_up = F.coalesce(F.when(F.col("k") == n, (F.col("e.total") < low) & falls), F.lit(False))
+    advice = F.when(give_up, "abandon").when(F.greatest(*flags.values()), "pivot").otherwise("continue")
+    return out.select("strategy", *[c.alias(name) for name, c in flags.items()], advice.alias("advice"))
+
+
 #: Words that name no theme.
 STOP_WORDS = ("Services", "Products", "Equipment", "Materials", "General", "Other", "Specialty", "Diversified", "Regulated", "Independent", "&", "-", "and")
 
@@ -208,8 +233,31 @@ def power_trend(bars: DataFrame) -> DataFrame:
 
 def gap_downs(bars: DataFrame, gap: float = -0.005, times: float = 1.1, n: int = 5) -> DataFrame:
     """Opens at least 0.5 % under the close before on 1.1 times the volume, counted over n bars."""
+    return bars.withColumn("_h", _gap_down(gap, times)).select("symbol", "date", F.sum("_h").over(frame(n)).alias("gap_downs"))
+
+
+def _gap_down(gap: float, times: float) -> Column:
     hit = (F.col("open") / F.lag("close").over(by()) - 1 <= gap) & (F.col("volume") > times * F.lag("volume").over(by()))
-    return bars.withColumn("_h", F.coalesce(hit, F.lit(False)).cast("int")).select("symbol", "date", F.sum("_h").over(frame(n)).alias("gap_downs"))
+    return F.coalesce(hit, F.lit(False)).cast("int")
+
+
+def weakness(bars: DataFrame, n: int = 20, rally: int = 15, drop: float = -2.0) -> DataFrame:
+    """Per bar: lower_highs (the last two highs over both neighbours among n bars fall), failed_rally (the highest close of
+    `rally` bars, the latest of equals, lies 3 to 10 bars back and the close over 2 % under it), gap_down (gap_downs in the
+    last five bars). False with fewer bars than that, six for gaps."""
+    h, bar = F.col("high"), F.row_number().over(by())
+    rows = bars.withColumn("_h", _gap_down(-0.005, 1.1)).withColumn("gap_downs", F.sum("_h").over(frame(5))).withColumn("i", bar)
+    rows = rows.withColumn("top", F.when((h > F.lag("high").over(by())) & (h > F.lead("high").over(by())), h))
+    tops = F.collect_list("top").over(by().rowsBetween(2 - n, -1))  # the next bar of each is within reach
+    peak = F.max(F.struct("close", "i")).over(frame(rally))
+    rows = rows.withColumn("tops", tops).withColumn("peak", peak)
+    back, fall = F.col("i") - F.col("peak.i"), F.round((F.col("close") / F.col("peak.close") - 1) * 100, 9)
+    flags = {
+        "lower_highs": (F.col("i") >= n) & (F.size("tops") >= 2) & (F.try_element_at("tops", F.lit(-1)) < F.try_element_at("tops", F.lit(-2))),
+        "failed_rally": (F.col("i") >= rally) & back.between(3, 10) & (fall < drop),
+        "gap_down": (F.col("i") >= 6) & (F.col("gap_downs") > 0),
+    }
+    return rows.select("symbol", "date", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in flags.items()])
 
 
 def forward_outcome(detections: DataFrame, bars: DataFrame, n: int = 60) -> DataFrame:
