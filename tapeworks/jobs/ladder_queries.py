@@ -156,3 +156,34 @@ _add("h18_stagnation", lambda s, d: c.stagnation(_evaluations(s, d)), f"""WITH e
         arg_min(coalesce(expectancy < 0.3 AND profit_factor < 1.3, false), k) AS cost_defeat, arg_min(max_drawdown > 35 OR risk <= 5, k) AS tail_risk, count(*) = 3 AND arg_min(total, k) < 30 AND max(total) FILTER (k = 1) <= max(total) FILTER (k = 2) AND max(total) FILTER (k = 2) <= max(total) FILTER (k = 3) AS quit FROM k WHERE k <= 3 GROUP BY name)
     SELECT name AS strategy, plateau, overfitting, cost_defeat, tail_risk, CASE WHEN quit THEN 'abandon' WHEN plateau OR overfitting OR cost_defeat OR tail_risk THEN 'pivot' ELSE 'continue' END AS advice FROM e""")
 _add("h10_scan_pairs", lambda s, d: pairs.scan_pairs(wide_bars(s, d), 0.17))
+
+
+def _yearly(s: SparkSession, d: str) -> DataFrame:
+    """symbol, year, paid, price: a supplier's dividends and mean line price of each year."""
+    lines = table(s, d, "lineitem").where("l_quantity > 0")
+    return lines.groupBy(F.col("l_suppkey").cast("string").alias("symbol"), F.year("l_shipdate").alias("year")).agg(F.sum(F.col("l_tax") * F.col("l_quantity")).alias("paid"), F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+
+
+def _holdings(rows: DataFrame) -> DataFrame:
+    """The latest year's price; its pays, a tenth more for even suppliers, whose declaration is known, none for each fifth."""
+    last = rows.groupBy("symbol").agg(F.max_by(F.struct("paid", "price"), "year").alias("x"))
+    number = F.col("symbol").cast("long")
+    return last.select("symbol", F.col("x.price").alias("price"), F.when(number % 2 == 0, F.col("x.paid") * 1.1).alias("declared"), F.when(number % 5 != 0, F.col("x.paid")).alias("profile"))
+
+
+_add("a48_yield_signal", lambda s, d: income.yield_signal(_holdings(_yearly(s, d)), _yearly(s, d).select("symbol", "year", (F.col("paid") / F.col("price") * 100).alias("yield_pct"))), """WITH y AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, year(l_shipdate) AS year, sum(l_tax * l_quantity) AS paid, avg(l_extendedprice / l_quantity) AS price FROM lineitem WHERE l_quantity > 0 GROUP BY 1, 2),
+    k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY year DESC) AS k FROM y), m AS (SELECT symbol, round(round(avg(paid / price * 100), 9), 2) AS my, count(*) AS n FROM k WHERE k <= 5 GROUP BY symbol),
+    h AS (SELECT symbol, price, coalesce(CASE WHEN symbol::BIGINT % 2 = 0 THEN paid * 1.1::DOUBLE END, CASE WHEN symbol::BIGINT % 5 <> 0 THEN paid END) AS an FROM k WHERE k = 1), q AS (SELECT *, round(round(my + 0.5, 9), 2) AS tg FROM h JOIN m USING (symbol)), b AS (SELECT *, round(round(an / (tg / 100), 9), 2) AS bp FROM q)
+    SELECT symbol, round(round(an / price * 100, 9), 2) AS current_yield, my AS mean_yield, n AS observations, tg AS target_yield, bp AS buy_price, CASE WHEN bp IS NOT NULL THEN round(round(greatest(0, (price - bp) / price * 100), 9), 2) END AS drop_needed,
+    CASE WHEN bp IS NULL THEN 'ASSUMPTION-REQUIRED' WHEN price <= bp THEN 'TRIGGERED' ELSE 'WAIT' END AS signal FROM b""")
+
+
+def _basis(s: SparkSession, d: str) -> DataFrame:
+    """Yields of suppliers on the day of the latest line; pays of months with returns only are labelled special."""
+    lines = table(s, d, "lineitem")
+    named = lines.groupBy(F.col("l_suppkey").cast("string").alias("symbol"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("date")).agg(F.sum(F.col("l_tax") * F.col("l_quantity")).alias("dividend"), F.when(F.min("l_returnflag") == "R", "special").alias("label"))
+    day = lines.agg(F.to_date(F.max("l_shipdate")).alias("day")).first()["day"]  # one value
+    return income.dividend_yields(folds.fold(named.withColumn("as_of", F.lit(day).cast("date")), "dividends"), _holdings(_yearly(s, d)))
+
+
+_add("h06_dividend_yields", _basis)

@@ -112,13 +112,32 @@ def _logs(s: SparkSession, d: str) -> DataFrame:
 _add("s07_load_session_logs", _logs, "SELECT role AS type, conv_id || '/' || turn AS timestamp, role, CASE WHEN turn % 2 = 0 THEN 'said ' || text ELSE text END AS text FROM conversations WHERE turn % 5 <> 4", ())
 
 
-def _partitioned(s: SparkSession, d: str) -> DataFrame:
+def _calls(s: SparkSession, d: str) -> DataFrame:
+    """Assistants' turns call a tool, system turns are failed results, some users' turns are results of their text."""
+    path = _place(s, "session-calls")
+    c = table(s, d, "conversations").where("role <> 'user' or turn % 4 = 2")
+    block = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.lit("x").alias("name")), F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("tool"), F.col("turn") % 3).alias("name"))))
+    kind = F.when(F.col("role") == "assistant", "assistant").otherwise("tool_result")
+    message = F.struct("role", F.when(F.col("role") == "assistant", block).otherwise(F.col("text")).alias("content"))
+    line = F.struct(kind.alias("type"), F.concat_ws("/", "conv_id", "turn").alias("timestamp"), (F.col("turn") % 5 == 4).alias("isSidechain"), F.when(F.col("role") == "system", True).alias("is_error"), message.alias("message"))
+    c.select(F.to_json(line).alias("value")).unionByName(s.sql("select '{broken' as value")).write.text(path)
+    return src.load_session_calls(s, path)
+
+
+_add("s07_session_calls", _calls, f"""SELECT conv_id || '/' || turn AS timestamp, 'tool_use' AS kind, 'tool' || turn % 3 AS name, NULL::VARCHAR AS output FROM conversations WHERE role = 'assistant' AND turn % 5 <> 4
+    UNION ALL SELECT conv_id || '/' || turn, 'tool_error', '__tool_result_error__', substr(text, 1, {src.ERROR_OUTPUT}) FROM conversations WHERE turn % 5 <> 4 AND (role = 'system' OR (role = 'user' AND turn % 4 = 2 AND regexp_matches(lower(text), 'error|exception|traceback|failed')))""", ())
+
+
+def _partitioned(s: SparkSession, d: str, form: str = "parquet") -> DataFrame:
     path = _place(s, "bars-by-symbol")
-    src.write_partitioned(bars(s, d), path)
-    return s.read.parquet(path).select(*_PICK)
+    src.write_partitioned(bars(s, d), path, form=form)
+    reader = s.read.schema(bars(s, d).schema)
+    return (reader.option("header", True) if form == "csv" else reader).format(form).load(path).select(*_PICK)
 
 
 _add("s08_write_partitioned", _partitioned, _BARS)
+for _form in ("csv", "json"):
+    _add(f"s08_write_{_form}", lambda s, d, form=_form: _partitioned(s, d, form), _BARS)
 
 
 def _boost(s: SparkSession, d: str) -> DataFrame:

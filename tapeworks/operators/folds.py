@@ -237,12 +237,15 @@ def dividend_basis(days: np.ndarray, x: np.ndarray, named: np.ndarray, as_of: in
 
 
 def fold_dividends(g: pd.DataFrame) -> pd.DataFrame:
-    """Dividend basis of each payer; a column label, if any, names special pays."""
+    """Dividend basis of each payer; a column label, if any, names special pays, a column as_of the day that tells a
+    suspension (its latest value)."""
     g = g[g["dividend"] > 0].sort_values("date")
     days = pd.to_datetime(g["date"]).to_numpy().astype("datetime64[D]").astype(int)
     label = g["label"].fillna("").str.lower() if "label" in g.columns else pd.Series([""] * len(g))
     named = np.array([any(w in t for w in SPECIAL_WORDS) for t in label], bool)
-    found = dividend_basis(days, g["dividend"].to_numpy(float), named) if len(g) else {"status": "NO-DIVIDEND"}
+    day = g["as_of"].dropna().max() if "as_of" in g.columns and len(g) else None
+    as_of = None if day is None or pd.isna(day) else int(np.datetime64(day, "D").astype(int))
+    found = dividend_basis(days, g["dividend"].to_numpy(float), named, as_of) if len(g) else {"status": "NO-DIVIDEND"}
     names = [c.split()[0] for c in FOLDS["dividends"][2].split(", ")]
     return pd.DataFrame([{"symbol": g["symbol"].iat[0] if len(g) else None, **found}], columns=names)
 

@@ -162,6 +162,29 @@ def yield_entry(holdings: DataFrame, alpha: float = 0.5) -> DataFrame:
     return holdings.select("symbol", target.alias("target_yield"), price.alias("buy_price"), F.when(price.isNull(), "NO_DATA").when(F.col("price") <= price, "TRIGGERED").otherwise("WAIT").alias("signal"))
 
 
+def dividend_yields(basis: DataFrame, prices: DataFrame) -> DataFrame:
+    """The basis of each payer with its yields in % of the price: of the annualised pay, of the regular and of all pays of
+    the last year; null without a positive price."""
+    out = basis.join(prices.select("symbol", "price"), "symbol", "left")
+    share = {"yield_pct": "annualized", "regular_ttm_yield_pct": "regular_ttm", "ttm_yield_pct": "ttm"}
+    return out.select(*basis.columns, *[F.when(F.col("price") > 0, F.round(F.col(c) / F.col("price") * 100, 2)).alias(n) for n, c in share.items()])
+
+
+def yield_signal(holdings: DataFrame, yields: DataFrame, alpha: float = 0.5, years: int = 5) -> DataFrame:
+    """Per holding (symbol, price, declared, profile) with yearly yields (symbol, year, yield_pct): the annual dividend (the
+    declared one, else the profile's), the mean of the last `years` yields, the target yield alpha points over it, the price
+    that gives it, how far the price must fall, and TRIGGERED, WAIT, or ASSUMPTION-REQUIRED where a part is missing."""
+    two = lambda x: F.round(F.round(x, 9), 2)
+    rows = yields.where("yield_pct is not null").withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("year")))).where(F.col("k") <= years)
+    means = rows.groupBy("symbol").agg(two(F.avg("yield_pct")).alias("mean_yield"), F.count("*").alias("observations"))
+    out = holdings.join(means, "symbol", "left").withColumn("annual", F.coalesce("declared", "profile")).withColumn("target", two(F.col("mean_yield") + alpha))
+    out = out.withColumn("buy_price", F.when(F.col("target") > 0, two(F.col("annual") / (F.col("target") / 100))))
+    fall = F.when(F.col("price") > 0, two(F.greatest(F.lit(0.0), (F.col("price") - F.col("buy_price")) / F.col("price") * 100)))
+    signal = F.when(F.col("price").isNull() | F.col("buy_price").isNull(), "ASSUMPTION-REQUIRED").when(F.col("price") <= F.col("buy_price"), "TRIGGERED").otherwise("WAIT")
+    now = F.when(F.col("price") > 0, two(F.col("annual") / F.col("price") * 100))
+    return out.select("symbol", now.alias("current_yield"), "mean_yield", F.coalesce("observations", F.lit(0)).alias("observations"), F.col("target").alias("target_yield"), "buy_price", F.when(F.col("buy_price").isNotNull(), fall).alias("drop_needed"), signal.alias("signal"))
+
+
 def account_summary(positions: DataFrame, accounts: DataFrame, top: int = 10) -> DataFrame:
     """Per account from positions (account, symbol, value) and (account, cash): equity (cash and values), gross long value,
     cash %, number of positions, and the `top` largest as (symbol, % of gross long, % of equity); ties by symbol."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.scalars import trading_days_between
+from tapeworks.operators.textchecks import ERROR_WORDS
 
 COLUMNS = ["symbol", "timestamp", "open", "high", "low", "close", "volume"]
 #: Header names of exports, the preferred first, and date formats.
@@ -97,9 +98,29 @@ def load_session_logs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("x.type", "x.timestamp", F.col("x.message.role").alias("role"), text.alias("text"))
 
 
+#: Fixed value: characters kept of a tool's error output.
+ERROR_OUTPUT = 500
+
+
+def load_session_calls(spark: SparkSession, path: str) -> DataFrame:
+    """timestamp, kind, name, output of JSON lines: tool_use blocks of assistant entries, and tool_error for tool results that
+    are marked as errors or whose text has an error word. Malformed lines and side chains are skipped."""
+    schema = "type string, timestamp string, isSidechain boolean, is_error boolean, message struct<role: string, content: string, isSidechain: boolean, is_error: boolean>"
+    off = lambda c: F.coalesce(c, F.lit(False))
+    rows = spark.read.text(path).select(F.from_json("value", schema).alias("x")).where("x.type is not null").select("x.*")
+    rows = rows.where(~off(F.col("isSidechain")) & ~off(F.col("message.isSidechain"))).withColumn("content", F.col("message.content"))
+    blocks = F.when((F.col("type") == "assistant") & F.col("content").startswith("["), F.from_json("content", "array<struct<type: string, name: string>>"))
+    uses = F.transform(F.filter(blocks, lambda b: b["type"] == "tool_use"), lambda b: F.struct(F.lit("tool_use").alias("kind"), F.coalesce(b["name"], F.lit("")).alias("name"), F.lit(None).cast("string").alias("output")))
+    failed = off(F.col("is_error")) | off(F.col("message.is_error")) | off(F.lower("content").rlike("|".join(ERROR_WORDS)))
+    error = F.struct(F.lit("tool_error").alias("kind"), F.lit("__tool_result_error__").alias("name"), F.substring("content", 1, ERROR_OUTPUT).alias("output"))
+    found = F.when(F.col("type") == "tool_result", F.when(failed, F.array(error))).otherwise(uses)
+    return rows.select("timestamp", F.explode(found).alias("c")).select("timestamp", "c.*")
+
+
 def write_partitioned(df: DataFrame, path: str, by: str = "symbol", form: str = "parquet") -> None:
-    """One folder per value; rows of a value meet in few files first."""
-    df.repartition(by).write.mode("overwrite").partitionBy(by).format(form).save(path)
+    """One folder per value; rows of a value meet in few files first. form: parquet, csv (with a header) or json."""
+    out = df.repartition(by).write.mode("overwrite").partitionBy(by)
+    (out.option("header", True) if form == "csv" else out).format(form).save(path)
 
 
 def dedupe_bars(bars: DataFrame, arrival: str, keep: str = "first") -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tapeworks.operators import pairs, patterns, screens
+from tapeworks.operators import folds, income, pairs, patterns, screens
 
 DAY = date(2020, 1, 6)
 
@@ -85,3 +85,17 @@ def test_pair_scan(spark):
     assert r["total_profit"] == pytest.approx(sum(round(v, 4) for v in profits), abs=1e-6) and r["win_rate"] == pytest.approx(np.mean(np.array(profits) > 0))
     assert r["corr"] == pytest.approx(np.corrcoef(x[1:] / x[:-1], y[1:] / y[:-1])[0, 1])
     assert pairs.scan_pairs(spark.createDataFrame(rows, "symbol string, date date, close double"), trades=99).count() == 0
+
+
+def test_yields_and_signals(spark):
+    pays = [("A", DAY + timedelta(91 * i), 1.0, None, DAY + timedelta(91 * 11 + 20)) for i in range(12)] + [("B", DAY + timedelta(91 * i), 1.0, "Special pay" if i == 6 else None, DAY + timedelta(91 * 11 + 200)) for i in range(12)]
+    basis = folds.fold(spark.createDataFrame(pays, "symbol string, date date, dividend double, label string, as_of date"), "dividends")
+    got = {r["symbol"]: r for r in income.dividend_yields(basis, spark.createDataFrame([("A", 50.0), ("B", 0.0)], "symbol string, price double")).collect()}
+    assert (got["A"]["suspended"], got["A"]["annualized"], got["A"]["yield_pct"], got["A"]["specials"]) == (False, 4.0, 8.0, 0)
+    assert (got["B"]["suspended"], got["B"]["yield_pct"], got["B"]["specials"]) == (True, None, 1)
+    yields = spark.createDataFrame([(s, 2000 + i, v) for s in "WTN" for i, v in enumerate([9.0, 3.0, 3.0, 3.0, 3.0, 4.0])], "symbol string, year int, yield_pct double")
+    held = spark.createDataFrame([("W", 100.0, None, 3.0), ("T", 50.0, 3.0, 1.0), ("N", 50.0, None, None), ("X", 50.0, 1.0, 1.0)], "symbol string, price double, declared double, profile double")
+    got = {r["symbol"]: r for r in income.yield_signal(held, yields).collect()}
+    assert {k: r["signal"] for k, r in got.items()} == {"W": "WAIT", "T": "TRIGGERED", "N": "ASSUMPTION-REQUIRED", "X": "ASSUMPTION-REQUIRED"}
+    assert (got["W"]["mean_yield"], got["W"]["target_yield"], got["W"]["buy_price"], got["W"]["drop_needed"], got["W"]["current_yield"]) == (3.2, 3.7, 81.08, 18.92, 3.0)
+    assert got["T"]["drop_needed"] == 0.0 and got["X"]["observations"] == 0
