@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.jobs import desk_queries, event_queries, feature_queries, ladder_queries, pattern_queries, plan_queries, report_queries, screen_queries, signal_queries, source_queries, stream_queries, theme_queries
+from tapeworks.jobs import desk_queries, drift_queries, event_queries, feature_queries, ladder_queries, pattern_queries, plan_queries, report_queries, screen_queries, signal_queries, source_queries, stream_queries, theme_queries
 
-_PARTS = (feature_queries, event_queries, signal_queries, screen_queries, theme_queries, desk_queries, source_queries, pattern_queries, stream_queries, report_queries, plan_queries, ladder_queries)
+_PARTS = (feature_queries, event_queries, signal_queries, screen_queries, theme_queries, desk_queries, source_queries, pattern_queries, stream_queries, report_queries, plan_queries, ladder_queries, drift_queries)
 
 
 def market_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

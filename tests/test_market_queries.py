@@ -18,7 +18,7 @@ CHOSEN = ["bars_daily", "w01_sma", "w05_atr", "w13_multi_period_return", "w21_di
           "j05_nearest_earnings", "j06_holding_returns", "a01_market_breadth", "j17_lead_lag_market", "f09_normalize_score", "f16_trading_days", "a14_skill_metrics", "a18_outcome_summary", "h12_contradictions", "a31_dividend_growth_calendar",
           "a38_calendar_summary", "t01_session_vwap", "t06_regular_session", "s11_upsert_history", "k02_top_bottom", "a30_theme_heat", "j21_theme_overlap", "a28_macro_components", "a29_macro_regime",
           "a46_dividend_triggers", "a47_payout_safety", "a50_trade_review", "u05_rule_hints", "a40_backtest_quality", "w27_power_trend", "h01_zigzag_swings", "h02_contraction_patterns", "h05_forward_outcome", "t05_plan_monitor", "t_vwap_fail_fsm", "t08_short_sale_stream", "t09_repaired_sessions", "t10_session_runs", "x01_x05_report_checks", "h14_discover_clusters", "h12_contradiction_counts", "h15_risk_budget",
-          "w36_cycle_score", "w38_divergence_score", "w39_momentum_score", "a08_event_weeks", "a33_stability_score", "h18_stagnation", "w26_weakness", "s07_session_calls", "a48_yield_signal"]
+          "w36_cycle_score", "w38_divergence_score", "w39_momentum_score", "a08_event_weeks", "a33_stability_score", "h18_stagnation", "w26_weakness", "s07_session_calls", "a48_yield_signal", "h16_drift_setups"]
 
 
 @pytest.fixture(scope="module")
