@@ -1,4 +1,4 @@
-"""Queries of drift after reports, with SQL."""
+"""Queries of drift after reports, with SQL, and of the state of two indices, whose fold SQL cannot express."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeworks.jobs.pattern_queries import smooth
 from tapeworks.jobs.tables import BARS, bars, dates_as_text, earnings, rounded
-from tapeworks.operators import drift
+from tapeworks.operators import drift, rallies
 from tapeworks.operators import events as e
 
 #: The tables' volumes are small, so are the floors and tiers of liquidity here.
@@ -25,6 +26,17 @@ def setups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.drift_setups(bars(spark, sf_dir), reviews(spark, sf_dir), floors=FLOORS, tiers=TIERS)
 
 
+def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each brand with the brand of the next number as its second index."""
+    names = bars(spark, sf_dir).select("symbol").distinct()
+    number = F.regexp_extract("symbol", r"(\d+)$", 1).cast("int")
+    return names.select(F.col("symbol").alias("market"), F.col("symbol").alias("first"), F.concat(F.lit("Brand#"), (number % 25 + 1).cast("string")).alias("second"))
+
+
+def market_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rallies.market_states(rallies.weekly_rallies(smooth(spark, sf_dir)), markets(spark, sf_dir))
+
+
 _SQL = f"""WITH {BARS},
     g AS (SELECT symbol, date, open, close, lag(close) OVER w AS pc, lead(open) OVER w AS no FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
     v AS (SELECT earn.symbol, earn.date AS event, CAST(earn.date + d AS DATE) AS as_of, round((CASE WHEN timing = 'bmo' THEN open / pc - 1 ELSE no / close - 1 END) * 100, 6) AS gap FROM earn LEFT JOIN g ON g.symbol = earn.symbol AND g.date = earn.date, (SELECT unnest([28, 63]) AS d)),
@@ -50,5 +62,5 @@ _SQL = f"""WITH {BARS},
         CASE WHEN composite >= 85 THEN 'Strong Setup' WHEN composite >= 70 THEN 'Good Setup' WHEN composite >= 55 THEN 'Developing' ELSE 'Weak' END AS rating,
         CASE low WHEN setup THEN 'setup' WHEN breakout THEN 'breakout' WHEN liquidity THEN 'liquidity' ELSE 'risk_reward' END AS weakest FROM f"""
 
-Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {"h16_drift_setups": lambda s, d: rounded(setups(s, d))}
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {"h16_drift_setups": lambda s, d: rounded(setups(s, d)), "h07_market_states": lambda s, d: rounded(market_states(s, d))}
 SQL: dict[str, str] = {"h16_drift_setups": dates_as_text(_SQL, ("event", "as_of", "red_week"))}
