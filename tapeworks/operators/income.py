@@ -30,9 +30,9 @@ def annual_growth(statements: DataFrame, years: int = 3) -> DataFrame:
 
 
 def dividend_growth_calendar(dividends: DataFrame, as_of_year: int, years: int = 3) -> DataFrame:
-    """Sums of whole years before as_of_year: growth over the last years, no cut over 5 %, trailing growth run."""
+    """Sums of whole years before as_of_year (to nine decimals, so that the order of adding decides no tie): growth over the last years, no cut over 5 %, trailing growth run."""
     w = Window.partitionBy("symbol").orderBy("year")
-    rows = dividends.groupBy("symbol", F.year("date").alias("year")).agg(F.sum("dividend").alias("paid")).where(F.col("year") < as_of_year)
+    rows = dividends.groupBy("symbol", F.year("date").alias("year")).agg(F.round(F.sum("dividend"), 9).alias("paid")).where(F.col("year") < as_of_year)
     rows = rows.withColumn("prev", F.lag("paid").over(w)).withColumn("old", F.lag("paid", years).over(w)).withColumn("up", F.coalesce(F.col("paid") > F.col("prev"), F.lit(False)))
     rows = rows.withColumn("cut", F.coalesce(F.col("paid") < F.col("prev") * 0.95, F.lit(False))).withColumn("g", F.sum(F.when(F.col("up"), 0).otherwise(1)).over(w))
     rows = rows.withColumn("run", F.sum(F.when(F.col("up"), 1).otherwise(0)).over(Window.partitionBy("symbol", "g").orderBy("year"))).withColumn("cuts", F.sum(F.col("cut").cast("int")).over(w.rowsBetween(-(years - 1), 0)))
@@ -63,7 +63,7 @@ def stability_score(dividends: DataFrame, as_of_year: int) -> DataFrame:
     the first), and the score: 40 if stable, else 40 less 0.4 a point of spread under 100; 30 if growing; 10 a year up to 30."""
     w = Window.partitionBy("symbol").orderBy("year")
     pays = dividends.groupBy("symbol").agg(F.count("*").alias("pays")).where("pays >= 4")
-    rows = dividends.groupBy("symbol", F.year("date").alias("year")).agg(F.sum("dividend").alias("paid")).where(F.col("year") < as_of_year)
+    rows = dividends.groupBy("symbol", F.year("date").alias("year")).agg(F.round(F.sum("dividend"), 9).alias("paid")).where(F.col("year") < as_of_year)
     rows = rows.withColumn("prev", F.lag("paid").over(w)).withColumn("held", F.coalesce(F.col("paid") >= F.col("prev") * 0.95, F.lit(False)))
     rows = rows.withColumn("g", F.sum(F.when(F.col("held"), 0).otherwise(1)).over(w)).withColumn("run", F.sum(F.when(F.col("held"), 1).otherwise(0)).over(Window.partitionBy("symbol", "g").orderBy("year")))
     out = rows.groupBy("symbol").agg(F.count("*").alias("years"), F.when(F.avg("paid") > 0, F.round((F.max("paid") - F.min("paid")) / F.avg("paid") * 100, 9)).alias("spread"), F.max_by("run", "year").alias("run"), F.min_by("paid", "year").alias("first"), F.max_by("paid", "year").alias("last"))

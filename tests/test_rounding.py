@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from tapeworks.operators import contraction
+from datetime import date
+
+from tapeworks.operators import contraction, income
 
 
 def test_patterns_round_scaled_values():
     assert contraction.cents(49502.255) == 49502.26 and contraction.cents(12.345) == 12.34
     assert contraction.mills(1.0005) == 1.001 and contraction.mills(2.4994) == 2.499
+
+
+def test_equal_years_are_no_growth_whatever_the_order_of_adding(spark):
+    rows = [("A", date(1998, 3, 1), 0.3), ("A", date(1999, 3, 1), 0.1), ("A", date(1999, 6, 1), 0.2), ("A", date(2000, 3, 1), 0.3)]
+    df = spark.createDataFrame(rows, "symbol string, date date, dividend double")
+    assert income.dividend_growth_calendar(df, 2001).first().growth_years == 0
+    assert income.stability_score(df, 2001).first().spread == 0
