@@ -3,6 +3,8 @@ one fold over the candidates that pass."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ MOST_RISK_PCT, WATCHED = 8.0, (60.0, 70.0)
 
 PLAN = "account string, candidate string, plan string, reason string, shares long, position_value double, risk_dollars double, cumulative_risk_pct double, binding string"
 
+#: Columns of an eligible candidate that the running budget reads.
+FOLDED = ("account", "candidate", "account_size", "open_risk_pct", "sector", "worst_entry", "stop", "factor")
+
 
 def tick(price: Column) -> Column:
     """Rounded to cents from one dollar on, else to hundredths of them."""
@@ -49,30 +54,34 @@ def generate_plans(candidates: DataFrame, risk_pct: float = 0.5, position_pct: f
 
     Eligible ones are taken by score (ties: candidate) and sized by risk, by position and by what their sector has left;
     the least counts, and the limit that binds is named. None left: constrained; above the portfolio's heat: deferred; else
-    actionable, which adds to heat and sector. Only eligible rows, and of them eight columns, reach the fold.
+    actionable, which adds to heat and sector. Only eligible rows, and of them eight columns and the score, reach the fold: it runs over
+    whole partitions sorted by account, so that an account costs its rows and not a call of its own, and one of any size is
+    never held whole.
     """
     rows = gated(with_prices(candidates, chase=chase), chase)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["score", "candidate"], ascending=[False, True])
-        size, heat = float(g["account_size"].iat[0]), float(g["open_risk_pct"].iat[0])
-        sectors: dict[str, float] = {}
-        out = []
-        for x in g.itertuples():
-            per = x.worst_entry - x.stop
-            by_risk = int(size * risk_pct * x.factor / 100 / per)
-            limits = {"max_position_pct": int(size * position_pct / 100 / x.worst_entry), "max_sector_pct": int(max(0.0, (sector_pct - sectors.get(x.sector, 0.0)) / 100 * size) / x.worst_entry)}
-            shares = max(0, min(by_risk, *limits.values()))
-            binding = next((k for k in reversed(limits) if limits[k] == shares < by_risk), None)
-            value, risk = round(shares * x.worst_entry, 2), round(shares * per, 2)
-            total = heat + risk / size * 100
-            plan = "constrained" if shares == 0 else "deferred" if total > heat_pct else "actionable"
-            if plan == "actionable":
-                heat, sectors[x.sector] = total, sectors.get(x.sector, 0.0) + value / size * 100
-            done = plan == "actionable"
-            out.append((x.account, x.candidate, plan, None, shares if done else None, value if done else None, risk if done else None, total if done else None, binding))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in PLAN.split(", ")])
-
-    found = rows.where("plan = 'eligible'").select("account", "candidate", "account_size", "open_risk_pct", "sector", "score", "worst_entry", "stop", "factor").groupBy("account").applyInPandas(run, PLAN)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, size, heat, sectors = None, None, 0.0, {}
+        for g in batches:
+            out = []
+            for account, candidate, account_size, open_risk, sector, entry, stop, factor in zip(*(g[c].tolist() for c in FOLDED), strict=True):
+                if size is None or account != now:
+                    now, size, heat, sectors = account, float(account_size), float(open_risk), {}
+                per = entry - stop
+                by_risk = int(size * risk_pct * factor / 100 / per)
+                limits = {"max_position_pct": int(size * position_pct / 100 / entry), "max_sector_pct": int(max(0.0, (sector_pct - sectors.get(sector, 0.0)) / 100 * size) / entry)}
+                shares = max(0, min(by_risk, *limits.values()))
+                binding = next((k for k in reversed(limits) if limits[k] == shares < by_risk), None)
+                value, risk = round(shares * entry, 2), round(shares * per, 2)
+                total = heat + risk / size * 100
+                plan = "constrained" if shares == 0 else "deferred" if total > heat_pct else "actionable"
+                if plan == "actionable":
+                    heat, sectors[sector] = total, sectors.get(sector, 0.0) + value / size * 100
+                done = plan == "actionable"
+                out.append((account, candidate, plan, None, shares if done else None, value if done else None, risk if done else None, total if done else None, binding))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in PLAN.split(", ")])
+
+    eligible = rows.where("plan = 'eligible'").select(*FOLDED, "score").repartition("account")
+    found = eligible.sortWithinPartitions("account", F.desc("score"), F.asc_nulls_last("candidate")).select(*FOLDED).mapInPandas(run, PLAN)
     rest = rows.where("plan <> 'eligible'").select("account", "candidate", "plan", "reason")
     return found.unionByName(rest, allowMissingColumns=True)

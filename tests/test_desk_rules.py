@@ -99,3 +99,17 @@ def test_plans_and_what_binds(spark):
     }
     assert got["hot"].plan == "deferred"
     assert plans.generate_plans(spark.createDataFrame([], CANDIDATES)).count() == 0
+
+
+def test_budgets_run_over_partitions_and_batches(spark):
+    """Accounts interleaved over batches of two rows have the budgets that each has alone; none has a call of its own."""
+    rows = [candidate(f"{a}{i}", account=a, open_risk_pct=float(i_a), score=95.0 - i, sector="tech" if i % 3 else "bank") for i in range(7) for i_a, a in enumerate(("A", "B", None, "C", "D"))]
+    df = spark.createDataFrame(rows, CANDIDATES)
+    assert "FlatMapGroups" not in plans.generate_plans(df)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = {(r.account, tuple(r)) for r in plans.generate_plans(df.coalesce(1)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    alone = {(a, tuple(r)) for a in ("A", "B", None, "C", "D") for r in plans.generate_plans(df.where(df.account.eqNullSafe(a))).collect()}
+    assert got == alone and len(got) == 35 and len({x[1][2] for x in got}) > 1
