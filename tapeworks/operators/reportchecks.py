@@ -1,16 +1,17 @@
 """Checks of report texts: each is a function of documents (doc_id, text) to findings (doc_id, check, subject, detail), all of
 it expressions and windows; and the same registry as a table function for LATERAL joins in SQL.
 
-A document's lines are one window; its mentions and totals are aggregated before anything is joined, so that a long
-document costs its length.
+A document's lines are one window, its mentions one array, so that a long document costs its length. Before a pattern is
+tried, a text is asked for plain strings without which the pattern cannot match; patterns run once over a text.
 """
 
 from __future__ import annotations
 
 import calendar
 import datetime as dt
+import functools
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ DATES = {  # pattern, and the groups of month, day, year (0: none) and weekday
     "year": (r"\b([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})\s*\((\w+)\)", (1, 2, 3, 4)), "no_year": (r"\b([A-Za-z]+)\s+(\d{1,2})\s*\((\w+)\)", (1, 2, 0, 3)),
     "kanji": (r"(\d{1,2})月(\d{1,2})日[（(]([月火水木金土日])(?:曜日)?[）)]", (1, 2, 0, 3)), "slash": (r"(\d{1,2})/(\d{1,2})[（(]([月火水木金土日])[）)]", (1, 2, 0, 3)),
 }
+BRACKET = r"\d\s*\("
 YEAR_IN_TEXT = r"(?:^|\D)(20[23]\d)(?:\D|$)"
 PERCENT = r"(\d+(?:\.\d+)?)(?:\s*[-~]\s*(\d+(?:\.\d+)?))?\s*%"
 BP, PCT_RATE = r"(?i)\d+\s*bp", r"(?i)(?:yield|rate|利回り|金利).*?\d+(?:\.\d+)?%"
@@ -42,6 +44,11 @@ INSTRUMENT, MOVEMENT = r"(?i)\b(?:Gold|Silver|Oil|Crude|WTI|SPY|SPX|VIX|GLD|GC|T
 NUMBER, UNIT = r"\b\d+(?:\.\d+)?\b", r"(?i)(?:\$\d|\d\s*%|\d\s*bps?)"
 
 
+def _any(text: Column, parts: Iterable[str]) -> Column:
+    """The text holds one of the parts."""
+    return functools.reduce(lambda a, b: a | b, [text.contains(x) for x in parts])
+
+
 def _finding(name: str, subject: Column, detail: Column) -> list[Column]:
     return [F.col("doc_id"), F.lit(name).alias("check"), subject.alias("subject"), detail.alias("detail")]
 
@@ -49,31 +56,43 @@ def _finding(name: str, subject: Column, detail: Column) -> list[Column]:
 def price_scale_check(docs: DataFrame) -> DataFrame:
     """A price within 80 characters of a ticker with an unusual number of digits; and for each mention of a fund beside one
     of its future, the ratio farthest off, where it is off by more than half."""
+    text = F.col("text")
     both = F.arrays_zip(F.regexp_extract_all("text", F.lit(MENTION), F.lit(1)).alias("t"), F.regexp_extract_all("text", F.lit(MENTION), F.lit(2)).alias("p"))
-    rows = docs.select("doc_id", F.explode(both).alias("m")).select("doc_id", F.col("m.t").alias("ticker"), F.regexp_replace("m.p", ",", "").try_cast("double").alias("price")).where("price > 0")
+    priced = F.transform(both, lambda m: F.struct(m["t"].alias("ticker"), F.regexp_replace(m["p"], ",", "").try_cast("double").alias("price")))
+    docs = docs.where(text.contains("$") & _any(text, PRICE_DIGITS)).select("doc_id", F.filter(priced, lambda m: m["price"] > 0).alias("seen"))
+    of = lambda future: F.transform(F.filter("seen", lambda m: m["ticker"] == future), lambda m: m["price"])
+    ends = F.array(*[F.struct(F.lit(fund).alias("fund"), F.lit(future).alias("future"), F.lit(usual).alias("usual"), F.array_min(of(future)).alias("least"), F.array_max(of(future)).alias("most")) for (fund, future), usual in RATIOS.items()]).cast("array<struct<fund string, future string, usual double, least double, most double>>")
+    rows = docs.select("doc_id", F.explode_outer("seen").alias("m"), ends.alias("ends")).where("m is not null").select("doc_id", "m.*", "ends")
+    rows = rows.withColumn("e", F.get(F.filter("ends", lambda e: (e["fund"] == F.col("ticker")) & e["least"].isNotNull()), F.lit(0)))
     limits = {k: F.element_at(F.create_map(*[F.lit(x) for t, v in PRICE_DIGITS.items() for x in (t, v[i])]), F.col("ticker")) for i, k in enumerate(("lo", "hi"))}
-    digits = F.length(F.floor("price").cast("string"))
-    odd = rows.withColumn("digits", digits).where((F.col("digits") < limits["lo"]) | (F.col("digits") > limits["hi"])).select(*_finding("price_scale", F.col("ticker"), F.col("digits").cast("string")))
-    usual = F.create_map(*[x for (fund, future), r in RATIOS.items() for x in (F.lit(future), F.struct(F.lit(fund).alias("fund"), F.lit(r).alias("usual")))])
-    futures = rows.groupBy("doc_id", F.col("ticker").alias("future")).agg(F.min("price").alias("least"), F.max("price").alias("most"))
-    futures = futures.where(F.col("future").isin([k[1] for k in RATIOS])).withColumn("x", F.element_at(usual, F.col("future"))).select("doc_id", "future", "least", "most", F.col("x.fund").alias("ticker"), "x.usual")
-    pairs = rows.join(futures, ["doc_id", "ticker"]).withColumn("lo", F.col("least") / F.col("price")).withColumn("hi", F.col("most") / F.col("price"))
+    rows = rows.select("doc_id", "ticker", F.length(F.floor("price").cast("string")).alias("digits"), limits["lo"].alias("few"), limits["hi"].alias("many"), "e.future", "e.usual", (F.col("e.least") / F.col("price")).alias("lo"), (F.col("e.most") / F.col("price")).alias("hi"))
     worst = F.when(F.col("hi") - F.col("usual") >= F.col("usual") - F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
-    off = pairs.withColumn("worst", worst).where(F.abs(F.col("worst") - F.col("usual")) / F.col("usual") > 0.5)
-    return odd.unionByName(off.select(*_finding("price_scale", F.concat_ws("/", "future", "ticker"), F.format_string("%.1f", "worst"))))
+    rows = rows.withColumn("worst", worst)
+    odd = F.when((F.col("digits") < F.col("few")) | (F.col("digits") > F.col("many")), F.struct(F.col("ticker").alias("subject"), F.col("digits").cast("string").alias("detail")))
+    off = F.when(F.abs(F.col("worst") - F.col("usual")) / F.col("usual") > 0.5, F.struct(F.concat_ws("/", "future", "ticker").alias("subject"), F.format_string("%.1f", "worst").alias("detail")))
+    found = rows.select("doc_id", F.explode_outer(F.array_compact(F.array(odd, off))).alias("x")).where("x is not null")
+    return found.select(*_finding("price_scale", F.col("x.subject"), F.col("x.detail")))
 
 
 def _spelling(form: str) -> str:
     return ("(?i)" if len(form) > 3 else "") + r"(?<!\w)" + re.escape(form) + r"(?!\w)"
 
 
+def _part(form: str) -> str | None:
+    """What a text holds, but for the case of ASCII letters, wherever the spelling matches; None where case counts or is
+    none. The letters s, k and i are left out, as they also match others (long s, the sign of kelvin, the Turkish ones)."""
+    return max(re.split("[ski]", form.lower()), key=len) if len(form) > 3 and form.lower() != form.upper() else None
+
+
 def mixed_notation_check(docs: DataFrame) -> DataFrame:
     """More than one spelling of one instrument in a document."""
-    out = []
+    parts = {form: re.escape(part) for forms in NOTATIONS.values() for form in forms if (part := _part(form))}
+    out, docs = [], docs.select("doc_id", "text", F.col("text").rlike("(?i)" + "|".join(parts.values())).alias("loose"))
     for name, forms in NOTATIONS.items():
-        hits = F.array_compact(F.array(*[F.when(F.col("text").rlike("(?U)" + _spelling(form)), F.lit(form)) for form in forms]))
+        held = {form: F.col("loose") & F.col("text").rlike("(?i)" + parts[form]) if form in parts else F.col("text").contains(form) for form in forms}
+        hits = F.array_compact(F.array(*[F.when(held[form] & F.col("text").rlike("(?U)" + _spelling(form)), F.lit(form)) for form in forms]))
         out.append(F.when(F.size(hits) > 1, F.struct(F.lit(name).alias("subject"), F.array_join(hits, ", ").alias("detail"))))
-    rows = docs.select("doc_id", F.explode(F.array_compact(F.array(*out))).alias("x"))
+    rows = docs.select("doc_id", F.explode_outer(F.array_compact(F.array(*out))).alias("x")).where("x is not null")
     return rows.select(*_finding("notation", F.col("x.subject"), F.col("x.detail")))
 
 
@@ -85,12 +104,17 @@ def weekday_mismatch_check(docs: DataFrame, as_of: str | None = None, year: int
     """
     month_of = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
     stated_of = F.create_map(*[F.lit(x) for i in range(7) for x in (WEEKDAYS[i], i, WEEKDAYS_JA[i], i)])
-    parts = []
-    for pattern, (m, d, y, w) in DATES.values():
-        group = lambda k, p=pattern: F.regexp_extract_all("text", F.lit(p), F.lit(k))
-        parts.append(F.arrays_zip(group(0).alias("said"), group(m).alias("m"), group(d).alias("d"), (group(y) if y else F.transform(group(0), lambda _: F.lit(""))).alias("y"), group(w).alias("w")))
-    found = F.regexp_extract("text", YEAR_IN_TEXT, 1)
-    rows = docs.select("doc_id", found.alias("in_text"), F.explode(F.concat(*parts)).alias("x")).select("doc_id", "in_text", "x.*")
+    text, none, parts = F.col("text"), F.array().cast("array<string>"), []
+    before = {"year": text.rlike(BRACKET), "no_year": text.rlike(BRACKET), "kanji": text.contains("月"), "slash": text.contains("/")}
+    for kind, (pattern, _) in DATES.items():
+        said = F.when(before[kind], F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none)
+        parts.append(F.transform(said, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("said"))))  # noqa: B023
+    docs = docs.where(_any(text, "(（"))
+    rows = docs.select("doc_id", F.regexp_extract("text", YEAR_IN_TEXT, 1).alias("in_text"), F.explode_outer(F.concat(*parts)).alias("x")).where("x is not null").select("doc_id", "in_text", "x.*")
+    # a date said matches its pattern alone as it does within the text, so its groups are taken from it
+    for i, name in enumerate("mdyw"):
+        of = [F.when(F.col("kind") == kind, F.regexp_extract("said", pattern, groups[i]) if groups[i] else F.lit("")) for kind, (pattern, groups) in DATES.items()]
+        rows = rows.withColumn(name, F.coalesce(*of))
     month = F.coalesce(F.col("m").try_cast("int"), F.try_element_at(month_of, F.lower("m")))
     rows = rows.withColumn("month", month).where("month is not null")
     if as_of:
@@ -107,31 +131,36 @@ def weekday_mismatch_check(docs: DataFrame, as_of: str | None = None, year: int
 def allocation_sum_check(docs: DataFrame) -> DataFrame:
     """Sections under a heading of allocations (up to the next heading) and tables with a header of weights, two
     percentages or more: fixed ones that do not add up to 100 +- 0.5, or ranges that do not hold 100 +- 0.5."""
-    plain = F.translate("line", "％〜–—", "%~--")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("line", plain)
-    head, bar = F.col("line").rlike(r"^#{1,6}\s"), F.col("line").contains("|")
-    title = F.lower("line")
+    text, low, line = F.col("text"), F.lower("text"), F.col("line")
+    docs = docs.where(_any(text, "%％") & ((text.contains("#") & low.rlike("|".join(HEADING_WORDS))) | (text.contains("|") & low.rlike("|".join(TABLE_WORDS)))))
+    lines = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("i", "line")).withColumn("line", F.translate("line", "％〜–—", "%~--"))
+    title, none = F.lower("line"), F.array().cast("array<string>")
     wanted = title.rlike("|".join(HEADING_WORDS)) & ~(title.contains("ポジション") & ~title.contains("配分"))
+    lo, hi = (F.when(line.contains("%"), F.regexp_extract_all("line", F.lit(PERCENT), F.lit(k))).otherwise(none) for k in (1, 2))
+    head, bar = line.rlike(r"^#{1,6}\s"), line.contains("|")
+    lines = lines.select("doc_id", "i", head.alias("head"), bar.alias("bar"), (head & wanted).alias("wanted"), (bar & title.rlike("|".join(TABLE_WORDS))).alias("weights"), lo.alias("lo"), hi.alias("hi"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    rows = lines.select("doc_id", "i", "head", "bar", "wanted", "weights", F.size("lo").alias("n"), total(F.col("lo")).alias("a"), total(F.zip_with("lo", "hi", lambda a, b: F.when(b == "", a).otherwise(b))).alias("b"))
+    # only these numbers are dealt out by document
     w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("of", F.last(F.when(head, F.when(wanted, F.col("i")).otherwise(-1)), ignorenulls=True).over(w)).withColumn("run", F.sum(F.when(bar, 0).otherwise(1)).over(w))
-    rows = rows.withColumn("top", F.first(F.when(bar, title), ignorenulls=True).over(Window.partitionBy("doc_id", "run").orderBy("i")))
-    lo, hi = (F.regexp_extract_all("line", F.lit(PERCENT), F.lit(k)) for k in (1, 2))
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    values = rows.withColumn("lo", F.transform(lo, lambda x: x.cast("double"))).withColumn("hi", F.zip_with(lo, hi, lambda a, b: F.when(b == "", a).otherwise(b).cast("double")))
-    parts = []
-    for kind, use, key in (("heading", (F.col("of") >= 0) & ~head, "of"), ("table", bar & F.col("top").rlike("|".join(TABLE_WORDS)), "run")):
-        parts.append(values.where(use).groupBy("doc_id", F.col(key).alias("k")).agg(F.sum(F.size("lo")).alias("n"), F.sum(total(F.col("lo"))).alias("a"), F.sum(total(F.col("hi"))).alias("b")).withColumn("kind", F.lit(kind)))
+    rows = rows.withColumn("of", F.last(F.when(F.col("head"), F.when(F.col("wanted"), F.col("i")).otherwise(-1)), ignorenulls=True).over(w)).withColumn("run", F.sum(F.when(F.col("bar"), 0).otherwise(1)).over(w))
+    rows = rows.withColumn("top", F.first(F.when(F.col("bar"), F.col("weights")), ignorenulls=True).over(Window.partitionBy("doc_id", "run").orderBy("i")))
+    under, within = (F.col("of") >= 0) & ~F.col("head"), F.col("bar") & F.col("top")
+    parts = F.array(*[F.when(use, F.struct(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("k"))) for kind, use, key in (("heading", under, "of"), ("table", within, "run"))])
+    rows = rows.where("n > 0").select("doc_id", "n", "a", "b", F.explode(F.array_compact(parts)).alias("p")).select("doc_id", "p.kind", "p.k", "n", "a", "b")
+    sums = rows.groupBy("doc_id", "kind", "k").agg(*[F.sum(c).alias(c) for c in "nab"])
     fixed = F.abs(F.col("a") - F.col("b")) < 0.01
     bad = F.when(fixed, F.abs(F.col("a") - 100) > 0.5).otherwise((F.col("a") > 100.5) | (F.col("b") < 99.5))
-    found = parts[0].unionByName(parts[1]).where((F.col("n") > 1) & bad)
+    found = sums.where((F.col("n") > 1) & bad)
     return found.select(*_finding("allocations", F.col("kind"), F.when(fixed, F.format_string("%.2f", "a")).otherwise(F.format_string("%.2f-%.2f", "a", "b"))))
 
 
 def unit_check(docs: DataFrame) -> DataFrame:
     """Basis points beside rates in % in one document; and lines with an instrument, a word of movement and a number, but no
     unit."""
-    mixed = docs.where(F.col("text").rlike(BP) & F.col("text").rlike(PCT_RATE)).select(*_finding("units", F.lit("mixed"), F.lit("")))
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    text = F.col("text")
+    mixed = docs.where(text.contains("%") & text.rlike(BP) & text.rlike(PCT_RATE)).select(*_finding("units", F.lit("mixed"), F.lit("")))
+    lines = docs.where(text.rlike(INSTRUMENT) & text.rlike(MOVEMENT)).select("doc_id", F.explode_outer(F.split("text", "\n")).alias("line"))
     bare = lines.where(F.col("line").rlike(INSTRUMENT) & F.col("line").rlike(MOVEMENT) & F.col("line").rlike(NUMBER) & ~F.col("line").rlike(UNIT))
     return mixed.unionByName(bare.select(*_finding("units", F.lit("bare"), F.trim("line"))))
 

@@ -52,3 +52,16 @@ def test_missing_years(spark):
     assert got == {(2, "2026-01-02 Fri")}  # December of the year before was a Wednesday
     assert {x.detail for x in r.weekday_mismatch_check(docs, year=2023).collect()} == {"2023-12-31 Sun"}
     assert r.findings(docs.limit(0)).count() == 0 == r.findings(docs.where(F.lit(False)), ["units"]).count()
+
+
+def test_checks_pass_once_over_a_text(spark):
+    """Mentions are compared without a shuffle, allocations in one, dates found by one pass of each pattern; and no spelling
+    or date is lost to the plain strings that are asked for first."""
+    docs = spark.createDataFrame([(1, "a ſ&P500 and S&P 500, SİLVER or SLV"), (2, "up March 1\t(Mon)\n13/1（月)\n12/1（月)  2026 "), (3, "| RATIO |\n| a | 50％ |\n| 49％ |\n#\tAllocation\n30% 60%\n#x\n9% 9%")], "doc_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(r.price_scale_check(docs)) and plan(r.allocation_sum_check(docs)).count("Exchange hashpartitioning") <= 2  # printed twice at most
+    assert plan(r.weekday_mismatch_check(docs)).count("regexp_extract_all(") <= 8
+    assert {tuple(x) for x in r.findings(docs).collect()} == {
+        (1, "notation", "sp500", "S&P 500, S&P500"), (1, "notation", "silver", "Silver, SLV"), (2, "dates", "March 1\t(Mon)", "2026-03-01 Sun"), (2, "dates", "12/1（月)", "2026-12-01 Tue"),
+        (3, "allocations", "heading", "108.00"), (3, "allocations", "table", "99.00"),
+    }
