@@ -185,6 +185,8 @@ def run_checks(docs: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 
 def _prices(text: str) -> Iterator[tuple[str, str]]:
+    if "$" not in text or not any(x in text for x in PRICE_DIGITS):
+        return
     seen = [(m[1], float(m[2].replace(",", "") or 0)) for m in re.finditer(MENTION, text)]
     seen = [(t, p) for t, p in seen if p > 0]
     for t, p in seen:
@@ -198,17 +200,29 @@ def _prices(text: str) -> Iterator[tuple[str, str]]:
                 yield f"{future}/{fund}", f"{worst:.1f}"
 
 
+#: Of each spelling: its part in lower case or itself, and its pattern.
+_SPELLINGS = {form: (_part(form), re.compile(_spelling(form))) for forms in NOTATIONS.values() for form in forms}
+
+
 def _notations(text: str) -> Iterator[tuple[str, str]]:
+    low = text.lower()
     for name, forms in NOTATIONS.items():
-        hits = [form for form in forms if re.search(_spelling(form), text)]
+        hits = []
+        for form in forms:
+            part, pattern = _SPELLINGS[form]
+            if (part in low if part else form in text) and pattern.search(text):
+                hits.append(form)
         if len(hits) > 1:
             yield name, ", ".join(hits)
 
 
 def _weekdays(text: str) -> Iterator[tuple[str, str]]:
-    found = re.search(YEAR_IN_TEXT, text)
-    for pattern, (m, d, y, w) in DATES.values():
-        for hit in re.finditer(pattern, text):
+    if "(" not in text and "（" not in text:
+        return
+    found, bracket = re.search(YEAR_IN_TEXT, text), re.search(BRACKET, text)
+    before = {"year": bracket, "no_year": bracket, "kanji": "月" in text, "slash": "/" in text}
+    for kind, (pattern, (m, d, y, w)) in DATES.items():
+        for hit in re.finditer(pattern, text) if before[kind] else ():
             month = int(hit[m]) if hit[m].isdigit() else MONTHS.get(hit[m].lower())
             word = hit[w].lower()[:3]
             stated = WEEKDAYS.index(word) if word in WEEKDAYS else WEEKDAYS_JA.find(word)
@@ -221,6 +235,8 @@ def _weekdays(text: str) -> Iterator[tuple[str, str]]:
 
 
 def _allocations(text: str) -> Iterator[tuple[str, str]]:
+    if "%" not in text and "％" not in text:
+        return
     sections: list[tuple[str, list[str]]] = []
     heading = table = None
     for line in text.translate(str.maketrans("％〜–—", "%~--")).split("\n"):
@@ -239,7 +255,7 @@ def _allocations(text: str) -> Iterator[tuple[str, str]]:
         else:
             table[1].append(line)
     for kind, lines in sections:
-        pairs = [(float(a), float(b or a)) for line in lines for a, b in re.findall(PERCENT, line)]
+        pairs = [(float(a), float(b or a)) for line in lines if "%" in line for a, b in re.findall(PERCENT, line)]
         lo, hi = (sum(x[k] for x in pairs) for k in (0, 1))
         if len(pairs) > 1 and abs(lo - hi) < 0.01 and abs(lo - 100) > 0.5:
             yield kind, f"{lo:.2f}"
@@ -247,11 +263,17 @@ def _allocations(text: str) -> Iterator[tuple[str, str]]:
             yield kind, f"{lo:.2f}-{hi:.2f}"
 
 
+_MOVEMENT = re.compile(MOVEMENT)
+
+
 def _units(text: str) -> Iterator[tuple[str, str]]:
-    if re.search(BP, text) and re.search(PCT_RATE, text):
+    if "%" in text and re.search(BP, text) and re.search(PCT_RATE, text):
         yield "mixed", ""
-    for line in text.split("\n"):
-        if re.search(INSTRUMENT, line) and re.search(MOVEMENT, line) and re.search(NUMBER, line) and not re.search(UNIT, line):
+    at = 0
+    while moved := _MOVEMENT.search(text, at):  # one pass over the text; each line with a movement is looked at once
+        at = text.find("\n", moved.end()) + 1 or len(text)
+        line = text[text.rfind("\n", 0, moved.start()) + 1 : at].removesuffix("\n")
+        if re.search(INSTRUMENT, line) and re.search(NUMBER, line) and not re.search(UNIT, line):
             yield "bare", line.strip(" ")
 
 

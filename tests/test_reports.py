@@ -65,3 +65,14 @@ def test_checks_pass_once_over_a_text(spark):
         (1, "notation", "sp500", "S&P 500, S&P500"), (1, "notation", "silver", "Silver, SLV"), (2, "dates", "March 1\t(Mon)", "2026-03-01 Sun"), (2, "dates", "12/1（月)", "2026-12-01 Tue"),
         (3, "allocations", "heading", "108.00"), (3, "allocations", "table", "99.00"),
     }
+
+
+def test_table_function_tries_few_patterns(monkeypatch):
+    """Spellings whose plain part is not in the text are not searched, and only lines with a movement are looked at; a
+    movement at the end of a line or text is found."""
+    tried = []
+    search = r.re.search
+    monkeypatch.setattr(r.re, "search", lambda pattern, text, *a: tried.append(pattern) or search(pattern, text, *a))
+    assert list(r._notations("a plain text\nof three\nlines")) == [] and list(r._units("a plain text\nof three\nlines")) == [] and tried == []
+    assert list(r._notations("ſilver and SLV, s&P 500 SP500")) == [("sp500", "S&P 500, SP500"), ("silver", "Silver, SLV")]
+    assert list(r._units("Gold 12 up\n\nup\n up SPY 5 \nVIX 3% down\n7 oil fell")) == [("bare", "Gold 12 up"), ("bare", "up SPY 5"), ("bare", "7 oil fell")]
