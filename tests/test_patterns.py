@@ -62,6 +62,13 @@ def test_fixed_window_swings_step_in():
     assert contraction.detect(flat + 5, flat + 5, flat + 5, flat)["pivot"] is None
 
 
+def test_an_outside_bar_is_a_high_and_a_low():
+    h, low = np.full(40, 10.0), np.full(40, 9.0)
+    h[20], low[20] = 12.0, 7.0
+    tops, bottoms = contraction.swings(h, low, low, Limits(swing_ranges=1000.0))
+    assert tops.tolist() == [20] == bottoms.tolist()
+
+
 VCP = legs((0, 70), (30, 100), (45, 80), (60, 99), (70, 91), (80, 98.5), (88, 94.5), (96, 98), (102, 94), (110, 97))
 
 
