@@ -15,7 +15,7 @@ from tapeworks.operators.ordered import stored
 
 #: Symbols and cells (symbols x dates) of a block at most, fewest blocks of a large table, symbols of a tile,
 #: pairs that are measured at once.
-BLOCK, CELLS, SPREAD, TILE, BATCH = 8192, 4_000_000, 12, 512, 2048
+BLOCK, CELLS, SPREAD, TILE, BATCH = 8192, 4_000_000, 12, 512, 1024
 
 
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +100,7 @@ class Block:
         """The pairs that pass, by batches, each with its series on the common dates."""
         for i, j in self.near(least_common, least_corr):
             found = Pairs(self, i, j, "x")
+            found.measure()
             good = found.n >= least_common
             if least_corr is not None:
                 good &= np.nan_to_num(found.corr, nan=-2.0) >= least_corr
@@ -119,6 +120,8 @@ class Pairs:
         self.here = np.arange(width) >= width - self.n[:, None]
         self.y, self.x = np.zeros(self.here.shape), np.zeros(self.here.shape)
         self.y[self.here], self.x[self.here] = a[both], b[both]
+
+    def measure(self) -> None:
         (dy, my), (dx, mx) = less_mean(self.y, self.here), less_mean(self.x, self.here)
         with np.errstate(divide="ignore", invalid="ignore"):
             self.corr = products(dy, dx) / np.sqrt(products(dy, dy) * products(dx, dx))
@@ -127,8 +130,9 @@ class Pairs:
 
     def where(self, good: np.ndarray) -> Pairs:
         if not good.all():
-            for c in ("i", "j", "n", "here", "y", "x", "corr", "beta", "alpha"):
-                setattr(self, c, getattr(self, c)[good])
+            for c, x in vars(self).items():
+                if c != "of":
+                    setattr(self, c, x[good])
         return self
 
     def names(self) -> dict[str, pa.Array]:
@@ -145,8 +149,8 @@ def products(y: np.ndarray, x: np.ndarray) -> np.ndarray:
 def less_mean(x: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows less their mean over `here`, 0 elsewhere, and the means."""
     with np.errstate(invalid="ignore"):
-        mean = np.where(here, x, 0).sum(1) / here.sum(1)
-    return np.where(here, x - mean[:, None], 0), mean
+        mean = (x * here).sum(1) / here.sum(1)
+        return (x - mean[:, None]) * here, mean
 
 
 def slopes(dy: np.ndarray, dx: np.ndarray) -> np.ndarray:
@@ -425,7 +429,9 @@ def ratio_zs(ratio: np.ndarray, here: np.ndarray, n: int) -> np.ndarray:
         mean += ratio[:, k : k + m]
     mean /= n
     for k in range(n):
-        square += (ratio[:, k : k + m] - mean) ** 2
+        d = ratio[:, k : k + m] - mean
+        d *= d
+        square += d
     moves = np.zeros(ratio.shape, np.int32)
     np.cumsum(ratio[:, 1:] != ratio[:, :-1], axis=1, out=moves[:, 1:])
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -458,11 +464,11 @@ def backtest_pairs(bars: DataFrame, corr: float = 0.7, n: int = 20, enter: float
 
     def run(of: Block) -> Iterator[dict]:
         close = of.values["x"]
-        of.values["positive"] = np.where(close > 0, close, np.nan)
+        of.values["log"] = np.log(np.where(close > 0, close, np.nan))
         for p in of.measured(100, corr):
-            p = Pairs(of, p.i, p.j, "positive")
+            p = Pairs(of, p.i, p.j, "log")
             p = p.where(p.n > 0)
-            ratio = np.log(np.where(p.here, p.y, 1)) - np.log(np.where(p.here, p.x, 1))
+            ratio = p.y - p.x
             count, wins, total = np.zeros(len(ratio), np.int64), np.zeros(len(ratio), np.int64), np.zeros(len(ratio))
             for rows, start, end, side in backtest_rows(ratio_zs(ratio, p.here, n), enter, leave, stop):
                 gain = side * (ratio[rows, end] - ratio[rows, start])
