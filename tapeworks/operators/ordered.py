@@ -3,6 +3,10 @@ tasks, each task works on its stretch, and one row of totals per stretch and gro
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +16,35 @@ def shared_path(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
 
 
+@contextmanager
+def tidy(spark: SparkSession, name: str = "spark.sql.classic.shuffleDependency.fileCleanup.enabled") -> Iterator[None]:
+    """Let Spark drop an action's shuffle files as soon as it ends; what was computed is in the shared folder by then."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written by checkpoint() into the shared folder."""
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(shared_path(df.sparkSession))
-    return df.checkpoint()
+    with tidy(df.sparkSession):
+        return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A large df, written as compressed Parquet into the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_path(spark)}/rows-{uuid.uuid4().hex}"
+    with tidy(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def stretches(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:

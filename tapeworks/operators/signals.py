@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.scalars import clamp, horizon_bucket, horizons_overlap, normalize_direction, ticker_array
-from tapeworks.operators.ordered import drawdowns, stored
+from tapeworks.operators.ordered import drawdowns, stored, tidy, written
 
 SIGNAL_COLUMNS = ["signal_ref", "skill", "title", "raw_score", "tickers", "direction", "horizon", "ts"]
 
@@ -33,9 +33,10 @@ def title_words(title: Column) -> Column:
 def similar_pairs(signals: DataFrame, tickers: float = 0.30, titles: float = 0.60) -> DataFrame:
     """(a, b): unordered pairs of one direction with enough ticker or title overlap.
 
-    A pair needs a common ticker or word; shared counts come from joins on those, so no pair without one is made.
+    A pair needs a common ticker or word; shared counts come from joins on those, so no pair without one is made. Each step
+    is written, so that its shuffle files are gone before the next.
     """
-    base = stored(signals.select("signal_ref", "direction", F.array_distinct("tickers").alias("t"), title_words(F.col("title")).alias("w")))
+    base = written(signals.select("signal_ref", "direction", F.array_distinct("tickers").alias("t"), title_words(F.col("title")).alias("w")))
 
     def overlap(col: str, least: float) -> DataFrame:
         # A set's items, rare ones first: pairs above the threshold share one of the first n - ceil(least * n) + 1 items. Items
@@ -44,16 +45,21 @@ def similar_pairs(signals: DataFrame, tickers: float = 0.30, titles: float = 0.6
         count = each.groupBy("direction", "x").agg(F.count("*").alias("c")).where("c > 1")
         ranked = each.join(count, ["direction", "x"], "left").groupBy("signal_ref", "direction", "row").agg(F.array_sort(F.collect_set(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "x"))).alias("s"))
         n = F.size("s")
-        items = ranked.select("signal_ref", "direction", F.transform("s", lambda i: i["x"]).alias("p"), F.explode(F.slice("s", F.lit(1), (n - F.ceil(n * least) + 1).cast("int"))).alias("i")).where("i.c > 1")
+        items = written(ranked).select("signal_ref", "direction", F.transform("s", lambda i: i["x"]).alias("p"), F.explode(F.slice("s", F.lit(1), (n - F.ceil(n * least) + 1).cast("int"))).alias("i")).where("i.c > 1")
         one, two = (items.select("direction", F.col("i.x").alias("x"), F.col("signal_ref").alias(k), F.col("p").alias(f"p{k}")) for k in "ab")
         k, m = F.size("pa"), F.size("pb")
         pairs = one.join(two, ["direction", "x"]).where("a < b").where(F.least(k, m) >= least * F.greatest(k, m))
         need = F.ceil(least * (k + m) / (1 + least) - 1e-9)  # the same as common >= least * union, with the common items found once
-        return pairs.where(F.size(F.array_intersect("pa", "pb")) >= need).select("a", "b")
+        return written(pairs.where(F.size(F.array_intersect("pa", "pb")) >= need).select("a", "b"))
 
     return overlap("t", tickers).union(overlap("w", titles)).distinct()
 
 
+def size(df: DataFrame) -> int:
+    with tidy(df.sparkSession):
+        return df.count()  # one number
+
+
 def dedupe_signals(signals: DataFrame, tickers: float = 0.30, titles: float = 0.60, small: int = 100_000) -> DataFrame:
     """(signal_ref, primary): greedy in descending score: a signal absorbs every later similar one not yet absorbed.
 
@@ -64,16 +70,16 @@ def dedupe_signals(signals: DataFrame, tickers: float = 0.30, titles: float = 0.
     references rank by their best row.
     """
     rank = signals.select("signal_ref", F.struct((-F.col("raw_score")).alias("s"), F.col("skill"), F.col("signal_ref").alias("r")).alias("rank")).groupBy("signal_ref").agg(F.min("rank").alias("rank"))
-    pairs = similar_pairs(signals, tickers, titles)
+    rank, pairs = written(rank), written(similar_pairs(signals, tickers, titles))
     ra, rb = rank.select(F.col("signal_ref").alias("a"), F.col("rank").alias("ra")), rank.select(F.col("signal_ref").alias("b"), F.col("rank").alias("rb"))
     edges = pairs.join(ra, "a").join(rb, "b")
     better = F.col("ra") < F.col("rb")
-    left = edges = stored(edges.select(F.when(better, F.col("a")).otherwise(F.col("b")).alias("hi"), F.when(better, F.col("ra")).otherwise(F.col("rb")).alias("hr"), F.when(better, F.col("b")).otherwise(F.col("a")).alias("lo")))
+    left = edges = written(edges.select(F.when(better, F.col("a")).otherwise(F.col("b")).alias("hi"), F.when(better, F.col("ra")).otherwise(F.col("rb")).alias("hr"), F.when(better, F.col("b")).otherwise(F.col("a")).alias("lo")))
     gone = edges.select("lo").limit(0)
-    while (n := left.count()) > small:  # one number
+    while (n := size(left)) > small:
         blocked = left.select(F.col("lo").alias("hi")).distinct()
-        new = stored(left.join(blocked, "hi", "left_anti").select("lo").distinct())
-        left = stored(left.join(new, "lo", "left_anti").join(new.select(F.col("lo").alias("hi")), "hi", "left_anti"))
+        new = written(left.join(blocked, "hi", "left_anti").select("lo").distinct())
+        left = written(left.join(new, "lo", "left_anti").join(new.select(F.col("lo").alias("hi")), "hi", "left_anti"))
         gone = gone.unionByName(new)
 
     def decide(g: pd.DataFrame) -> pd.DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -52,3 +53,24 @@ def test_similar_pairs_against_all_pairs(some):
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[5] == b[5] and (near(set(a[4]), set(b[4]), 0.3) or near(set(a[2].split()), set(b[2].split()), 0.6))}
     got = [(r.a, r.b) for r in signals.similar_pairs(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("step", [signals.dedupe_signals, signals.contradiction_counts])
+def test_steps_leave_no_shuffle_files(some, spark, step):
+    _, df = some
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files() -> set[str]:
+        found = manager.getAllFiles().iterator()
+        names = set()
+        while found.hasNext():
+            names.add(found.next().getName())
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before = files()
+    step(df)
+    for _ in range(100):  # files are dropped by a thread of their own
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
