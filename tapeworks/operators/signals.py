@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.scalars import clamp, horizon_bucket, horizons_overlap, normalize_direction, ticker_array
-from tapeworks.operators.ordered import drawdowns, stored, tidy, written
+from tapeworks.operators.ordered import drawdowns, tidy, written
 
 SIGNAL_COLUMNS = ["signal_ref", "skill", "title", "raw_score", "tickers", "direction", "horizon", "ts"]
 
@@ -117,33 +117,38 @@ def contradiction_counts(signals: DataFrame, wide: int = 8) -> DataFrame:
     Pairs with a signal of more than `wide` tickers, whose subsets would be too many, are counted as pairs on tickers.
     """
     base = signals.where(F.col("direction").isin("LONG", "SHORT")).select("signal_ref", "skill", "direction", horizon_bucket(F.col("horizon")).alias("h"), F.array_sort(F.array_distinct("tickers")).alias("t"))
-    base = stored(base.where(F.size("t") > 0))
+    base = written(base.where(F.size("t") > 0))
     narrow, broad = base.where(F.size("t") <= wide), base.where(F.size("t") > wide)
     # Subsets of two and more count only where both directions hold them, and so all of their pairs: of a signal, only the
     # tickers of such pairs make subsets. Pairs are told apart by hash: one too many is a subset that nobody else holds.
-    duo = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.struct(F.xxhash64(x, y).alias("p"), F.array(x, y).alias("xy")))))
-    duos = narrow.where(F.size("t") > 1).select("signal_ref", "direction", F.explode(duo).alias("d")).select("signal_ref", "direction", "d.p", "d.xy")
+    # A signal's tickers travel as their places in t.
+    place = lambda x: x.cast("byte")
+    duo = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y, j: F.struct(F.xxhash64(x, y).alias("p"), place(i).alias("i"), place(i + j + 1).alias("j")))))
+    duos = narrow.where(F.size("t") > 1).select("signal_ref", "direction", F.explode(duo).alias("d")).select("signal_ref", "direction", "d.p", "d.i", "d.j")
     shared = duos.groupBy("p").agg(F.min("direction").alias("lo"), F.max("direction").alias("hi")).where("lo <> hi").select("p")
-    crossed = duos.join(shared, "p").groupBy("signal_ref").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("xy")))).alias("u"))
+    crossed = written(duos.join(shared, "p").groupBy("signal_ref").agg(F.array_distinct(F.flatten(F.collect_list(F.array("i", "j")))).alias("u")))
     subsets = F.aggregate("u", F.array(F.array().cast("array<string>")), lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(x)))))
     single = narrow.select("signal_ref", "skill", "direction", "h", F.explode(F.transform("t", lambda x: F.array(x))).alias("s"))
-    more = narrow.join(crossed, "signal_ref").withColumn("u", F.array_intersect("t", "u")).select("signal_ref", "skill", "direction", "h", F.explode(F.filter(subsets, lambda s: F.size(s) > 1)).alias("s"))
-    parts = single.unionByName(more)
+    more = narrow.join(crossed, "signal_ref").withColumn("u", F.filter("t", lambda x, i: F.array_contains("u", place(i)))).select("signal_ref", "skill", "direction", "h", F.explode(F.filter(subsets, lambda s: F.size(s) > 1)).alias("s"))
+    parts = written(single.unionByName(more))
     held = parts.groupBy("s", "direction", F.col("skill").alias("s2"), F.col("h").alias("h2")).agg(F.count("*").alias("n"))
-    held = held.withColumn("direction", F.when(F.col("direction") == "LONG", "SHORT").otherwise("LONG"))
+    held = written(held).withColumn("direction", F.when(F.col("direction") == "LONG", "SHORT").otherwise("LONG"))
     signed = F.when(F.size("s") % 2 == 1, F.col("n")).otherwise(-F.col("n"))
-    rows = parts.join(held, ["s", "direction"]).select("signal_ref", "skill", "h", "s2", "h2", signed.alias("n"))
+    names, key = ("high", "medium", "low"), ["signal_ref", "skill", "h", "s2", "h2"]
+
+    def counted(df: DataFrame) -> DataFrame:
+        level = F.when(F.col("skill") == F.col("s2"), "high").when(~horizons_overlap(F.col("h"), F.col("h2")), "low").otherwise("medium")
+        return df.withColumn("level", level).groupBy("signal_ref").agg(*[F.sum(F.when(F.col("level") == k, F.col("n")).otherwise(0)).alias(k) for k in names])
+
+    rows = written(counted(parts.join(held, ["s", "direction"]).select(*key, signed.alias("n"))))
 
     each = lambda df: df.select("signal_ref", "skill", "direction", "h", F.size("t").alias("k"), F.explode("t").alias("ticker"))
     one, two = each(broad), each(base).select(F.col("signal_ref").alias("r2"), F.col("skill").alias("s2"), F.col("direction").alias("d2"), F.col("h").alias("h2"), F.col("k").alias("k2"), "ticker")
-    both = one.join(two, "ticker").where("direction <> d2").select("signal_ref", "skill", "h", "r2", "s2", "h2", "k2").distinct()
+    both = written(one.join(two, "ticker").where("direction <> d2").select("signal_ref", "skill", "h", "r2", "s2", "h2", "k2").distinct())
     back = both.where(F.col("k2") <= wide).select(F.col("r2").alias("signal_ref"), F.col("s2").alias("skill"), F.col("h2").alias("h"), F.col("skill").alias("s2"), F.col("h").alias("h2"))
-    for more in (both.select("signal_ref", "skill", "h", "s2", "h2"), back):
-        rows = rows.unionByName(more.withColumn("n", F.lit(1).cast("long")))
-    same, apart = F.col("skill") == F.col("s2"), ~horizons_overlap(F.col("h"), F.col("h2"))
-    level = F.when(same, "high").when(apart, "low").otherwise("medium")
-    sums = [F.sum(F.when(F.col("level") == k, F.col("n")).otherwise(0)).alias(k) for k in ("high", "medium", "low")]
-    return rows.withColumn("level", level).groupBy("signal_ref").agg(*sums).where("high + medium + low > 0")
+    for more in (both.select(*key), back):
+        rows = rows.unionByName(counted(more.withColumn("n", F.lit(1).cast("long"))))
+    return rows.groupBy("signal_ref").agg(*[F.sum(k).alias(k) for k in names]).where("high + medium + low > 0")
 
 
 def adjust_for_contradictions(scores: DataFrame, counts: DataFrame, penalty: float = 0.10) -> DataFrame:

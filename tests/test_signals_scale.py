@@ -74,3 +74,8 @@ def test_steps_leave_no_shuffle_files(some, spark, step):
             break
         time.sleep(0.1)
     assert not files() - before
+
+
+def test_counts_are_summed_before_the_last_action(some):
+    _, df = some
+    assert "Join" not in signals.contradiction_counts(df)._jdf.queryExecution().optimizedPlan().toString()
